@@ -300,7 +300,7 @@ def _grow(hi: np.ndarray, lo: np.ndarray, budget: int) -> tuple[np.ndarray, np.n
 
 
 def _node_links(node: np.ndarray, hi: np.ndarray, lo: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges (index pairs) of every run of equal ``node``."""
+    """Spanning edges (index pairs) of every run of equal ``node``; entries of a run are in order."""
     first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
     size = np.diff(np.append(first, len(node)))
     us, vs = [], []
@@ -322,12 +322,12 @@ def _node_links(node: np.ndarray, hi: np.ndarray, lo: np.ndarray, budget: int) -
         us.append(u + begin)
         vs.append(v + begin)
     u, v = np.concatenate([*us, np.zeros(0, np.int64)]), np.concatenate([*vs, np.zeros(0, np.int64)])
-    if len(u) > len(node):  # no more edges than entries
-        label = np.arange(len(node))
+    # every component as a star around its least entry, which other orders tend to find as well
+    label = np.arange(len(node))
+    if len(u):
         _forest(label, u, v)
-        u = np.flatnonzero(label != np.arange(len(node)))
-        v = label[u]
-    return u, v
+    u = np.flatnonzero(label != np.arange(len(node)))
+    return u, label[u]
 
 
 def wide_links(distinct: DataFrame, budget: int, orders: int = ORDERS, head: int = HEAD) -> DataFrame:
@@ -368,7 +368,7 @@ def wide_links(distinct: DataFrame, budget: int, orders: int = ORDERS, head: int
             yield solve(pa.Table.from_batches(held).combine_chunks())
 
     rows = distinct.select("hi", "lo").mapInArrow(deal, "node long, hi long, lo long")
-    found = rows.repartition("node").sortWithinPartitions("node").mapInArrow(task, "uh long, ul long, vh long, vl long")
+    found = rows.repartition("node").sortWithinPartitions("node", "hi", "lo").mapInArrow(task, "uh long, ul long, vh long, vl long")
     return found.select(F.xxhash64("uh", "ul").alias("u"), F.xxhash64("vh", "vl").alias("v"))
 
 
