@@ -45,10 +45,10 @@ from . import common
 BLOCK = 1024
 PACKED_SHARE = 0.95
 #: Ids after which a file is closed (looked at after every 1000 documents).
-FILE_IDS = 4_000_000
+FILE_IDS = 2_000_000
 END_ID = 2
 #: Chunks of text whose ids a worker remembers; others are encoded each time.
-MEMO = 1_200_000
+MEMO = 400_000
 
 MANIFEST = "part int, seq int, name string, n_docs long, n_ids long, n_bytes long"
 _MANIFEST = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
@@ -66,7 +66,7 @@ _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: b for b in _VISIBLE} | {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
 #: Bytes of text that are encoded at a time.
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 
 class Encoder:
