@@ -12,7 +12,7 @@ IMAGE_NAMES = ("spectral_image", "spectral-image")
 
 
 def inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """path, name, kind, size_bytes, modified of every file below ``folder``; contents are not read."""
+    """path, name, kind, size_bytes, modified of every file below ``folder``; contents are not read, empty files not listed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", "modificationTime")
     kind_of = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     kind = F.when(kind_of.isin(list(RASTER_TYPES)), "raster").when(kind_of.isin(list(METADATA_TYPES)), "metadata").otherwise("other")
