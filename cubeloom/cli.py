@@ -32,6 +32,7 @@ def parser() -> argparse.ArgumentParser:
         if product:
             p.add_argument("--input", "-i", required=True)
             p.add_argument("--bands", type=_ints)
+            p.add_argument("--proj-autofix", default=True, action=argparse.BooleanOptionalAction, help="accepted; projections are built in")
         if output:
             p.add_argument("--output-dir", "-o", required=name != "validate", default=None if name != "validate" else ".")
             p.add_argument("--overwrite", action="store_true")
@@ -103,7 +104,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def _request(a: argparse.Namespace) -> Any:
-    values = {k: v for k, v in vars(a).items() if k not in ("verb", "json", "log_level", "log_format")}
+    values = {k: v for k, v in vars(a).items() if k not in ("verb", "json", "log_level", "log_format", "proj_autofix")}
     if a.verb == "quality-mask":
         parts = {k: values.pop(f"morphology_{k2}") for k, k2 in (("operation", "operation"), ("shape", "kernel_shape"), ("size", "kernel_size"), ("iterations", "iterations"))}
         values["morphology"] = rq.build(rq.Morphology, enabled=values.pop("morphology"), **parts)

@@ -70,9 +70,17 @@ def scale_places(grid: DataFrame, source: tuple[int, int], target: tuple[int, in
 
 def decimate(cube: DataFrame, source: tuple[int, int], target: tuple[int, int]) -> DataFrame:
     """Nearest source pixel of every target pixel: floor((i + 0.5) * source / target)."""
-    grid = target_grid(cube.sparkSession, *target)
-    row, col = (F.floor((F.col(o) + 0.5) * (source[k] / target[k])).cast("int") for o, k in (("out_row", 1), ("out_col", 0)))
-    return grid.select("out_row", "out_col", row.alias("row"), col.alias("col")).join(cube, ["row", "col"]).select(F.col("out_row").alias("row"), F.col("out_col").alias("col"), "bands")
+
+    def hits(name: str, size: int, to: int) -> Column:
+        # target rows (columns) whose nearest source is this one: none or one when shrinking, so no join is needed
+        ratio = size / to
+        about = F.floor(F.col(name) / ratio - 0.5)
+        near = F.sequence(F.greatest(about - 1, F.lit(0)), F.greatest(F.least(F.ceil((F.col(name) + 1) / ratio), F.lit(to - 1)), F.lit(0)))
+        near = F.when(about - 1 < to, near).otherwise(F.array().cast("array<bigint>"))
+        return F.filter(near, lambda i: (i >= about - 1) & (F.floor((i + 0.5) * ratio) == F.col(name)))
+
+    placed = cube.withColumn("__r", F.explode(hits("row", source[1], target[1]))).withColumn("__c", F.explode(hits("col", source[0], target[0])))
+    return placed.select(F.col("__r").cast("int").alias("row"), F.col("__c").cast("int").alias("col"), "bands")
 
 
 def block_mean(long: DataFrame, factor: int) -> DataFrame:

@@ -211,3 +211,11 @@ def test_rpc_footprint_and_toy_model(spark):
     df = spark.createDataFrame([(10.0, 45.0, 300.0), (10.05, 45.05, 0.0)], "lon double, lat double, h double")
     line, sample = geo.rpc_project(toy_rpc(), F.col("lon"), F.col("lat"), F.col("h"))
     assert [tuple(np.round(r, 9)) for r in df.select(line, sample).collect()] == [(9.5, 12.0), (19.0, 24.0)]
+
+
+@pytest.mark.parametrize(("source", "target"), [((25, 20), (10, 8)), ((7, 5), (3, 2)), ((4, 3), (9, 7)), ((6, 6), (6, 6)), ((1, 1), (1, 1))])
+def test_decimation_takes_the_nearest_pixel(spark, source, target):
+    a = np.arange(source[0] * source[1]).reshape(1, source[1], source[0])
+    got = {(r["row"], r["col"]): r["bands"][0] for r in resample.decimate(wide(spark, a.tolist()), source, target).collect()}
+    want = {(i, j): a[0, int((i + 0.5) * (source[1] / target[1])), int((j + 0.5) * (source[0] / target[0]))] for i in range(target[1]) for j in range(target[0])}
+    assert got == want
