@@ -7,6 +7,7 @@ Everything that outlives a stage is written under the folder named by
 from __future__ import annotations
 
 import posixpath
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -26,10 +27,13 @@ PARTITION_BYTES = 24 << 20
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A new folder name in the shared storage of the cluster.
 
-    ``spark.checkpoint.dir`` is used where it is set; a local temporary folder
-    stands in only where the session has none (tests on one machine).
+    ``spark.checkpoint.dir`` is used where it is set.  Only a session that runs
+    in one local process may do without, in a temporary folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    root = root or _local_root()
     return posixpath.join(root, f"{tag}-{uuid.uuid4().hex}")
 
 

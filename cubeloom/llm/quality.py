@@ -189,11 +189,13 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, label:
                 row, feature = features(batch.column(1).slice(lo, hi - lo))
                 cuts = np.searchsorted(row, np.arange(hi - lo + 1))
                 lists = [feature[a:b].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(lists, pa.binary())], names=["label", "features"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(lists, pa.binary())], names=["label", "h", "features"])
 
     # `max_train` ids: a bounded broadcast, whatever the tables' sizes
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("__label", "text", F.xxhash64("doc_id", "text").alias("__h"))
-    found = rows.orderBy("__h").limit(max_train).select("__label", "text").mapInArrow(task, "label int, features binary").toArrow()
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = rows.orderBy("__h").limit(max_train).select("__label", "text", "__h").repartition(parts)  # the limit leaves one partition
+    found = few.mapInArrow(task, "label int, h long, features binary").toArrow().sort_by([("h", "ascending"), ("label", "ascending")])
     lists = [np.frombuffer(x, "<i4").astype(np.int64) for x in found.column("features").to_pylist()]
     return fit_rows(lists, np.array(found.column("label").to_pylist(), np.int64))
 
