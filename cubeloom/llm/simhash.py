@@ -20,6 +20,7 @@ the result; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -256,13 +257,23 @@ def classes(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE, leaf:
 #: fingerprints of 2 x 64 bits are used, in several tries, each with its own order of the bits, whose
 #: first ``HEAD`` levels allow no differing bit; deeper levels have the whole budget.
 WIDE = 2 * BITS
-ORDERS = 64
+ORDERS = 96
 HEAD = 16
 SIMILARITY = 0.8
 #: Nodes up to this many entries are compared pair by pair.
 SMALL_NODE = 256
 
 
+def wide_budget(similarity: float) -> int:
+    """Differing bits that links allow for a Jaccard similarity of two shingle sets.
+
+    Each bit differs with the probability of the angle between the two sets;
+    two standard deviations above the mean are allowed.
+    """
+    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(WIDE * angle + 2 * math.sqrt(WIDE * angle * (1 - angle)))
+
+
 def wide_fingerprint(words: list[bytes], shingle: int) -> tuple[int, int]:
     """Majority bits of the 128-bit XXH3 of each distinct word shingle."""
     if not words:
@@ -375,11 +386,13 @@ def wide_links(distinct: DataFrame, budget: int, orders: int = ORDERS, head: int
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that of least doc_id, then of least row key.
 
-    Two texts are near duplicates if their wide fingerprints agree in at least
-    ``similarity`` of all bits; groups are the components of that relation.
+    Two texts are near duplicates if their wide fingerprints differ in no more
+    bits than :func:`wide_budget` allows for a Jaccard similarity of
+    ``similarity`` between their distinct shingles; groups are the components of
+    that relation, as far as some order's trie brings its pairs together.
     Texts without words are one group.  A null doc_id counts as the least.
     """
-    budget = int((1 - similarity) * WIDE + 1e-9)
+    budget = wide_budget(similarity)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

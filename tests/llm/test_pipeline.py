@@ -46,7 +46,7 @@ def test_whole_pipeline_matches_plain_python(spark):
     for _ in range(4):
         for a in range(len(docs)):
             for b in range(a):
-                if (fps[a][0] ^ fps[b][0]).bit_count() + (fps[a][1] ^ fps[b][1]).bit_count() <= 25:
+                if (fps[a][0] ^ fps[b][0]).bit_count() + (fps[a][1] ^ fps[b][1]).bit_count() <= simhash.wide_budget(0.8):
                     label[a] = label[b] = min(label[a], label[b])
     docs = [d for i, d in enumerate(docs) if label[i] == i]
     # benchmark windows
