@@ -34,10 +34,14 @@ def with_height(points: DataFrame, dem: DataFrame, transform: Sequence[float], m
 
 
 def orthorectify(points: DataFrame, long: DataFrame, rpc: dict, method: str, width: int, height: int, height_scale: float = 1.0, centre: float = 0.0) -> DataFrame:
-    """out_row, out_col, band, value of points with heights; ``centre`` is added to line and sample if the model counts from corners."""
+    """out_row, out_col, band, value of points with heights."""
+    return warp(image_places(points, rpc, height_scale, centre), long, method, width, height)
+
+
+def image_places(points: DataFrame, rpc: dict, height_scale: float = 1.0, centre: float = 0.0) -> DataFrame:
+    """out_row, out_col and the place (y, x) in the image; ``centre`` is added if the model counts from corners."""
     line, sample = geo.rpc_project(rpc, F.col("lon"), F.col("lat"), F.col("height") * height_scale)
-    places = points.select("out_row", "out_col", (line + centre).alias("y"), (sample + centre).alias("x"))
-    return warp(places, long, method, width, height)
+    return points.select("out_row", "out_col", (line + centre).alias("y"), (sample + centre).alias("x"))
 
 
 def footprint(rpc: dict) -> tuple[float, float, float, float]:

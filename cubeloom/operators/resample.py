@@ -11,6 +11,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,66 @@ def warp(places: DataFrame, long: DataFrame, method: str, width: int, height: in
     return gather(taps(inside, method), long)
 
 
+def tile_size(bands: int, limit: int = 24 << 20) -> int:
+    """Side of the source tiles of :func:`warp_tiles`, so that one takes at most ``limit`` bytes."""
+    return max(16, min(256, int((limit / (8 * max(1, bands))) ** 0.5) // 16 * 16))
+
+
+def warp_tiles(places: DataFrame, cube: DataFrame, bands: int, method: str, width: int, height: int, block: int | None = None) -> DataFrame:
+    """The same as :func:`warp` for whole cubes: row, col, bands of the target.
+
+    Instead of a row per tap and band, every target pixel is sent once, to the
+    source tile it falls in, and every source pixel once, plus a margin of three
+    pixels that neighbouring tiles share.  A tile is a bounded array in its task.
+    """
+    if method not in TAPS:
+        raise ValueError(f"unknown resampling {method!r}")
+    b = block or tile_size(bands)
+    inside = places.filter((F.col("y") >= -0.5) & (F.col("y") < height - 0.5) & (F.col("x") >= -0.5) & (F.col("x") < width - 0.5))
+    shift = 0.5 if method == "nearest" else 0.0
+    tile = lambda c: F.floor(F.floor(c + shift) / b).cast("int")
+    asked = inside.select(tile(F.col("y")).alias("tr"), tile(F.col("x")).alias("tc"), "out_row", "out_col", "y", "x")
+    # taps reach from one pixel before the base pixel to two after it
+    owners = lambda c: F.array_distinct(F.array(F.floor((F.col(c) - 2) / b).cast("int"), F.floor((F.col(c) + 1) / b).cast("int")))
+    held = cube.withColumn("tr", F.explode(owners("row"))).withColumn("tc", F.explode(owners("col"))).select("tr", "tc", "row", "col", "bands")
+
+    def solve(asked: pa.Table, held: pa.Table) -> pa.Table:
+        n = asked.num_rows
+        if not n:
+            return pa.table({"row": pa.array([], pa.int32()), "col": pa.array([], pa.int32()), "bands": pa.array([], pa.list_(pa.float64()))})
+        top, left = (asked.column(k)[0].as_py() * b - 1 for k in ("tr", "tc"))
+        grid = np.full((b + 4, b + 4, bands), np.nan)
+        if held.num_rows:
+            flat = held.column("bands").combine_chunks().flatten()
+            values = np.asarray(flat.fill_null(np.nan)).reshape(-1, bands)
+            grid[np.asarray(held.column("row")) - top, np.asarray(held.column("col")) - left] = values
+        y, x = (np.asarray(asked.column(k)) for k in ("y", "x"))
+        y0, x0 = np.floor(y + shift), np.floor(x + shift)
+        total, weights = np.zeros((n, bands)), np.zeros((n, bands))
+        for dy in TAPS[method]:
+            for dx in TAPS[method]:
+                wy, wx = (_tap_weight(method, np.abs(p0 + d - p)) for p0, d, p in ((y0, dy, y), (x0, dx, x)))
+                value = grid[(y0 + dy - top).astype(int), (x0 + dx - left).astype(int)]
+                good = np.isfinite(value)
+                w = (wy * wx)[:, None] * good
+                total += w * np.where(good, value, 0.0)
+                weights += w
+        found = np.abs(weights) > 1e-12
+        out = np.where(found, total / np.where(found, weights, 1.0), 0.0)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(out.reshape(-1), mask=~found.reshape(-1)))
+        return pa.table({"row": asked.column("out_row").combine_chunks(), "col": asked.column("out_col").combine_chunks(), "bands": lists})
+
+    return asked.groupBy("tr", "tc").cogroup(held.groupBy("tr", "tc")).applyInArrow(solve, "row int, col int, bands array<double>")
+
+
+def _tap_weight(method: str, t: np.ndarray) -> np.ndarray:
+    if method == "nearest":
+        return np.ones_like(t)
+    if method == "bilinear":
+        return 1 - t
+    return np.where(t <= 1, 1.5 * t**3 - 2.5 * t**2 + 1, np.where(t < 2, -0.5 * t**3 + 2.5 * t**2 - 4 * t + 2, 0.0))
+
+
 def scale_places(grid: DataFrame, source: tuple[int, int], target: tuple[int, int]) -> DataFrame:
     """Source places (y, x) of a target grid over the same ground; sizes are (width, height)."""
     sy, sx = source[1] / target[1], source[0] / target[0]

@@ -174,14 +174,12 @@ def _warp_output(product: Product, grid: grids.Grid, chosen: Sequence[int], noda
     return tiff.Raster(width=grid.width, height=grid.height, count=len(chosen), dtype=h.dtype, nodata=nodata, transform=grid.transform, epsg=grid.epsg, geographic=grid.epsg == 4326, tags={"software": ENGINE} | {k: str(v) for k, v in tags.items()}, descriptions={i: h.descriptions[b] for i, b in enumerate(chosen, 1) if b in h.descriptions}, band_tags={i: h.band_tags[b] for i, b in enumerate(chosen, 1) if b in h.band_tags})
 
 
-def _write_warp(long: DataFrame, target: Path, header: tiff.Raster, overwrite: bool) -> None:
-    """Bands by position; new areas get NoData, or 0 where there is none."""
-    fill = 0.0 if header.nodata is None else header.nodata
-    filled = F.array(*[F.coalesce(F.max(F.when(F.col("band") == i, F.col("value"))), F.lit(float(fill))) for i in range(1, header.count + 1)])
-    wide = long.groupBy(F.col("out_row").alias("row"), F.col("out_col").alias("col")).agg(filled.alias("bands"))
-    if header.dtype.startswith(("u", "i")):
-        wide = wide.withColumn("bands", F.transform("bands", lambda v: F.rint(v)))
-    sinks.write_geotiff(wide, target, header, overwrite=overwrite)
+def _write_warp(warped: DataFrame, target: Path, header: tiff.Raster, overwrite: bool) -> None:
+    """New areas get NoData, or 0 where there is none."""
+    fill = F.lit(0.0 if header.nodata is None else float(header.nodata))
+    whole = header.dtype.startswith(("u", "i"))
+    filled = F.transform("bands", lambda v: F.coalesce(F.rint(v) if whole else v, fill))
+    sinks.write_geotiff(warped.select("row", "col", filled.alias("bands")), target, header, overwrite=overwrite)
 
 
 def _chosen(product: Product, request: Request, error: type[errors.CubeError]) -> list[int]:
@@ -224,10 +222,10 @@ def reproject(spark: SparkSession, request: ReprojectRequest) -> dict[str, Any]:
             x, y = geo.utm_forward(x, y, h.epsg)
     col, row = geo.affine(geo.inverse_affine(h.transform), x, y)
     places = resample.target_grid(spark, grid.width, grid.height).select("out_row", "out_col", (row - 0.5).alias("y"), (col - 0.5).alias("x"))
-    long = cube_op.to_long(_read(spark, product, chosen))
     nodata = request.nodata if request.nodata is not None else h.nodata
     header = _warp_output(product, grid, chosen, nodata, {"resampling": request.resampling, "source_epsg": h.epsg})
-    _write_warp(resample.warp(places, long, request.resampling, h.width, h.height), target, header, request.overwrite)
+    warped = resample.warp_tiles(places, _read(spark, product, chosen), len(chosen), request.resampling, h.width, h.height)
+    _write_warp(warped, target, header, request.overwrite)
     return {"path": str(target), "crs": f"EPSG:{epsg}", "resolution": grid.resolution, "width": grid.width, "height": grid.height, "band_indices": chosen, "resampling": request.resampling, "snapped": request.snap_to_grid, "reference_raster": request.reference_raster, "product_id": product.product_id}
 
 
@@ -265,7 +263,8 @@ def orthorectify(spark: SparkSession, request: OrthoRequest) -> dict[str, Any]:
     points = ortho.ground_points(resample.target_grid(spark, grid.width, grid.height), grid.transform, None if epsg == 4326 else epsg)
     posts = raster.read(spark, request.dem, [1]).select("row", "col", F.col("bands")[0].alias("height"))
     high = ortho.with_height(points, posts, dem.transform, request.rpc_dem_missing_value)
-    warped = ortho.orthorectify(high, cube_op.to_long(_read(spark, product, chosen)), h.rpc, request.resampling, h.width, h.height, request.rpc_height_scale)
+    places = ortho.image_places(high, h.rpc, request.rpc_height_scale)
+    warped = resample.warp_tiles(places, _read(spark, product, chosen), len(chosen), request.resampling, h.width, h.height)
     options = {"RPC_DEM": request.dem, "RPC_HEIGHT_SCALE": str(request.rpc_height_scale), "RPC_DEM_MISSING_VALUE": str(request.rpc_dem_missing_value), "RPC_DEM_APPLY_VDATUM_SHIFT": str(request.rpc_dem_apply_vdatum_shift)}
     nodata = request.nodata if request.nodata is not None else h.nodata
     header = _warp_output(product, grid, chosen, nodata, options | {"resampling": request.resampling, "error_threshold_px": request.error_threshold_px})

@@ -219,3 +219,18 @@ def test_decimation_takes_the_nearest_pixel(spark, source, target):
     got = {(r["row"], r["col"]): r["bands"][0] for r in resample.decimate(wide(spark, a.tolist()), source, target).collect()}
     want = {(i, j): a[0, int((i + 0.5) * (source[1] / target[1])), int((j + 0.5) * (source[0] / target[0]))] for i in range(target[1]) for j in range(target[0])}
     assert got == want
+
+
+@pytest.mark.parametrize("method", ["nearest", "bilinear", "cubic"])
+def test_warp_by_tiles_is_the_warp_by_taps(spark, method):
+    rng = np.random.default_rng(9)
+    a = rng.normal(size=(2, 40, 37)).astype(object)
+    for k, r, c in zip(rng.integers(0, 2, 60), rng.integers(0, 40, 60), rng.integers(0, 37, 60), strict=True):
+        a[k, r, c] = rng.choice([None, NAN])
+    df = wide(spark, a.tolist())
+    places = resample.scale_places(resample.target_grid(spark, 50, 31), (37, 40), (50, 31))
+    taps = {(r["out_row"], r["out_col"], r["band"]): r["value"] for r in resample.warp(places, cube.to_long(df), method, 37, 40).collect()}
+    tiles = {(r["row"], r["col"], k): v for r in resample.warp_tiles(places, df, 2, method, 37, 40, 16).collect() for k, v in enumerate(r["bands"], 1)}
+    assert len(tiles) == 2 * 50 * 31
+    for key, value in tiles.items():
+        assert (value is None and taps.get(key) is None) or value == pytest.approx(taps[key])
