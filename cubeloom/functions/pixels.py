@@ -23,18 +23,19 @@ _INF = float("inf")
 
 
 def finite(v: Column) -> Column:
-    return ~F.isnan(v) & (F.abs(v) < _INF)
+    """NULL for NULL.  Two comparisons do: Spark puts NaN above infinity."""
+    return (v < _INF) & (v > -_INF)
 
 
-def present(v: Column, nodata: float | None = None) -> Column:
-    """Neither NULL nor the finite NoData value."""
-    out = v.isNotNull()
+def usable(v: Column, nodata: float | None = None) -> Column:
+    """Present and finite; NULL for NULL, which filters and conditions take as false."""
+    out = finite(v)
     return out if nodata is None or nodata != nodata or abs(nodata) == _INF else out & (v != F.lit(float(nodata)))
 
 
 def valid(v: Column, nodata: float | None = None) -> Column:
     """A usable sample: present and finite; never NULL itself."""
-    return F.coalesce(present(v, nodata) & finite(v), F.lit(False))
+    return F.coalesce(usable(v, nodata), F.lit(False))
 
 
 def masked(v: Column, nodata: float | None) -> Column:
@@ -69,12 +70,9 @@ def ndwi(green: Column, nir: Column, nodata: float | None = INDEX_NODATA) -> Col
     return normalised_difference(green, nir, nodata)
 
 
-def _count(bands: Column, keep) -> Column:  # noqa: ANN001
-    return F.size(F.filter(bands, keep))
-
-
-def valid_band_count(bands: Column, nodata: float | None = None) -> Column:
-    return _count(bands, lambda v: valid(v, nodata))
+def good_bands(bands: Column, nodata: float | None = None) -> Column:
+    """The usable samples of a pixel."""
+    return F.filter(bands, lambda v: usable(v, nodata))
 
 
 def quality_class(
@@ -85,27 +83,28 @@ def quality_class(
     nodata: float | None = None,
     anomaly: bool = False,
     cv_threshold: float = 2.0,
+    good: Column | None = None,
 ) -> Column:
     """Class code of a pixel from its bands.
 
     In order: no valid band, any unusable value, saturated share of the valid
-    bands, low share, spectral anomaly (if asked for), valid.
+    bands, low share, spectral anomaly (if asked for), valid.  ``good`` is
+    :func:`good_bands` if a column holds it already.
     """
-    n = valid_band_count(bands, nodata)
+    good = good_bands(bands, nodata) if good is None else good
+    n = F.size(good)
     least = F.greatest(n, F.lit(1)).cast("double")
-    unusable = F.exists(bands, lambda v: F.coalesce(present(v, nodata) & ~finite(v), F.lit(False)))
-    saturated = _count(bands, lambda v: valid(v, nodata) & (v >= F.lit(float(saturation)))) / least
-    low = _count(bands, lambda v: valid(v, nodata) & (v <= F.lit(float(low_signal)))) / least
-    out = F.when(n == 0, NO_DATA).when(unusable, INVALID).when(saturated >= fraction, SATURATED).when(low >= fraction, LOW_SIGNAL)
+    unusable = F.exists(bands, lambda v: (v >= _INF) | (v <= -_INF))
+    saturated = F.size(F.filter(good, lambda v: v >= F.lit(float(saturation)))) / least
+    low = F.size(F.filter(good, lambda v: v <= F.lit(float(low_signal)))) / least
+    out = F.when(n == 0, NO_DATA).when(F.coalesce(unusable, F.lit(False)), INVALID).when(saturated >= fraction, SATURATED).when(low >= fraction, LOW_SIGNAL)
     if anomaly:
-        cv = variation(bands, nodata)
-        out = out.when(F.coalesce(cv > cv_threshold, F.lit(False)), SPECTRAL_ANOMALY)
+        out = out.when(F.coalesce(variation(good) > cv_threshold, F.lit(False)), SPECTRAL_ANOMALY)
     return out.otherwise(VALID).cast("short")
 
 
-def variation(bands: Column, nodata: float | None = None) -> Column:
-    """Population deviation over mean of the valid bands; NULL unless the mean is positive."""
-    good = F.filter(bands, lambda v: valid(v, nodata))
+def variation(good: Column) -> Column:
+    """Population deviation over mean of usable samples; NULL unless the mean is positive."""
     n = F.size(good).cast("double")
     mean = F.when(n > 0, F.aggregate(good, F.lit(0.0), lambda s, v: s + v) / n)
     square = F.aggregate(good, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean))

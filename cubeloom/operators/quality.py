@@ -8,15 +8,16 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pixels import CLASS_NAMES, INVALID, LOW_SIGNAL, SATURATED, SPECTRAL_ANOMALY, VALID, quality_class
+from ..functions.pixels import CLASS_NAMES, INVALID, LOW_SIGNAL, SATURATED, SPECTRAL_ANOMALY, VALID, good_bands, quality_class
 
 #: Defects in the order in which they claim valid pixels.
 GROWING = (INVALID, SATURATED, LOW_SIGNAL, SPECTRAL_ANOMALY)
 
 
 def classify(cube: DataFrame, **settings) -> DataFrame:  # noqa: ANN003
-    """row, col, class; narrow, no shuffle."""
-    return cube.select("row", "col", quality_class(F.col("bands"), **settings).alias("class"))
+    """row, col, class; narrow, no shuffle.  The usable samples are found once and counted from a column."""
+    found = cube.withColumn("__good", good_bands(F.col("bands"), settings.get("nodata")))
+    return found.select("row", "col", quality_class(F.col("bands"), good=F.col("__good"), **settings).alias("class"))
 
 
 def class_counts(classes: DataFrame) -> DataFrame:
