@@ -285,12 +285,13 @@ def _merge_blocks(parts: list[DataFrame]) -> DataFrame:
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, spans (merged removal spans, in words) and items for every row of ``docs``."""
-    found = list(blocks(benchmark, window, block_words)) or [Windows([], window)]
-    if len(found) == 1:
-        return hits(docs, found[0])
-    # several blocks: a row's parts meet again by a number of its own
+    some = blocks(benchmark, window, block_words)
+    first, second = next(some, None), next(some, None)
+    if second is None:
+        return hits(docs, first or Windows([], window))
+    # several blocks, one after another: a row's parts meet again by a number of its own
     numbered = common.settle(docs.select(F.struct("doc_id", F.monotonically_increasing_id().alias("n")).alias("key"), "text"), "numbered")
-    parts = [hits(numbered, w, "key") for w in found]
+    parts = [hits(numbered, first, "key"), hits(numbered, second, "key"), *(hits(numbered, w, "key") for w in some)]
     return _merge_blocks(parts).select(F.col("key.doc_id").alias("doc_id"), "n_words", "spans", "items")
 
 
