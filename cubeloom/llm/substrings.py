@@ -12,7 +12,8 @@ ones are the maximal exact repeats.
 How it is spread: windows are dealt by hash to buckets whose number grows with
 the text, packed as arrays: one row for each chunk of documents and bucket.  A
 chunk first merges its own equal windows and sends one of them, so a passage in
-a third of all documents costs a bucket one entry per chunk.  Index and probes
+a third of all documents costs a bucket one entry per chunk.  What a bucket finds
+goes home to its chunk, whose row keys were sent there once.  Index and probes
 compare 32 bits beside those of the bucket; what they let pass by chance only
 adds hits to look at.  The extension compares 64 bits beside those of the bucket.
 
@@ -25,6 +26,8 @@ their row key; a null doc_id stands before all others.
 from __future__ import annotations
 
 import hashlib
+import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,12 +42,16 @@ from . import common
 WINDOW = 20
 BLOCK = 10
 #: Windows for each bucket, on average, and words for each chunk.
-BUCKET_WINDOWS = 3_000_000
-CHUNK_WORDS = 2_000_000
+BUCKET_WINDOWS = 2_500_000
+CHUNK_WORDS = 1_000_000
 #: Bytes of text that are split into words at a time.
 SLICE = 6 << 20
 
-PACKED = "bucket int, chunk binary, hashes binary, gaps binary, flags binary"
+PACKED = "bucket int, chunk binary, docs binary, hashes binary, gaps binary, flags binary"
+_PACKED = pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in ("chunk", "docs", "hashes", "gaps", "flags"))])
+#: On the way back: places of a chunk, or its table of documents, at the chunk's home.
+SENT = "home int, chunk binary, docs binary, places binary"
+_SENT = pa.schema([("home", pa.int32()), ("chunk", pa.binary()), ("docs", pa.binary()), ("places", pa.binary())])
 PLACES = "key long, places binary"
 _PLACES = pa.schema([("key", pa.int64()), ("places", pa.binary())])
 
@@ -83,61 +90,77 @@ def rolling(words: np.ndarray, width: int) -> np.ndarray:
 # -- chunks and buckets -----------------------------------------------------------------------
 
 
-def _pack(bucket: np.ndarray, low: np.ndarray, place: np.ndarray, flag: np.ndarray, n_buckets: int, chunk: bytes) -> pa.RecordBatch:
+def _gaps(places: np.ndarray) -> bytes:
+    """Places in order as differences, two or four bytes each."""
+    gaps = np.diff(places, prepend=0)
+    kind = "<u2" if gaps.max(initial=0) < 1 << 16 else "<u4"
+    return kind[2].encode() + gaps.astype(kind).tobytes()
+
+
+def _ungap(gaps: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(gaps, f"<u{gaps[:1].decode()}", offset=1).astype(np.int64))
+
+
+def _pack(bucket: np.ndarray, low: np.ndarray, place: np.ndarray, flag: np.ndarray, n_buckets: int, chunk: bytes, docs: bytes) -> pa.RecordBatch:
     """A row for each bucket: remaining hash bits, places in the chunk, flags."""
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-    rows: dict[str, list] = {k: [] for k in ("bucket", "chunk", "hashes", "gaps", "flags")}
-    for b in np.flatnonzero(np.diff(cuts)).tolist():
-        mine = order[cuts[b] : cuts[b + 1]]
-        gaps = np.diff(place[mine], prepend=0)
-        kind = "<u2" if gaps.max() < 1 << 16 else "<u4"
-        for k, v in zip(rows, (b, chunk, low[mine].tobytes(), kind[2].encode() + gaps.astype(kind).tobytes(), np.packbits(flag[mine]).tobytes()), strict=True):
-            rows[k].append(v)
-    return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in list(rows)[1:])]))
+    used = np.flatnonzero(np.diff(cuts)).tolist()
+    mine = [order[cuts[b] : cuts[b + 1]] for b in used]
+    columns = [used, [chunk] * len(used), [docs] * len(used), [low[m].tobytes() for m in mine], [_gaps(place[m]) for m in mine], [np.packbits(flag[m]).tobytes() for m in mine]]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PACKED, strict=True)], schema=_PACKED)
 
 
-def _unpack_places(gaps: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(gaps, f"<u{gaps[:1].decode()}", offset=1).astype(np.int64))
+def _table_row(chunk: bytes, keys: np.ndarray, first: np.ndarray, known: np.ndarray, n_buckets: int) -> pa.RecordBatch:
+    """A chunk's documents and the places that it knows by itself; any bucket passes them home."""
+    docs = keys.astype("<i8").tobytes() + np.diff(first, prepend=0).astype("<u4").tobytes()
+    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((chunk[0] % n_buckets, chunk, docs, b"", _gaps(known), b""), _PACKED, strict=True)], schema=_PACKED)
 
 
-class Chunk:
-    """Documents of a chunk that have windows: row key, first window, and doc_id where order matters."""
+def _order_table(first: np.ndarray, ids: np.ndarray, null: np.ndarray, keys: np.ndarray) -> bytes:
+    """What the order of a chunk's documents needs: first window, doc_id, whether it is null, 32 bits of the key."""
+    parts = np.diff(first, prepend=0).astype("<u4"), np.diff(ids, prepend=0).astype("<i8"), null.astype("u1"), (keys & 0xFFFFFFFF).astype("<u4")
+    return len(ids).to_bytes(8, "little") + zlib.compress(b"".join(x.tobytes() for x in parts), 1)
 
-    def __init__(self, keys: np.ndarray, first: np.ndarray, ids: np.ndarray | None = None, null: np.ndarray | None = None):
-        self.keys, self.first, self.ids, self.null = keys, first, ids, null
 
-    def to_bytes(self) -> bytes:
-        head = np.int64(len(self.keys)).tobytes() + self.keys.astype("<i8").tobytes() + np.diff(self.first, prepend=0).astype("<u4").tobytes()
-        return head if self.ids is None else head + self.ids.astype("<i8").tobytes() + self.null.astype("u1").tobytes()
+def _orders(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n, raw = int.from_bytes(data[:8], "little"), zlib.decompress(data[8:])
+    first, ids = np.frombuffer(raw, "<u4", n), np.frombuffer(raw, "<i8", n, 4 * n)
+    return np.cumsum(first.astype(np.int64)), np.cumsum(ids), np.frombuffer(raw, "u1", n, 12 * n), np.frombuffer(raw, "<u4", n, 13 * n).astype(np.int64)
 
-    @classmethod
-    def from_bytes(cls, data: bytes) -> Chunk:
-        n = int(np.frombuffer(data, "<i8", 1)[0])
-        out = cls(np.frombuffer(data, "<i8", n, 8), np.cumsum(np.frombuffer(data, "<u4", n, 8 + 8 * n).astype(np.int64)))
-        if len(data) > 8 + 12 * n:
-            out.ids, out.null = np.frombuffer(data, "<i8", n, 8 + 12 * n), np.frombuffer(data, "u1", n, 8 + 20 * n)
-        return out
 
-    def split(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(document, place in it) of places in the chunk."""
-        doc = np.searchsorted(self.first, places, "right") - 1
-        return doc, places - self.first[doc]
+def _split(first: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, place in it) of places in the chunk."""
+    doc = np.searchsorted(first, places, "right") - 1
+    return doc, places - first[doc]
 
 
-def _own_row(places: np.ndarray, chunk: bytes, n_buckets: int) -> pa.RecordBatch:
-    """What the chunk knows by itself travels with any bucket, without hashes."""
-    row = _pack(np.zeros(len(places), np.int64), np.zeros(len(places), "<u4"), places, np.ones(len(places), bool), 1, chunk)
-    return row.set_column(0, "bucket", pa.array([int(places[-1]) % n_buckets], pa.int32())).set_column(2, "hashes", pa.array([b""], pa.binary()))
+def _chunk_id(keys: np.ndarray) -> bytes:
+    return uuid.uuid5(uuid.NAMESPACE_OID, hashlib.sha256(keys.tobytes()).hexdigest()).bytes
 
 
-def _by_key(keys: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-    """A row for each key: its places as bytes."""
-    order = np.argsort(keys, kind="stable")
-    keys, places = keys[order], places[order].astype("<i4")
-    edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
-    first, ends = edges[:-1], edges[1:]
-    return pa.RecordBatch.from_arrays([pa.array(keys[first], pa.int64()), pa.array([places[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary())], schema=_PLACES)
+def _home(chunk: bytes, homes: int) -> int:
+    return int.from_bytes(chunk[:8], "little") % homes
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """Of one home, a row for each document of a chunk with all its places."""
+    docs: dict[bytes, bytes] = {}
+    found: dict[bytes, list[np.ndarray]] = {}
+    for chunk, described, places in zip(*(table.column(k).to_pylist() for k in ("chunk", "docs", "places")), strict=True):
+        if described:
+            docs[chunk] = described
+        found.setdefault(chunk, []).append(np.frombuffer(places, "<u4"))
+    out = []
+    for chunk, parts in found.items():
+        n = len(docs[chunk]) // 12
+        keys, first = np.frombuffer(docs[chunk], "<i8", n), np.cumsum(np.frombuffer(docs[chunk], "<u4", n, 8 * n).astype(np.int64))
+        doc, place = _split(first, np.sort(np.concatenate(parts)).astype(np.int64))
+        if len(doc):
+            edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]]))
+            place = place.astype("<i4")
+            out.append(pa.RecordBatch.from_arrays([pa.array(keys[doc[edges[:-1]]], pa.int64()), pa.array([place[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())], schema=_PLACES))
+    return pa.Table.from_batches(out, schema=_PLACES)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -169,22 +192,13 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
         yield out()
 
 
-def _describe(rows: pa.RecordBatch, first: np.ndarray, has: np.ndarray, order: bool) -> Chunk:
-    """The chunk's documents that have windows; with what their order needs, if asked."""
-    keys, first = np.asarray(rows.column(1))[has], first[has]
-    if not order:
-        return Chunk(keys, first)
-    ids = rows.column(0)
-    return Chunk(keys, first, np.asarray(pc.fill_null(ids.cast(pa.int64()), 0))[has], np.asarray(pc.is_null(ids)).astype(np.uint8)[has])
-
-
 def _windows(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Word index of every window inside one document, and the first window of each document."""
     counts = np.maximum(np.diff(bounds) - width + 1, 0)
     return common.ranges(bounds[:-1], counts), np.concatenate([[0], np.cumsum(counts)])[:-1]
 
 
-def _same(low: np.ndarray, bucket: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _same(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order that brings equal hashes together (stable), and the first of each run in it."""
     order = np.argsort(low, kind="stable")
     ranked = low[order]
@@ -214,56 +228,66 @@ def _probe(n_buckets: int, min_words: int) -> Callable:
             send, flag = send[back], block[back]
             bucket = (full[send] % np.uint64(n_buckets)).astype(np.int64)
             low = (full[send] // np.uint64(n_buckets)).astype("<u4")
-            chunk = _describe(rows, first, keep, False).to_bytes()
-            yield _pack(bucket, low, place[send], flag, n_buckets, chunk)
+            keys = np.asarray(rows.column(1))[keep]
+            chunk = _chunk_id(keys)
+            # places count the windows of documents that are long enough
+            to_kept = np.cumsum(~short) - 1
+            kept_first = np.concatenate([[0], np.cumsum(np.maximum(np.diff(bounds) - BLOCK + 1, 0)[keep])])[:-1]
+            yield _pack(bucket, low, to_kept[place[send]], flag, n_buckets, chunk, b"")
             repeated = order[np.repeat(many, np.diff(np.append(runs, len(order))))] if len(runs) else order
-            if len(repeated):
-                yield _own_row(np.sort(place[repeated]), chunk, n_buckets)
+            yield _table_row(chunk, keys, kept_first, np.sort(to_kept[place[repeated]]), n_buckets)
 
     return task
 
 
-def _bucket_rows(table: pa.Table, kind: str, out: list[pa.RecordBatch]) -> list[tuple[Chunk, np.ndarray, np.ndarray, np.ndarray]]:
-    """(chunk, hashes, places, flags) of the rows to compare; places known already go to ``out``."""
-    rows = []
-    for chunk, hashes, gaps, flags in zip(*(table.column(k).to_pylist() for k in ("chunk", "hashes", "gaps", "flags")), strict=True):
-        docs, low, places = Chunk.from_bytes(chunk), np.frombuffer(hashes, kind), _unpack_places(gaps)
-        if len(low):
-            rows.append((docs, low, places, np.unpackbits(np.frombuffer(flags, np.uint8), count=len(low)).astype(bool)))
-        else:
-            doc, place = docs.split(places)
-            out.append(_by_key(docs.keys[doc], place))
-    return rows
+class _Bucket:
+    """Rows of one bucket: what is to be compared, and what goes home."""
+
+    def __init__(self, table: pa.Table, kind: str, homes: int):
+        self.homes, self.rows = homes, []
+        self.out: list[tuple[int, bytes, bytes, bytes]] = []
+        for chunk, docs, hashes, gaps in zip(*(table.column(k).to_pylist() for k in ("chunk", "docs", "hashes", "gaps")), strict=True):
+            if hashes:
+                self.rows.append((chunk, docs, np.frombuffer(hashes, kind), _ungap(gaps)))
+            else:
+                self.send(chunk, _ungap(gaps), docs)
+        self.flags = np.concatenate([np.zeros(0, bool), *[np.unpackbits(np.frombuffer(f, np.uint8), count=len(h) // np.dtype(kind).itemsize).astype(bool) for f, h in zip(table.column("flags").to_pylist(), table.column("hashes").to_pylist(), strict=True) if h]])
+        self.low = np.concatenate([np.zeros(0, np.dtype(kind)), *[r[2] for r in self.rows]])
+
+    def send(self, chunk: bytes, places: np.ndarray, docs: bytes = b"") -> None:
+        if len(places) or docs:
+            self.out.append((_home(chunk, self.homes), chunk, docs, places.astype("<u4").tobytes()))
+
+    def sent(self, chosen: np.ndarray) -> pa.Table:
+        """All that goes home, with the entries that are ``chosen``."""
+        at = 0
+        for chunk, _, low, places in self.rows:
+            self.send(chunk, places[chosen[at : at + len(low)]])
+            at += len(low)
+        columns = list(zip(*self.out, strict=True)) or [[], [], [], []]
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, _SENT, strict=True)], schema=_SENT)
 
 
-def _match(table: pa.Table) -> pa.Table:
+def _match(homes: int) -> Callable:
     """Of one bucket, the places whose words equal an indexed block and stand more than once."""
-    out: list[pa.RecordBatch] = []
-    parts = _bucket_rows(table, "<u4", out)
-    if not parts:
-        return pa.Table.from_batches(out, schema=_PLACES)
-    low = np.concatenate([p[1] for p in parts])
-    flag = np.concatenate([p[3] for p in parts])
-    order, runs = _same(low)
-    size = np.diff(np.append(runs, len(low)))
-    hit = (size > 1) & np.maximum.reduceat(flag[order], runs)
-    chosen = np.zeros(len(low), bool)
-    chosen[order] = np.repeat(hit, size)
-    at = 0
-    for docs, part, places, _ in parts:
-        mine = chosen[at : at + len(part)]
-        at += len(part)
-        if mine.any():
-            doc, place = docs.split(places[mine])
-            out.append(_by_key(docs.keys[doc], place))
-    return pa.Table.from_batches(out, schema=_PLACES)
+
+    def solve(table: pa.Table) -> pa.Table:
+        b = _Bucket(table, "<u4", homes)
+        order, runs = _same(b.low)
+        size = np.diff(np.append(runs, len(order)))
+        chosen = np.zeros(len(order), bool)
+        if len(runs):
+            chosen[order] = np.repeat((size > 1) & np.maximum.reduceat(b.flags[order], runs), size)
+        return b.sent(chosen)
+
+    return solve
 
 
 # -- stage two: extend ------------------------------------------------------------------------
 
 
-def _joined_places(lists: pa.Array) -> list[np.ndarray]:
-    return [np.zeros(0, np.int64) if x is None else np.frombuffer(b"".join(x), "<i4").astype(np.int64) for x in lists.to_pylist()]
+def _places(column: pa.Array) -> list[np.ndarray]:
+    return [np.unique(np.frombuffer(b"".join(x or ()), "<i4")).astype(np.int64) for x in column.to_pylist()]
 
 
 def _later(low: np.ndarray, null: np.ndarray, ids: np.ndarray, keys: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -286,53 +310,58 @@ def _extend(n_buckets: int) -> Callable:
             n = np.maximum(np.diff(bounds) - WINDOW + 1, 0)
             first = np.concatenate([[0], np.cumsum(n)])[:-1]
             around = np.zeros(int(n.sum()) + 1, np.int64)
-            for i, places in enumerate(_joined_places(rows.column(2))):
+            for i, places in enumerate(_places(rows.column(2))):
                 if len(places) and n[i]:
                     np.add.at(around, first[i] + np.clip(places - (WINDOW - BLOCK), 0, n[i]), 1)
                     np.add.at(around, first[i] + np.clip(places + 1, 0, n[i]), -1)
             place = np.flatnonzero(np.cumsum(around)[:-1] > 0)
             doc = np.searchsorted(first, place, "right") - 1
             full = rolling(hashes, WINDOW)[bounds[doc] + place - first[doc]] if len(place) else np.zeros(0, np.uint64)
-            docs = _describe(rows, first, np.ones(len(first), bool), True)
-            order, later = _later(full, docs.null[doc], docs.ids[doc], docs.keys[doc], place - first[doc])
-            known = place[np.sort(order[later])]
-            send = np.sort(order[~later])
-            if not len(send):
+            ids, all_keys = rows.column(0), np.asarray(rows.column(1))
+            null = np.asarray(pc.is_null(ids)).astype(np.uint8)
+            ids = np.asarray(pc.fill_null(ids.cast(pa.int64()), 0))
+            order, later = _later(full, null[doc], ids[doc], all_keys[doc] & 0xFFFFFFFF, place - first[doc])
+            if not len(order):
                 continue
-            has = np.zeros(len(first), bool)
-            has[doc] = True
-            chunk = _describe(rows, first, has, True).to_bytes()
-            # the first of every hash goes to its bucket
-            yield _pack((full[send] % np.uint64(n_buckets)).astype(np.int64), (full[send] // np.uint64(n_buckets)).astype("<u8"), place[send], np.ones(len(send), bool), n_buckets, chunk)
-            if len(known):
-                yield _own_row(known, chunk, n_buckets)
+            # places count the windows that are compared, document by document
+            has = np.unique(doc)
+            kept_first = np.concatenate([[0], np.cumsum(n[has])])[:-1]
+            local = kept_first[np.searchsorted(has, doc)] + place - first[doc]
+            chunk = _chunk_id(all_keys[has])
+            send = np.sort(order[~later])  # the first of every hash
+            yield _pack((full[send] % np.uint64(n_buckets)).astype(np.int64), (full[send] // np.uint64(n_buckets)).astype("<u8"), local[send], np.ones(len(send), bool), n_buckets, chunk, _order_table(kept_first, ids[has], null[has], all_keys[has]))
+            yield _table_row(chunk, all_keys[has], kept_first, local[np.sort(order[later])], n_buckets)
 
     return task
 
 
-def _repeats(table: pa.Table) -> pa.Table:
+def _repeats(homes: int) -> Callable:
     """Of one bucket, the places of windows that also start earlier."""
-    keys, ids, null, place, low = [], [], [], [], []
-    out: list[pa.RecordBatch] = []
-    parts = _bucket_rows(table, "<u8", out)
-    if not parts:
-        return pa.Table.from_batches(out, schema=_PLACES)
-    for docs, part, places, _ in parts:
-        doc, at = docs.split(places)
-        for to, x in zip((keys, ids, null, place, low), (docs.keys[doc], docs.ids[doc], docs.null[doc], at, part), strict=True):
-            to.append(x)
-    keys, ids, null, place, low = (np.concatenate(x) for x in (keys, ids, null, place, low))
-    order, later = _later(low, null, ids, keys, place)
-    gone = order[later]
-    return pa.Table.from_batches([*out, _by_key(keys[gone], place[gone])], schema=_PLACES)
+
+    def solve(table: pa.Table) -> pa.Table:
+        b = _Bucket(table, "<u8", homes)
+        chosen = np.zeros(len(b.low), bool)
+        if len(b.low):
+            columns: list[list[np.ndarray]] = [[], [], [], []]
+            for _, docs, _, places in b.rows:
+                first, ids, null, tie = _orders(docs)
+                doc, place = _split(first, places)
+                for to, x in zip(columns, (null[doc], ids[doc], tie[doc], place), strict=True):
+                    to.append(x)
+            order, later = _later(b.low, *(np.concatenate(c) for c in columns))
+            chosen[order] = later
+        return b.sent(chosen)
+
+    return solve
 
 
 # -- Spark ------------------------------------------------------------------------------------
 
 
 def _gathered(packed: DataFrame, solve: Callable) -> DataFrame:
-    """The places that every bucket finds, by row key."""
-    return packed.groupBy("bucket").applyInArrow(solve, PLACES).groupBy("key").agg(F.collect_list("places").alias("places"))
+    """The places that all buckets find, a row for each row key."""
+    home = packed.groupBy("bucket").applyInArrow(solve, SENT).groupBy("home").applyInArrow(_met, PLACES)
+    return home.groupBy("key").agg(F.collect_list("places").alias("places"))  # rows that are repeated meet here
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -340,9 +369,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     size = common.text_bytes(docs)
     n_buckets = max(8, -(-size // (6 * BUCKET_WINDOWS)))  # about six bytes a word
     base = docs.select("doc_id", common.row_key().alias("key"), "text")
-    hits = _gathered(base.mapInArrow(_probe(n_buckets, WINDOW), PACKED), _match)
+    hits = _gathered(base.mapInArrow(_probe(n_buckets, WINDOW), PACKED), _match(n_buckets))
     touched = base.join(hits, "key").select("doc_id", "key", "text", "places")
-    found = _gathered(touched.mapInArrow(_extend(n_buckets), PACKED), _repeats)
+    found = _gathered(touched.mapInArrow(_extend(n_buckets), PACKED), _repeats(n_buckets))
     return base.join(found, "key", "left").select("doc_id", "key", "text", "places")
 
 
@@ -367,7 +396,7 @@ def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
             for lo in range(0, len(batch), 1000):
                 some = batch.slice(lo, 1000)
                 out: list[list] = [[], [], [], [], []]
-                for text, starts in zip(some.column(2).to_pylist(), _joined_places(some.column(3)), strict=True):
+                for text, starts in zip(some.column(2).to_pylist(), _places(some.column(3)), strict=True):
                     words = (text or "").encode().split()
                     spans: list[dict] = []
                     kept = words
