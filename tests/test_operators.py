@@ -201,7 +201,7 @@ def test_grids():
     assert aligned.transform[2] == 500000.0 and (5001000.0 - aligned.transform[5]) % 60 == 0
     assert grids.preview_size(120, 80, 40) == (40, 27) and grids.preview_size(10, 8, 40) == (10, 8)
     assert grids.resolution_token(30.0) == "30m" and grids.resolution_token(0.5) == "0p5m"
-    assert grids.product_slug("/a/ENMAP-L1B (x).TIF") == "enmap_l1b_x" and grids.product_slug("...") == "product"
+    assert grids.product_slug("/a/SCENE-L1B (x).TIF") == "scene_l1b_x" and grids.product_slug("...") == "product"
 
 
 def test_rpc_footprint_and_toy_model(spark):
