@@ -17,7 +17,7 @@ INDEX_NODATA = -9999.0
 
 #: Class codes and their names.
 NO_DATA, VALID, SATURATED, LOW_SIGNAL, INVALID, SPECTRAL_ANOMALY, OTHER = 0, 1, 2, 3, 4, 5, 255
-CLASS_NAMES = {NO_DATA: "NO_DATA", VALID: "VALID", SATURATED: "SATURATED", LOW_SIGNAL: "LOW_SIGNAL", INVALID: "INVALID", SPECTRAL_ANOMALY: "SPECTRAL_ANOMALY", OTHER: "OTHER"}
+CLASS_NAMES = {NO_DATA: "no_data", VALID: "valid", SATURATED: "saturated", LOW_SIGNAL: "low_signal", INVALID: "invalid_numeric", SPECTRAL_ANOMALY: "spectral_anomaly", OTHER: "unclassified"}
 
 _INF = float("inf")
 

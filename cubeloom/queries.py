@@ -74,7 +74,7 @@ def _class_sql(bands_sql: str, sat: float, low: float, frac: float) -> str:
 _MASK_BANDS_SQL = "[bands[3], bands[5], bands[9], bands[14]]"
 _CLASSES = _CUBE + f", classes AS (SELECT \"row\", col, {_class_sql('bands', 0.2, -0.2, 0.05)} AS class FROM cube)"
 _DEFECTS = _CUBE + f", classes AS (SELECT \"row\", col, {_class_sql(_MASK_BANDS_SQL, 0.2, -0.2, 0.25)} AS class FROM cube)"
-_NAMES = "names(class, name) AS (VALUES (0::SMALLINT, 'NO_DATA'), (1::SMALLINT, 'VALID'), (2::SMALLINT, 'SATURATED'), (3::SMALLINT, 'LOW_SIGNAL'), (4::SMALLINT, 'INVALID'), (5::SMALLINT, 'SPECTRAL_ANOMALY'), (255::SMALLINT, 'OTHER'))"
+_NAMES = "names(class, name) AS (VALUES (0::SMALLINT, 'no_data'), (1::SMALLINT, 'valid'), (2::SMALLINT, 'saturated'), (3::SMALLINT, 'low_signal'), (4::SMALLINT, 'invalid_numeric'), (5::SMALLINT, 'spectral_anomaly'), (255::SMALLINT, 'unclassified'))"
 
 
 # -- scans and projections --------------------------------------------------------------------

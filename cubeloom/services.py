@@ -25,6 +25,8 @@ from .plans.requests import IndexRequest, MaskRequest, OrthoRequest, PreviewRequ
 from .sources import catalog, files, raster, sinks, tiff
 
 ENGINE = "cubeloom"
+#: Names of statistics in sidecars.
+STATISTICS = {"band": "band_index", "count": "valid_count", "min": "minimum", "max": "maximum", "mean": "mean", "std": "std", "p2": "percentile_2", "p98": "percentile_98"}
 #: Bytes that a destination grid may take.
 BUDGET = 1 << 30
 
@@ -105,7 +107,8 @@ def calculate_index(spark: SparkSession, request: IndexRequest) -> dict[str, Any
     if request.statistics:
         long = cube_op.stride(grid, request.sample_step).select(F.lit(1).alias("band"), "value")
         row = stats.summarise(long).first()
-        out["statistics"] = row.asDict() if row else {"band": 1, "count": 0} | dict.fromkeys(("min", "max", "mean", "std", "p2", "p98"))
+        row = row.asDict() if row else {"band": 1, "count": 0} | dict.fromkeys(("min", "max", "mean", "std", "p2", "p98"))
+        out["statistics"] = {name: row[k] for k, name in STATISTICS.items()}
         out["statistics_path"] = str(sinks.write_json(side, {k: out[k] for k in ("index", "path", "band_indices", "wavelengths_nm", "nodata", "statistics")}, request.overwrite))
     return out
 
@@ -127,9 +130,9 @@ def extract_profile(spark: SparkSession, request: ProfileRequest) -> dict[str, A
     found = {r["pos"]: r["value"] for r in stats.profile(_read(spark, product, chosen, window), request.row, request.col, request.window_size).collect()}
     values, nm = [found.get(i) for i in range(len(chosen))], _names(product, chosen)
     sinks.write_profile_csv(f"{stem}.csv", list(zip(chosen, nm, values, strict=True)), request.overwrite)
-    payload = {"product_id": product.product_id, "path": product.path, "row": request.row, "col": request.col, "window_size": request.window_size, "band_indices": chosen, "wavelengths_nm": nm, "values": values, "csv_path": f"{stem}.csv"}
+    payload = {"product_id": product.product_id, "row": request.row, "col": request.col, "window_size": request.window_size, "band_indices": chosen, "wavelengths_nm": nm, "values": values, "csv_path": f"{stem}.csv", "json_path": f"{stem}.json"}
     sinks.write_json(f"{stem}.json", payload, request.overwrite)
-    return payload | {"json_path": f"{stem}.json"}
+    return payload
 
 
 def build_mask(spark: SparkSession, request: MaskRequest) -> dict[str, Any]:
@@ -149,14 +152,14 @@ def build_mask(spark: SparkSession, request: MaskRequest) -> dict[str, Any]:
     classes = quality.classify(_read(spark, product, chosen), saturation=request.saturation_dn, low_signal=request.low_signal_dn, fraction=request.band_fraction, anomaly=request.spectral_anomaly, cv_threshold=request.anomaly_cv_threshold)
     if m.enabled:
         classes = quality.grow(classes, m.operation, m.shape, m.size, m.iterations)
-    header = _output(product, 1, "uint8", None, True, classes=pixels.CLASS_NAMES, bands=chosen, morphology=asdict(m))
+    header = _output(product, 1, "uint8", float(pixels.NO_DATA), True, classes=pixels.CLASS_NAMES, bands=chosen, morphology=asdict(m))
     sinks.write_geotiff(classes.select("row", "col", F.array(F.col("class").cast("double")).alias("bands")), target, header, overwrite=request.overwrite)
-    written = raster.read(spark, str(target)).select(F.col("bands")[0].cast("short").alias("class"))
+    written = raster.read(spark, str(target)).select(F.coalesce(F.col("bands")[0], F.lit(float(pixels.NO_DATA))).cast("short").alias("class"))
     counts = {r["name"]: (r["count"], r["percentage"]) for r in quality.class_counts(written).collect()}
     out = {"path": str(target), "band_indices": chosen, "wavelengths_nm": _names(product, chosen), "counts": {k: v[0] for k, v in counts.items()}, "product_id": product.product_id, "statistics_path": None}
     if request.statistics:
         share = {k: v[1] for k, v in counts.items()}
-        extra = {"percentages": share, "valid_percent": share["VALID"], "nodata_percent": share["NO_DATA"], "saturated_percent": share["SATURATED"]}
+        extra = {"percentages": share, "valid_percentage": share["valid"], "nodata_percentage": share["no_data"], "saturated_percentage": share["saturated"]}
         out["statistics_path"] = str(sinks.write_json(side, out | extra, request.overwrite))
     return out
 

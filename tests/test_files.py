@@ -200,13 +200,13 @@ def test_index_mask_profile_and_preview(spark, tmp_path, scene):
     got = load(spark, found["path"])
     nir, red = a[3, 5, 6], a[2, 5, 6]
     assert got[5, 6] == [np.float32((nir - red) / (nir + red))] and got[0, 0] == [None]
-    assert found["statistics"]["count"] == 499 and json.loads(open(found["statistics_path"]).read())["index"] == "ndvi"
+    assert found["statistics"]["valid_count"] == 499 and json.loads(open(found["statistics_path"]).read())["index"] == "ndvi"
     with pytest.raises(errors.RasterWriteError):
         services.calculate_index(spark, rq.IndexRequest(path, out))
     mask = services.build_mask(spark, rq.MaskRequest(path, out, statistics=True))
-    assert mask["counts"]["NO_DATA"] == 1 and mask["counts"]["SATURATED"] == 8 - 1 and mask["counts"]["LOW_SIGNAL"] >= 5
+    assert mask["counts"]["no_data"] == 1 and mask["counts"]["saturated"] == 8 - 1 and mask["counts"]["low_signal"] >= 5
     plain = services.build_mask(spark, rq.MaskRequest(path, out, morphology=rq.Morphology(enabled=False), overwrite=True))
-    assert (plain["counts"]["SATURATED"], plain["counts"]["LOW_SIGNAL"], plain["counts"]["VALID"]) == (1, 1, 497)
+    assert (plain["counts"]["saturated"], plain["counts"]["low_signal"], plain["counts"]["valid"]) == (1, 1, 497)
     profile = services.extract_profile(spark, rq.ProfileRequest(path, out, row=0, col=1, window_size=3))
     near = a[:, 0:2, 0:3].reshape(4, -1).astype(float)
     assert profile["values"] == pytest.approx([np.mean(b[b != 0]) for b in near])

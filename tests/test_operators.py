@@ -138,7 +138,7 @@ def test_no_data_does_not_grow_and_opening_changes_nothing(spark):
 def test_class_counts_fill_zeros_and_name_strangers(spark):
     df = spark.createDataFrame([(1,), (1,), (77,)], "class smallint")
     got = {r["name"]: (r["count"], round(r["percentage"], 3)) for r in quality.class_counts(df).collect()}
-    assert got["VALID"] == (2, 66.667) and got["SATURATED"] == (0, 0.0) and got["unknown_77"] == (1, 33.333) and len(got) == 8
+    assert got["valid"] == (2, 66.667) and got["saturated"] == (0, 0.0) and got["unknown_77"] == (1, 33.333) and len(got) == 8
     assert sum(r["count"] for r in quality.class_counts(df.limit(0)).collect()) == 0
 
 
