@@ -31,6 +31,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +45,11 @@ from . import common
 
 BLOCK = 1024
 PACKED_SHARE = 0.95
-#: Ids after which a file is closed (looked at after every 1000 documents).
+#: Ids after which a file is closed (looked at after every 4000 documents).
 FILE_IDS = 2_000_000
 END_ID = 2
 #: Chunks of text whose ids a worker remembers; others are encoded each time.
-MEMO = 400_000
+MEMO = 600_000
 
 MANIFEST = "part int, seq int, name string, n_docs long, n_ids long, n_bytes long"
 _MANIFEST = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
@@ -65,8 +66,10 @@ _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\u024f]+")
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: b for b in _VISIBLE} | {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
+#: Marks that often end a chunk, and form one piece there.
+_MARKS = ".,;:!?|$%&*#)\""
 #: Bytes of text that are encoded at a time.
-SLICE = 4 << 20
+SLICE = 12 << 20
 
 
 class Encoder:
@@ -85,34 +88,44 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        #: Ids by chunk with a space before it, by chunk at a text's start, and by marks.
         self.known: dict[str, bytes | None] = {}
+        self.heads: dict[str, bytes | None] = {}
+        self.marks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _chunk(self, text: str, tokenize: Callable) -> bytes | None:
-        """Ids of a chunk with the space before it; None if its whole text is needed."""
-        if (word := text[1:]).isascii() and word.isalpha() and text[0] == " ":
-            return array("I", [t.id for t in tokenize("\u0120" + word)]).tobytes()
-        if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
+    def _piece(self, piece: str, tokenize: Callable) -> bytes:
+        return array("I", [t.id for t in tokenize(piece.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+
+    def _chunk(self, chunk: str, before: str, tokenize: Callable) -> bytes | None:
+        """Ids of ``before`` (a space or nothing) and a chunk; None if its whole text is needed."""
+        word = chunk.rstrip(_MARKS)
+        if word.isalpha() and max(word) < "\u0250":
+            if len(word) == len(chunk):
+                return self._piece(before + word, tokenize)
+            marks = chunk[len(word) :]
+            if (end := self.marks.get(marks)) is None:
+                end = self.marks[marks] = self._piece(marks, tokenize)
+                if len(self.marks) > 10_000:
+                    self.marks.clear()
+            own = self.known.get(word) if before else None
+            return (own or self._piece(before + word, tokenize)) + end
+        if not _PLAIN.fullmatch(chunk) or any(s in chunk for s in self.special):
             return None
-        known, parts = self.known, []
-        for piece in _PIECE.findall(text):
-            got = known.get(piece) if piece != text else None
-            parts.append(got or array("I", [t.id for t in tokenize(piece.encode().decode("latin-1").translate(_BYTES))]).tobytes())
-        return b"".join(parts)
-
-    def _ids(self, chunks: list[str], before: str) -> list[bytes | None]:
-        known, tokenize = self.known, self.library.model.tokenize
-        keys = [before + c for c in chunks]
-        out = [known.get(k, b"") for k in keys]
-        for i, ids in enumerate(out):
-            if ids == b"" and chunks[i]:
-                out[i] = got = self._chunk(keys[i], tokenize)
-                if len(known) < MEMO:
-                    known[keys[i]] = got
-            elif not chunks[i]:
-                out[i] = None
+        return b"".join([self._piece(x, tokenize) for x in _PIECE.findall(before + chunk)])
+
+    def _ids(self, chunks: list[str], known: dict[str, bytes | None], before: str) -> list[bytes | None]:
+        tokenize = self.library.model.tokenize
+        out = list(map(known.get, chunks, repeat(b"")))
+        room = MEMO - len(known)
+        for i in [i for i, ids in enumerate(out) if ids == b""]:
+            chunk = chunks[i]
+            out[i] = got = self._chunk(chunk, before, tokenize) if chunk else None
+            if room > 0:
+                known[chunk] = got
+                room -= 1
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -135,9 +148,9 @@ class Encoder:
         flat = lists.flatten()
         table = flat.dictionary_encode()
         codes = np.array(table.indices)
-        values = self._ids(table.dictionary.to_pylist(), " ")
+        values = self._ids(table.dictionary.to_pylist(), self.known, " ")
         heads = flat.take(pa.array(first)).to_pylist()
-        heads = [ids if c else b"" for c, ids in zip(heads, self._ids(heads, ""), strict=True)]
+        heads = [ids if c else b"" for c, ids in zip(heads, self._ids(heads, self.heads, ""), strict=True)]
         codes[first] = len(values) + np.arange(len(heads))
         values += heads
         odd = np.fromiter((v is None for v in values), bool, len(values))
@@ -193,7 +206,8 @@ def pack(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray, block:
         mine = np.flatnonzero(width == w)
         for lo in range(0, len(mine), 128):
             some = mine[lo : lo + 128]
-            bits = np.unpackbits(above[some].astype(">u4").view(np.uint8).reshape(len(some), block, 4), axis=2)[:, :, 32 - w :]
+            size = 2 if w <= 16 else 4
+            bits = np.unpackbits(above[some].astype(f">u{size}").view(np.uint8).reshape(len(some), block, size), axis=2)[:, :, 8 * size - w :]
             out = np.packbits(bits.reshape(len(some), -1), axis=1)
             packed[starts[some][:, None] + np.arange(out.shape[1])] = out
     before = np.searchsorted(at_block, np.arange(n_blocks))
@@ -236,9 +250,10 @@ class Reader:
             for lo in range(0, len(mine), 128):
                 some = mine[lo : lo + 128]
                 raw = self.packed[self.starts[first + some].astype(np.int64)[:, None] + np.arange(int(w) * self.block // 8)]
-                bits = np.zeros((len(some), self.block, 32), np.uint8)
-                bits[:, :, 32 - w :] = np.unpackbits(raw, axis=1).reshape(len(some), self.block, w)
-                out[some] = np.packbits(bits, axis=2).reshape(len(some), self.block * 4).view(">u4")
+                size = 2 if w <= 16 else 4
+                bits = np.zeros((len(some), self.block, 8 * size), np.uint8)
+                bits[:, :, 8 * size - w :] = np.unpackbits(raw, axis=1).reshape(len(some), self.block, w)
+                out[some] = np.packbits(bits, axis=2).reshape(len(some), self.block * size).view(f">u{size}")
         a, b = self.before[first], self.before[last]
         out[np.repeat(np.arange(last - first), np.diff(self.before[first : last + 1])), self.odd_at[a:b]] = self.odd[a:b]
         return (out + self.low[first:last, None]).reshape(-1)
@@ -285,8 +300,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, fi
             return pa.RecordBatch.from_pylist([row], schema=_MANIFEST)
 
         for batch in batches:
-            for lo in range(0, len(batch), 1000):
-                some = batch.slice(lo, 1000)
+            for lo in range(0, len(batch), 4000):
+                some = batch.slice(lo, 4000)
                 ids, counts = encode(some.column(1))
                 # the end id after every document
                 counts = counts + 1
