@@ -40,7 +40,7 @@ MAX_TRAIN = 12_000
 FOLDS = 5
 THRESHOLD = 0.3
 #: Bytes of text whose features are built at a time.
-SLICE = 6 << 20
+SLICE = 3 << 20
 
 _SHAPE = bytes(ord("a") if 97 <= c <= 122 or c >= 128 else ord("A") if 65 <= c <= 90 else ord("9") if 48 <= c <= 57 else c for c in range(256))
 _RUN = re.compile(rb"(.)\1+", re.S)
@@ -212,6 +212,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 row, feature = features(batch.column(2).slice(lo, hi - lo))
                 parts.append(shared.value.scores(row, feature, hi - lo))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(parts))], names=["doc_id", "key", "score"])
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return docs.select("doc_id", common.row_key().alias("key"), "text").mapInArrow(task, f"doc_id {kind}, key long, score double")
 

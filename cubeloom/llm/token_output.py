@@ -45,11 +45,11 @@ from . import common
 
 BLOCK = 1024
 PACKED_SHARE = 0.95
-#: Ids after which a file is closed (looked at after every 4000 documents).
+#: Ids after which a file is closed (looked at after every 1500 documents).
 FILE_IDS = 2_000_000
 END_ID = 2
 #: Chunks of text whose ids a worker remembers; others are encoded each time.
-MEMO = 600_000
+MEMO = 250_000
 
 MANIFEST = "part int, seq int, name string, n_docs long, n_ids long, n_bytes long"
 _MANIFEST = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
@@ -69,7 +69,7 @@ _BYTES = {b: b for b in _VISIBLE} | {b: 256 + n for n, b in enumerate(sorted(set
 #: Marks that often end a chunk, and form one piece there.
 _MARKS = ".,;:!?|$%&*#)\""
 #: Bytes of text that are encoded at a time.
-SLICE = 12 << 20
+SLICE = 4 << 20
 
 
 class Encoder:
@@ -300,8 +300,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, fi
             return pa.RecordBatch.from_pylist([row], schema=_MANIFEST)
 
         for batch in batches:
-            for lo in range(0, len(batch), 4000):
-                some = batch.slice(lo, 4000)
+            for lo in range(0, len(batch), 1500):
+                some = batch.slice(lo, 1500)
                 ids, counts = encode(some.column(1))
                 # the end id after every document
                 counts = counts + 1
@@ -316,6 +316,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, fi
                     yield flush()
         if doc_ids:
             yield flush()
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return common.settle(dealt.mapInArrow(task, MANIFEST), "token-manifest")
 
