@@ -258,6 +258,8 @@ def classes(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE, leaf:
 #: first ``HEAD`` levels allow no differing bit; deeper levels have the whole budget.
 WIDE = 2 * BITS
 ORDERS = 96
+#: Orders that are descended before the others; what they join is one entry to the rest.
+FIRST_ORDERS = 12
 HEAD = 16
 SIMILARITY = 0.8
 #: Nodes up to this many entries are compared pair by pair.
@@ -310,12 +312,13 @@ def _grow(hi: np.ndarray, lo: np.ndarray, budget: int) -> tuple[np.ndarray, np.n
     return np.concatenate([*us, np.zeros(0, np.int64)]), np.concatenate([*vs, np.zeros(0, np.int64)])
 
 
-def _node_links(node: np.ndarray, hi: np.ndarray, lo: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges (index pairs) of every run of equal ``node``; entries of a run are in order."""
+def _node_links(node: np.ndarray, hi: np.ndarray, lo: np.ndarray, root: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links in all runs of equal ``node`` between entries of different ``root``, as stars of roots."""
     first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
     size = np.diff(np.append(first, len(node)))
+    differ = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
     us, vs = [], []
-    small = (size > 1) & (size <= SMALL_NODE)
+    small = differ & (size <= SMALL_NODE)
     starts, sizes = first[small], size[small]
     at = 0
     while at < len(starts):
@@ -323,47 +326,48 @@ def _node_links(node: np.ndarray, hi: np.ndarray, lo: np.ndarray, budget: int) -
         begin, n = starts[at:to], sizes[at:to]
         cell, wide = common.ranges(np.zeros(len(n)), n * n), np.repeat(n, n * n)
         i, j = np.repeat(begin, n * n) + cell // wide, np.repeat(begin, n * n) + cell % wide
-        i, j = i[keep := i < j], j[keep]
+        keep = (i < j) & (root[i] != root[j])
+        i, j = i[keep], j[keep]
         near = np.bitwise_count(hi[i] ^ hi[j]) + np.bitwise_count(lo[i] ^ lo[j]) <= budget
         us.append(i[near])
         vs.append(j[near])
         at = to
-    for begin, n in zip(first[size > SMALL_NODE].tolist(), size[size > SMALL_NODE].tolist(), strict=True):
+    large = differ & (size > SMALL_NODE)
+    for begin, n in zip(first[large].tolist(), size[large].tolist(), strict=True):
         u, v = _grow(hi[begin : begin + n], lo[begin : begin + n], budget)
         us.append(u + begin)
         vs.append(v + begin)
-    u, v = np.concatenate([*us, np.zeros(0, np.int64)]), np.concatenate([*vs, np.zeros(0, np.int64)])
-    # every component as a star around its least entry, which other orders tend to find as well
-    label = np.arange(len(node))
+    u, v = (root[np.concatenate([*x, np.zeros(0, np.int64)])] for x in (us, vs))
+    # whatever was found anywhere among these rows is joined: a star around each least root
+    roots, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    label = np.arange(len(roots))
     if len(u):
-        _forest(label, u, v)
-    u = np.flatnonzero(label != np.arange(len(node)))
-    return u, label[u]
+        _forest(label, place[: len(u)], place[len(u) :])
+    moved = np.flatnonzero(label != np.arange(len(roots)))
+    return roots[moved], roots[label[moved]]
 
 
-def wide_links(distinct: DataFrame, budget: int, orders: int = ORDERS, head: int = HEAD) -> DataFrame:
-    """Edges (u, v) between ids of fingerprints (hi, lo) that some order's trie brings together."""
-    chosen = _orders(orders, head)
+def wide_links(entries: DataFrame, budget: int, orders: range, head: int = HEAD) -> DataFrame:
+    """Edges (u, v) between roots of the fingerprints (hi, lo, root) that some order's trie brings together."""
+    chosen = _orders(orders.stop, head)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = (1 << np.arange(head)).astype(np.int64)
         for batch in batches:
             for at in range(0, len(batch), 4000):
-                some = batch.slice(at, 4000)
-                hi, lo = np.array(some.column(0)), np.array(some.column(1))
+                hi, lo, root = (np.array(c) for c in batch.slice(at, 4000).columns)
                 bits = np.unpackbits(np.stack([hi, lo], axis=1).astype("<i8").view(np.uint8).reshape(len(hi), 16), axis=1, bitorder="little")
-                nodes = np.stack([bits[:, chosen[t]].astype(np.int64) @ weights + (t << head) for t in range(orders)])
-                yield pa.RecordBatch.from_arrays([pa.array(nodes.reshape(-1)), pa.array(np.tile(hi, orders)), pa.array(np.tile(lo, orders))], names=["node", "hi", "lo"])
+                nodes = np.stack([bits[:, chosen[t]].astype(np.int64) @ weights + (t << head) for t in orders])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes.reshape(-1)), *(pa.array(np.tile(x, len(orders))) for x in (hi, lo, root))], names=["node", "hi", "lo", "root"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         n = 0
 
         def solve(rows: pa.Table) -> pa.RecordBatch:
-            node, hi, lo = (np.asarray(rows.column(k)) for k in range(3))
-            hi, lo = hi.astype(np.int64).view(np.uint64), lo.astype(np.int64).view(np.uint64)
-            u, v = _node_links(node, hi, lo, budget)
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (hi[u], lo[u], hi[v], lo[v])], names=["uh", "ul", "vh", "vl"])
+            node, hi, lo, root = (np.asarray(rows.column(k)).astype(np.int64) for k in range(4))
+            u, v = _node_links(node, hi.view(np.uint64), lo.view(np.uint64), root, budget)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
         for batch in batches:  # sorted by node: whole nodes are solved, the last one waits for its rest
             held.append(batch)
@@ -378,9 +382,22 @@ def wide_links(distinct: DataFrame, budget: int, orders: int = ORDERS, head: int
         if n:
             yield solve(pa.Table.from_batches(held).combine_chunks())
 
-    rows = distinct.select("hi", "lo").mapInArrow(deal, "node long, hi long, lo long")
-    found = rows.repartition("node").sortWithinPartitions("node", "hi", "lo").mapInArrow(task, "uh long, ul long, vh long, vl long")
-    return found.select(F.xxhash64("uh", "ul").alias("u"), F.xxhash64("vh", "vl").alias("v"))
+    rows = entries.select("hi", "lo", "root").mapInArrow(deal, "node long, hi long, lo long, root long")
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(task, "u long, v long")
+
+
+def wide_classes(distinct: DataFrame, budget: int) -> DataFrame:
+    """``distinct`` (fp, hi, lo and more) with the least fp of its class as ``root``.
+
+    The first orders join most of a large group, so that the others find few
+    links that are new.
+    """
+    entries = distinct.withColumn("root", F.col("fp"))
+    for orders in (range(FIRST_ORDERS), range(FIRST_ORDERS, ORDERS)):
+        found = components(wide_links(entries, budget, orders)).withColumnRenamed("root", "__new")
+        joined = entries.join(found, F.col("root") == F.col("node"), "left")
+        entries = common.settle(joined.withColumn("root", F.coalesce("__new", "root")).drop("node", "__new"), "wide-classes")
+    return entries
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5) -> DataFrame:
@@ -404,9 +421,7 @@ def keep_first(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5
     rows = docs.select("doc_id", common.row_key().alias("key"), "text").mapInArrow(task, f"id {kind}, key long, hi long, lo long")
     rows = common.settle(rows.withColumn("fp", F.xxhash64("hi", "lo")), "wide-fingerprints")
     distinct = common.settle(rows.groupBy("fp").agg(F.first("hi").alias("hi"), F.first("lo").alias("lo"), F.min(F.struct("id", "key")).alias("least")), "wide-distinct")
-    roots = components(wide_links(distinct, budget))
-    named = distinct.select("fp", "least").join(roots, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("root"), "least")
-    kept = named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("__sim_key"))
+    kept = wide_classes(distinct, budget).groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("__sim_key"))
     keyed = docs.withColumn("__sim_key", common.row_key())
     return keyed.join(kept, "__sim_key", "left_semi").dropDuplicates(["__sim_key"]).select(*docs.columns)
 
