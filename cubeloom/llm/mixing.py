@@ -65,16 +65,20 @@ def part_of(doc_id: F.Column) -> F.Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 2), 16, 10).cast("int")
 
 
+def _key(source: str) -> F.Column:
+    """The source as a key that null has too."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("-"))
+
+
 def mix_plan(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """``docs`` with size, source_size, target and copies (0 to ``cap``) added as ``__mix_*``."""
-    null_safe = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
-    rows = docs.withColumns({_SIZE: word_count(), _SRC: null_safe, _PART: part_of(F.col("doc_id"))})
+    rows = docs.withColumns({_SIZE: word_count(), _SRC: _key("source"), _PART: part_of(F.col("doc_id"))})
     # counts by (source, size, part), then places in line from three short running sums
-    parts = rows.groupBy(_SRC, _SIZE, _PART).agg(F.count(F.lit(1)).alias("n"), F.first("source").alias("source"))
-    sizes = parts.groupBy(_SRC, _SIZE).agg(F.sum("n").alias("n_size"), F.first("source").alias("source"))
-    sources = sizes.groupBy(_SRC).agg(F.sum(F.col("n_size") * F.col(_SIZE)).alias("source_size"), F.first("source").alias("source"))
-    targets = source_targets(sources.select("source", "source_size"), weights, cap)
-    targets = targets.select(F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-")).alias(_SRC), F.col("source_size").alias("__mix_source_size"), F.col("target").alias("__mix_target"))
+    parts = rows.groupBy(_SRC, _SIZE, _PART).agg(F.count(F.lit(1)).alias("n"))  # one plan, so one exchange, for all uses
+    sizes = parts.groupBy(_SRC, _SIZE).agg(F.sum("n").alias("n_size"))
+    sources = sizes.groupBy(_SRC).agg(F.sum(F.col("n_size") * F.col(_SIZE)).alias("source_size"))
+    targets = source_targets(sources.select(F.when(F.col(_SRC) != "-", F.substring(_SRC, 2, 1 << 30)).alias("source"), "source_size"), weights, cap)
+    targets = targets.select(_key("source").alias(_SRC), F.col("source_size").alias("__mix_source_size"), F.col("target").alias("__mix_target"))
     prior = lambda n, *keys: F.coalesce(F.sum(n).over(W.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select(_SRC, _SIZE, prior("n_size", _SRC, _SIZE).alias("__a"))
     parts = parts.select(_SRC, _SIZE, _PART, prior("n", _SRC, _SIZE, _PART).alias("__b"))
