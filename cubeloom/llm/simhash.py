@@ -264,6 +264,8 @@ HEAD = 16
 SIMILARITY = 0.8
 #: Nodes up to this many entries are compared pair by pair.
 SMALL_NODE = 256
+#: Most entries of a class of candidates, or of one of its blocks, that meet in a task as one.
+BLOCK = 512
 
 
 def wide_budget(similarity: float) -> int:
@@ -276,13 +278,19 @@ def wide_budget(similarity: float) -> int:
     return int(WIDE * angle + 2 * math.sqrt(WIDE * angle * (1 - angle)))
 
 
-def wide_fingerprint(words: list[bytes], shingle: int) -> tuple[int, int]:
-    """Majority bits of the 128-bit XXH3 of each distinct word shingle."""
+def shingles(words: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit XXH3 of each distinct word shingle as rows of 16 bytes, and their first 64 bits, sorted and distinct."""
     if not words:
-        return 0, 0
+        return np.zeros((0, WIDE // 8), np.uint8), np.zeros(0, np.int64)
     width, digest = min(shingle, len(words)), xxhash.xxh3_128_digest
     grams = {b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)}
     hashes = np.frombuffer(b"".join([digest(g, SEED) for g in grams]), np.uint8).reshape(-1, WIDE // 8)
+    return hashes, np.unique(hashes[:, :8].copy().view("<i8").reshape(-1))
+
+
+def _majority(hashes: np.ndarray) -> tuple[int, int]:
+    if not len(hashes):
+        return 0, 0
     ones = np.zeros(WIDE, np.int64)
     for lo in range(0, len(hashes), 1 << 15):
         ones += np.unpackbits(hashes[lo : lo + (1 << 15)], axis=1).sum(axis=0, dtype=np.int64)
@@ -290,6 +298,11 @@ def wide_fingerprint(words: list[bytes], shingle: int) -> tuple[int, int]:
     return hi, lo
 
 
+def wide_fingerprint(words: list[bytes], shingle: int) -> tuple[int, int]:
+    """Majority bits of the 128-bit XXH3 of each distinct word shingle."""
+    return _majority(shingles(words, shingle)[0])
+
+
 def _orders(orders: int, head: int) -> np.ndarray:
     """The bits that stand first in each order."""
     return np.stack([np.random.default_rng([SEED, t]).permutation(WIDE)[:head] for t in range(orders)])
@@ -387,12 +400,12 @@ def wide_links(entries: DataFrame, budget: int, orders: range, head: int = HEAD)
 
 
 def wide_classes(distinct: DataFrame, budget: int) -> DataFrame:
-    """``distinct`` (fp, hi, lo and more) with the least fp of its class as ``root``.
+    """``distinct`` (entry, hi, lo and more) with the least entry of its class as ``root``.
 
     The first orders join most of a large group, so that the others find few
     links that are new.
     """
-    entries = distinct.withColumn("root", F.col("fp"))
+    entries = distinct.withColumn("root", F.col("entry"))
     for orders in (range(FIRST_ORDERS), range(FIRST_ORDERS, ORDERS)):
         found = components(wide_links(entries, budget, orders)).withColumnRenamed("root", "__new")
         joined = entries.join(found, F.col("root") == F.col("node"), "left")
@@ -400,29 +413,188 @@ def wide_classes(distinct: DataFrame, budget: int) -> DataFrame:
     return entries
 
 
+# -- candidates to pairs of the similarity asked for --------------------------------------------
+
+
+class _Sets:
+    """Entries that meet in a task: fingerprints, and the sorted shingle hashes of each."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        rows = rows.combine_chunks()
+        self.entry, self.root = (np.array(rows.column(k)) for k in ("entry", "root"))
+        self.hi, self.lo = (np.array(rows.column(k)).view(np.uint64) for k in ("hi", "lo"))
+        grams = rows.column("grams").combine_chunks() if isinstance(rows.column("grams"), pa.ChunkedArray) else rows.column("grams")
+        self.size = np.asarray(grams.value_lengths()).astype(np.int64)
+        self.flat = np.asarray(grams.flatten())
+        self.start = np.cumsum(self.size) - self.size
+
+    def similar(self, at: int, others: np.ndarray, budget: int, similarity: float) -> np.ndarray:
+        """Which of ``others`` are within the budget of entry ``at`` and have the Jaccard similarity."""
+        near = np.bitwise_count(self.hi[others] ^ self.hi[at]) + np.bitwise_count(self.lo[others] ^ self.lo[at]) <= budget
+        n, own = self.size[others], self.size[at]
+        near &= np.minimum(n, own) >= similarity * np.maximum(n, own) - 1e-9
+        near &= np.minimum(n, own) > 0
+        out = np.zeros(len(others), bool)
+        left = np.flatnonzero(near)
+        mine = self.flat[self.start[at] : self.start[at] + own]
+        while len(left):
+            take = max(1, int(np.searchsorted(np.cumsum(n[left]), AT_ONCE, "right")))
+            some, left = left[:take], left[take:]
+            theirs = self.flat[common.ranges(self.start[others[some]], n[some])]
+            hit = mine[np.minimum(np.searchsorted(mine, theirs), own - 1)] == theirs
+            total = np.concatenate([[0], np.cumsum(hit)])
+            ends = np.cumsum(n[some])
+            shared = total[ends] - total[ends - n[some]]
+            out[some] = shared >= similarity * (n[some] + own - shared) - 1e-9
+        return out
+
+    def links(self, budget: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+        """Stars of roots: every root that similar entries join leads to the least of them.
+
+        Entries of one root are joined already.  Each entry is compared with
+        those of roots that are not reached yet.
+        """
+        roots, place = np.unique(self.root, return_inverse=True)
+        by_root = np.argsort(place, kind="stable")
+        first = np.searchsorted(place[by_root], np.arange(len(roots) + 1))
+        label, reached = np.arange(len(roots)), np.zeros(len(roots), bool)
+        left = np.arange(len(place))
+        for seed in range(len(roots)):
+            if reached[seed]:
+                continue
+            reached[seed] = True
+            queue = by_root[first[seed] : first[seed + 1]].tolist()
+            left = left[~reached[place[left]]]
+            while queue and len(left):
+                got = np.unique(place[left[self.similar(queue.pop(), left, budget, similarity)]])
+                if len(got):
+                    reached[got], label[got] = True, seed
+                    left = left[~reached[place[left]]]
+                    for r in got.tolist():
+                        queue += by_root[first[r] : first[r + 1]].tolist()
+        moved = np.flatnonzero(label != np.arange(len(roots)))
+        return roots[moved], roots[label[moved]]
+
+
+def _solved(rows: DataFrame, by: list[str], budget: int, similarity: float) -> DataFrame:
+    """Edges (u, v) between roots of the entries that have the same values in ``by``."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def solve() -> pa.RecordBatch:
+            u, v = _Sets(pa.Table.from_batches(held)).links(budget, similarity)
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+        last = None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True))
+            at = 0
+            while at < len(keys):
+                to = at
+                while to < len(keys) and keys[to] == keys[at]:
+                    to += 1
+                if held and keys[at] != last:
+                    yield solve()
+                    held = []
+                last = keys[at]
+                held.append(batch.slice(at, to - at))
+                at = to
+        if held:
+            yield solve()
+
+    columns = [*by, "entry", "root", "hi", "lo", "grams"]
+    return rows.select(*columns).repartition(*by).sortWithinPartitions(*by).mapInArrow(task, "u long, v long")
+
+
+def _moved(entries: DataFrame, edges: DataFrame) -> DataFrame:
+    found = components(edges).withColumnRenamed("root", "__new")
+    return entries.join(found, F.col("root") == F.col("node"), "left").withColumn("root", F.coalesce("__new", "root")).drop("node", "__new")
+
+
+def similar_classes(members: DataFrame, budget: int, similarity: float, block: int | None = None) -> DataFrame:
+    """(entry, root) of ``members`` (class, n, entry, hi, lo, grams): components of the similar pairs of each class.
+
+    Classes of at most ``block`` entries meet whole.  Larger ones are dealt into
+    blocks: first each block meets the class's block 0, which joins most of a
+    group of near copies, then every pair of blocks meets unless both hold one
+    and the same root.
+    """
+    block = block or BLOCK
+    members = members.withColumn("root", F.col("entry"))
+    edges = common.settle(_solved(members.filter(F.col("n") <= block), ["class"], budget, similarity), "similar-links")
+    large = members.filter(F.col("n") > block)
+    if large.limit(1).count():
+        count = F.ceil(F.col("n") / block).cast("int")
+        dealt = large.withColumn("__b", F.pmod(F.xxhash64("entry"), count).cast("int"))
+        every = F.sequence(F.lit(0), count - 1)
+        first = dealt.withColumn("b", F.explode(F.when(F.col("__b") == 0, every).otherwise(F.array("__b"))))
+        edges = edges.union(common.settle(_solved(first, ["class", "b"], budget, similarity), "similar-links"))
+        now = common.settle(_moved(members.select("class", "n", "entry", "root"), edges), "similar-roots")
+        # blocks again: of one root where it has more entries than a block, and of the rest
+        of_root = now.filter(F.col("n") > block).groupBy("class", "root").agg(F.count(F.lit(1)).alias("of_root"))
+        of_root = of_root.withColumn("big", F.when(F.col("of_root") > block, F.col("root")))
+        rest = of_root.filter("big IS NULL").groupBy("class").agg(F.sum("of_root").alias("of_rest"))
+        sized = of_root.join(rest, "class", "left").select("class", "root", "big", F.ceil(F.coalesce(F.when(F.col("big").isNotNull(), F.col("of_root")), "of_rest") / block).cast("int").alias("count"))
+        placed = now.filter(F.col("n") > block).join(sized, ["class", "root"])
+        placed = placed.withColumn("b", F.pmod(F.xxhash64(F.when(F.col("big").isNotNull(), F.col("entry")).otherwise(F.col("root"))), F.col("count")).cast("int"))
+        placed = common.settle(placed.select("class", "entry", "root", F.struct("big", "b").alias("b")), "similar-blocks")
+        blocks = placed.select("class", "b").distinct()
+        pairs = blocks.withColumnRenamed("b", "x").join(blocks.withColumnRenamed("b", "y"), "class").filter("x <= y AND NOT (x.big <=> y.big AND x.big IS NOT NULL)")
+        pairs = common.settle(pairs, "similar-pairs")
+        sides = pairs.select("class", F.col("x").alias("b"), "x", "y").union(pairs.filter("x != y").select("class", F.col("y").alias("b"), "x", "y"))
+        again = placed.join(sides, ["class", "b"]).select("class", "x", "y", "entry", "root")
+        again = again.join(large.select("entry", "hi", "lo", "grams"), "entry").select("class", F.to_json("x").alias("x"), F.to_json("y").alias("y"), "entry", "root", "hi", "lo", "grams")
+        edges = common.settle(_solved(again, ["class", "x", "y"], budget, similarity), "similar-links")
+        return _moved(now, edges).select("entry", "root")
+    return _moved(members, edges).select("entry", "root")
+
+
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that of least doc_id, then of least row key.
 
-    Two texts are near duplicates if their wide fingerprints differ in no more
-    bits than :func:`wide_budget` allows for a Jaccard similarity of
-    ``similarity`` between their distinct shingles; groups are the components of
-    that relation, as far as some order's trie brings its pairs together.
-    Texts without words are one group.  A null doc_id counts as the least.
+    Two texts are near duplicates if the Jaccard similarity of their distinct
+    shingles (64-bit hashes) is at least ``similarity``; groups are the
+    components of that relation.  Candidates are the texts whose wide
+    fingerprints differ in no more bits than :func:`wide_budget` allows, as far
+    as some order's trie brings them together; they are never linked by that
+    alone.  Texts without words are one group.  A null doc_id counts as the least.
     """
     budget = wide_budget(similarity)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [wide_fingerprint((t or "").encode().translate(_LOWER).split(), shingle) for t in batch.column(2).to_pylist()]
-            hi, lo = (np.array([g[k] for g in got], np.uint64).view(np.int64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hi), pa.array(lo)], names=["id", "key", "hi", "lo"])
+            hi, lo = np.zeros(len(batch), np.uint64), np.zeros(len(batch), np.uint64)
+            entry = np.zeros(len(batch), np.uint64)
+            for i, t in enumerate(batch.column(2).to_pylist()):
+                hashes, grams = shingles((t or "").encode().translate(_LOWER).split(), shingle)
+                hi[i], lo[i] = _majority(hashes)
+                entry[i] = xxhash.xxh3_64_intdigest(grams.tobytes(), SEED)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x.view(np.int64)) for x in (hi, lo, entry))], names=["id", "key", "hi", "lo", "entry"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                some = batch.slice(at, 500)
+                grams = [shingles((t or "").encode().translate(_LOWER).split(), shingle)[1] for t in some.column(5).to_pylist()]
+                offsets = np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*grams, np.zeros(0, np.int64)])))
+                yield pa.RecordBatch.from_arrays([*some.columns[:5], lists], names=["class", "n", "entry", "hi", "lo", "grams"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", common.row_key().alias("key"), "text").mapInArrow(task, f"id {kind}, key long, hi long, lo long")
-    rows = common.settle(rows.withColumn("fp", F.xxhash64("hi", "lo")), "wide-fingerprints")
-    distinct = common.settle(rows.groupBy("fp").agg(F.first("hi").alias("hi"), F.first("lo").alias("lo"), F.min(F.struct("id", "key")).alias("least")), "wide-distinct")
-    kept = wide_classes(distinct, budget).groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("__sim_key"))
+    rows = docs.select("doc_id", common.row_key().alias("key"), "text").mapInArrow(task, f"id {kind}, key long, hi long, lo long, entry long")
+    rows = common.settle(rows, "wide-fingerprints")
+    # an entry is a set of shingles: texts of equal fingerprints and other shingles are compared like any
+    distinct = common.settle(rows.groupBy("entry").agg(F.first("hi").alias("hi"), F.first("lo").alias("lo"), F.min(F.struct("id", "key")).alias("least")), "wide-distinct")
+    candidates = wide_classes(distinct, budget)
+    several = candidates.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumnRenamed("root", "class")
+    asked = candidates.join(several, F.col("root") == F.col("class")).select("class", "n", "entry", "hi", "lo", F.col("least.key").alias("__sim_key"))
     keyed = docs.withColumn("__sim_key", common.row_key())
+    texts = keyed.select("__sim_key", "text").join(asked, "__sim_key").dropDuplicates(["entry"]).select("class", "n", "entry", "hi", "lo", "text")
+    members = common.settle(texts.mapInArrow(sets, "class long, n long, entry long, hi long, lo long, grams array<long>"), "candidate-shingles")
+    roots = similar_classes(members, budget, similarity)
+    named = candidates.drop("root").join(roots, "entry", "left").withColumn("root", F.coalesce("root", "entry"))
+    kept = named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("__sim_key"))
     return keyed.join(kept, "__sim_key", "left_semi").dropDuplicates(["__sim_key"]).select(*docs.columns)
 
 

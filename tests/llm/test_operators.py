@@ -433,6 +433,62 @@ def test_near_duplicates_keep_one(spark):
     assert sorted(kept) == [k * 10 for k in range(12)]
 
 
+def _grams(text):
+    words = text.split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def _jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_texts_below_the_similarity_both_stay(spark):
+    rng = random.Random(5)
+    rows, bands = [], []
+    for k in range(60):  # runs of new words: one text of every pair has a Jaccard similarity of 0.5 to 0.79 to the other
+        words = [f"d{k}w{rng.randrange(10**6)}" for _ in range(200)]
+        other, n = list(words), 20 + k
+        while not 0.5 <= _jaccard(_grams(" ".join(words)), _grams(" ".join(other))) < 0.795:
+            n -= 1
+            other = [*words[: 100 - n // 2], *(f"new{rng.random()}" for _ in range(n)), *words[100 - n // 2 + n :]]
+        bands.append(_jaccard(_grams(" ".join(words)), _grams(" ".join(other))))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    fps = [simhash.wide_fingerprint(t.encode().split(), 5) for _, t in rows]
+    near = [(a[0] ^ b[0]).bit_count() + (a[1] ^ b[1]).bit_count() <= simhash.wide_budget(0.8) for a, b in zip(fps[::2], fps[1::2], strict=True)]
+    assert sum(near) >= 10 and min(bands) < 0.6 and max(bands) > 0.7
+    assert sorted(r["doc_id"] for r in simhash.keep_first(frame(spark, rows)).collect()) == list(range(120))
+
+
+@pytest.mark.parametrize("block", [4, 16, 1000])
+def test_classes_in_blocks_match_all_pairs(spark, block):
+    rng = random.Random(7)
+    texts, n = [], 90
+    for k in range(n):  # chains and clusters around three bases, some at less than the similarity
+        words = texts[rng.randrange(len(texts))].split() if k > 2 else [f"d{k}w{i}" for i in range(150)]
+        for at in rng.sample(range(5, 145), rng.randrange(1, 7) if k > 2 else 0):
+            words[at] = f"new{rng.random()}"
+        texts.append(" ".join(words))
+    sets, budget = [_grams(t) for t in texts], simhash.wide_budget(0.8)
+    made = [(simhash.wide_fingerprint(t.encode().split(), 5), simhash.shingles(t.encode().split(), 5)[1].tolist()) for t in texts]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(k % 3 // 2, n, k, signed(hi), signed(lo), grams) for k, ((hi, lo), grams) in enumerate(made)]
+    count = {c: sum(r[0] == c for r in rows) for c in (0, 1)}
+    rows = [(r[0], count[r[0]], *r[2:]) for r in rows]
+    label = list(range(n))
+    for _ in range(n):
+        before = list(label)
+        for a in range(n):
+            for b in range(a):
+                (h, i), (j, k) = made[a][0], made[b][0]
+                if rows[a][0] == rows[b][0] and (h ^ j).bit_count() + (i ^ k).bit_count() <= budget and _jaccard(sets[a], sets[b]) >= 0.8:
+                    label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    members = spark.createDataFrame(rows, "class long, n long, entry long, hi long, lo long, grams array<long>")
+    got = {r["entry"]: r["root"] for r in simhash.similar_classes(members, budget, 0.8, block).collect()}
+    assert got == dict(enumerate(label)) and 10 < len(set(label)) < 80
+
+
 def test_large_nodes_and_small_nodes_agree():
     rng = np.random.default_rng(3)
     hi, lo = (rng.integers(0, 1 << 63, 40, np.uint64).repeat(10) ^ (np.uint64(1) << rng.integers(0, 64, 400, np.uint64)) for _ in range(2))
