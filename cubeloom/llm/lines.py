@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Lines that the rolling hash looks back on; a boundary after one line in ``EVERY``; fewest lines that are removed.
-REACH = 2
-EVERY = 4
+REACH = 1
+EVERY = 2
 MIN_LINES = 2
 
 _MULTIPLIER = 0x9E3779B97F4A7C15

@@ -197,6 +197,22 @@ def test_line_boundaries_follow_content():
     assert len(cut & again) >= len(cut) - 2
 
 
+def test_short_passages_go_in_other_contexts(spark):
+    rng = random.Random(11)
+    rows, planted = [], 0
+    for n in range(3, 9):
+        for p in range(40):
+            passage = [f"n{n} passage {p} line {i}" for i in range(n)]
+            planted += n
+            for _ in range(2):
+                around = [[f"{len(rows)} {side} {i}" for i in range(rng.randrange(2, 9))] for side in ("before", "after")]
+                rows.append((len(rows), "\n".join([*around[0], *passage, *around[1]])))
+    got = {r["doc_id"]: r["n_removed"] for r in lines.op5(frame(spark, rows)).collect()}
+    assert not any(got[i] for i in range(0, len(rows), 2))
+    # counted from the passages, not from chunks(): chunks cut in other contexts leave the first and last lines
+    assert sum(got.values()) >= 0.3 * planted
+
+
 def test_line_and_substring_dedup_on_odd_rows(odd, none):
     for op in (lines.op5, substrings.op8):
         assert op(odd).count() == len(odd_rows())
