@@ -10,6 +10,7 @@ import posixpath
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -104,6 +105,16 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat, bounds
 
 
+def slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """(first, behind last) of runs of texts of about ``size`` bytes, at least one text each."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield at, to
+        at = to
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start, start+1, ... for each of ``lengths`` numbers, one after another."""
     lengths = np.asarray(lengths, np.int64)

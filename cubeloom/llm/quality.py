@@ -27,7 +27,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -168,15 +167,6 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(FOLDS)) == 0
 
 
-def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64))
-    at = 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
-        yield at, to
-        at = to
-
-
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, label: str = "quality") -> Model:
     """Fit on at most ``max_train`` labelled documents outside the held-out fold."""
     usable = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -185,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, label:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in _slices(batch.column(1)):
+            for lo, hi in common.slices(batch.column(1), SLICE):
                 row, feature = features(batch.column(1).slice(lo, hi - lo))
                 cuts = np.searchsorted(row, np.arange(hi - lo + 1))
                 lists = [feature[a:b].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -208,7 +198,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [np.zeros(0)]
-            for lo, hi in _slices(batch.column(2)):
+            for lo, hi in common.slices(batch.column(2), SLICE):
                 row, feature = features(batch.column(2).slice(lo, hi - lo))
                 parts.append(shared.value.scores(row, feature, hi - lo))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(parts))], names=["doc_id", "key", "score"])

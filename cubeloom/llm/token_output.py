@@ -23,15 +23,14 @@ text; an empty table gives no files and an empty result.
 
 from __future__ import annotations
 
+import json
 import os
 import posixpath
-import re
 import struct
 import uuid
 import zlib
-from array import array
-from collections.abc import Callable, Iterator
-from itertools import repeat
+from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +44,16 @@ from . import common
 
 BLOCK = 1024
 PACKED_SHARE = 0.95
-#: Ids after which a file is closed (looked at after every 1500 documents).
-FILE_IDS = 2_000_000
+#: Ids after which a file is closed (looked at after every slice of text).
+FILE_IDS = 4_000_000
 END_ID = 2
-#: Chunks of text whose ids a worker remembers; others are encoded each time.
-MEMO = 250_000
+#: Stems whose ids a worker remembers; others are encoded once for each slice.
+MEMO = 200_000
+#: Bytes of text that are encoded at a time, and stems that go to the library at a time.
+SLICE = 12 << 20
+AT_ONCE = 8_000
+#: Blocks that are packed or unpacked at a time.
+BLOCKS_AT_ONCE = 512
 
 MANIFEST = "part int, seq int, name string, n_docs long, n_ids long, n_bytes long"
 _MANIFEST = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
@@ -58,28 +62,37 @@ DOCS = "name string, place long, doc_id long, start_in_file long, n_tokens long,
 
 # -- encoding ---------------------------------------------------------------------------------
 
-# The characters for which the pattern below is exact, the pattern itself, and the
-# public byte-level alphabet (bytes that are no visible character stand from U+0100 on).
-_LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
-_NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
-_PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\u024f]+")
-_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
+# The public byte-level alphabet, in which bytes that are no visible character stand from U+0100 on.
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTES = {b: b for b in _VISIBLE} | {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
-#: Marks that often end a chunk, and form one piece there.
-_MARKS = ".,;:!?|$%&*#)\""
-#: Bytes of text that are encoded at a time.
-SLICE = 4 << 20
+_ALPHABET = {b: b for b in _VISIBLE} | {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
+#: A space in that alphabet, and how a list of words is written in it: newlines stay what they are.
+_SPACE = chr(_ALPHABET[32])
+_LISTED = _ALPHABET | {10: 10}
+#: What a byte-level pre-tokenizer must say of itself for texts to be cut at spaces.
+_BYTE_LEVEL = {"type": "ByteLevel", "use_regex": True, "add_prefix_space": False}
+#: Letters in every Unicode version, then ASCII marks.
+_WORD_AND_MARKS = r"^(?P<word>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
+#: Characters that some Unicode versions count as white space, beside those of ``str.isspace``.
+_MAYBE_SPACE = "\u180e\u200b\ufeff"
 
 
 class Encoder:
     """Ids of whole texts with the ``tokenizers`` library.
 
-    The byte-level pattern never joins what stands before a single space to
-    what follows it, so texts are cut there; each distinct chunk of a slice is
-    looked up, and chunks not seen before go through the library's BPE model
-    piece by piece.  Texts with a special token's string, with two spaces in a
-    row or with characters beyond ``_PLAIN`` go to the library whole.
+    A byte-level pattern takes a space only as the first character of a piece or
+    inside a run of white space, and a run that is followed by something else
+    gives up its last character.  So a single space that something other than
+    white space follows always begins a piece, and a text whose chunks between
+    single spaces all begin so can be cut there.  Letters and marks are pieces of
+    their own, so a chunk of letters and then marks is cut between them as well.
+    Stems (what is left of chunks) that a worker remembers are looked up, the
+    other distinct stems of a slice go to the library together, and their ids part
+    again where a token begins with a space.  A stem of letters is one piece, and
+    goes to the library's model as such, in the byte-level alphabet.
+
+    Texts that cannot be cut (an empty chunk, white space after a space, a special
+    token's string), and all texts of tokenizers that are not of that kind, go to
+    the library one by one.
     """
 
     def __init__(self, path: str):
@@ -88,82 +101,149 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        #: Ids by chunk with a space before it, by chunk at a text's start, and by marks.
-        self.known: dict[str, bytes | None] = {}
-        self.heads: dict[str, bytes | None] = {}
-        self.marks: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def _piece(self, piece: str, tokenize: Callable) -> bytes:
-        return array("I", [t.id for t in tokenize(piece.encode().decode("latin-1").translate(_BYTES))]).tobytes()
-
-    def _chunk(self, chunk: str, before: str, tokenize: Callable) -> bytes | None:
-        """Ids of ``before`` (a space or nothing) and a chunk; None if its whole text is needed."""
-        word = chunk.rstrip(_MARKS)
-        if word.isalpha() and max(word) < "\u0250":
-            if len(word) == len(chunk):
-                return self._piece(before + word, tokenize)
-            marks = chunk[len(word) :]
-            if (end := self.marks.get(marks)) is None:
-                end = self.marks[marks] = self._piece(marks, tokenize)
-                if len(self.marks) > 10_000:
-                    self.marks.clear()
-            own = self.known.get(word) if before else None
-            return (own or self._piece(before + word, tokenize)) + end
-        if not _PLAIN.fullmatch(chunk) or any(s in chunk for s in self.special):
-            return None
-        return b"".join([self._piece(x, tokenize) for x in _PIECE.findall(before + chunk)])
-
-    def _ids(self, chunks: list[str], known: dict[str, bytes | None], before: str) -> list[bytes | None]:
+        says = json.loads(self.library.to_str())
+        before = says.get("pre_tokenizer") or {}
+        plain = not any(says.get(k) for k in ("normalizer", "truncation", "padding"))
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith(_SPACE)]] = True
+        model = says["model"]
+        self.cuts = plain and model["type"] == "BPE" and not model.get("dropout") and all(before.get(k) == v for k, v in _BYTE_LEVEL.items())
+        self.cuts = self.cuts and all(chr(c) in vocabulary for c in _ALPHABET.values()) and not any(c.isspace() for s in self.special for c in s)
+        #: A number for each remembered stem; the ids of number n are flat[first[n]:first[n + 1]].
+        self.known: dict[str, int] = {}
+        self.first, self.flat, self.n = np.zeros(MEMO + 1, np.int64), np.zeros(1 << 16, np.uint32), 0
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each of ``texts``, by the library alone."""
+        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _fit(self, chunk: str) -> bool:
+        """Whether a space before ``chunk`` begins a piece of its own."""
+        return bool(chunk) and not chunk[0].isspace() and chunk[0] not in _MAYBE_SPACE and not any(s in chunk for s in self.special)
+
+    def _together(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, ids of each) of stems with a space before them."""
+        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(chunks), AT_ONCE):
+            some = chunks[at : at + AT_ONCE]
+            (got,) = self.whole([" " + " ".join(some)])
+            begin = np.flatnonzero(self.begins[got])
+            if len(begin) != len(some) or begin[0]:  # no such tokenizer is known; one by one it is right for any
+                parts = self.whole([" " + c for c in some])
+                got, begin = np.concatenate(parts), np.cumsum([0, *map(len, parts[:-1])])
+            ids.append(got)
+            lengths.append(np.diff(np.append(begin, len(got))))
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of nothing but letters: each is one piece, so the model alone is asked."""
         tokenize = self.library.model.tokenize
-        out = list(map(known.get, chunks, repeat(b"")))
-        room = MEMO - len(known)
-        for i in [i for i, ids in enumerate(out) if ids == b""]:
-            chunk = chunks[i]
-            out[i] = got = self._chunk(chunk, before, tokenize) if chunk else None
-            if room > 0:
-                known[chunk] = got
-                room -= 1
-        return out
+        listed = "\n".join(words).encode().decode("latin-1").translate(_LISTED).split("\n") if words else []
+        found = [[t.id for t in tokenize(_SPACE + w)] for w in listed]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+
+    def _remember(self, chunks: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n = min(len(chunks), MEMO - self.n)
+        ends = self.first[self.n] + np.cumsum(lengths[:n])
+        need = int(ends[-1]) if n else 0
+        if need > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(need, len(self.flat)), np.uint32)])
+        self.flat[self.first[self.n] : need] = ids[: int(lengths[:n].sum())]
+        self.first[self.n + 1 : self.n + n + 1] = ends
+        self.known.update(zip(chunks[:n], range(self.n, self.n + n)))
+        self.n += n
+
+    def _stems(self, stems: list[str], count: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pool, start, length): ids of distinct stems with a space before them stand in pool; length -1: not to be cut."""
+        number = np.fromiter(map(self.known.get, stems, repeat(-1)), np.int64, len(stems))
+        start, length = np.zeros(len(stems), np.int64), np.full(len(stems), -1, np.int64)
+        old = np.flatnonzero(number >= 0)
+        start[old], length[old] = self.first[number[old]], self.first[number[old] + 1] - self.first[number[old]]
+        pool = [self.flat[: int(self.first[self.n])]]
+        end = len(pool[0])
+        words = np.flatnonzero((number < 0) & letters)
+        others = [i for i in np.flatnonzero((number < 0) & ~letters).tolist() if self._fit(stems[i])]
+        for fresh, ask in ((words, self._words), (np.array(others, np.int64), self._together)):
+            # stems that are met several times come first, and are remembered
+            fresh = fresh[np.argsort(-count[fresh], kind="stable")]
+            new = [stems[i] for i in fresh.tolist()]
+            ids, lengths = ask(new)
+            start[fresh], length[fresh] = end + np.cumsum(lengths) - lengths, lengths
+            pool.append(ids)
+            end += len(ids)
+            if self.n < MEMO:
+                often = int((count[fresh] > 1).sum())
+                self._remember(new[:often], ids, lengths[:often])
+        return np.concatenate(pool), start, length
+
+    def _chunks(self, chunks: pa.Array, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for distinct chunks, which are a word as stem and marks behind it, or a stem as a whole."""
+        cut = pc.extract_regex(chunks, _WORD_AND_MARKS)
+        two = pc.is_valid(cut)
+        # a special token's string may hold letters and marks
+        for special in self.special:
+            two = pc.and_not(two, pc.match_substring(chunks, special))
+        stems = pc.if_else(two, pc.struct_field(cut, "word"), chunks).dictionary_encode()
+        of_stem = np.asarray(stems.indices)
+        letters = np.zeros(len(stems.dictionary), bool)
+        letters[of_stem[np.asarray(two).astype(bool)]] = True
+        pool, start, length = self._stems(stems.dictionary.to_pylist(), np.bincount(of_stem, count, len(letters)).astype(np.int64), letters)
+        marks = pc.if_else(two, pc.struct_field(cut, "marks"), "").dictionary_encode()
+        ends = self.whole(marks.dictionary.to_pylist())
+        n_mark = np.array([len(x) for x in ends], np.int64)
+        of_mark = np.asarray(marks.indices)
+        starts = np.stack([start[of_stem], (len(pool) + np.cumsum(n_mark) - n_mark)[of_mark]], axis=1)
+        lengths = np.stack([np.maximum(length[of_stem], 0), n_mark[of_mark]], axis=1)
+        pool = np.concatenate([pool, *ends])[common.ranges(starts.reshape(-1), lengths.reshape(-1))]
+        total = lengths.sum(axis=1)
+        return pool, np.cumsum(total) - total, np.where(length[of_stem] < 0, -1, total)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all ``texts`` in a row, ids of each)."""
-        texts = common.as_strings(texts)
-        ends = np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64)) if len(texts) else np.zeros(0, np.int64)
-        ids, lengths, at = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
-        while at < len(texts):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
-            some, n = self._encode(texts.slice(at, to - at))
+        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at, to in common.slices(texts, SLICE):
+            some, n = self._encode(common.as_strings(texts.slice(at, to - at)))
             ids.append(some)
             lengths.append(n)
-            at = to
         return np.concatenate(ids), np.concatenate(lengths)
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not self.cuts:
+            parts = self.whole(texts.to_pylist())
+            return np.concatenate([np.zeros(0, np.uint32), *parts]), np.array([len(x) for x in parts], np.int64)
         lists = pc.split_pattern(texts, " ")
         n_chunks = np.asarray(pc.list_value_length(lists)).astype(np.int64)
         first = np.cumsum(n_chunks) - n_chunks
         flat = lists.flatten()
+        heads = flat.take(pa.array(first)).to_pylist()
         table = flat.dictionary_encode()
         codes = np.array(table.indices)
-        values = self._ids(table.dictionary.to_pylist(), self.known, " ")
-        heads = flat.take(pa.array(first)).to_pylist()
-        heads = [ids if c else b"" for c, ids in zip(heads, self._ids(heads, self.heads, ""), strict=True)]
-        codes[first] = len(values) + np.arange(len(heads))
-        values += heads
-        odd = np.fromiter((v is None for v in values), bool, len(values))
-        data = pa.array([v or b"" for v in values] if odd.any() else values, pa.large_binary()).take(pa.array(codes))
-        ids = np.frombuffer(data.buffers()[2] or b"", np.uint32)
-        lengths = np.add.reduceat(np.asarray(pc.binary_length(data)) // 4, first)
-        if odd.any() and len(wrong := np.flatnonzero(np.logical_or.reduceat(odd[codes], first))):
-            parts = np.split(ids, np.cumsum(lengths)[:-1])
-            for i in wrong.tolist():
-                parts[i] = self.whole(texts[i].as_py())
-                lengths[i] = len(parts[i])
-            ids = np.concatenate(parts)
-        return ids, lengths
+        del lists, flat
+        rest = np.ones(len(codes), bool)
+        rest[first] = False
+        count = np.bincount(codes[rest], minlength=len(table.dictionary))
+        used = np.flatnonzero(count)
+        pool, own_start, own_length = self._chunks(table.dictionary.take(pa.array(used)), count[used])
+        start, length = np.zeros(len(count), np.int64), np.zeros(len(count), np.int64)
+        start[used], length[used] = own_start, own_length
+        start, length = start[codes], length[codes]
+        # a text's first chunk has no space before it
+        plain = [not any(s in c for s in self.special) for c in heads]
+        parts = self.whole([c if ok else "" for c, ok in zip(heads, plain, strict=True)])
+        length[first] = [len(x) if ok else -1 for x, ok in zip(parts, plain, strict=True)]
+        start[first] = len(pool) + np.cumsum([0, *map(len, parts[:-1])])
+        uncut = np.logical_or.reduceat(length < 0, first)
+        if uncut.any():
+            at = np.flatnonzero(uncut)
+            got = self.whole(texts.take(pa.array(at)).to_pylist())
+            length[np.repeat(uncut, n_chunks)] = 0
+            length[first[at]] = [len(x) for x in got]
+            start[first[at]] = len(pool) + sum(map(len, parts)) + np.cumsum([0, *map(len, got[:-1])])
+            parts += got
+        pool = np.concatenate([pool, *parts])
+        return pool[common.ranges(start, length)], np.add.reduceat(length, first)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -183,39 +263,68 @@ def _widths(values: np.ndarray) -> np.ndarray:
     return np.where(values == 0, 0, np.floor(np.log2(np.maximum(values, 1).astype(np.float64))).astype(np.int64) + 1)
 
 
+def to_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of numbers (a multiple of eight in a row) as rows of bytes, ``width`` bits each, most significant first.
+
+    Eight numbers fill ``width`` bytes; every number is moved to its place in
+    those bytes and adds its high, middle and low bits to the ones it touches.
+    """
+    eights = values.reshape(len(values), -1, 8).astype(np.uint64)
+    out = np.zeros((*eights.shape[:2], width), np.uint8)
+    for k in range(8):
+        first, last = k * width // 8, ((k + 1) * width - 1) // 8
+        end = (last + 1) * 8 - (k + 1) * width  # bits of the last byte that follow the number
+        moved = eights[:, :, k] << np.uint64(end)
+        for byte in range(first, last + 1):
+            out[:, :, byte] |= (moved >> np.uint64(8 * (last - byte))).astype(np.uint8)
+    return out.reshape(len(values), -1)
+
+
+def from_bits(raw: np.ndarray, width: int) -> np.ndarray:
+    """The numbers of :func:`to_bits`."""
+    eights = raw.reshape(len(raw), -1, width)
+    out = np.zeros((*eights.shape[:2], 8), np.uint32)
+    for k in range(8):
+        first, last = k * width // 8, ((k + 1) * width - 1) // 8
+        got = np.zeros(eights.shape[:2], np.uint64)
+        for byte in range(first, last + 1):
+            got = (got << np.uint64(8)) | eights[:, :, byte]
+        out[:, :, k] = (got >> np.uint64((last + 1) * 8 - (k + 1) * width)) & np.uint64((1 << width) - 1)
+    return out.reshape(len(raw), -1)
+
+
 def pack(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray, block: int = BLOCK) -> bytes:
     """One file's bytes; ``ids`` of all its documents in a row."""
     n_blocks = -(-len(ids) // block)
-    padded = np.zeros(n_blocks * block, np.uint32)
-    padded[: len(ids)] = ids
-    if n_blocks:
-        padded[len(ids) :] = ids[-1]
-    rows = padded.reshape(n_blocks, block)
-    low = rows.min(axis=1) if n_blocks else np.zeros(0, np.uint32)
-    above = rows - low[:, None]
+    low, width = np.zeros(n_blocks, np.uint32), np.zeros(n_blocks, np.int64)
+    n_odd, places, values, packed = np.zeros(n_blocks, np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], []
     rank = max(0, int(np.ceil(PACKED_SHARE * block)) - 1)
-    width = _widths(np.partition(above, rank, axis=1)[:, rank]) if n_blocks else np.zeros(0, np.int64)
-    odd = (above.astype(np.uint64) >> width[:, None].astype(np.uint64)) > 0
-    at_block, at = np.nonzero(odd)
-    values = above[odd]
-    above[odd] = 0
+    for lo in range(0, n_blocks, BLOCKS_AT_ONCE):
+        hi = min(n_blocks, lo + BLOCKS_AT_ONCE)
+        some = ids[lo * block : hi * block]
+        rows = np.pad(some, (0, (hi - lo) * block - len(some)), "edge").reshape(-1, block)
+        low[lo:hi] = rows.min(axis=1)
+        above = rows - low[lo:hi, None]
+        width[lo:hi] = _widths(np.partition(above, rank, axis=1)[:, rank])
+        odd = above > ((1 << width[lo:hi]) - 1).astype(np.uint32)[:, None]
+        at_block, at = np.nonzero(odd)
+        n_odd[lo:hi] = np.bincount(at_block, minlength=hi - lo)
+        places.append(at)
+        values.append(above[odd])
+        above[odd] = 0
+        # blocks of one width are packed together, then stand in order again
+        made: list[bytes] = [b""] * (hi - lo)
+        for w in np.unique(width[lo:hi][width[lo:hi] > 0]).tolist():
+            mine = np.flatnonzero(width[lo:hi] == w)
+            for k, row in zip(mine.tolist(), to_bits(above[mine], w), strict=True):
+                made[k] = row.tobytes()
+        packed += made
     sizes = width * block // 8
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    packed = np.zeros(int(starts[-1]), np.uint8)
-    for w in np.unique(width[width > 0]):
-        mine = np.flatnonzero(width == w)
-        for lo in range(0, len(mine), 128):
-            some = mine[lo : lo + 128]
-            size = 2 if w <= 16 else 4
-            bits = np.unpackbits(above[some].astype(f">u{size}").view(np.uint8).reshape(len(some), block, size), axis=2)[:, :, 8 * size - w :]
-            out = np.packbits(bits.reshape(len(some), -1), axis=1)
-            packed[starts[some][:, None] + np.arange(out.shape[1])] = out
-    before = np.searchsorted(at_block, np.arange(n_blocks))
-    head = b"PFR1" + struct.pack("<IQQQ", block, len(ids), len(doc_ids), len(packed))
+    head = b"PFR1" + struct.pack("<IQQQ", block, len(ids), len(doc_ids), int(sizes.sum()))
     docs = np.array([x or 0 for x in doc_ids], "<i8").tobytes() + np.array([x is None for x in doc_ids], "u1").tobytes() + np.asarray(lengths, "<u8").tobytes()
-    index = starts[:-1].astype("<u8").tobytes() + low.astype("<u4").tobytes() + width.astype("u1").tobytes() + before.astype("<u4").tobytes()
-    odds = struct.pack("<I", len(values)) + at.astype("<u2").tobytes() + values.astype("<u4").tobytes()
-    return head + docs + index + odds + packed.tobytes()
+    index = (np.cumsum(sizes) - sizes).astype("<u8").tobytes() + low.astype("<u4").tobytes() + width.astype("u1").tobytes() + (np.cumsum(n_odd) - n_odd).astype("<u4").tobytes()
+    odds = struct.pack("<I", int(n_odd.sum())) + np.concatenate(places).astype("<u2").tobytes() + np.concatenate(values).astype("<u4").tobytes()
+    return b"".join([head, docs, index, odds, *packed])
 
 
 class Reader:
@@ -245,15 +354,12 @@ class Reader:
         """Ids of blocks first to last - 1, the last one's padding included."""
         out = np.zeros((last - first, self.block), np.uint32)
         width = self.width[first:last]
-        for w in np.unique(width[width > 0]):
+        for w in np.unique(width[width > 0]).tolist():
             mine = np.flatnonzero(width == w)
-            for lo in range(0, len(mine), 128):
-                some = mine[lo : lo + 128]
-                raw = self.packed[self.starts[first + some].astype(np.int64)[:, None] + np.arange(int(w) * self.block // 8)]
-                size = 2 if w <= 16 else 4
-                bits = np.zeros((len(some), self.block, 8 * size), np.uint8)
-                bits[:, :, 8 * size - w :] = np.unpackbits(raw, axis=1).reshape(len(some), self.block, w)
-                out[some] = np.packbits(bits, axis=2).reshape(len(some), self.block * size).view(f">u{size}")
+            for lo in range(0, len(mine), BLOCKS_AT_ONCE):
+                some = mine[lo : lo + BLOCKS_AT_ONCE]
+                raw = self.packed[self.starts[first + some].astype(np.int64)[:, None] + np.arange(w * self.block // 8)]
+                out[some] = from_bits(raw, w)
         a, b = self.before[first], self.before[last]
         out[np.repeat(np.arange(last - first), np.diff(self.before[first : last + 1])), self.odd_at[a:b]] = self.odd[a:b]
         return (out + self.low[first:last, None]).reshape(-1)
@@ -300,8 +406,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, fi
             return pa.RecordBatch.from_pylist([row], schema=_MANIFEST)
 
         for batch in batches:
-            for lo in range(0, len(batch), 1500):
-                some = batch.slice(lo, 1500)
+            for lo, hi in common.slices(batch.column(1), SLICE):
+                some = batch.slice(lo, hi - lo)
                 ids, counts = encode(some.column(1))
                 # the end id after every document
                 counts = counts + 1

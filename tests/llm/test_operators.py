@@ -340,8 +340,41 @@ def test_token_files_on_odd_rows(spark, odd, none):
 def test_chunked_encoding_is_the_library_s(text):
     e = token_output.encoder(token_output.default_tokenizer())
     ids, n = e.encode(pa.array([text, "between", text, None]))
-    one = e.whole(text)
-    assert ids.tolist() == [*one, *e.whole("between"), *one] and n.tolist() == [len(one), len(e.whole("between")), len(one), 0]
+    one, other = (e.library.encode(t, add_special_tokens=False).ids for t in (text, "between"))
+    assert ids.tolist() == [*one, *other, *one] and n.tolist() == [len(one), len(other), len(one), 0]
+
+
+@pytest.mark.parametrize("memo", [0, 20, 200_000])
+def test_chunked_encoding_of_random_texts_is_the_library_s(memo, monkeypatch):
+    monkeypatch.setattr(token_output, "MEMO", memo)
+    rng, e = random.Random(memo), token_output.Encoder(token_output.default_tokenizer())
+    parts = [" ", " ", " ", "  ", "\n", "\t", "\u00a0", "\u2028", "\u200b", "\x1c", "a", "Zé", "the", "ñoño", "ǆ", "ß", "日本", "ـ", "'s", "'", "'re", ".", ",", "###", "…", "12", "²", "<|endoftext|>", "|>", "<|", "Ġ", "\x00", "👍", "e\u0301"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(20_000)]
+    for _ in range(2):
+        ids, n = e.encode(pa.array(texts))
+        want = [x.ids for x in e.library.encode_batch(texts, add_special_tokens=False)]
+        assert n.tolist() == [len(x) for x in want]
+        assert ids.tolist() == [i for x in want for i in x]
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    import json
+
+    says = json.loads(token_output.encoder(token_output.default_tokenizer()).library.to_str())
+    says["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(says))
+    e = token_output.Encoder(str(tmp_path / "other.json"))
+    assert not e.cuts
+    texts = ["one two.", "", "a  b"]
+    assert e.encode(pa.array(texts))[0].tolist() == [i for t in texts for i in e.library.encode(t, add_special_tokens=False).ids]
+
+
+@pytest.mark.parametrize("width", range(1, 33))
+def test_bits_round_trip(width):
+    values = np.random.default_rng(width).integers(0, 1 << width, (3, 64), np.uint64).astype(np.uint32)
+    raw = token_output.to_bits(values, width)
+    assert raw.shape == (3, 8 * width) and (token_output.from_bits(raw, width) == values).all()
+    assert "".join(f"{b:08b}" for b in raw[0].tolist()) == "".join(f"{v:0{width}b}" for v in values[0].tolist())
 
 
 @pytest.mark.parametrize("n", [0, 1, 1023, 1024, 1025, 5000])
