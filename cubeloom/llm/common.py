@@ -16,6 +16,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 SPACE = b" \t\n\r\x0b\x0c"
 #: Bytes of text for each partition of a text-heavy shuffle.
 PARTITION_BYTES = 24 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
@@ -44,11 +46,46 @@ def _local_root() -> str:
 
 
 def settle(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to shared storage and read it again: lineage ends there."""
+    """Write ``df`` to shared storage and read it again: lineage ends there.
+
+    Shuffle files of the work behind it are of no more use, and are given up.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def discard(*settled: DataFrame) -> None:
+    """Delete what :func:`settle` wrote for these; nothing may read them any more."""
+    for df in settled:
+        jvm, spark = df.sparkSession._jvm, df.sparkSession
+        path = jvm.org.apache.hadoop.fs.Path(df._settled_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def put(folder: str, name: str, data: bytes | pa.Buffer) -> None:
+    """A file in shared storage; it has its name only once it is whole."""
+    store, path = fs.FileSystem.from_uri(folder)
+    store.create_dir(path, recursive=True)
+    draft = f"{path}/.{name}.{uuid.uuid4().hex}"
+    with store.open_output_stream(draft) as out:
+        out.write(data)
+    store.move(draft, f"{path}/{name}")
+
+
+def get(folder: str, name: str) -> pa.Buffer:
+    """The bytes of a file in shared storage."""
+    store, path = fs.FileSystem.from_uri(folder)
+    with store.open_input_stream(f"{path}/{name}") as source:
+        return source.read_buffer()
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:

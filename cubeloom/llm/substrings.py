@@ -1,39 +1,44 @@
-"""Substring dedup with fixed-block anchors.
+'''Substring dedup with fixed-block anchors.
 
 Any repeat of ``WINDOW`` words covers, in its reference document, one of the
 non-overlapping blocks of ``BLOCK`` words that start at multiples of ``BLOCK``
 (2 * BLOCK - 1 <= WINDOW).  So the blocks of all documents are indexed, every
 rolling window of ``BLOCK`` words of every document probes them, and a place is
-a hit if its words equal a block that also stands somewhere else.  Hits are then
-extended: every ``WINDOW`` words around a hit are compared with all others around
-hits, the first in order of (doc_id, row key, start) stays, and runs of later
-ones are the maximal exact repeats.
-
-How it is spread: windows are dealt by hash to buckets whose number grows with
-the text, packed as arrays: one row for each chunk of documents and bucket.  A
-chunk first merges its own equal windows and sends one of them, so a passage in
-a third of all documents costs a bucket one entry per chunk.  What a bucket finds
-goes home to its chunk, whose row keys were sent there once.  Index and probes
-compare 32 bits beside those of the bucket; what they let pass by chance only
-adds hits to look at.  The extension compares 64 bits beside those of the bucket.
+a hit if its hash is that of a block that also stands somewhere else.  Hits are
+then extended: every ``WINDOW`` words around a hit look for the first place with
+their hash, runs of such places are the maximal repeats, and their words are
+compared with the words at the place found.
+
+Hashes only find.  What is removed was compared word by word: inside a chunk by
+exact word numbers, across chunks by the words of a run, which travel to the
+chunk that holds the earlier place.  A window whose words differ from those at
+the first place with its hash is grouped by its words with all others of that
+kind, so that any hash, however bad, leads to the same result.
+
+How it is spread: documents are sorted by (doc_id, text) in ranges and written as
+chunks of about ``CHUNK_WORDS`` words to shared storage; a chunk's number and a
+word's number in it are the order of all places.  Windows are dealt by hash to
+buckets whose number grows with the text, packed as arrays.  A chunk sends one of
+its own equal windows, so a passage in a third of all documents costs a bucket
+one entry per chunk; requests to one chunk are split by their size.  What is
+found for a chunk is bounded by its words.
 
 Defined results: null text has no words; texts under ``WINDOW`` words lose
 nothing; rows of equal doc_id and equal text are one document, so neither is
-earlier than the other; rows of equal doc_id and other text stand in order of
-their row key; a null doc_id stands before all others.
-"""
+earlier than the other; rows of equal doc_id and other text stand in order of a
+hash of their text, then of the text; a null doc_id stands before all others.
+'''
 
 from __future__ import annotations
 
 import hashlib
-import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,29 +51,24 @@ BUCKET_WINDOWS = 2_500_000
 CHUNK_WORDS = 1_000_000
 #: Bytes of text that are split into words at a time.
 SLICE = 6 << 20
+#: Words that a task compares for one chunk; more requests to it are split.
+ASKED_WORDS = 8_000_000
 
-PACKED = "bucket int, chunk binary, docs binary, hashes binary, gaps binary, flags binary"
-_PACKED = pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in ("chunk", "docs", "hashes", "gaps", "flags"))])
-#: On the way back: places of a chunk, or its table of documents, at the chunk's home.
-SENT = "home int, chunk binary, docs binary, places binary"
-_SENT = pa.schema([("home", pa.int32()), ("chunk", pa.binary()), ("docs", pa.binary()), ("places", pa.binary())])
-PLACES = "key long, places binary"
-_PLACES = pa.schema([("key", pa.int64()), ("places", pa.binary())])
+PACKED = "bucket int, chunk long, hashes binary, gaps binary, flags binary"
+_PACKED = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *((k, pa.binary()) for k in ("hashes", "gaps", "flags"))])
+#: Places in a chunk, and the earlier places that have their hashes (nothing where words are compared already).
+FOUND = "chunk long, places binary, from_chunks binary, from_places binary"
+_FOUND = pa.schema([("chunk", pa.int64()), *((k, pa.binary()) for k in ("places", "from_chunks", "from_places"))])
+#: A run of windows of ``chunk`` and its words, for the chunk ``holder`` to compare from ``from_place`` on.
+ASKED = "holder long, from_place long, chunk long, place long, n long, words binary"
+_ASKED = pa.schema([*((k, pa.int64()) for k in ("holder", "from_place", "chunk", "place", "n")), ("words", pa.binary())])
+WRONG = "chunk long, place long, words binary"
+_WRONG = pa.schema([("chunk", pa.int64()), ("place", pa.int64()), ("words", pa.binary())])
 
 
 # -- hashing ----------------------------------------------------------------------------------
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every word of ``texts``, and the bounds of each text."""
-    words, bounds = common.split_words(texts)
-    if not len(words):
-        return np.zeros(0, np.uint64), bounds
-    table = words.dictionary_encode()
-    own = np.array([xxhash.xxh3_64_intdigest(w) for w in table.dictionary.cast(pa.large_binary()).to_pylist()], np.uint64)
-    return own[np.asarray(table.indices)], bounds
-
-
 def _factors(width: int) -> np.ndarray:
     return np.random.default_rng(20).integers(0, 1 << 63, width, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -87,292 +87,331 @@ def rolling(words: np.ndarray, width: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-# -- chunks and buckets -----------------------------------------------------------------------
+def _same(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order that brings equal hashes together (stable), and the first of each run in it."""
+    order = np.argsort(hashes, kind="stable")
+    ranked = hashes[order]
+    return order, np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(hashes) else np.zeros(0, np.int64)
 
 
-def _gaps(places: np.ndarray) -> bytes:
-    """Places in order as differences, two or four bytes each."""
-    gaps = np.diff(places, prepend=0)
-    kind = "<u2" if gaps.max(initial=0) < 1 << 16 else "<u4"
-    return kind[2].encode() + gaps.astype(kind).tobytes()
+# -- chunks in shared storage -----------------------------------------------------------------
 
 
-def _ungap(gaps: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(gaps, f"<u{gaps[:1].decode()}", offset=1).astype(np.int64))
+def _as_before(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first equals the one before it, null being null's equal."""
+    a, b = column.slice(1), column.slice(0, max(len(column) - 1, 0))
+    return np.asarray(pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))).astype(bool)
 
 
-def _pack(bucket: np.ndarray, low: np.ndarray, place: np.ndarray, flag: np.ndarray, n_buckets: int, chunk: bytes, docs: bytes) -> pa.RecordBatch:
-    """A row for each bucket: remaining hash bits, places in the chunk, flags."""
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-    used = np.flatnonzero(np.diff(cuts)).tolist()
-    mine = [order[cuts[b] : cuts[b + 1]] for b in used]
-    columns = [used, [chunk] * len(used), [docs] * len(used), [low[m].tobytes() for m in mine], [_gaps(place[m]) for m in mine], [np.packbits(flag[m]).tobytes() for m in mine]]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PACKED, strict=True)], schema=_PACKED)
-
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, copies): rows that are repeated stand next to each other, and become one."""
+    last: pa.RecordBatch | None = None
+    for batch in batches:
+        batch = pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.ones(len(batch), np.int64))], names=["doc_id", "text", "copies"])
+        if last is not None:
+            batch = pa.concat_batches([last, batch])
+        if not len(batch):
+            continue
+        new = np.concatenate([[True], ~(_as_before(batch.column(0)) & _as_before(batch.column(1)))])
+        first = np.flatnonzero(new)
+        copies = np.add.reduceat(np.asarray(batch.column(2)), first)
+        rows = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first)), batch.column(1).take(pa.array(first)), pa.array(copies)], names=batch.schema.names)
+        last = rows.slice(len(rows) - 1)
+        yield rows.slice(0, len(rows) - 1)
+    if last is not None:
+        yield last
+
+
+def _write_chunks(folder: str, chunk_words: int) -> Callable:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq, rows, held = TaskContext.get().partitionId(), 0, [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal seq, rows, held
+            chunk = part << 24 | seq
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_file(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for row in rows:
+                    out.write(row)
+            common.put(folder, f"{chunk}.arrow", sink.getvalue())
+            seq, rows, held = seq + 1, [], 0
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64())], names=["chunk"])
+
+        for batch in _documents(batches):
+            for lo, hi in common.slices(batch.column(1), SLICE):
+                some = batch.slice(lo, hi - lo)
+                rows.append(some)
+                held += int(pc.sum(pc.list_value_length(pc.ascii_split_whitespace(common.as_strings(some.column(1))))).as_py() or 0)
+                if held >= chunk_words:
+                    yield flush()
+        if rows:
+            yield flush()
 
-def _table_row(chunk: bytes, keys: np.ndarray, first: np.ndarray, known: np.ndarray, n_buckets: int) -> pa.RecordBatch:
-    """A chunk's documents and the places that it knows by itself; any bucket passes them home."""
-    docs = keys.astype("<i8").tobytes() + np.diff(first, prepend=0).astype("<u4").tobytes()
-    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((chunk[0] % n_buckets, chunk, docs, b"", _gaps(known), b""), _PACKED, strict=True)], schema=_PACKED)
+    return task
 
 
-def _order_table(first: np.ndarray, ids: np.ndarray, null: np.ndarray, keys: np.ndarray) -> bytes:
-    """What the order of a chunk's documents needs: first window, doc_id, whether it is null, 32 bits of the key."""
-    parts = np.diff(first, prepend=0).astype("<u4"), np.diff(ids, prepend=0).astype("<i8"), null.astype("u1"), (keys & 0xFFFFFFFF).astype("<u4")
-    return len(ids).to_bytes(8, "little") + zlib.compress(b"".join(x.tobytes() for x in parts), 1)
+class Chunk:
+    """A chunk's documents and all their words in a row; a place is the number of a word."""
 
+    def __init__(self, folder: str, number: int):
+        self.rows = pa.ipc.open_file(common.get(folder, f"{number}.arrow")).read_all().combine_chunks()
+        texts = self.rows.column("text").combine_chunks()
+        flats, counts = [], [np.zeros(0, np.int64)]
+        for lo, hi in common.slices(texts, SLICE):
+            words, bounds = common.split_words(texts.slice(lo, hi - lo))
+            flats.append(words)
+            counts.append(np.diff(bounds))
+        self.words = pa.concat_arrays(flats) if flats else pa.array([], pa.large_string())
+        self.bounds = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        self.long = np.diff(self.bounds) >= WINDOW
 
-def _orders(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n, raw = int.from_bytes(data[:8], "little"), zlib.decompress(data[8:])
-    first, ids = np.frombuffer(raw, "<u4", n), np.frombuffer(raw, "<i8", n, 4 * n)
-    return np.cumsum(first.astype(np.int64)), np.cumsum(ids), np.frombuffer(raw, "u1", n, 12 * n), np.frombuffer(raw, "<u4", n, 13 * n).astype(np.int64)
+    def numbered(self, hash_bits: int) -> None:
+        """Give every word its number among the chunk's words, and a hash; windows will have hashes of ``hash_bits``."""
+        self.mask = np.uint64((1 << hash_bits) - 1)
+        table = self.words.dictionary_encode()
+        self.codes = np.asarray(table.indices)
+        own = np.array([xxhash.xxh3_64_intdigest(w) for w in table.dictionary.cast(pa.large_binary()).to_pylist()], np.uint64)
+        self.hashes = own[self.codes] if len(own) else np.zeros(0, np.uint64)
 
+    def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, hash, stands at a multiple of ``BLOCK``) of every ``BLOCK`` words of documents that are long enough."""
+        counts = np.where(self.long, np.diff(self.bounds) - BLOCK + 1, 0)
+        place = common.ranges(self.bounds[:-1], counts)
+        return place, self.hashed(place, BLOCK), (place - np.repeat(self.bounds[:-1], counts)) % BLOCK == 0
 
-def _split(first: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, place in it) of places in the chunk."""
-    doc = np.searchsorted(first, places, "right") - 1
-    return doc, places - first[doc]
+    def hashed(self, place: np.ndarray, width: int) -> np.ndarray:
+        return (rolling(self.hashes, width)[place] if len(place) else np.zeros(0, np.uint64)) & self.mask
 
+    def around(self, hits: np.ndarray) -> np.ndarray:
+        """Places of the windows that hold a hit."""
+        doc = np.searchsorted(self.bounds, hits, "right") - 1
+        edge = np.zeros(len(self.words) + 1, np.int64)
+        np.add.at(edge, np.maximum(hits - (WINDOW - BLOCK), self.bounds[doc]), 1)
+        np.add.at(edge, np.minimum(hits, self.bounds[doc + 1] - WINDOW) + 1, -1)
+        return np.flatnonzero(np.cumsum(edge[:-1]) > 0)
 
-def _chunk_id(keys: np.ndarray) -> bytes:
-    return uuid.uuid5(uuid.NAMESPACE_OID, hashlib.sha256(keys.tobytes()).hexdigest()).bytes
+    def run(self, place: int, n: int) -> bytes:
+        """The words of ``n`` windows from ``place`` on."""
+        return " ".join(self.words.slice(place, n + WINDOW - 1).to_pylist()).encode()
 
 
-def _home(chunk: bytes, homes: int) -> int:
-    return int.from_bytes(chunk[:8], "little") % homes
+# -- packed windows ---------------------------------------------------------------------------
 
 
-def _met(table: pa.Table) -> pa.Table:
-    """Of one home, a row for each document of a chunk with all its places."""
-    docs: dict[bytes, bytes] = {}
-    found: dict[bytes, list[np.ndarray]] = {}
-    for chunk, described, places in zip(*(table.column(k).to_pylist() for k in ("chunk", "docs", "places")), strict=True):
-        if described:
-            docs[chunk] = described
-        found.setdefault(chunk, []).append(np.frombuffer(places, "<u4"))
-    out = []
-    for chunk, parts in found.items():
-        n = len(docs[chunk]) // 12
-        keys, first = np.frombuffer(docs[chunk], "<i8", n), np.cumsum(np.frombuffer(docs[chunk], "<u4", n, 8 * n).astype(np.int64))
-        doc, place = _split(first, np.sort(np.concatenate(parts)).astype(np.int64))
-        if len(doc):
-            edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]]))
-            place = place.astype("<i4")
-            out.append(pa.RecordBatch.from_arrays([pa.array(keys[doc[edges[:-1]]], pa.int64()), pa.array([place[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())], schema=_PLACES))
-    return pa.Table.from_batches(out, schema=_PLACES)
+def _gaps(places: np.ndarray) -> bytes:
+    """Places in order as differences, two or four bytes each."""
+    gaps = np.diff(places, prepend=0)
+    kind = "<u2" if gaps.max(initial=0) < 1 << 16 else "<u4"
+    return kind[2].encode() + gaps.astype(kind).tobytes()
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, word hashes, bounds) of about ``CHUNK_WORDS`` words; batches are (doc_id, key, text, ...)."""
-    rows: list[pa.RecordBatch] = []
-    hashes: list[np.ndarray] = []
-    counts: list[np.ndarray] = []
-    held = 0
+def _ungap(gaps: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(gaps, f"<u{gaps[:1].decode()}", offset=1).astype(np.int64))
 
-    def out() -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
-        whole = pa.Table.from_batches(rows).combine_chunks().to_batches()
-        return whole[0], np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
 
-    for batch in batches:
-        sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(2)), 0)).astype(np.int64))
-        at = 0
-        while at < len(batch):
-            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE, "right")))
-            h, bounds = word_hashes(batch.column(2).slice(at, to - at))
-            rows.append(batch.slice(at, to - at).select([0, 1, *range(3, batch.num_columns)]))
-            hashes.append(h)
-            counts.append(np.diff(bounds))
-            held += len(h)
-            at = to
-            if held >= CHUNK_WORDS:
-                yield out()
-                rows, hashes, counts, held = [], [], [], 0
-    if rows:
-        yield out()
+def _pack(full: np.ndarray, kind: str, place: np.ndarray, flag: np.ndarray, n_buckets: int, chunk: int) -> pa.RecordBatch:
+    """A row for each bucket: remaining hash bits, places in the chunk, flags."""
+    bucket, low = (full % np.uint64(n_buckets)).astype(np.int64), (full // np.uint64(n_buckets)).astype(kind)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+    mine = [order[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    columns = [bucket[order[cuts[:-1]]], [chunk] * len(mine), [low[m].tobytes() for m in mine], [_gaps(place[m]) for m in mine], [np.packbits(flag[m]).tobytes() for m in mine]]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PACKED, strict=True)], schema=_PACKED)
 
 
-def _windows(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word index of every window inside one document, and the first window of each document."""
-    counts = np.maximum(np.diff(bounds) - width + 1, 0)
-    return common.ranges(bounds[:-1], counts), np.concatenate([[0], np.cumsum(counts)])[:-1]
+def _known(chunk: int, places: np.ndarray, n_buckets: int) -> pa.RecordBatch:
+    """Places that a chunk knows by itself; some bucket passes them on."""
+    columns = [[chunk * 0x9E3779B1 % n_buckets], [chunk], [b""], [_gaps(places)], [b""]]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PACKED, strict=True)], schema=_PACKED)
 
 
-def _same(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order that brings equal hashes together (stable), and the first of each run in it."""
-    order = np.argsort(low, kind="stable")
-    ranked = low[order]
-    return order, np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(low) else np.zeros(0, np.int64)
+class _Bucket:
+    """All entries of one bucket in order of hash, chunk and place."""
+
+    def __init__(self, table: pa.Table, kind: str):
+        self.found: list[tuple[int, bytes, bytes, bytes]] = []
+        chunks, lows, places, flags = [np.zeros(0, np.int64)], [np.zeros(0, kind)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        for chunk, hashes, gaps, flag in zip(*(table.column(k).to_pylist() for k in ("chunk", "hashes", "gaps", "flags")), strict=True):
+            if not hashes:
+                self.found.append((chunk, _ungap(gaps).astype("<u4").tobytes(), b"", b""))
+                continue
+            low = np.frombuffer(hashes, kind)
+            chunks.append(np.full(len(low), chunk))
+            lows.append(low)
+            places.append(_ungap(gaps))
+            flags.append(np.unpackbits(np.frombuffer(flag, np.uint8), count=len(low)).astype(bool))
+        chunk, low, place, flag = (np.concatenate(x) for x in (chunks, lows, places, flags))
+        order = np.lexsort((place, chunk, low))
+        self.chunk, self.place, self.flag = chunk[order], place[order], flag[order]
+        low = low[order]
+        self.runs = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]])) if len(low) else np.zeros(0, np.int64)
+        self.size = np.diff(np.append(self.runs, len(low)))
+
+    def out(self, chosen: np.ndarray, first: np.ndarray | None = None) -> pa.Table:
+        """A row for each chunk with the ``chosen`` entries, and with the ``first`` ones of their hashes."""
+        at = np.flatnonzero(chosen)
+        at = at[np.argsort(self.chunk[at], kind="stable")]
+        cuts = np.flatnonzero(np.diff(self.chunk[at], prepend=-1, append=-1))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            mine = at[a:b]
+            refs = (b"", b"") if first is None else (self.chunk[first[mine]].astype("<i8").tobytes(), self.place[first[mine]].astype("<u4").tobytes())
+            self.found.append((int(self.chunk[mine[0]]), self.place[mine].astype("<u4").tobytes(), *refs))
+        columns = list(zip(*self.found, strict=True)) or [[], [], [], []]
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, _FOUND, strict=True)], schema=_FOUND)
 
 
 # -- stage one: index and probe ---------------------------------------------------------------
 
 
-def _probe(n_buckets: int, min_words: int) -> Callable:
+def _probe(folder: str, n_buckets: int, hash_bits: int) -> Callable:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, hashes, bounds in _chunks(batches):
-            keep = np.diff(bounds) >= min_words
-            at, first = _windows(hashes, bounds, BLOCK)
-            short = np.repeat(~keep, np.maximum(np.diff(bounds) - BLOCK + 1, 0))
-            all_windows = rolling(hashes, BLOCK)[at]
-            place = np.flatnonzero(~short)
-            full = all_windows[place]
-            doc = np.searchsorted(first, place, "right") - 1
-            aligned = (place - first[doc]) % BLOCK == 0
-            # one of equal windows goes to the bucket, the others are known to be repeated
-            order, runs = _same(full)
-            block = np.maximum.reduceat(aligned[order], runs) if len(runs) else np.zeros(0, bool)
-            many = np.diff(np.append(runs, len(order))) > 1
-            send = order[runs]
-            back = np.argsort(send, kind="stable")
-            send, flag = send[back], block[back]
-            bucket = (full[send] % np.uint64(n_buckets)).astype(np.int64)
-            low = (full[send] // np.uint64(n_buckets)).astype("<u4")
-            keys = np.asarray(rows.column(1))[keep]
-            chunk = _chunk_id(keys)
-            # places count the windows of documents that are long enough
-            to_kept = np.cumsum(~short) - 1
-            kept_first = np.concatenate([[0], np.cumsum(np.maximum(np.diff(bounds) - BLOCK + 1, 0)[keep])])[:-1]
-            yield _pack(bucket, low, to_kept[place[send]], flag, n_buckets, chunk, b"")
-            repeated = order[np.repeat(many, np.diff(np.append(runs, len(order))))] if len(runs) else order
-            yield _table_row(chunk, keys, kept_first, np.sort(to_kept[place[repeated]]), n_buckets)
+        for batch in batches:
+            for number in batch.column(0).to_pylist():
+                chunk = Chunk(folder, number)
+                chunk.numbered(hash_bits)
+                place, full, aligned = chunk.blocks()
+                # one of equal windows goes to the bucket
+                order, runs = _same(full)
+                block = np.maximum.reduceat(aligned[order], runs) if len(runs) else np.zeros(0, bool)
+                send = order[runs]
+                back = np.argsort(send)
+                yield _pack(full[send[back]], "<u4", place[send[back]], block[back], n_buckets, number)
+                yield _known(number, np.zeros(0, np.int64), n_buckets)
 
     return task
 
 
-class _Bucket:
-    """Rows of one bucket: what is to be compared, and what goes home."""
-
-    def __init__(self, table: pa.Table, kind: str, homes: int):
-        self.homes, self.rows = homes, []
-        self.out: list[tuple[int, bytes, bytes, bytes]] = []
-        for chunk, docs, hashes, gaps in zip(*(table.column(k).to_pylist() for k in ("chunk", "docs", "hashes", "gaps")), strict=True):
-            if hashes:
-                self.rows.append((chunk, docs, np.frombuffer(hashes, kind), _ungap(gaps)))
-            else:
-                self.send(chunk, _ungap(gaps), docs)
-        self.flags = np.concatenate([np.zeros(0, bool), *[np.unpackbits(np.frombuffer(f, np.uint8), count=len(h) // np.dtype(kind).itemsize).astype(bool) for f, h in zip(table.column("flags").to_pylist(), table.column("hashes").to_pylist(), strict=True) if h]])
-        self.low = np.concatenate([np.zeros(0, np.dtype(kind)), *[r[2] for r in self.rows]])
-
-    def send(self, chunk: bytes, places: np.ndarray, docs: bytes = b"") -> None:
-        if len(places) or docs:
-            self.out.append((_home(chunk, self.homes), chunk, docs, places.astype("<u4").tobytes()))
-
-    def sent(self, chosen: np.ndarray) -> pa.Table:
-        """All that goes home, with the entries that are ``chosen``."""
-        at = 0
-        for chunk, _, low, places in self.rows:
-            self.send(chunk, places[chosen[at : at + len(low)]])
-            at += len(low)
-        columns = list(zip(*self.out, strict=True)) or [[], [], [], []]
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, _SENT, strict=True)], schema=_SENT)
-
-
-def _match(homes: int) -> Callable:
-    """Of one bucket, the places whose words equal an indexed block and stand more than once."""
+def _match(table: pa.Table) -> pa.Table:
+    """Of one bucket, the places whose hash is an indexed block's and stands more than once."""
+    b = _Bucket(table, "<u4")
+    chosen = np.zeros(len(b.place), bool)
+    if len(b.runs):
+        chosen = np.repeat((b.size > 1) & np.maximum.reduceat(b.flag, b.runs), b.size)
+    return b.out(chosen)
 
-    def solve(table: pa.Table) -> pa.Table:
-        b = _Bucket(table, "<u4", homes)
-        order, runs = _same(b.low)
-        size = np.diff(np.append(runs, len(order)))
-        chosen = np.zeros(len(order), bool)
-        if len(runs):
-            chosen[order] = np.repeat((size > 1) & np.maximum.reduceat(b.flags[order], runs), size)
-        return b.sent(chosen)
 
-    return solve
+# -- stage two: extend ------------------------------------------------------------------------
 
 
-# -- stage two: extend ------------------------------------------------------------------------
+def _extend(folder: str, n_buckets: int, hash_bits: int) -> Callable:
+    """Of one chunk, all windows around hits to their buckets."""
 
+    def solve(table: pa.Table) -> pa.Table:
+        number = table.column("chunk")[0].as_py()
+        chunk = Chunk(folder, number)
+        chunk.numbered(hash_bits)
+        place, full, _ = chunk.blocks()
+        order, runs = _same(full)
+        many = np.diff(np.append(runs, len(order))) > 1
+        own = place[order[np.repeat(many, np.diff(np.append(runs, len(order))))]] if len(runs) else place
+        hits = np.unique(np.concatenate([own, np.frombuffer(b"".join(table.column("places").to_pylist()), "<u4").astype(np.int64)]))
+        place = chunk.around(hits) if len(hits) else hits
+        full = chunk.hashed(place, WINDOW)
+        order, runs = _same(full)
+        first = np.repeat(order[runs], np.diff(np.append(runs, len(order)))) if len(runs) else order
+        # those with the words of the chunk's first window of that hash are later than it; the others go to the bucket
+        mine, earlier = place[order], place[first]
+        known = order != first
+        for k in range(WINDOW):
+            known &= chunk.codes[mine + k] == chunk.codes[earlier + k]
+        send = np.sort(order[~known])
+        parts = [_pack(full[send], "<u8", place[send], np.ones(len(send), bool), n_buckets, number), _known(number, np.sort(mine[known]), n_buckets)]
+        return pa.Table.from_batches(parts, _PACKED)
 
-def _places(column: pa.Array) -> list[np.ndarray]:
-    return [np.unique(np.frombuffer(b"".join(x or ()), "<i4")).astype(np.int64) for x in column.to_pylist()]
+    return solve
 
 
-def _later(low: np.ndarray, null: np.ndarray, ids: np.ndarray, keys: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, later): entries by hash and document order, and those after the first of their hash."""
-    order = np.lexsort((place, keys, ids, 1 - null.astype(np.int8), low))
-    same = low[order][1:] == low[order][:-1]
-    later = np.concatenate([[False], same])
-    # the same row repeated is not later than itself
-    equal = np.concatenate([[False], same & (keys[order][1:] == keys[order][:-1]) & (place[order][1:] == place[order][:-1])])
-    start = np.flatnonzero(~later)
-    run = np.repeat(start, np.diff(np.append(start, len(order))))
-    broke = np.maximum.accumulate(np.where(later & ~equal, np.arange(len(order)), -1)) if len(order) else np.zeros(0, np.int64)
-    return order, later & (broke > run)
+def _repeats(table: pa.Table) -> pa.Table:
+    """Of one bucket, the places that are not the first of their hash, with the first."""
+    b = _Bucket(table, "<u8")
+    first = np.repeat(b.runs, b.size)
+    return b.out(np.arange(len(b.place)) != first, first)
 
 
-def _extend(n_buckets: int) -> Callable:
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, hashes, bounds in _chunks(batches):
-            # starts of windows that hold a hit
-            n = np.maximum(np.diff(bounds) - WINDOW + 1, 0)
-            first = np.concatenate([[0], np.cumsum(n)])[:-1]
-            around = np.zeros(int(n.sum()) + 1, np.int64)
-            for i, places in enumerate(_places(rows.column(2))):
-                if len(places) and n[i]:
-                    np.add.at(around, first[i] + np.clip(places - (WINDOW - BLOCK), 0, n[i]), 1)
-                    np.add.at(around, first[i] + np.clip(places + 1, 0, n[i]), -1)
-            place = np.flatnonzero(np.cumsum(around)[:-1] > 0)
-            doc = np.searchsorted(first, place, "right") - 1
-            full = rolling(hashes, WINDOW)[bounds[doc] + place - first[doc]] if len(place) else np.zeros(0, np.uint64)
-            ids, all_keys = rows.column(0), np.asarray(rows.column(1))
-            null = np.asarray(pc.is_null(ids)).astype(np.uint8)
-            ids = np.asarray(pc.fill_null(ids.cast(pa.int64()), 0))
-            order, later = _later(full, null[doc], ids[doc], all_keys[doc] & 0xFFFFFFFF, place - first[doc])
-            if not len(order):
-                continue
-            # places count the windows that are compared, document by document
-            has = np.unique(doc)
-            kept_first = np.concatenate([[0], np.cumsum(n[has])])[:-1]
-            local = kept_first[np.searchsorted(has, doc)] + place - first[doc]
-            chunk = _chunk_id(all_keys[has])
-            send = np.sort(order[~later])  # the first of every hash
-            yield _pack((full[send] % np.uint64(n_buckets)).astype(np.int64), (full[send] // np.uint64(n_buckets)).astype("<u8"), local[send], np.ones(len(send), bool), n_buckets, chunk, _order_table(kept_first, ids[has], null[has], all_keys[has]))
-            yield _table_row(chunk, all_keys[has], kept_first, local[np.sort(order[later])], n_buckets)
+# -- stage three: compare words ---------------------------------------------------------------
 
-    return task
 
+def _claims(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, earlier chunk, earlier place) of what was found by hash alone, in order of place."""
+    rows = [r for r in zip(*(table.column(k).to_pylist() for k in ("places", "from_chunks", "from_places")), strict=True) if r[1]]
+    place, chunk, earlier = (np.frombuffer(b"".join(r[k] for r in rows), kind).astype(np.int64) for k, kind in enumerate(("<u4", "<i8", "<u4")))
+    order = np.argsort(place, kind="stable")
+    return place[order], chunk[order], earlier[order]
 
-def _repeats(homes: int) -> Callable:
-    """Of one bucket, the places of windows that also start earlier."""
+
+def _ask(folder: str) -> Callable:
+    """Of one chunk, runs of windows that follow an earlier run word by word, if hashes are right."""
 
     def solve(table: pa.Table) -> pa.Table:
-        b = _Bucket(table, "<u8", homes)
-        chosen = np.zeros(len(b.low), bool)
-        if len(b.low):
-            columns: list[list[np.ndarray]] = [[], [], [], []]
-            for _, docs, _, places in b.rows:
-                first, ids, null, tie = _orders(docs)
-                doc, place = _split(first, places)
-                for to, x in zip(columns, (null[doc], ids[doc], tie[doc], place), strict=True):
-                    to.append(x)
-            order, later = _later(b.low, *(np.concatenate(c) for c in columns))
-            chosen[order] = later
-        return b.sent(chosen)
+        number = table.column("chunk")[0].as_py()
+        place, holder, earlier = _claims(table)
+        if not len(place):
+            return _ASKED.empty_table()
+        chunk = Chunk(folder, number)
+        broken = (np.diff(place) != 1) | (np.diff(earlier) != 1) | (np.diff(holder) != 0)
+        begin = np.flatnonzero(np.concatenate([[True], broken]))
+        n = np.diff(np.append(begin, len(place)))
+        words = [chunk.run(p, k) for p, k in zip(place[begin].tolist(), n.tolist(), strict=True)]
+        columns = [holder[begin], earlier[begin], np.full(len(begin), number), place[begin], n, words]
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, _ASKED, strict=True)], schema=_ASKED)
 
     return solve
 
 
-# -- Spark ------------------------------------------------------------------------------------
+def _compare(folder: str) -> Callable:
+    """Windows whose words are not those of the earlier place, with their words."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, chunk = None, None
+        for batch in batches:
+            wrong: list[tuple[int, int, bytes]] = []
+            for holder, earlier, asker, place, n, words in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if holder != number:
+                    number, chunk = holder, Chunk(folder, holder)
+                own = chunk.run(earlier, n)
+                if own != words:
+                    a, b = own.split(b" "), words.split(b" ")
+                    differ = np.cumsum([0] + [x != y for x, y in zip(a, b, strict=True)])
+                    at = np.flatnonzero(differ[WINDOW:] > differ[:-WINDOW]).tolist()
+                    wrong += [(asker, place + k, b" ".join(b[k : k + WINDOW])) for k in at]
+            columns = list(zip(*wrong, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _WRONG, strict=True)], schema=_WRONG)
+
+    return task
 
 
-def _gathered(packed: DataFrame, solve: Callable) -> DataFrame:
-    """The places that all buckets find, a row for each row key."""
-    home = packed.groupBy("bucket").applyInArrow(solve, SENT).groupBy("home").applyInArrow(_met, PLACES)
-    return home.groupBy("key").agg(F.collect_list("places").alias("places"))  # rows that are repeated meet here
+# -- Spark ------------------------------------------------------------------------------------
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with the row key and the starts of windows that also start earlier."""
+def repeats(docs: DataFrame, folder: str, chunk_words: int = CHUNK_WORDS, asked_words: int = ASKED_WORDS, hash_bits: int = 64) -> DataFrame:
+    """Chunks of ``docs`` under ``folder``; (chunk, places, kept): starts of windows that also start earlier, but for those kept."""
+    spark = docs.sparkSession
     size = common.text_bytes(docs)
+    parts = common.partitions_for(docs, size)
     n_buckets = max(8, -(-size // (6 * BUCKET_WINDOWS)))  # about six bytes a word
-    base = docs.select("doc_id", common.row_key().alias("key"), "text")
-    hits = _gathered(base.mapInArrow(_probe(n_buckets, WINDOW), PACKED), _match(n_buckets))
-    touched = base.join(hits, "key").select("doc_id", "key", "text", "places")
-    found = _gathered(touched.mapInArrow(_extend(n_buckets), PACKED), _repeats(n_buckets))
-    return base.join(found, "key", "left").select("doc_id", "key", "text", "places")
+    keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    dealt = docs.select("doc_id", "text").repartitionByRange(parts, *keys).sortWithinPartitions(*keys, F.col("text").asc_nulls_first())
+    chunks = common.settle(dealt.mapInArrow(_write_chunks(folder, chunk_words), "chunk long"), "chunks")
+
+    def by_chunk(df: DataFrame) -> DataFrame:
+        return df.repartition(2 * parts, "chunk")  # a chunk is much work and few bytes
+
+    packed = by_chunk(chunks).mapInArrow(_probe(folder, n_buckets, hash_bits), PACKED)
+    hits = common.settle(packed.groupBy("bucket").applyInArrow(_match, FOUND).select("chunk", "places"), "anchors")
+    packed = by_chunk(hits).groupBy("chunk").applyInArrow(_extend(folder, n_buckets, hash_bits), PACKED)
+    found = common.settle(packed.groupBy("bucket").applyInArrow(_repeats, FOUND), "repeats")
+    common.discard(hits)
+    asked = common.settle(by_chunk(found).groupBy("chunk").applyInArrow(_ask(folder), ASKED), "comparisons")
+    # a chunk that many ask is opened by several tasks
+    tasks = asked.groupBy("holder").agg(F.ceil(F.sum("n") / asked_words).alias("tasks"))
+    shared = asked.join(tasks, "holder").withColumn("task", F.pmod(F.xxhash64("chunk", "place"), "tasks"))
+    shared = shared.repartition(2 * parts, "holder", "task").sortWithinPartitions("holder").select(*asked.columns)
+    wrong = common.settle(shared.mapInArrow(_compare(folder), WRONG), "unequal")
+    common.discard(asked)
+    first = wrong.groupBy("words").agg(F.min(F.struct("chunk", "place")).alias("first"))
+    nothing = F.lit(None)
+    kept = first.select("first.chunk", nothing.cast("binary").alias("places"), F.col("first.place").alias("kept"))
+    return by_chunk(found.select("chunk", "places", nothing.cast("long").alias("kept")).union(kept))
 
 
 def covered(n_words: int, starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -384,51 +423,37 @@ def covered(n_words: int, starts: np.ndarray, window: int = WINDOW) -> np.ndarra
 
 
 RESULT = "n_words long, n_removed long, kept string, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string"
+_RESULT = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_sha256", pa.string())])
+
 
+def dedup(docs: DataFrame, with_text: bool = True, chunk_words: int = CHUNK_WORDS, asked_words: int = ASKED_WORDS, hash_bits: int = 64) -> DataFrame:
+    """Per row: doc_id, n_words, n_removed, kept words, the maximal repeats removed, SHA-256 of what is kept.
 
-def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
-    """Per row: doc_id, n_words, n_removed, kept words, the maximal repeats removed, SHA-256 of what is kept."""
+    The other parameters change how the work is cut, never the result.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_sha256", pa.string())])
+    folder = common.shared_dir(docs.sparkSession, "substring-chunks")
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, len(batch), 1000):
-                some = batch.slice(lo, 1000)
-                out: list[list] = [[], [], [], [], []]
-                for text, starts in zip(some.column(2).to_pylist(), _places(some.column(3)), strict=True):
-                    words = (text or "").encode().split()
-                    spans: list[dict] = []
-                    kept = words
-                    if len(starts):
-                        gone = covered(len(words), np.unique(starts))
-                        kept = [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
-                        if with_text:
-                            edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                            spans = [{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()]
-                    line = b" ".join(kept)
-                    for to, x in zip(out, (len(words), len(words) - len(kept), line.decode() if with_text else None, spans, hashlib.sha256(line).hexdigest()), strict=True):
-                        to.append(x)
-                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(x, f.type) for x, f in zip(out, schema, strict=True))], names=["doc_id", *schema.names])
-
-    return repeats(docs.select("doc_id", "text")).mapInArrow(task, f"doc_id {kind}, {RESULT}")
+    def solve(table: pa.Table) -> pa.Table:
+        chunk = Chunk(folder, table.column("chunk")[0].as_py())
+        starts = np.frombuffer(b"".join(x for x in table.column("places").to_pylist() if x), "<u4").astype(np.int64)
+        starts = np.setdiff1d(starts, np.array([x for x in table.column("kept").to_pylist() if x is not None], np.int64))
+        gone = covered(len(chunk.words), starts)
+        words = chunk.words.filter(pa.array(~gone)).to_pylist()
+        ends = np.concatenate([[0], np.cumsum(~gone)])[chunk.bounds].tolist()
+        n_words = np.diff(chunk.bounds)
+        lines = [" ".join(words[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        spans: list[list[dict]] = [[] for _ in lines]
+        if with_text:
+            for i in np.unique(np.searchsorted(chunk.bounds, np.flatnonzero(gone), "right") - 1).tolist():
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], gone[chunk.bounds[i] : chunk.bounds[i + 1]].astype(np.int8), [0]])))
+                spans[i] = [{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()]
+        columns = [n_words, n_words - np.diff(ends), lines if with_text else [None] * len(lines), spans, [hashlib.sha256(x.encode()).hexdigest() for x in lines]]
+        out = pa.table([chunk.rows.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(columns, _RESULT, strict=True))], names=["doc_id", *_RESULT.names])
+        return out.take(pa.array(np.repeat(np.arange(len(out)), np.asarray(chunk.rows.column("copies")))))
+
+    return repeats(docs, folder, chunk_words, asked_words, hash_bits).groupBy("chunk").applyInArrow(solve, f"doc_id {kind}, {RESULT}")
 
 
 def op8(docs: DataFrame) -> DataFrame:
     return dedup(docs, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
-
-
-def brute_force(docs: list[tuple[int, str | None]], window: int = WINDOW) -> list[dict]:
-    """The same by a table of all windows, for small tests."""
-    seen: dict[tuple[bytes, ...], int] = {}
-    out = []
-    for doc, text in sorted(docs, key=lambda x: x[0]):
-        words = (text or "").encode().split()
-        gone: set[int] = set()
-        for i in range(len(words) - window + 1):
-            if seen.setdefault(tuple(words[i : i + window]), 1) != 1:
-                gone.update(range(i, i + window))
-            seen[tuple(words[i : i + window])] = 2
-        kept = b" ".join(w for i, w in enumerate(words) if i not in gone)
-        out.append({"doc_id": doc, "n_words": len(words), "n_removed": len(gone), "kept_sha256": hashlib.sha256(kept).hexdigest()})
-    return out

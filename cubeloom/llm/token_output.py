@@ -35,7 +35,6 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
@@ -375,17 +374,6 @@ class Reader:
 # -- Spark ------------------------------------------------------------------------------------
 
 
-def _write_file(folder: str, data: bytes) -> str:
-    """A new file in shared storage; it has its name only once it is whole."""
-    store, path = fs.FileSystem.from_uri(folder)
-    store.create_dir(path, recursive=True)
-    name = uuid.uuid4().hex
-    with store.open_output_stream(f"{path}/.{name}") as out:
-        out.write(data)
-    store.move(f"{path}/.{name}", f"{path}/{name}.pfr")
-    return f"{name}.pfr"
-
-
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
     """Write the ids of ``docs`` (doc_id, text) under ``folder``; returns the settled manifest."""
     rows = docs.select("doc_id", "text")
@@ -401,7 +389,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, fi
         def flush() -> pa.RecordBatch:
             nonlocal held, doc_ids, lengths, seq
             data = pack(np.concatenate(held), doc_ids, np.array(lengths))
-            row = {"part": part, "seq": seq, "name": _write_file(folder, data), "n_docs": len(doc_ids), "n_ids": sum(lengths), "n_bytes": len(data)}
+            name = f"{uuid.uuid4().hex}.pfr"
+            common.put(folder, name, data)
+            row = {"part": part, "seq": seq, "name": name, "n_docs": len(doc_ids), "n_ids": sum(lengths), "n_bytes": len(data)}
             held, doc_ids, lengths, seq = [], [], [], seq + 1
             return pa.RecordBatch.from_pylist([row], schema=_MANIFEST)
 

@@ -226,8 +226,26 @@ def test_line_and_substring_dedup_on_odd_rows(odd, none):
     assert fifth[11] == 0 and fifth[4] == 0
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_substring_dedup_matches_brute_force(spark, seed):
+def without_repeats(docs, window=20):
+    """Substring dedup by a set of all word sequences (doc_ids unique)."""
+    seen, out = set(), []
+    for doc, text in sorted(docs, key=lambda x: x[0]):
+        words = (text or "").encode().split()
+        gone = set()
+        for i in range(len(words) - window + 1):
+            sequence = tuple(words[i : i + window])
+            if sequence in seen:
+                gone.update(range(i, i + window))
+            seen.add(sequence)
+        kept = b" ".join(w for i, w in enumerate(words) if i not in gone)
+        out.append({"doc_id": doc, "n_words": len(words), "n_removed": len(gone), "kept_sha256": hashlib.sha256(kept).hexdigest()})
+    return out
+
+
+# windows with other words have equal hashes of 6 bits: only their words may decide
+@pytest.mark.parametrize("cut", [{}, {"hash_bits": 6, "chunk_words": 100}, {"hash_bits": 6, "asked_words": 50}, {"hash_bits": 0, "chunk_words": 400}, {"chunk_words": 37, "asked_words": 20}])
+@pytest.mark.parametrize("seed", range(2))
+def test_substring_dedup_matches_brute_force(spark, seed, cut):
     rng = random.Random(seed)
     passages = [[f"p{p}w{i}" for i in range(rng.randrange(15, 70))] for p in range(5)]
     rows = []
@@ -240,8 +258,9 @@ def test_substring_dedup_matches_brute_force(spark, seed):
             words += [f"own{rng.randrange(50)}" for _ in range(rng.randrange(12))]
         rows.append((i, " ".join(words)))
     rows.append((100, " ".join(["again"] * 90)))
-    got = {r["doc_id"]: r.asDict() for r in substrings.op8(frame(spark, rows)).collect()}
-    want = {r["doc_id"]: r for r in substrings.brute_force(rows)}
+    found = substrings.dedup(frame(spark, rows), **cut).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    got = {r["doc_id"]: r.asDict() for r in found.collect()}
+    want = {r["doc_id"]: r for r in without_repeats(rows)}
     assert got == want and sum(r["n_removed"] for r in want.values()) > 500
 
 
