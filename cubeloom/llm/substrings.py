@@ -52,7 +52,7 @@ CHUNK_WORDS = 1_000_000
 #: Bytes of text that are split into words at a time.
 SLICE = 6 << 20
 #: Words that a task compares for one chunk; more requests to it are split.
-ASKED_WORDS = 8_000_000
+ASKED_WORDS = 200_000
 
 PACKED = "bucket int, chunk long, hashes binary, gaps binary, flags binary"
 _PACKED = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *((k, pa.binary()) for k in ("hashes", "gaps", "flags"))])
@@ -394,7 +394,7 @@ def repeats(docs: DataFrame, folder: str, chunk_words: int = CHUNK_WORDS, asked_
     chunks = common.settle(dealt.mapInArrow(_write_chunks(folder, chunk_words), "chunk long"), "chunks")
 
     def by_chunk(df: DataFrame) -> DataFrame:
-        return df.repartition(2 * parts, "chunk")  # a chunk is much work and few bytes
+        return df.repartitionByRange(2 * parts, "chunk")  # a chunk is much work and few bytes
 
     packed = by_chunk(chunks).mapInArrow(_probe(folder, n_buckets, hash_bits), PACKED)
     hits = common.settle(packed.groupBy("bucket").applyInArrow(_match, FOUND).select("chunk", "places"), "anchors")
@@ -439,16 +439,16 @@ def dedup(docs: DataFrame, with_text: bool = True, chunk_words: int = CHUNK_WORD
         starts = np.frombuffer(b"".join(x for x in table.column("places").to_pylist() if x), "<u4").astype(np.int64)
         starts = np.setdiff1d(starts, np.array([x for x in table.column("kept").to_pylist() if x is not None], np.int64))
         gone = covered(len(chunk.words), starts)
-        words = chunk.words.filter(pa.array(~gone)).to_pylist()
-        ends = np.concatenate([[0], np.cumsum(~gone)])[chunk.bounds].tolist()
+        ends = np.concatenate([[0], np.cumsum(~gone)])[chunk.bounds]
         n_words = np.diff(chunk.bounds)
-        lines = [" ".join(words[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        kept = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), chunk.words.filter(pa.array(~gone)))
+        lines = pc.binary_join(kept, " ").cast(pa.large_binary()).to_pylist()
         spans: list[list[dict]] = [[] for _ in lines]
         if with_text:
             for i in np.unique(np.searchsorted(chunk.bounds, np.flatnonzero(gone), "right") - 1).tolist():
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], gone[chunk.bounds[i] : chunk.bounds[i + 1]].astype(np.int8), [0]])))
                 spans[i] = [{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()]
-        columns = [n_words, n_words - np.diff(ends), lines if with_text else [None] * len(lines), spans, [hashlib.sha256(x.encode()).hexdigest() for x in lines]]
+        columns = [n_words, n_words - np.diff(ends), [x.decode() for x in lines] if with_text else [None] * len(lines), spans, [hashlib.sha256(x).hexdigest() for x in lines]]
         out = pa.table([chunk.rows.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(columns, _RESULT, strict=True))], names=["doc_id", *_RESULT.names])
         return out.take(pa.array(np.repeat(np.arange(len(out)), np.asarray(chunk.rows.column("copies")))))
 
