@@ -1,17 +1,20 @@
 """Exact top-k search by a three-phase uniform threshold.
 
-A score is an inner product of integers, the sum of ``LISTS`` partial scores
-over equal runs of dimensions.  Phase one gathers, for every query and run, the
-best partial scores of each block of vectors, and totals what it gathered; the
-(k + 1)-th best total is a lower bound t of what the result needs.  Phase two
-sends each query's cutoff t / LISTS to all blocks: a vector below it in every
-run cannot reach t, so what reaches it in some run is sufficient.  Phase three
-adds the other runs for exactly those, and keeps the best totals.
+A score is an inner product of integers, the sum of ``LISTS`` local scores over
+equal runs of dimensions.  Phase one gathers local score lists: a query's own
+block of vectors gives, for every run, its best local scores, and only the
+vectors listed there get a total; the (k + 1)-th best of these totals (one more
+for every other vector of one id) is a lower bound t of what the result needs.  Phase two sends each query's cutoff t / LISTS
+to all blocks: a vector below it in every run cannot reach t, so what reaches it
+in some run is sufficient.  A block keeps its vectors by length in each run, and
+what is too short to reach a cutoff is never multiplied.  Phase three resolves
+the missing local scores of exactly the sufficient entries, and keeps the best
+totals.
 
 Equal vectors are scored once: they stand for their k + 1 smallest ids, which no
 result can go beyond.  Queries are a stated set, taken in blocks of
-``QUERY_BLOCK`` against blocks of ``VECTOR_BLOCK``; no vector set passes through
-the driver.
+``QUERY_BLOCK`` of which ``AT_ONCE`` are broadcast at a time, whatever the size of
+the tables; blocks of vectors stay where they are.
 
 Defined results: vectors that are null or hold null or non-finite components
 take no part, nor do null ids; a shorter vector counts as padded with zeros;
@@ -23,6 +26,7 @@ bits; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +38,13 @@ from . import common
 K = 20
 LISTS = 4
 SCALE = 64
+#: Queries of a block, and blocks that are broadcast at a time: 16 MB of 64 dimensions.
 QUERY_BLOCK = 2048
+AT_ONCE = 16
 VECTOR_BLOCK = 4096
+#: Parts that equal vectors are dealt into before the smallest ids of all are found.
+SALTS = 64
+_NONE = np.iinfo(np.int64).min // 2
 
 
 def quantized(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -45,148 +54,189 @@ def quantized(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     return good.select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("v"))
 
 
-def _matrix(lists: pa.Array) -> np.ndarray:
-    rows = lists.to_pylist()
-    out = np.zeros((len(rows), max(map(len, rows), default=0)), np.int64)
-    for i, row in enumerate(rows):
+# -- blocks -----------------------------------------------------------------------------------
+
+
+def _matrix(lists: list[list[int]]) -> np.ndarray:
+    out = np.zeros((len(lists), max(map(len, lists), default=0)), np.int64)
+    for i, row in enumerate(lists):
         out[i, : len(row)] = row
     return out
 
 
-def _blocks(size: int):  # noqa: ANN202
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+BLOCK = "first binary, second binary, data binary, width int"
 
-        def out(rows: pa.Table) -> pa.RecordBatch:
-            ids = np.asarray(rows.column(0).combine_chunks())
-            data = _matrix(rows.column(1).combine_chunks())
-            order = np.argsort(ids, kind="stable")
-            return pa.RecordBatch.from_arrays([pa.array([ids[order].astype("<i8").tobytes()], pa.binary()), pa.array([data[order].astype("<i8").tobytes()], pa.binary()), pa.array([data.shape[1]], pa.int32())], names=["ids", "data", "width"])
 
-        for batch in batches:
-            held.append(batch)
-            while sum(map(len, held)) >= size:
-                table = pa.Table.from_batches(held)
-                yield out(table.slice(0, size))
-                held = table.slice(size).to_batches()
-        if sum(map(len, held)):
-            yield out(pa.Table.from_batches(held))
+def _block(first: np.ndarray, second: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
+    """One row of two numbers for each vector, and the vectors."""
+    columns = [first.astype("<i8").tobytes(), second.astype("<i8").tobytes(), data.astype("<i8").tobytes()]
+    return pa.RecordBatch.from_arrays([*(pa.array([c], pa.binary()) for c in columns), pa.array([data.shape[1]], pa.int32())], names=["first", "second", "data", "width"])
+
+
+def _unblock(first: bytes, second: bytes, data: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    a, b = np.frombuffer(first, "<i8"), np.frombuffer(second, "<i8")
+    return a, b, np.frombuffer(data, "<i8").reshape(len(a), width)
+
 
-    return task
+def _whole(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Tables of ``size`` rows, the last one shorter."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        while sum(map(len, held)) >= size:
+            table = pa.Table.from_batches(held)
+            yield table.slice(0, size)
+            held = table.slice(size).to_batches()
+    if sum(map(len, held)):
+        yield pa.Table.from_batches(held)
 
 
-def _unblock(ids: bytes, data: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    ids_ = np.frombuffer(ids, "<i8")
-    return ids_, np.frombuffer(data, "<i8").reshape(len(ids_), width)
+# -- the three phases in blocks ---------------------------------------------------------------
 
 
-def partial_scores(queries: np.ndarray, vectors: np.ndarray, lists: int = LISTS) -> list[np.ndarray]:
-    """Inner products over each run of dimensions, exact."""
-    width = max(queries.shape[1], vectors.shape[1])
-    q, v = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (queries, vectors))
+def _runs(q: np.ndarray, v: np.ndarray, lists: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Both sides over each run of dimensions, in the fastest numbers that are exact."""
+    width = max(q.shape[1], v.shape[1])
+    q, v = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (q, v))
     most = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * max(width, 1)
     kind = np.float64 if most < 2.0**53 else np.int64
     cuts = np.linspace(0, width, lists + 1).astype(int)
-    return [(q[:, a:b].astype(kind) @ v[:, a:b].astype(kind).T).astype(np.int64) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [(q[:, a:b].astype(kind), v[:, a:b].astype(kind)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def first_totals(parts: list[np.ndarray], n: int) -> np.ndarray:
-    """Phase one in one pair of blocks: the ``n`` best totals among the best ``n`` of every list."""
-    total = sum(parts)
-    wide = total.shape[1]
-    if wide <= n:
-        return -np.sort(-total, axis=1)
-    listed = np.zeros(total.shape, bool)
-    for part in parts:
-        np.put_along_axis(listed, np.argpartition(part, wide - n, axis=1)[:, wide - n :], True, axis=1)
-    gathered = np.where(listed, total, np.iinfo(np.int64).min)
-    return -np.sort(-np.partition(gathered, wide - n, axis=1)[:, wide - n :], axis=1)
+def _dots(runs: list[tuple[np.ndarray, np.ndarray]], query: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Sum of the local scores of single pairs over ``runs``."""
+    out = np.zeros(len(query), np.int64)
+    for lo in range(0, len(query), 1 << 16):
+        some = slice(lo, lo + (1 << 16))
+        for q, v in runs:
+            out[some] += (q[query[some]] * v[vector[some]]).sum(axis=1).astype(np.int64)
+    return out
+
+
+def lower_bounds(q: np.ndarray, v: np.ndarray, lists: int, n: int) -> np.ndarray:
+    """Phase one: the ``n``-th best total among the best ``n`` of every local list, per query."""
+    if len(v) < n:
+        return np.full(len(q), _NONE)
+    runs = _runs(q, v, lists)
+    listed = np.concatenate([np.argpartition(a @ b.T, len(v) - n, axis=1)[:, len(v) - n :] for a, b in runs], axis=1)
+    listed.sort(axis=1)
+    again = np.concatenate([np.zeros((len(q), 1), bool), listed[:, 1:] == listed[:, :-1]], axis=1)
+    query = np.repeat(np.arange(len(q)), listed.shape[1])
+    total = np.where(again, _NONE, _dots(runs, query, listed.reshape(-1)).reshape(listed.shape))
+    return -np.partition(-total, n - 1, axis=1)[:, n - 1]
 
 
-def reaching(parts: list[np.ndarray], bound: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Phases two and three in one pair of blocks: (query, vector, total), at most ``n`` for each query.
+def reaching(q: np.ndarray, bound: np.ndarray, v: np.ndarray, lists: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Phases two and three in one pair of blocks: (query, vector, total) and how many pairs were multiplied.
 
-    Vectors stand in order of id, so that of equal totals the smaller id stays.
+    At most ``n`` for each query.  Vectors stand in order of id, so that of equal
+    totals the smaller id stays.
     """
-    cutoff = -(-bound // len(parts))[:, None]
-    sufficient = np.logical_or.reduce([part >= cutoff for part in parts])
+    cutoff = -(-bound // lists)
+    runs = _runs(q, v, lists)
+    sufficient = np.zeros((len(q), len(v)), bool)
+    local, rank, work = [], [], 0.0
+    for a, b in runs:
+        # |q| |v| bounds a local score: where the cutoff is above zero, vectors that are too short cannot reach it
+        length = np.sqrt((b.astype(np.float64) ** 2).sum(axis=1))
+        need = np.where(cutoff > 0, cutoff / np.maximum(np.sqrt((a.astype(np.float64) ** 2).sum(axis=1)), 1e-300), 0.0).min(initial=np.inf)
+        order = np.argsort(-length, kind="stable")
+        long = int((length >= need * (1 - 1e-9)).sum())
+        score = a @ b[order[:long]].T
+        sufficient[:, order[:long]] |= score >= cutoff[:, None]
+        place = np.empty(len(v), np.int64)
+        place[order] = np.arange(len(v))
+        local.append(score)
+        rank.append(place)
+        work += len(q) * long / lists
     query, vector = np.nonzero(sufficient)
-    total = sum(part[query, vector] for part in parts)
+    total = np.zeros(len(query), np.int64)
+    for run, score, place in zip(runs, local, rank, strict=True):
+        at = place[vector]
+        there = at < score.shape[1]
+        total[there] += score[query[there], at[there]].astype(np.int64)
+        total[~there] += _dots([run], query[~there], vector[~there])
+        work += int((~there).sum()) / lists
     keep = total >= bound[query]
     query, vector, total = query[keep], vector[keep], total[keep]
     order = np.lexsort((vector, -total, query))
     query, vector, total = query[order], vector[order], total[order]
-    place = np.arange(len(query)) - np.searchsorted(query, query)
-    return query[place < n], vector[place < n], total[place < n]
+    few = np.arange(len(query)) - np.searchsorted(query, query) < n
+    return query[few], vector[few], total[few], work
+
+
+# -- Spark ------------------------------------------------------------------------------------
 
 
 def search(vectors: DataFrame, is_query: F.Column, k: int = K, lists: int = LISTS, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of ``vectors`` (vec_id, v) that ``is_query`` marks."""
     spark = vectors.sparkSession
     rows = common.settle(vectors.select("vec_id", "v", F.coalesce(is_query, F.lit(False)).alias("asks")).distinct(), "vectors")
-    by_vector = W.partitionBy("v").orderBy("vec_id")
-    members = rows.withColumn("n", F.row_number().over(by_vector)).filter(F.col("n") <= k + 1)
-    distinct = members.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    distinct = common.settle(distinct.withColumn("rep", F.xxhash64("v")).select("rep", "v", "ids", F.col("ids")[0].alias("least")), "distinct-vectors")
-    asking = rows.filter("asks").select("vec_id", F.xxhash64("v").alias("rep"))
-    asked = distinct.join(asking.select("rep").distinct(), "rep", "left_semi")
-    # blocks; the vectors of a block are known by least id
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = "ids binary, data binary, width int"
-    vb = distinct.select("least", "v").repartition(parts).mapInArrow(_blocks(vector_block), packed)
-    qb = asked.select("rep", "v").coalesce(1 if asked.count() <= query_block * parts else parts).mapInArrow(_blocks(query_block), packed)
-    qb = common.settle(qb.select(F.monotonically_increasing_id().alias("qb"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("width").alias("q_width")), "query-blocks")
-    vb = common.settle(vb, "vector-blocks")
-    pairs = _pairs(vb, qb)
+    # a query's own id takes no place in its result: once, or as often as it has other vectors
+    own = rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(1)).alias("n")).first()["n"]
+    enough = k + own
+    # the smallest ids of equal vectors, first within parts of them
+    salt = F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).alias("salt")
+    in_part = W.partitionBy("v", "salt").orderBy("vec_id")
+    few = rows.select("vec_id", "v", salt).withColumn("n", F.row_number().over(in_part)).filter(F.col("n") <= enough)
+    members = few.withColumn("n", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).filter(F.col("n") <= enough)
+    asking = rows.groupBy("v").agg(F.count_if("asks").alias("n"))
+    distinct = members.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).join(asking, "v")
+    # a vector's number is written down, so that it is the same in every use
+    distinct = common.settle(distinct.select(F.monotonically_increasing_id().alias("number"), "v", "ids", "n"), "distinct-vectors")
+    n_vectors = distinct.count()
+    parts = max(spark.sparkContext.defaultParallelism, -(-n_vectors // vector_block))
+
+    def vector_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole(batches, vector_block):
+            number, least, asks = (np.asarray(table.column(c).combine_chunks()).astype(np.int64) for c in range(3))
+            order = np.lexsort((number, least))
+            # of equal ids the sign tells which vectors ask: no number is negative
+            yield _block(np.where(asks > 0, number, ~number)[order], least[order], _matrix(table.column(3).to_pylist())[order])
+
+    spread = distinct.select("number", F.col("ids")[0].alias("least"), "n", "v").repartition(parts, "number")
+    blocks = common.settle(spread.mapInArrow(vector_blocks, BLOCK), "vector-blocks")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(len(batch)):
-                ids, data, width, block, q_ids, q_data, q_width = (batch.column(i)[row].as_py() for i in range(7))
-                _, v = _unblock(ids, data, width)
-                _, q = _unblock(q_ids, q_data, q_width)
-                best = first_totals(partial_scores(q, v, lists), k + 1)
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([best.astype("<i8").tobytes()], pa.binary()), pa.array([best.shape[1]], pa.int32())], names=["qb", "best", "width"])
-
-    def merge(key: tuple, table: pa.Table) -> pa.Table:
-        held = None
-        for best, width in zip(table.column("best").to_pylist(), table.column("width").to_pylist(), strict=True):
-            some = np.frombuffer(best, "<i8").reshape(-1, width)
-            held = some if held is None else np.concatenate([held, some], axis=1)
-            held = -np.sort(-held, axis=1)[:, : k + 1]
-        low = held[:, -1] if held.shape[1] == k + 1 else np.full(len(held), np.iinfo(np.int64).min // 2)
-        return pa.table({"qb": pa.array([key[0].as_py()]), "bound": pa.array([low.astype("<i8").tobytes()], pa.binary())})
-
-    bounds = pairs.mapInArrow(gather, "qb long, best binary, width int").groupBy("qb").applyInArrow(merge, "qb long, bound binary")
-    bounds = common.settle(bounds, "cutoffs")
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                marked, _, v = _unblock(*row)
+                for lo in range(0, len(own := np.flatnonzero(marked >= 0)), query_block):
+                    some = own[lo : lo + query_block]
+                    yield _block(marked[some], lower_bounds(v[some], v, lists, enough), v[some])
+
+    asked = common.settle(blocks.mapInArrow(gather, BLOCK).select(F.monotonically_increasing_id().alias("block"), "*"), "query-blocks")
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(len(batch)):
-                ids, data, width, _, q_ids, q_data, q_width, bound = (batch.column(i)[row].as_py() for i in range(8))
-                v_ids, v = _unblock(ids, data, width)
-                q_reps, q = _unblock(q_ids, q_data, q_width)
-                query, vector, total = reaching(partial_scores(q, v, lists), np.frombuffer(bound, "<i8"), k + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(q_reps[query]), pa.array(v_ids[vector]), pa.array(total)], names=["q_rep", "least", "score"])
-
-    with_bound = pairs.join(bounds, "qb").select("ids", "data", "width", "qb", "q_ids", "q_data", "q_width", "bound")
-    found = with_bound.mapInArrow(collect, "q_rep long, least long, score long")
-    best = W.partitionBy("q_rep").orderBy(F.desc("score"), "least")
-    top = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).select("q_rep", "least", "score")
-    # from distinct vectors to ids: the k + 1 best of each distinct query, then without the query itself
-    by_id = W.partitionBy("q_rep").orderBy(F.desc("score"), "vec_id")
-    named = top.join(distinct.select("least", "ids"), "least").select("q_rep", "score", F.explode("ids").alias("vec_id"))
-    named = named.withColumn("n", F.row_number().over(by_id)).filter(F.col("n") <= k + 1)
-    listed = named.groupBy("q_rep").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("best"))  # k + 1 entries at most
-    answers = asking.join(listed, F.col("rep") == F.col("q_rep")).select(F.col("vec_id").alias("query_id"), F.slice(F.filter("best", lambda x: x.vec_id != F.col("vec_id")), 1, k).alias("best"))
-    return answers.select("query_id", F.posexplode("best").alias("pos", "hit")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
-
-
-def _pairs(vb: DataFrame, qb: DataFrame) -> DataFrame:
-    """Every block of vectors with every block of the stated queries."""
-    names = qb.agg(F.collect_list("qb").alias("all"))  # a number per block of queries
-    spread = vb.join(F.broadcast(names), F.lit(True)).select("ids", "data", "width", F.explode("all").alias("qb"))
-    return spread.join(qb, "qb").select("ids", "data", "width", "qb", "q_ids", "q_data", "q_width")
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                marked, least, v = _unblock(*row[:4])
+                asker, bound, q = _unblock(*row[4:])
+                query, vector, total, _ = reaching(q, bound, v, lists, enough)
+                number = np.where(marked < 0, ~marked, marked)
+                yield pa.RecordBatch.from_arrays([pa.array(asker[query]), pa.array(number[vector]), pa.array(least[vector]), pa.array(total)], names=["asker", "number", "least", "score"])
+
+    # `AT_ONCE` blocks of queries at a time: a bounded broadcast in every pass, and as many passes as they need
+    ordered = asked.select("block", F.row_number().over(W.orderBy("block")).alias("at"))  # a number for each block
+    numbered = common.settle(asked.join(ordered, "block").select(F.floor((F.col("at") - 1) / AT_ONCE).alias("pass"), *(F.col(c).alias(f"q_{c}") for c in ("first", "second", "data", "width"))), "query-passes")
+    passes = numbered.agg(F.coalesce(F.max("pass") + 1, F.lit(0)).alias("n")).first()["n"]
+    some = [common.settle(blocks.join(F.broadcast(numbered.filter(F.col("pass") == i).drop("pass")), F.lit(True)).mapInArrow(collect, FOUND), "sufficient") for i in range(passes)]
+    found = reduce(DataFrame.union, some) if some else spark.createDataFrame([], FOUND)
+    best = W.partitionBy("asker").orderBy(F.desc("score"), "least", "number")
+    top = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= enough).select("asker", "number", "score")
+    # from distinct vectors to ids: the best of each distinct query, then without the query itself
+    by_id = W.partitionBy("asker").orderBy(F.desc("score"), "vec_id")
+    named = top.join(distinct.select("number", "ids"), "number").select("asker", "score", F.explode("ids").alias("vec_id"))
+    named = named.withColumn("n", F.row_number().over(by_id)).filter(F.col("n") <= enough)
+    listed = named.groupBy("asker").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("best"))  # `enough` entries at most
+    answers = distinct.filter("n > 0").select("number", "v", "n").join(listed, F.col("number") == F.col("asker")).select("v", "n", "best")
+    ids = rows.filter("asks").select("v", F.col("vec_id").alias("query_id"))
+    each = common.join_counted(ids, answers, "v", ids.count()).select("query_id", F.slice(F.filter("best", lambda x: x.vec_id != F.col("query_id")), 1, k).alias("best"))
+    return each.select("query_id", F.posexplode("best").alias("pos", "hit")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
+
+
+FOUND = "asker long, number long, least long, score long"
 
 
 def op3(vectors: DataFrame) -> DataFrame:
