@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 SPACE = b" \t\n\r\x0b\x0c"
 #: Bytes of text for each partition of a text-heavy shuffle.
 PARTITION_BYTES = 24 << 20
+#: Keys that a join may broadcast because each has more than its share of all rows.
+HOT_KEYS = 10_000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -98,9 +100,23 @@ def partitions_for(docs: DataFrame, size: int, per: int = PARTITION_BYTES) -> in
     return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // per))
 
 
-def row_key() -> "F.Column":
-    """64-bit identity of a (doc_id, text) row; equal rows are the same document."""
-    return F.xxhash64(F.col("doc_id"), F.col("text"))
+def digest(*columns: str) -> "F.Column":
+    """SHA-256 of the columns' values as text, null apart from all others: who has it has those values."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    return F.unhex(F.sha2(F.concat_ws("\x00", *parts), 256))
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """Inner join of ``rows`` with ``counted``, which has each ``key`` once and how often ``rows`` has it as ``n``.
+
+    A key with more than one in ``HOT_KEYS`` of all ``n_rows`` would fill a task;
+    there are fewer than ``HOT_KEYS`` of them, so they are broadcast, and only the
+    others are shuffled.
+    """
+    most = max(64, n_rows // HOT_KEYS)
+    hot, cool = counted.filter(F.col("n") > most), counted.filter(F.col("n") <= most)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cool, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
 def lower_ascii(texts: pa.Array) -> pa.Array:

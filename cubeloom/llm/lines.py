@@ -4,7 +4,7 @@ Every line is hashed; a rolling hash over the last ``REACH`` line hashes ends a
 chunk where its low bits are zero, so that boundaries move with the content and
 a passage is cut alike wherever it stands.  Chunks of at least ``MIN_LINES``
 lines whose hash occurs more than once are grouped by their bytes, and of equal
-ones all but the first, by (doc_id, row key, place), are removed.
+ones all but the first, by (doc_id, digest of the row, place), are removed.
 
 Lines are what stands between newlines; a chunk's bytes are its lines joined by
 newlines.  Defined results: null text has no lines; empty lines count; a
@@ -60,7 +60,7 @@ def _cut(with_bytes: bool):  # noqa: ANN202
             for lo in range(0, len(batch), 1000):
                 some = batch.slice(lo, 1000)
                 rows, places, hashes, texts = [], [], [], []
-                asked = some.column(3).to_pylist() if with_bytes else None
+                asked = [set(x) for x in some.column(3).to_pylist()] if with_bytes else None
                 for row, text in enumerate(some.column(2).to_pylist()):
                     lines = (text or "").split("\n")
                     for place, (a, b) in enumerate(chunks(text)):
@@ -77,20 +77,28 @@ def _cut(with_bytes: bool):  # noqa: ANN202
 
 
 def _base(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", common.row_key().alias("key"), "text")
+    return docs.select("doc_id", common.digest("doc_id", "text").alias("key"), "text")
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """key and place of every chunk of lines that an earlier document or place also has."""
-    found = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, place int, hash long, bytes string"
+    """key, and the places (``gone``) of the chunks of lines that an earlier document or place also has.
+
+    Chunks whose hash stands more than once are grouped by hash and bytes, and the
+    first of each group is elected.  Only the elected go back to their documents:
+    what else was asked there is gone.  So no row of a frequent passage meets the
+    others of it.
+    """
+    found = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, place int, hash long, bytes string"
     hashes = common.settle(_base(docs).mapInArrow(_cut(False), found).select("key", "place", "hash"), "line-chunks")
-    many = hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
-    asked = hashes.join(many, "hash", "left_semi").groupBy("key").agg(F.collect_set("place").alias("asked"))
+    many = common.settle(hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "line-hashes")
+    repeated = common.join_counted(hashes, many, "hash", hashes.count())
+    asked = common.settle(repeated.groupBy("key").agg(F.collect_set("place").alias("asked")), "line-places")
     same = _base(docs).join(asked, "key").select("doc_id", "key", "text", "asked").mapInArrow(_cut(True), found)
     # equal bytes, not only equal hashes; the first in order of document and place stays
-    first = same.groupBy("hash", "bytes").agg(F.min(F.struct("doc_id", "key", "place")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    gone = same.join(first.drop("n"), ["hash", "bytes"]).filter(F.struct("doc_id", "key", "place") > F.col("first"))
-    return gone.select("key", "place")
+    first = same.groupBy("hash", "bytes").agg(F.min(F.struct("doc_id", "key", "place")).alias("first"))
+    elected = first.groupBy("first.key").agg(F.collect_set("first.place").alias("elected"))
+    gone = F.array_except("asked", F.coalesce("elected", F.array().cast("array<int>")))
+    return asked.join(elected, "key", "left").select("key", gone.alias("gone")).filter(F.size("gone") > 0)
 
 
 RESULT = "n_lines long, n_removed long, kept string, kept_sha256 string"
@@ -99,7 +107,7 @@ RESULT = "n_lines long, n_removed long, kept string, kept_sha256 string"
 def dedup(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_lines, n_removed, the text that is kept and its SHA-256."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    gone = repeated_chunks(docs).groupBy("key").agg(F.collect_list("place").alias("gone"))
+    gone = repeated_chunks(docs)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,18 +131,3 @@ def dedup(docs: DataFrame) -> DataFrame:
 def op5(docs: DataFrame) -> DataFrame:
     return dedup(docs).select("doc_id", "n_lines", "n_removed", "kept_sha256")
 
-
-def brute_force(docs: list[tuple[int, str | None]]) -> list[dict]:
-    """The same with one dictionary of bytes, for small tests (doc_ids unique)."""
-    seen: set[str] = set()
-    out = []
-    for doc, text in sorted(docs, key=lambda x: x[0]):
-        lines, kept = [] if text is None else text.split("\n"), []
-        for a, b in chunks(text):
-            passage = "\n".join(lines[a:b])
-            if b - a < MIN_LINES or passage not in seen:
-                kept += lines[a:b]
-            if b - a >= MIN_LINES:
-                seen.add(passage)
-        out.append({"doc_id": doc, "n_lines": len(lines), "n_removed": len(lines) - len(kept), "kept_sha256": hashlib.sha256("\n".join(kept).encode()).hexdigest()})
-    return out
