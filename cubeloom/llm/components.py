@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over edges (u > v)."""
+def _stars(edges: DataFrame, n_edges: int, large: bool) -> DataFrame:
+    """One star step over edges (u > v); the centre of a large star is no task's own."""
     ways = edges if not large else edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = ways.groupBy("u").agg(F.min("v").alias("__m")).select(F.col("u"), F.least("u", "__m").alias("m"))
-    joined = ways.join(least, "u")
+    least = ways.groupBy("u").agg(F.min("v").alias("__m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "__m").alias("m"), "n")
+    joined = common.join_counted(ways, least, "u", 2 * n_edges)
     if large:
         out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -31,13 +31,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(u, v) long pairs -> (node, root): every node that has an edge, and the least of its component."""
     both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct()
     both = common.settle(both, "components")
-    state = None
+    state, n = None, both.count()
     for _ in range(rounds):
-        both = common.settle(_stars(_stars(both, True), False), "components")
+        wide = common.settle(_stars(both, n, True), "components")
+        common.discard(both)
+        both = common.settle(_stars(wide, n, False), "components")
+        common.discard(wide)
         now = both.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == state or not now["n"]:
             break
-        state = now
+        state, n = now, now["n"]
     else:
         raise RuntimeError("components did not settle")
     return both.select(F.col("u").alias("node"), F.col("v").alias("root")).union(both.select(F.col("v"), F.col("v")).distinct())

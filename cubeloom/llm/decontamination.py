@@ -14,19 +14,17 @@ The windows are the stated query set.  They are handled in blocks of at most
 ``BLOCK_WORDS`` benchmark words, which bounds what is broadcast.
 
 Defined results: null texts have no words; an item without words has no window;
-an item of fewer words than the window is one window of its own length; repeated
-items and repeated documents each count; items with a null id occur but are not
+an item of fewer words than the window is one window of its own length; rows of
+one item_id are one item; repeated documents each count; items with a null id occur but are not
 listed; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -258,13 +256,9 @@ def hits(docs: DataFrame, windows: Windows, window_key: str = "doc_id") -> DataF
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)).astype(np.int64))
-            at = 0
-            while at < len(batch):  # at least two bytes a word
-                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 2 * SHARD_WORDS, "right")))
-                part = batch.slice(at, to - at)
+            for lo, hi in common.slices(batch.column(1), 2 * SHARD_WORDS):  # at least two bytes a word
+                part = batch.slice(lo, hi - lo)
                 yield shard(part.column(0), part.column(1))
-                at = to
 
     return docs.select(window_key, "text").mapInArrow(task, f"{window_key} {kind}, {HITS}")
 
@@ -299,33 +293,32 @@ def n_hit() -> F.Column:
     return F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, x: n + x.end - x.start)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark window occurs."""
-    keyed = docs.withColumn("__hit_key", common.row_key())
-    bare = docs.select(common.row_key().alias("doc_id"), "text")
-    dirty = occurrences(bare, benchmark, window).filter(F.size("spans") > 0).select(F.col("doc_id").alias("__hit_key")).distinct()
-    return keyed.join(dirty, "__hit_key", "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark window occurs; rows stay where they are, whole."""
+    text = docs.columns.index("text")
+
+    def without(windows: Windows):  # noqa: ANN202
+        shared = docs.sparkSession.sparkContext.broadcast(windows)
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo, hi in common.slices(batch.column(text), 2 * SHARD_WORDS):  # at least two bytes a word
+                    some = batch.slice(lo, hi - lo)
+                    words, bounds = common.split_words(common.translated(some.column(text), _TABLE))
+                    place, _ = shard_hits(_code_table(words, shared.value), bounds, shared.value)
+                    dirty = np.zeros(len(some), bool)
+                    dirty[np.searchsorted(bounds, place, "right") - 1] = True
+                    yield some.filter(pa.array(~dirty))
+
+        return task
+
+    out = docs
+    for windows in blocks(benchmark, window, block_words):
+        out = out.mapInArrow(without(windows), docs.schema)
+    return out
 
 
 def op6(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = occurrences(docs.select("doc_id", "text"), benchmark)
     return found.select("doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
-
-def brute_force(docs: list[tuple[object, str | None]], items: list[tuple[object, str | None]], window: int = WINDOW) -> list[dict]:
-    """The same rows by comparing every place with every window; for small tests."""
-    wins = []
-    for item, text in items:
-        words = words_of(text)
-        n = min(window, len(words))
-        wins += [(item, tuple(words[i : i + n])) for i in range(len(words) - n + 1 if words else 0)]
-    out = []
-    for doc, text in docs:
-        words, hit, ids = words_of(text), set(), set()
-        for item, win in wins:
-            for at in range(len(words) - len(win) + 1):
-                if tuple(words[at : at + len(win)]) == win:
-                    hit.update(range(at, at + len(win)))
-                    ids.add(str(item))
-        out.append({"doc_id": doc, "n_words": len(words), "n_hit": len(hit), "n_items": len(ids), "items_sha256": hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), "contaminated": bool(hit)})
-    return out

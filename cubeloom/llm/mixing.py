@@ -8,7 +8,8 @@ sizes alike; one random offset per source is added, and a document is emitted
 once for every whole number that the sum passes on it.
 
 Defined results: null text has size 0; a null source is one source of its own,
-last in order; repeated rows are mixed as rows of their own; sources without
+last in order; repeated rows are mixed as rows of their own; rows of equal doc_id,
+source and size stand in order of a hash of their text; sources without
 words get target 0 and no copies; an empty table gives an empty table.
 """
 
@@ -24,7 +25,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Places in line of one (source, size) are counted in so many parts.
 PARTS = 256
 
-_SRC, _SIZE, _PART, _N = "__mix_source", "__mix_size", "__mix_part", "__mix_rank"
+_SRC, _SIZE, _PART, _N, _TIE = "__mix_source", "__mix_size", "__mix_part", "__mix_rank", "__mix_tie"
 
 
 def word_count(text: str = "text") -> F.Column:
@@ -72,7 +73,7 @@ def _key(source: str) -> F.Column:
 
 def mix_plan(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """``docs`` with size, source_size, target and copies (0 to ``cap``) added as ``__mix_*``."""
-    rows = docs.withColumns({_SIZE: word_count(), _SRC: _key("source"), _PART: part_of(F.col("doc_id"))})
+    rows = docs.withColumns({_SIZE: word_count(), _SRC: _key("source"), _PART: part_of(F.col("doc_id")), _TIE: F.xxhash64("text")})
     # counts by (source, size, part), then places in line from three short running sums
     parts = rows.groupBy(_SRC, _SIZE, _PART).agg(F.count(F.lit(1)).alias("n"))  # one plan, so one exchange, for all uses
     sizes = parts.groupBy(_SRC, _SIZE).agg(F.sum("n").alias("n_size"))
@@ -83,7 +84,7 @@ def mix_plan(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIG
     sizes = sizes.select(_SRC, _SIZE, prior("n_size", _SRC, _SIZE).alias("__a"))
     parts = parts.select(_SRC, _SIZE, _PART, prior("n", _SRC, _SIZE, _PART).alias("__b"))
     starts = parts.join(sizes, [_SRC, _SIZE]).join(targets, _SRC).select(_SRC, _SIZE, _PART, (F.col("__a") + F.col("__b")).alias("__start"), "__mix_source_size", "__mix_target")
-    in_part = W.partitionBy(_SRC, _SIZE, _PART).orderBy(F.col("doc_id").asc_nulls_first())
+    in_part = W.partitionBy(_SRC, _SIZE, _PART).orderBy(F.col("doc_id").asc_nulls_first(), _TIE)
     ranked = rows.withColumn(_N, F.row_number().over(in_part)).join(starts, [_SRC, _SIZE, _PART])
     rate = F.when(F.col("__mix_source_size") > 0, F.col("__mix_target") / F.col("__mix_source_size")).otherwise(0.0)
     place = F.col("__start") + F.col(_N)

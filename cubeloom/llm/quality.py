@@ -15,8 +15,8 @@ of ``DIM`` numbers.
 
 Defined results: null and empty texts have no features and score by the model's
 bias; without labels of both classes every score is the share of ones among the
-labels, or 0.5 without any; a null doc_id counts as held out; repeated rows
-score alike; an empty table gives an empty result.
+labels, or 0.5 without any; a null doc_id counts as held out; of several labels
+of one doc_id the least counts; repeated rows score alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -190,28 +190,44 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, label:
     return fit_rows(lists, np.array(found.column("label").to_pylist(), np.int64))
 
 
+def _scored(docs: DataFrame, model: Model):  # noqa: ANN202
+    """A function of whole rows to their scores, for tasks."""
+    shared, text = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def scores(batch: pa.RecordBatch) -> np.ndarray:
+        parts = [np.zeros(0)]
+        for lo, hi in common.slices(batch.column(text), SLICE):
+            row, feature = features(batch.column(text).slice(lo, hi - lo))
+            parts.append(shared.value.scores(row, feature, hi - lo))
+        return np.concatenate(parts)
+
+    return scores
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (doc_id, text and more) reduced to doc_id, the row's key, and the score."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """doc_id and score of every row of ``docs`` (doc_id, text)."""
+    docs = docs.select("doc_id", "text")
+    scores = _scored(docs, model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [np.zeros(0)]
-            for lo, hi in common.slices(batch.column(2), SLICE):
-                row, feature = features(batch.column(2).slice(lo, hi - lo))
-                parts.append(shared.value.scores(row, feature, hi - lo))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(parts))], names=["doc_id", "key", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch))], names=["doc_id", "score"])
         pa.default_memory_pool().release_unused()  # the worker lives on
 
-    return docs.select("doc_id", common.row_key().alias("key"), "text").mapInArrow(task, f"doc_id {kind}, key long, score double")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(task, f"doc_id {kind}, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_train: int = MAX_TRAIN) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``."""
-    good = score(docs, train(docs, labels, max_train)).filter(F.col("score") < threshold).select(F.col("key").alias("__q_key")).distinct()
-    keyed = docs.withColumn("__q_key", common.row_key())
-    return keyed.join(good, "__q_key", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that score at least ``threshold``; rows stay where they are, whole."""
+    scores = _scored(docs, train(docs, labels, max_train))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch) >= threshold))
+        pa.default_memory_pool().release_unused()  # the worker lives on
+
+    return docs.mapInArrow(task, docs.schema)
 
 
 def op7(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -244,23 +244,31 @@ def links(distinct: DataFrame, budget: int = BUDGET, leaf: int = LEAF) -> DataFr
 def classes(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE, leaf: int = LEAF) -> DataFrame:
     """doc_id, fp and component_id of every row of ``docs`` (doc_id, text)."""
     rows = common.settle(fingerprints(docs, shingle), "fingerprints")
-    distinct = common.settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    distinct = common.settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     roots = components(links(distinct, budget, leaf))
-    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.col("n").alias("rows"), F.coalesce("root", "fp").alias("root"))
+    named = common.settle(named, "named-fingerprints")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    ids = common.join_counted(named, least, "root", named.count()).select("fp", "component_id", F.col("rows").alias("n"))
+    return common.join_counted(rows, ids, "fp", rows.count()).select("doc_id", "fp", "component_id")
 
 
 # -- looser budgets ---------------------------------------------------------------------------
 
 #: For a similarity of 0.8 a budget of 64 bits would prune nothing near the root.  So wide
 #: fingerprints of 2 x 64 bits are used, in several tries, each with its own order of the bits, whose
-#: first ``HEAD`` levels allow no differing bit; deeper levels have the whole budget.
+#: first levels (the head) allow no differing bit; deeper levels have the whole budget.
 WIDE = 2 * BITS
-ORDERS = 96
-#: Orders that are descended before the others; what they join is one entry to the rest.
-FIRST_ORDERS = 12
+#: Share of the pairs at the similarity asked for that may meet in no trie's head.
+MISSED = 0.0005
+#: Share of the orders that are descended before the others; what they join is one entry to the rest.
+FIRST = 1 / 8
+#: The least head; entries that share a head are about ``PER_HEAD`` where none are alike.
 HEAD = 16
+PER_HEAD = 4
+#: A head's entries are parted by ``DEEPER`` more levels as long as they are more than this.
+MOST = 1 << 16
+DEEPER = 8
 SIMILARITY = 0.8
 #: Nodes up to this many entries are compared pair by pair.
 SMALL_NODE = 256
@@ -268,14 +276,21 @@ SMALL_NODE = 256
 BLOCK = 512
 
 
+def _angle(similarity: float) -> float:
+    """Probability that a bit differs: the angle between two shingle sets of that Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
 def wide_budget(similarity: float) -> int:
-    """Differing bits that links allow for a Jaccard similarity of two shingle sets.
+    """Differing bits of a candidate: three standard deviations above the mean."""
+    angle = _angle(similarity)
+    return int(WIDE * angle + 3 * math.sqrt(WIDE * angle * (1 - angle)))
 
-    Each bit differs with the probability of the angle between the two sets;
-    two standard deviations above the mean are allowed.
-    """
-    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(WIDE * angle + 2 * math.sqrt(WIDE * angle * (1 - angle)))
+
+def heads(n: int, similarity: float) -> tuple[int, int]:
+    """(levels of a head, orders) for ``n`` entries: heads grow with the entries, and orders with the heads."""
+    head = max(HEAD, math.ceil(math.log2(max(n, 1) / PER_HEAD)))
+    return head, math.ceil(math.log(MISSED) / math.log1p(-((1 - _angle(similarity)) ** head)))
 
 
 def shingles(words: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -303,9 +318,9 @@ def wide_fingerprint(words: list[bytes], shingle: int) -> tuple[int, int]:
     return _majority(shingles(words, shingle)[0])
 
 
-def _orders(orders: int, head: int) -> np.ndarray:
-    """The bits that stand first in each order."""
-    return np.stack([np.random.default_rng([SEED, t]).permutation(WIDE)[:head] for t in range(orders)])
+def _order(t: int) -> np.ndarray:
+    """The bits in order ``t``."""
+    return np.random.default_rng([SEED, t]).permutation(WIDE)
 
 
 def _grow(hi: np.ndarray, lo: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -360,18 +375,73 @@ def _node_links(node: np.ndarray, hi: np.ndarray, lo: np.ndarray, root: np.ndarr
     return roots[moved], roots[label[moved]]
 
 
-def wide_links(entries: DataFrame, budget: int, orders: range, head: int = HEAD) -> DataFrame:
-    """Edges (u, v) between roots of the fingerprints (hi, lo, root) that some order's trie brings together."""
-    chosen = _orders(orders.stop, head)
+def _nodes(bits: np.ndarray, t: int, head: int, depth: int) -> np.ndarray:
+    """The nodes of trie ``t`` that rows of bits reach at ``depth``: numbers, or hashes where those would not fit."""
+    order = _order(t)[:depth]
+    number = bits[:, order[:head]].astype(np.int64) @ (1 << np.arange(head)).astype(np.int64) + (t << head)
+    if depth == head:
+        return number
+    below = np.packbits(bits[:, order[head:]], axis=1)
+    return np.array([xxhash.xxh3_64_intdigest(x.tobytes(), n & (2**63 - 1)) for n, x in zip(number.tolist(), below, strict=True)], np.uint64).view(np.int64)
+
+
+def _bits(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.stack([hi, lo], axis=1).astype("<i8").view(np.uint8).reshape(len(hi), WIDE // 8), axis=1, bitorder="little")
+
+
+def _dealt(entries: DataFrame, orders: range, head: int) -> DataFrame:
+    """node, t, hi, lo, root: every entry at the head of every order."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = (1 << np.arange(head)).astype(np.int64)
         for batch in batches:
             for at in range(0, len(batch), 4000):
                 hi, lo, root = (np.array(c) for c in batch.slice(at, 4000).columns)
-                bits = np.unpackbits(np.stack([hi, lo], axis=1).astype("<i8").view(np.uint8).reshape(len(hi), 16), axis=1, bitorder="little")
-                nodes = np.stack([bits[:, chosen[t]].astype(np.int64) @ weights + (t << head) for t in orders])
-                yield pa.RecordBatch.from_arrays([pa.array(nodes.reshape(-1)), *(pa.array(np.tile(x, len(orders))) for x in (hi, lo, root))], names=["node", "hi", "lo", "root"])
+                bits = _bits(hi, lo)
+                nodes = np.concatenate([_nodes(bits, t, head, head) for t in orders])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.repeat(np.arange(orders.start, orders.stop, dtype=np.int32), len(hi))), *(pa.array(np.tile(x, len(orders))) for x in (hi, lo, root))], names=["node", "t", "hi", "lo", "root"])
+
+    return entries.select("hi", "lo", "root").mapInArrow(deal, DEALT)
+
+
+DEALT = "node long, t int, hi long, lo long, root long"
+
+
+def _parted(dealt: DataFrame, head: int, most: int) -> DataFrame:
+    """``dealt`` with nodes of more than ``most`` entries given up for those below them, as a trie goes on.
+
+    The entries of such nodes are few in kind (copies with small changes), so
+    what is counted and written again is only that part.
+    """
+    spark, depth, out = dealt.sparkSession, head, []
+    while depth < WIDE:
+        counts = common.settle(dealt.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most), "large-nodes")
+        if counts.isEmpty():
+            break
+        # at most one node in `most` entries: a small table, which the planner broadcasts where it fits
+        out.append(dealt.join(counts.select("node"), "node", "left_anti"))
+        depth = min(depth + DEEPER, WIDE)
+
+        def descend(batches: Iterator[pa.RecordBatch], depth: int = depth) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                t, hi, lo = (np.array(batch.column(k)) for k in (1, 2, 3))
+                nodes = np.zeros(len(batch), np.int64)
+                for one in np.unique(t):
+                    mine = t == one
+                    nodes[mine] = _nodes(_bits(hi[mine], lo[mine]), int(one), head, depth)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), *batch.columns[1:]], names=batch.schema.names)
+
+        large = dealt.join(counts.select("node"), "node", "left_semi").select("node", "t", "hi", "lo", "root")
+        dealt = common.settle(large.mapInArrow(descend, DEALT), "lower-nodes")
+    for x in out:
+        dealt = dealt.unionByName(x)
+    return dealt
+
+
+def wide_links(entries: DataFrame, budget: int, orders: range, head: int, most: int | None = None) -> DataFrame:
+    """Edges (u, v) between roots of the fingerprints (hi, lo, root) that some order's trie brings together.
+
+    Without ``most`` no head can have more than ``MOST`` entries.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -395,19 +465,25 @@ def wide_links(entries: DataFrame, budget: int, orders: range, head: int = HEAD)
         if n:
             yield solve(pa.Table.from_batches(held).combine_chunks())
 
-    rows = entries.select("hi", "lo", "root").mapInArrow(deal, "node long, hi long, lo long, root long")
+    dealt = _dealt(entries, orders, head)
+    if most is not None:
+        dealt = _parted(dealt, head, most)
+    rows = dealt.select("node", "hi", "lo", "root")
     return rows.repartition("node").sortWithinPartitions("node").mapInArrow(task, "u long, v long")
 
 
-def wide_classes(distinct: DataFrame, budget: int) -> DataFrame:
+def wide_classes(distinct: DataFrame, budget: int, similarity: float) -> DataFrame:
     """``distinct`` (entry, hi, lo and more) with the least entry of its class as ``root``.
 
     The first orders join most of a large group, so that the others find few
     links that are new.
     """
     entries = distinct.withColumn("root", F.col("entry"))
-    for orders in (range(FIRST_ORDERS), range(FIRST_ORDERS, ORDERS)):
-        found = components(wide_links(entries, budget, orders)).withColumnRenamed("root", "__new")
+    n = distinct.count()
+    head, orders = heads(n, similarity)
+    first = math.ceil(orders * FIRST)
+    for some in (range(first), range(first, orders)):
+        found = components(wide_links(entries, budget, some, head, MOST if n > MOST else None)).withColumnRenamed("root", "__new")
         joined = entries.join(found, F.col("root") == F.col("node"), "left")
         entries = common.settle(joined.withColumn("root", F.coalesce("__new", "root")).drop("node", "__new"), "wide-classes")
     return entries
@@ -551,7 +627,7 @@ def similar_classes(members: DataFrame, budget: int, similarity: float, block: i
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: that of least doc_id, then of least row key.
+    """``docs`` with one row of each near-duplicate group: that of least doc_id, then of least digest.
 
     Two texts are near duplicates if the Jaccard similarity of their distinct
     shingles (64-bit hashes) is at least ``similarity``; groups are the
@@ -565,12 +641,12 @@ def keep_first(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hi, lo = np.zeros(len(batch), np.uint64), np.zeros(len(batch), np.uint64)
-            entry = np.zeros(len(batch), np.uint64)
+            same = []
             for i, t in enumerate(batch.column(2).to_pylist()):
                 hashes, grams = shingles((t or "").encode().translate(_LOWER).split(), shingle)
                 hi[i], lo[i] = _majority(hashes)
-                entry[i] = xxhash.xxh3_64_intdigest(grams.tobytes(), SEED)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x.view(np.int64)) for x in (hi, lo, entry))], names=["id", "key", "hi", "lo", "entry"])
+                same.append(xxhash.xxh3_128_digest(grams.tobytes(), SEED))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x.view(np.int64)) for x in (hi, lo)), pa.array(same, pa.binary())], names=["id", "key", "hi", "lo", "same"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -582,20 +658,23 @@ def keep_first(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5
                 yield pa.RecordBatch.from_arrays([*some.columns[:5], lists], names=["class", "n", "entry", "hi", "lo", "grams"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", common.row_key().alias("key"), "text").mapInArrow(task, f"id {kind}, key long, hi long, lo long, entry long")
+    rows = docs.select("doc_id", common.digest("text").alias("key"), "text").mapInArrow(task, f"id {kind}, key binary, hi long, lo long, same binary")
     rows = common.settle(rows, "wide-fingerprints")
     # an entry is a set of shingles: texts of equal fingerprints and other shingles are compared like any
-    distinct = common.settle(rows.groupBy("entry").agg(F.first("hi").alias("hi"), F.first("lo").alias("lo"), F.min(F.struct("id", "key")).alias("least")), "wide-distinct")
-    candidates = wide_classes(distinct, budget)
-    several = candidates.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumnRenamed("root", "class")
-    asked = candidates.join(several, F.col("root") == F.col("class")).select("class", "n", "entry", "hi", "lo", F.col("least.key").alias("__sim_key"))
-    keyed = docs.withColumn("__sim_key", common.row_key())
-    texts = keyed.select("__sim_key", "text").join(asked, "__sim_key").dropDuplicates(["entry"]).select("class", "n", "entry", "hi", "lo", "text")
+    sets_of = rows.groupBy("same").agg(F.first("hi").alias("hi"), F.first("lo").alias("lo"), F.min(F.struct("id", "key")).alias("least"))
+    distinct = common.settle(sets_of.select(F.monotonically_increasing_id().alias("entry"), "hi", "lo", "least"), "wide-distinct")
+    candidates = wide_classes(distinct, budget, similarity)
+    several = candidates.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    asked = common.join_counted(candidates, several, "root", candidates.count()).select(F.col("root").alias("class"), "n", "entry", "hi", "lo", F.col("least").alias("__sim_least"))
+    keyed = docs.withColumn("__sim_key", F.struct(F.col("doc_id").alias("id"), common.digest("text").alias("key")))
+    texts = keyed.select("__sim_key", "text").join(asked, F.col("__sim_key").eqNullSafe(F.col("__sim_least"))).dropDuplicates(["entry"]).select("class", "n", "entry", "hi", "lo", "text")
     members = common.settle(texts.mapInArrow(sets, "class long, n long, entry long, hi long, lo long, grams array<long>"), "candidate-shingles")
     roots = similar_classes(members, budget, similarity)
     named = candidates.drop("root").join(roots, "entry", "left").withColumn("root", F.coalesce("root", "entry"))
-    kept = named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("__sim_key"))
-    return keyed.join(kept, "__sim_key", "left_semi").dropDuplicates(["__sim_key"]).select(*docs.columns)
+    kept = named.groupBy("root").agg(F.min("least").alias("__sim_least")).select("__sim_least")
+    # doc_id and the digest of the text are who a row is; equal rows are one
+    first = keyed.join(kept, F.col("__sim_key").eqNullSafe(F.col("__sim_least")), "left_semi")
+    return first.dropDuplicates(["__sim_key"]).select(*docs.columns)
 
 
 def op10(docs: DataFrame) -> DataFrame:

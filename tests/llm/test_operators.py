@@ -9,8 +9,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cubeloom.llm import components, decontamination, lines, mixing, quality, sharding, simhash, substrings, token_output, topk, warc
+from cubeloom.llm import common, components, decontamination, lines, mixing, quality, sharding, simhash, substrings, token_output, topk, warc
 
+from . import brute
 from .conftest import odd_rows
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -47,6 +48,25 @@ def test_warc_on_odd_pages(spark):
     assert warc.op1(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_warc_on_random_pages(spark, seed):
+    rng = random.Random(seed)
+    payloads = ["<p>" + rng.choice("xyé") * n for n in (1, 96, 97, 98, 200, 40_000)] + [None, ""]
+    rows = [(i, f"http://h{rng.randrange(9)}.example/{rng.randrange(20)}", rng.choice(payloads)) for i in rng.sample(range(10_000), 300)]
+    first = {}
+    for i, _, html in sorted(rows):
+        first.setdefault(html or "", i)
+    want = []
+    for i, _, html in rows:
+        payload = (html or "").encode()
+        again = len(payload) >= 100 and first[html or ""] < i
+        want.append((i, len(payload), hashlib.sha256(payload).hexdigest(), "revisit" if again else "response", first[html] if again else None))
+    got = warc.op1(spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string")).collect()
+    assert sorted(tuple(r)[:5] for r in got) == sorted([*want, want[0]]) and any(w[4] is not None for w in want)
+    ordered = [(r["url_key"], r["timestamp"]) for r in sorted(got, key=lambda r: (r["range"], r["position"]))]
+    assert ordered == sorted(ordered)
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 7, 16])
 def test_loser_tree_merges(k):
     rng = random.Random(k)
@@ -82,12 +102,10 @@ def test_placement_on_odd_rows(spark, odd, none):
     got = sharding.op2(odd).collect()
     assert len(got) == len(odd_rows()) and all(r["shard"] in sharding.SHARDS for r in got)
     assert len({r["shard"] for r in got if r["doc_id"] == 10}) == 1
-    table = sharding.lookup_table(sharding.SHARDS)
-    for r in spark.range(50).select("id", F.pmod(F.xxhash64("id"), F.lit(sharding.SLOTS)).alias("slot")).collect():
-        row = sharding.place(spark.range(50).filter(F.col("id") == r["id"]), "id", sharding.SHARDS).first()
-        assert row["shard"] == sharding.SHARDS[table[r["slot"]]]
-        if r["id"] > 3:
-            break
+    assert sharding.lookup_table(["a", "b", "c"], 11) == brute.turns(["a", "b", "c"], 11)
+    table = brute.turns(sharding.SHARDS, sharding.SLOTS)
+    ids = spark.range(3000).withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(sharding.SLOTS)))
+    assert all(r["shard"] == sharding.SHARDS[table[r["slot"]]] for r in sharding.place(ids, "id", sharding.SHARDS).collect())
     assert sharding.op2(none).count() == 0
 
 
@@ -106,20 +124,35 @@ def _topk(rows, k=20):
     return sorted(out)
 
 
+@pytest.mark.parametrize("cut", [{}, {"query_block": 3, "vector_block": 7}, {"vector_block": 60, "lists": 3}])
+@pytest.mark.parametrize("seed", range(2))
+def test_topk_is_exact(spark, seed, cut, monkeypatch):
+    monkeypatch.setattr(topk, "AT_ONCE", 2)
+    rng = np.random.default_rng(seed)
+    base = (rng.integers(-3, 4, size=(40, 6)) / 2).astype(np.float32)  # many ties
+    vectors = {i: base[rng.integers(40)].tolist() for i in range(150)} | {1000: None, 1020: [None] * 6, 1040: [float("nan")] * 6, None: base[0].tolist(), 1060: [1.0, 2.0], 1080: [float("inf")] * 6, 1100: []}
+    rows = [*vectors.items(), (40, base[1].tolist()), (40, base[2].tolist()), (0, vectors[0])]  # an id of three vectors, a repeated row
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, rank int")
+    found = topk.search(topk.quantized(df), F.col("vec_id") % 20 == 0, **cut)
+    got = sorted(map(tuple, found.select("query_id", "rank", "vec_id", "score").collect()))
+    want = _topk(rows)
+    # where scores of one id's vectors tie, their order is nobody's
+    assert got == want and len({g[0] for g in got}) == 10
+
+
 @pytest.mark.parametrize("seed", range(3))
-def test_topk_is_exact(spark, seed):
+def test_topk_multiplies_only_what_can_reach_the_cutoff(seed):
     rng = np.random.default_rng(seed)
-    base = rng.normal(size=(40, 6)).astype(np.float32)
-    vectors = [(i, base[rng.integers(40)].tolist()) for i in range(150)] + [(1000, None), (1020, [None] * 6), (1040, [float("nan")] * 6), (None, base[0].tolist()), (1060, [1.0, 2.0]), (0, base[0].tolist())]
-    df = spark.createDataFrame([(i, v, 0) for i, v in {(i, None if v is None else tuple(v)) for i, v in vectors}], "vec_id long, embedding array<float>, rank int")
-    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
-    ids = [i for i, _ in rows]
-    if len(set(ids)) == len(ids):
-        assert sorted(map(tuple, topk.op3(df).select("query_id", "rank", "vec_id", "score").collect())) == _topk(rows)
-    small = topk.search(topk.quantized(df.filter("vec_id < 150").dropDuplicates(["vec_id"])), F.col("vec_id") % 20 == 0, query_block=3, vector_block=7)
-    kept = [(r["vec_id"], r["embedding"]) for r in df.filter("vec_id < 150").dropDuplicates(["vec_id"]).collect()]
-    got = sorted(map(tuple, small.select("query_id", "rank", "vec_id", "score").collect()))
-    assert [g[:2] + g[3:] for g in got] == [e[:2] + e[3:] for e in _topk(kept)]
+    v = rng.integers(-20, 21, (3000, 16)) * rng.choice([1, 2, 40], (3000, 1), p=[0.6, 0.3, 0.1])
+    q = v[rng.choice(3000, 50)]
+    bound = topk.lower_bounds(q, v[:1000], 4, 21)
+    query, vector, total, work = topk.reaching(q, bound, v, 4, 21)
+    scores = q @ v.T
+    assert (bound <= -np.sort(-scores, axis=1)[:, 20]).all() and (bound > 0).all()
+    for i in range(50):
+        order = sorted(range(3000), key=lambda j: (-scores[i, j], j))[:21]
+        assert vector[query == i].tolist() == order and total[query == i].tolist() == scores[i, order].tolist()
+    assert work < 0.7 * 50 * 3000
 
 
 def test_topk_of_nothing(spark):
@@ -185,7 +218,7 @@ def test_line_dedup_matches_brute_force(spark, seed):
     passages = [[f"p{p} line {i}" for i in range(rng.randrange(4, 14))] for p in range(4)]
     rows = [(i, "\n".join(x for _ in range(rng.randrange(4)) for x in (rng.choice(passages) if rng.random() < 0.6 else [f"own {i} {rng.random()}" for _ in range(rng.randrange(6))]))) for i in range(60)]
     got = {r["doc_id"]: r.asDict() for r in lines.op5(frame(spark, rows)).collect()}
-    want = {r["doc_id"]: r for r in lines.brute_force(rows)}
+    want = {r["doc_id"]: r for r in brute.without_repeated_chunks(rows)}
     assert got == want and any(r["n_removed"] for r in want.values())
 
 
@@ -276,7 +309,7 @@ def test_substring_spans_are_maximal(spark):
 
 def test_decontamination_on_odd_rows(odd, none, benchmark, benchmark_rows):
     got = decontamination.op6(odd, benchmark).collect()
-    want = decontamination.brute_force([r[:2] for r in odd_rows()], [r for r in benchmark_rows if r[0] is not None])
+    want = brute.hit_by_benchmark([r[:2] for r in odd_rows()], [r for r in benchmark_rows if r[0] is not None])
     # items without an id occur without being listed
     listed = {(r["doc_id"], r["n_words"]): (r["n_items"], r["items_sha256"]) for r in want}
     assert {(r["doc_id"], r["n_words"]): (r["n_items"], r["items_sha256"]) for r in got} == listed
@@ -293,7 +326,7 @@ def test_fm_index_matches_brute_force(spark, seed):
     docs = [(i, word(rng.randrange(80))) for i in range(25)]
     items = [(i, word(rng.choice([1, 3, 9, 10, 12]))) for i in range(15)]
     df, bench = frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")
-    want = {r["doc_id"]: r for r in decontamination.brute_force(docs, items)}
+    want = {r["doc_id"]: r for r in brute.hit_by_benchmark(docs, items)}
     assert {r["doc_id"]: r.asDict() for r in decontamination.op6(df, bench).collect()} == want
     blocks = decontamination.occurrences(df, bench, block_words=20)  # several benchmark blocks
     for r in blocks.withColumn("n_hit", decontamination.n_hit()).collect():
@@ -326,6 +359,43 @@ def test_classifier_on_odd_rows(odd, none, labels):
     assert all(r["predicted"] == 1 for r in one)
 
 
+def test_hinge_model_matches_plain_descent():
+    rng = np.random.default_rng(5)
+    rows = [(np.sort(rng.choice(30, 6, replace=False)), rng.normal(size=6)) for _ in range(50)]
+    sign = np.where(rng.random(50) < 0.5, 1.0, -1.0)
+    weight, bias = quality.hinge_by_dual_descent(rows, sign, 30, rounds=3000)
+    # the same problem as a dense matrix with a column of ones, by cyclic steps on the dual
+    x = np.zeros((50, 31))
+    x[:, 30] = 1
+    for i, (at, value) in enumerate(rows):
+        x[i, at] = value
+    gram = (x * sign[:, None]) @ (x * sign[:, None]).T
+    alpha = np.zeros(50)
+    for _ in range(5000):
+        for i in range(50):
+            alpha[i] = min(max(alpha[i] - (gram[i] @ alpha - 1) / gram[i, i], 0), 1)
+    best = (alpha * sign) @ x
+    cost = lambda w: 0.5 * w @ w + np.maximum(0, 1 - sign * (x @ w)).sum()
+    assert cost(np.append(weight, bias)) == pytest.approx(cost(best), rel=1e-3)
+
+
+def test_scaled_indicators_are_log_count_ratios():
+    texts, label = ["good Words 12", "good more", "bad words!!", "bad bad more"], np.array([1, 1, 0, 0])
+    row, feature = quality.features(pa.array(texts))
+    lists = [feature[row == i] for i in range(4)]
+    model = quality.fit_rows(lists, label)
+    counts = [{}, {}]
+    for x, y in zip(lists, label, strict=True):
+        for f in x.tolist():
+            counts[y][f] = counts[y].get(f, 0) + 1
+    total = [quality.DIM + sum(c.values()) for c in counts]
+    for f in {f for x in lists for f in x.tolist()}:
+        ratio = np.log((1 + counts[1].get(f, 0)) / total[1]) - np.log((1 + counts[0].get(f, 0)) / total[0])
+        assert model.scale[f] == pytest.approx(ratio**2)
+    scores = model.scores(row, feature, 4)
+    assert scores[:2].min() > scores[2:].max()
+
+
 def test_classifier_on_held_out_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.op7(docs, labels).join(labels, "doc_id").filter("held_out").collect()
@@ -421,7 +491,7 @@ def test_files_hold_the_stream_in_order(spark, tmp_path):
 
 
 def _classes(rows):
-    fps = [(i, simhash.fingerprint((t or "").encode().translate(simhash._LOWER).split())) for i, t in rows]
+    fps = [(i, brute.fingerprint(t)) for i, t in rows]
     label = list(range(len(fps)))
     for _ in range(len(fps)):
         for a in range(len(fps)):
@@ -501,13 +571,7 @@ def test_near_duplicates_keep_one(spark):
     assert sorted(kept) == [k * 10 for k in range(12)]
 
 
-def _grams(text):
-    words = text.split()
-    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-
-
-def _jaccard(a, b):
-    return len(a & b) / len(a | b)
+_grams, _jaccard = brute.grams, brute.jaccard
 
 
 def test_texts_below_the_similarity_both_stay(spark):
@@ -557,6 +621,70 @@ def test_classes_in_blocks_match_all_pairs(spark, block):
     assert got == dict(enumerate(label)) and 10 < len(set(label)) < 80
 
 
+def _near_pairs(rng, n):
+    """Pairs of texts with a Jaccard similarity of 0.8 to 0.9."""
+    rows = []
+    for k in range(n):
+        words = [f"d{k}w{rng.randrange(10**6)}" for _ in range(200)]
+        while True:
+            other = list(words)
+            for at in rng.sample(range(5, 195), rng.randrange(3, 6)):
+                other[at] = f"new{rng.random()}"
+            if 0.8 <= _jaccard(_grams(" ".join(words)), _grams(" ".join(other))) < 0.9:
+                break
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    return rows
+
+
+def test_recall_of_near_copies(spark):
+    rows = _near_pairs(random.Random(31), 400)
+    kept = {r["doc_id"] for r in simhash.keep_first(frame(spark, rows)).collect()}
+    assert kept >= set(range(0, 800, 2))
+    assert 800 - len(kept) >= 0.98 * 400
+
+
+def test_heads_and_orders_grow_with_the_entries():
+    found = [simhash.heads(n, 0.8) for n in (0, 1, 10**5, 10**7, 10**9, 3 * 10**10)]
+    assert found == sorted(found) and found[0][0] == simhash.HEAD and found[-1][0] > 30
+    for head, orders in found:  # a pair at the similarity asked for meets in some head
+        assert (1 - (1 - simhash._angle(0.8)) ** head) ** orders <= simhash.MISSED
+
+
+def test_nodes_of_a_large_group_are_parted(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words)]
+    for _ in range(300):
+        other = list(words)
+        for at in rng.sample(range(300), 3):
+            other[at] = f"new{rng.random()}"
+        texts.append(" ".join(other))
+    texts += [t for _, t in _near_pairs(rng, 20)]
+    wide = [simhash.wide_fingerprint(t.encode().split(), 5) for t in texts]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    entries = spark.createDataFrame([(k, signed(h), signed(x), k) for k, (h, x) in enumerate(wide)], "entry long, hi long, lo long, root long")
+    found = []
+    for most in (None, 30):
+        edges = simhash.wide_links(entries, simhash.wide_budget(0.8), range(100), 16, most)
+        found.append({r["node"]: r["root"] for r in components.components(edges).collect()})
+    assert found[0] == found[1] and sum(r == 0 for r in found[0].values()) == 301
+    parted = simhash._parted(simhash._dealt(entries, range(100), 16), 16, 30)
+    assert parted.count() == 100 * len(texts) and max(r["count"] for r in parted.groupBy("node").count().collect()) <= 30
+
+
+def test_rows_are_known_by_their_values(spark):
+    rows = [(1, "a b", None), (1, "a b", "x"), (1, "a  b", "x"), (None, "=", "x"), (None, None, "x"), (2, "=", "x"), (2, "", "x"), (2, None, "x")]
+    keyed = spark.createDataFrame(rows, "doc_id long, text string, lang string").select(common.digest("doc_id", "text").alias("k"))
+    assert keyed.distinct().count() == 7
+
+
+def test_counted_join_is_a_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", 2)
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 300), (2, 3), (3, 1)) for i in range(n)] + [(9, 0)], "k long, i long")
+    counted = rows.filter("k < 9").groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("top"))
+    assert bag(common.join_counted(rows, counted, "k", 305).select("k", "i", "n", "top").collect()) == bag(rows.join(counted, "k").select("k", "i", "n", "top").collect())
+
+
 def test_large_nodes_and_small_nodes_agree():
     rng = np.random.default_rng(3)
     hi, lo = (rng.integers(0, 1 << 63, 40, np.uint64).repeat(10) ^ (np.uint64(1) << rng.integers(0, 64, 400, np.uint64)) for _ in range(2))

@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from cubeloom.llm import decontamination, mixing, quality, simhash, token_output
+from cubeloom.llm import mixing, quality, token_output
+
+from . import brute
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -41,17 +43,12 @@ def test_whole_pipeline_matches_plain_python(spark):
     scores = model.scores(*quality.features(pa.array([d[1] for d in docs])), len(docs))
     docs = sorted(d for d, s in zip(docs, scores, strict=True) if s >= quality.THRESHOLD)
     # near duplicates: all pairs
-    fps = [simhash.wide_fingerprint(d[1].encode().translate(simhash._LOWER).split(), 5) for d in docs]
-    label = list(range(len(docs)))
-    for _ in range(4):
-        for a in range(len(docs)):
-            for b in range(a):
-                if (fps[a][0] ^ fps[b][0]).bit_count() + (fps[a][1] ^ fps[b][1]).bit_count() <= simhash.wide_budget(0.8):
-                    label[a] = label[b] = min(label[a], label[b])
+    sets = [brute.grams(d[1]) for d in docs]
+    label = brute.joined(len(docs), lambda a, b: brute.jaccard(sets[a], sets[b]) >= 0.8)
     docs = [d for i, d in enumerate(docs) if label[i] == i]
     # benchmark windows
     items = [tuple(r) for r in spark.read.parquet(f"{TABLES}/benchmark.parquet").collect()]
-    dirty = {r["doc_id"] for r in decontamination.brute_force([d[:2] for d in docs], items) if r["contaminated"]}
+    dirty = {r["doc_id"] for r in brute.hit_by_benchmark([d[:2] for d in docs], items) if r["contaminated"]}
     docs = [d for d in docs if d[0] not in dirty]
     # mixing: the SQL of its operator
     import duckdb
