@@ -441,8 +441,8 @@ def dedup(docs: DataFrame, with_text: bool = True, chunk_words: int = CHUNK_WORD
         gone = covered(len(chunk.words), starts)
         ends = np.concatenate([[0], np.cumsum(~gone)])[chunk.bounds]
         n_words = np.diff(chunk.bounds)
-        kept = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), chunk.words.filter(pa.array(~gone)))
-        lines = pc.binary_join(kept, " ").cast(pa.large_binary()).to_pylist()
+        kept = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), chunk.words.filter(pa.array(~gone)))
+        lines = pc.binary_join(kept, pa.scalar(" ", pa.large_string())).cast(pa.large_binary()).to_pylist()
         spans: list[list[dict]] = [[] for _ in lines]
         if with_text:
             for i in np.unique(np.searchsorted(chunk.bounds, np.flatnonzero(gone), "right") - 1).tolist():
