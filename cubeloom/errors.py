@@ -31,10 +31,6 @@ def json_safe(value: Any) -> Any:
     return None if isinstance(value, float) and not math.isfinite(value) else value
 
 
-def _family(code: int, base: type[CubeError], *names: str) -> list[type[CubeError]]:
-    return [type(n, (base,), {"exit_code": code, "__doc__": None, "__module__": __name__}) for n in names]
-
-
 class ConfigurationError(CubeError):
     """A request breaks a rule."""
 
@@ -77,6 +73,65 @@ class UnsupportedError(CubeError):
     exit_code = 9
 
 
-ProductStructureError, RasterMetadataError, MissingGeoreferencingError, MissingRPCMetadataError, InvalidWavelengthError, MissingDEMError, UnreadableDEMError, OutputPathError = _family(4, ProductError, "ProductStructureError", "RasterMetadataError", "MissingGeoreferencingError", "MissingRPCMetadataError", "InvalidWavelengthError", "MissingDEMError", "UnreadableDEMError", "OutputPathError")
-RasterReadError, RasterWriteError, MemoryBudgetExceededError = _family(5, RasterIOError, "RasterReadError", "RasterWriteError", "MemoryBudgetExceededError")
-OrthorectificationError, ReprojectionError, QualityMaskError, SpectralAnalysisError, PreviewError = _family(6, ProcessingError, "OrthorectificationError", "ReprojectionError", "QualityMaskError", "SpectralAnalysisError", "PreviewError")
+class ProductStructureError(ProductError):
+    """A product folder lacks a file, or has too many."""
+
+
+class RasterMetadataError(ProductError):
+    """A raster's header does not say what is needed."""
+
+
+class MissingGeoreferencingError(ProductError):
+    """A raster has no place on the ground."""
+
+
+class MissingRPCMetadataError(ProductError):
+    """A raster has no usable sensor model."""
+
+
+class InvalidWavelengthError(ProductError):
+    """No band has the wavelength that is asked for."""
+
+
+class MissingDEMError(ProductError):
+    """An elevation model is not there."""
+
+
+class UnreadableDEMError(ProductError):
+    """An elevation model cannot be used."""
+
+
+class OutputPathError(ProductError):
+    """An output folder cannot be written."""
+
+
+class RasterReadError(RasterIOError):
+    """A raster cannot be read."""
+
+
+class RasterWriteError(RasterIOError):
+    """A raster cannot be written."""
+
+
+class MemoryBudgetExceededError(RasterIOError):
+    """A read or an output is over its budget."""
+
+
+class OrthorectificationError(ProcessingError):
+    """Orthorectification gives nothing."""
+
+
+class ReprojectionError(ProcessingError):
+    """Reprojection gives nothing."""
+
+
+class QualityMaskError(ProcessingError):
+    """A quality mask cannot be made."""
+
+
+class SpectralAnalysisError(ProcessingError):
+    """An index or a profile cannot be made."""
+
+
+class PreviewError(ProcessingError):
+    """A preview cannot be made."""

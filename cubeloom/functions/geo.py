@@ -36,6 +36,19 @@ TO_LATITUDE = (
 ECCENTRICITY = 2 * math.sqrt(_N) / (1 + _N)
 
 
+def wkt(epsg: int) -> str | None:
+    """Well-known text of WGS 84 in degrees and of its UTM zones; None for others."""
+    degrees = 'GEOGCS["WGS 84",DATUM["WGS_1984",SPHEROID["WGS 84",6378137,298.257223563,AUTHORITY["EPSG","7030"]],AUTHORITY["EPSG","6326"]],PRIMEM["Greenwich",0,AUTHORITY["EPSG","8901"]],UNIT["degree",0.0174532925199433,AUTHORITY["EPSG","9122"]],AXIS["Latitude",NORTH],AXIS["Longitude",EAST],AUTHORITY["EPSG","4326"]]'
+    if epsg == 4326:
+        return degrees
+    if epsg // 100 not in (326, 327) or not 1 <= epsg % 100 <= 60:
+        return None
+    south = epsg // 100 == 327
+    values = {"latitude_of_origin": 0, "central_meridian": int(central_meridian(epsg)), "scale_factor": SCALE, "false_easting": int(FALSE_EASTING), "false_northing": int(FALSE_NORTHING) if south else 0}
+    parameters = ",".join(f'PARAMETER["{k}",{v}]' for k, v in values.items())
+    return f'PROJCS["WGS 84 / UTM zone {epsg % 100}{"S" if south else "N"}",{degrees},PROJECTION["Transverse_Mercator"],{parameters},UNIT["metre",1,AUTHORITY["EPSG","9001"]],AXIS["Easting",EAST],AXIS["Northing",NORTH],AUTHORITY["EPSG","{epsg}"]]'
+
+
 def utm_epsg(lon: Column, lat: Column) -> Column:
     """EPSG code of the UTM zone of a place; NULL outside UTM's domain."""
     zone = F.least(F.greatest(F.floor((lon + 180.0) / 6.0) + 1, F.lit(1)), F.lit(60))

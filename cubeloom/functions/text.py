@@ -41,8 +41,11 @@ def to_number(text: Column) -> Column:
     return text.try_cast("double")
 
 
-def _lower_keys(tags: Column) -> Column:
-    return F.map_from_entries(F.transform(F.map_entries(F.coalesce(tags, F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e.key).alias("key"), e.value.alias("value"))))
+def _tag(tags: Column, key: str) -> Column:
+    """The value whose key is ``key`` in any case; the last one if there are several, NULL if it is blank."""
+    found = F.filter(F.map_entries(tags), lambda e: F.lower(e.key) == key)
+    value = F.try_element_at(found, F.lit(-1)).getField("value")
+    return F.when(F.trim(value) != "", value)
 
 
 def _in_range(nm: Column) -> Column:
@@ -60,10 +63,9 @@ def to_nanometres(value: Column, unit: Column) -> Column:
 
 def wavelength_nm(band_tags: Column, imagery_tags: Column, description: Column) -> Column:
     """Struct (nm, source) of a band: from its tags, the imagery domain, or its description."""
-    tags, imagery = _lower_keys(band_tags), _lower_keys(imagery_tags)
-    unit = F.coalesce(*[tags[k] for k in UNIT_KEYS])
-    tagged = F.coalesce(*[_in_range(to_nanometres(tags[k].try_cast("double"), unit)) for k in WAVELENGTH_KEYS])
-    domain = _in_range(imagery["central_wavelength_um"].try_cast("double") * 1000.0)
+    unit = F.coalesce(*[_tag(band_tags, k) for k in UNIT_KEYS])
+    tagged = F.coalesce(*[_in_range(to_nanometres(_tag(band_tags, k).try_cast("double"), unit)) for k in WAVELENGTH_KEYS])
+    domain = _in_range(_tag(imagery_tags, "central_wavelength_um").try_cast("double") * 1000.0)
     number, word = F.regexp_extract(description, DESCRIPTION, 1).try_cast("double"), F.regexp_extract(description, DESCRIPTION, 2)
     described = _in_range(to_nanometres(number, word))
     source = F.when(tagged.isNotNull(), "band_tag").when(domain.isNotNull(), "imagery_domain").when(described.isNotNull(), "description")

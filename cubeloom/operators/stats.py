@@ -18,30 +18,45 @@ def _usable(long: DataFrame, nodata: float | None) -> DataFrame:
 
 def summarise(long: DataFrame, keys: Sequence[str] = ("band",), nodata: float | None = None, percentiles: Sequence[float] = PERCENTILES) -> DataFrame:
     """count, min, max, mean, population std and percentiles of each key's valid samples; all NULL if there is none."""
-    v = F.col("value")
-    p = F.percentile("value", F.array(*map(F.lit, percentiles)))
-    names = [f"p{round(100 * q)}" for q in percentiles]
-    out = _usable(long, nodata).groupBy(*keys).agg(F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), p.alias("__p"))
-    return out.select(*keys, "count", "min", "max", "mean", "std", *[F.col("__p")[i].alias(n) for i, n in enumerate(names)])
+    keys, v = list(keys), F.col("value")
+    data = _usable(long, nodata)
+    out = data.groupBy(*keys).agg(F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
+    span = out.filter(F.col("count") > 0).select(*keys, F.col("min").alias("__lo"), F.col("max").alias("__hi"), F.col("count").alias("__n"))
+    found = _ranked(data.filter(v.isNotNull()).select(*keys, "value"), span, keys, percentiles, CELLS)
+    names = {q: f"p{round(100 * q)}" for q in percentiles}
+    wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("q") == q, v)).alias(n) for q, n in names.items()])
+    return _join(out, wide, keys, "left").select(*keys, "count", "min", "max", "mean", "std", *names.values())
 
 
-def exact_percentiles(long: DataFrame, keys: Sequence[str] = ("band",), percentiles: Sequence[float] = PERCENTILES, cells: int = 4096, nodata: float | None = None) -> DataFrame:
-    """The same percentiles for groups too large for one aggregation buffer.
+#: Cells that a key's samples are counted in.
+CELLS = 4096
+
+
+def exact_percentiles(long: DataFrame, keys: Sequence[str] = ("band",), percentiles: Sequence[float] = PERCENTILES, cells: int = CELLS, nodata: float | None = None) -> DataFrame:
+    """keys, q and value: interpolated percentiles of each key's valid samples, whatever their number.
 
     One pass counts each key's samples in ``cells`` equal cells between its
     least and greatest value; the cells that hold the wanted ranks are known
     then, and only their samples are ranked.  Every shuffle carries at most
     ``cells`` rows of a key and task, or the samples of the wanted cells, which
     equal values first become one row with a count.
-
-    Returns the keys, q and value.
     """
     keys = list(keys)
     data = _usable(long, nodata).filter(F.col("value").isNotNull()).select(*keys, "value")
     span = data.groupBy(*keys).agg(F.min("value").alias("__lo"), F.max("value").alias("__hi"), F.count(F.lit(1)).alias("__n"))
+    return _ranked(data, span, keys, percentiles, cells)
+
+
+def _join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """By ``keys``, or of one row with all where there are none."""
+    return left.join(right, list(keys), how) if keys else left.join(right, F.lit(True), how)
+
+
+def _ranked(data: DataFrame, span: DataFrame, keys: list[str], percentiles: Sequence[float], cells: int) -> DataFrame:
+    """keys, q, value from samples and their ``span`` (keys, __lo, __hi, __n)."""
     wide = F.col("__hi") - F.col("__lo")
     cell = F.when(wide > 0, F.least(F.floor((F.col("value") - F.col("__lo")) / wide * cells), F.lit(cells - 1))).otherwise(0).cast("int")
-    celled = data.join(F.broadcast(span) if _few(keys) else span, keys).withColumn("__cell", cell)
+    celled = _join(data, span, keys).withColumn("__cell", cell)
     counts = celled.groupBy(*keys, "__cell").agg(F.count(F.lit(1)).alias("__c"))
     order = W.partitionBy(*keys).orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)
     counts = counts.withColumn("__before", F.coalesce(F.sum("__c").over(order), F.lit(0)))
@@ -50,7 +65,7 @@ def exact_percentiles(long: DataFrame, keys: Sequence[str] = ("band",), percenti
     ranks = asked.select(*keys, "q", F.floor(at).alias("__low"), F.ceil(at).alias("__high"), (at - F.floor(at)).alias("__part"))
     ends = ranks.select(*keys, "q", "__part", F.explode(F.array_distinct(F.array("__low", "__high"))).alias("__rank"), (F.col("__low")).alias("__low"))
     inside = (F.col("__rank") >= F.col("__before")) & (F.col("__rank") < F.col("__before") + F.col("__c"))
-    wanted = ends.join(counts, keys).filter(inside)
+    wanted = _join(ends, counts, keys).filter(inside)
     values = celled.join(wanted.select(*keys, "__cell").distinct(), [*keys, "__cell"], "left_semi").groupBy(*keys, "__cell", "value").agg(F.count(F.lit(1)).alias("__m"))
     within = W.partitionBy(*keys, "__cell").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
     values = values.withColumn("__prior", F.coalesce(F.sum("__m").over(within), F.lit(0)))
@@ -61,17 +76,13 @@ def exact_percentiles(long: DataFrame, keys: Sequence[str] = ("band",), percenti
     return hits.groupBy(*keys, "q").agg(low.alias("__a"), high.alias("__b"), F.first("__part").alias("__part")).select(*keys, "q", (F.col("__a") + F.coalesce(F.col("__b") - F.col("__a"), F.lit(0.0)) * F.col("__part")).alias("value"))
 
 
-def _few(keys: Sequence[str]) -> bool:
-    """Bands are a raster's few hundred; other keys may be many."""
-    return list(keys) == ["band"]
-
-
 def stretch_limits(long: DataFrame, lower: float = 2.0, upper: float = 98.0, keys: Sequence[str] = ("band",)) -> DataFrame:
     """low and high percentile of each key (of all samples without keys); high is at least low + 1 if they meet."""
     if not 0 <= lower < upper <= 100:
         raise ValueError("percentiles are in order within 0 and 100")
-    p = F.percentile("value", F.array(F.lit(lower / 100), F.lit(upper / 100)))
-    limits = _usable(long, None).groupBy(*keys).agg(p.alias("p")).select(*keys, F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+    every = _usable(long, None).groupBy(*keys).agg(F.count("value").alias("__all"))
+    found = exact_percentiles(long, keys, (lower / 100, upper / 100)).groupBy(*keys).agg(F.min_by("value", "q").alias("low"), F.max_by("value", "q").alias("high"))
+    limits = _join(every, found, keys, "left").drop("__all")
     return limits.withColumn("high", F.when(F.col("high") <= F.col("low"), F.col("low") + 1).otherwise(F.col("high")))
 
 

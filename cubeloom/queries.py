@@ -19,6 +19,7 @@ from .plans import checks
 Query = Callable[[SparkSession, str], DataFrame]
 
 WIDTH = 25
+# The class names of ``_NAMES``, and the band numbers that stand for colours in the test cube.
 WAVELENGTHS = [420.0 + 32 * i for i in range(64)]
 NIR, RED, GREEN, BLUE = 14, 9, 5, 3
 MASK_BANDS = (3, 5, 9, 14)
@@ -259,20 +260,23 @@ def _defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(cube.select_bands(pixel_cube(spark, sf_dir), MASK_BANDS), **DEFECTS)
 
 
-def _dilate_sql(shape: str, size: int) -> str:
-    offs = ", ".join(f"({y}, {x})" for y, x in quality.kernel(shape, size))
+_RECT_3 = "o(y, x) AS (SELECT y, x FROM range(-1, 2) a(y), range(-1, 2) b(x))"
+_CROSS_5 = "o(y, x) AS (SELECT y, x FROM range(-2, 3) a(y), range(-2, 3) b(x) WHERE y = 0 OR x = 0)"
+
+
+def _dilate_sql(offsets: str) -> str:
     return (
-        f"WITH {_DEFECTS}, o(y, x) AS (VALUES {offs}), r AS (SELECT \"row\" + y AS \"row\", col + x AS col, min(CASE class WHEN 4 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 5 THEN 3 END) AS rank FROM classes, o WHERE class IN (2, 3, 4, 5) GROUP BY ALL) "
+        f"WITH {_DEFECTS}, {offsets}, r AS (SELECT \"row\" + y AS \"row\", col + x AS col, min(CASE class WHEN 4 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 5 THEN 3 END) AS rank FROM classes, o WHERE class IN (2, 3, 4, 5) GROUP BY ALL) "
         "SELECT c.\"row\", c.col, (CASE WHEN class = 1 AND rank IS NOT NULL THEN CASE rank WHEN 0 THEN 4 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 5 END ELSE class END)::SMALLINT AS class FROM classes c LEFT JOIN r ON r.\"row\" = c.\"row\" AND r.col = c.col"
     )
 
 
-@_query(_dilate_sql("rect", 3))
+@_query(_dilate_sql(_RECT_3))
 def quality_dilate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grow(_defects(spark, sf_dir), "dilate", "rect", 3)
 
 
-@_query(_dilate_sql("cross", 5))
+@_query(_dilate_sql(_CROSS_5))
 def quality_dilate_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grow(_defects(spark, sf_dir), "dilate", "cross", 5)
 
@@ -327,30 +331,61 @@ def stretch_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _image(resample.composite(pixel_cube(spark, sf_dir), (RED, GREEN, BLUE), per_band=False, digits=9))
 
 
-_SCENE = (WIDTH, 20)
-_TARGET = (40, 30)
+def scene_size(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """(width, height) of the whole cube: one number from the table."""
+    last = _table(spark, sf_dir, "embeddings").agg(F.max("vec_id").alias("n")).first()["n"]
+    return WIDTH, 0 if last is None else last // WIDTH + 1
+
+
+def _larger(height: int) -> tuple[int, int]:
+    """Target grid of 40 columns, and three rows for every two of the source."""
+    return 40, height * 3 // 2
+
+
+def _smaller(height: int) -> tuple[int, int]:
+    """Target grid of 10 columns, and two rows for every five of the source."""
+    return 10, height * 2 // 5
 
 
 def _red(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scene = cube.window(pixel_cube(spark, sf_dir), 0, 0, *_SCENE)
-    return cube.to_long(cube.select_bands(scene, (RED,)), (RED,))
+    return cube.to_long(cube.select_bands(pixel_cube(spark, sf_dir), (RED,)), (RED,))
+
+
+#: The height of the cube, and of the larger and the smaller target.
+_HEIGHTS = _CUBE + ", heights AS (SELECT max(\"row\") + 1 AS h, (max(\"row\") + 1) * 3 // 2 AS larger, (max(\"row\") + 1) * 2 // 5 AS smaller FROM cube)"
+_LARGER = "g AS (SELECT out_row, out_col::INT AS out_col, (out_row + 0.5::DOUBLE) * (h::DOUBLE / larger) - 0.5::DOUBLE AS y, (out_col + 0.5::DOUBLE) * (25.0::DOUBLE / 40) - 0.5::DOUBLE AS x FROM (SELECT *, unnest(range(larger))::INT AS out_row FROM heights), range(40) c(out_col))"
 
 
 def _warp_sql(method: str) -> str:
     taps = {"nearest": "(0)", "bilinear": "(0), (1)", "cubic": "(-1), (0), (1), (2)"}[method]
-    weight = {"nearest": "1.0::DOUBLE", "bilinear": "1 - abs({0})", "cubic": "CASE WHEN abs({0}) <= 1 THEN 1.5::DOUBLE * abs({0}) ** 3 - 2.5::DOUBLE * abs({0}) ** 2 + 1 WHEN abs({0}) < 2 THEN -0.5::DOUBLE * abs({0}) ** 3 + 2.5::DOUBLE * abs({0}) ** 2 - 4 * abs({0}) + 2 ELSE 0 END"}[method]
+    cubic = "CASE WHEN abs({0}) <= 1 THEN 1.5::DOUBLE * abs({0}) ** 3 - 2.5::DOUBLE * abs({0}) ** 2 + 1 WHEN abs({0}) < 2 THEN -0.5::DOUBLE * abs({0}) ** 3 + 2.5::DOUBLE * abs({0}) ** 2 - 4 * abs({0}) + 2 ELSE 0 END"
+    weight = {"nearest": "1.0::DOUBLE", "bilinear": "1 - abs({0})", "cubic": cubic}[method]
     base = "floor({0} + 0.5)" if method == "nearest" else "floor({0})"
     return (
-        f"WITH {_CUBE}, g AS (SELECT (i // 40)::INT AS out_row, (i % 40)::INT AS out_col, (i // 40 + 0.5::DOUBLE) * (20.0::DOUBLE / 30) - 0.5::DOUBLE AS y, (i % 40 + 0.5::DOUBLE) * (25.0::DOUBLE / 40) - 0.5::DOUBLE AS x FROM range(1200) t(i)), "
-        f"k(d) AS (VALUES {taps}), t AS (SELECT out_row, out_col, {base.format('y')} + a.d AS r, {base.format('x')} + b.d AS c, y, x FROM g, k a, k b), "
+        f"WITH {_HEIGHTS}, {_LARGER}, k(d) AS (VALUES {taps}), "
+        f"t AS (SELECT out_row, out_col, {base.format('y')} + a.d AS r, {base.format('x')} + b.d AS c, y, x FROM g, k a, k b), "
         f"w AS (SELECT *, ({weight.format('(r - y)')}) * ({weight.format('(c - x)')}) AS weight FROM t) "
-        "SELECT out_row, out_col, 9 AS band, round(sum(weight * bands[9]) / sum(weight), 9) AS value FROM w JOIN cube s ON s.\"row\" = r AND s.col = c AND s.\"row\" < 20 GROUP BY out_row, out_col"
+        'SELECT out_row, out_col, 9 AS band, round(sum(weight * bands[9]) / sum(weight), 9) AS value FROM w JOIN cube s ON s."row" = r AND s.col = c GROUP BY out_row, out_col'
     )
 
 
+def _places(spark: SparkSession, source: tuple[int, int]) -> DataFrame:
+    target = _larger(source[1])
+    return resample.scale_places(resample.target_grid(spark, *target), source, target)
+
+
 def _warped(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
-    places = resample.scale_places(resample.target_grid(spark, *_TARGET), _SCENE, _TARGET)
-    return resample.warp(places, _red(spark, sf_dir), method, *_SCENE).withColumn("value", F.round("value", 9))
+    source = scene_size(spark, sf_dir)
+    return resample.warp(_places(spark, source), _red(spark, sf_dir), method, *source).withColumn("value", F.round("value", 9))
+
+
+def _warped_in_tiles(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    """By the operator that the services use; tiles of 16 pixels, so that taps cross their edges."""
+    source = scene_size(spark, sf_dir)
+    one = cube.select_bands(pixel_cube(spark, sf_dir), (RED,))
+    found = resample.warp_tiles(_places(spark, source), one, 1, method, *source, block=16)
+    value = F.round(F.col("bands")[0], 9)
+    return found.select(F.col("row").alias("out_row"), F.col("col").alias("out_col"), F.lit(RED).alias("band"), value.alias("value")).filter(F.col("value").isNotNull())
 
 
 @_query(_warp_sql("nearest"))
@@ -368,34 +403,54 @@ def resample_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _warped(spark, sf_dir, "cubic")
 
 
-@_query(f"WITH {_CUBE}, g AS (SELECT (i // 10)::INT AS \"row\", (i % 10)::INT AS col FROM range(80) t(i)) SELECT g.\"row\", g.col, bands[9] AS b0 FROM g JOIN cube s ON s.\"row\" = floor((g.\"row\" + 0.5::DOUBLE) * (20.0::DOUBLE / 8)) AND s.col = floor((g.col + 0.5::DOUBLE) * (25.0::DOUBLE / 10))")
+@_query(_warp_sql("nearest"))
+def resample_tiles_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _warped_in_tiles(spark, sf_dir, "nearest")
+
+
+@_query(_warp_sql("bilinear"))
+def resample_tiles_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _warped_in_tiles(spark, sf_dir, "bilinear")
+
+
+@_query(_warp_sql("cubic"))
+def resample_tiles_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _warped_in_tiles(spark, sf_dir, "cubic")
+
+
+@_query(
+    f"WITH {_HEIGHTS}, g AS (SELECT *, unnest(range(smaller))::INT AS \"row\" FROM heights) "
+    'SELECT g."row", c.col::INT AS col, bands[9] AS b0 FROM g, range(10) c(col) JOIN cube s ON s."row" = floor((g."row" + 0.5::DOUBLE) * (h::DOUBLE / smaller)) AND s.col = floor((c.col + 0.5::DOUBLE) * (25.0::DOUBLE / 10))'
+)
 def decimated_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scene = cube.window(pixel_cube(spark, sf_dir), 0, 0, *_SCENE)
-    return _named(resample.decimate(cube.select_bands(scene, (RED,)), _SCENE, (10, 8)), (0,))
+    source = scene_size(spark, sf_dir)
+    return _named(resample.decimate(cube.select_bands(pixel_cube(spark, sf_dir), (RED,)), source, _smaller(source[1])), (0,))
 
 
-@_query(f"WITH {_CUBE} SELECT (\"row\" // 5)::INT AS \"row\", (col // 5)::INT AS col, 9 AS band, round(avg(bands[9]), 9) AS value FROM cube WHERE \"row\" < 20 GROUP BY ALL")
+@_query(f"WITH {_CUBE} SELECT (\"row\" // 5)::INT AS \"row\", (col // 5)::INT AS col, 9 AS band, round(avg(bands[9]), 9) AS value FROM cube GROUP BY ALL")
 def block_mean_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.block_mean(_red(spark, sf_dir), 5).withColumn("value", F.round("value", 9))
 
 
 @_query(
-    f"WITH {_CUBE}, s AS (SELECT * FROM cube WHERE \"row\" < 20), g AS (SELECT (i // 10) AS r, (i % 10) AS c FROM range(80) t(i)), "
-    "w AS (SELECT r, c, bands[9] AS v, (least(r + 1, (\"row\" + 1) * 0.4::DOUBLE) - greatest(r, \"row\" * 0.4::DOUBLE)) AS wr, (least(c + 1, (col + 1) * 0.4::DOUBLE) - greatest(c, col * 0.4::DOUBLE)) AS wc FROM s, g) "
-    "SELECT r::INT AS \"row\", c::INT AS col, 9 AS band, round(sum(v * wr * wc) / sum(wr * wc), 9) AS value FROM w WHERE wr > 1e-9 AND wc > 1e-9 GROUP BY r, c"
+    f"WITH {_HEIGHTS}, s AS (SELECT cube.*, smaller::DOUBLE / h AS ratio, smaller FROM cube, heights), d AS (SELECT unnest([0, 1, 2]) AS d), "
+    'w AS (SELECT (floor("row" * ratio) + a.d)::INT AS r, (floor(col * 0.4::DOUBLE) + b.d)::INT AS c, * FROM s, d a, d b), '
+    'x AS (SELECT r, c, bands[9] AS v, (least(r + 1, ("row" + 1) * ratio) - greatest(r, "row" * ratio)) AS wr, (least(c + 1, (col + 1) * 0.4::DOUBLE) - greatest(c, col * 0.4::DOUBLE)) AS wc FROM w WHERE r < smaller AND c < 10) '
+    'SELECT r AS "row", c AS col, 9 AS band, round(sum(v * wr * wc) / sum(wr * wc), 9) AS value FROM x WHERE wr > 1e-9 AND wc > 1e-9 GROUP BY r, c'
 )
 def area_mean_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.area_mean(_red(spark, sf_dir), _SCENE, (10, 8)).withColumn("value", F.round("value", 9))
+    source = scene_size(spark, sf_dir)
+    return resample.area_mean(_red(spark, sf_dir), source, _smaller(source[1])).withColumn("value", F.round("value", 9))
 
 
 _K3 = "k(d, w) AS (VALUES (-1, 0.25::DOUBLE), (0, 0.5::DOUBLE), (1, 0.25::DOUBLE))"
 
 
 @_query(
-    f"WITH {_CUBE}, {_K3}, s AS (SELECT \"row\", col, bands[9] AS v FROM cube WHERE \"row\" < 20), "
-    "y AS (SELECT \"row\" + d AS \"row\", col, sum(v * w) / sum(w) AS v FROM s, k GROUP BY \"row\" + d, col), y2 AS (SELECT * FROM y WHERE \"row\" BETWEEN 0 AND 19), "
-    "x AS (SELECT \"row\", col + d AS col, sum(v * w) / sum(w) AS v FROM y2, k GROUP BY \"row\", col + d) "
-    "SELECT \"row\"::INT AS \"row\", col::INT AS col, 9 AS band, round(v, 9) AS value FROM x WHERE col BETWEEN 0 AND 24"
+    f'WITH {_CUBE}, {_K3}, s AS (SELECT "row", col, bands[9] AS v FROM cube), '
+    'y AS (SELECT "row" + d AS "row", col, sum(v * w) / sum(w) AS v FROM s, k GROUP BY "row" + d, col), y2 AS (SELECT y.* FROM y SEMI JOIN s ON s."row" = y."row" AND s.col = y.col), '
+    'x AS (SELECT "row", col + d AS col, sum(v * w) / sum(w) AS v FROM y2, k GROUP BY "row", col + d) '
+    'SELECT x."row"::INT AS "row", x.col::INT AS col, 9 AS band, round(v, 9) AS value FROM x SEMI JOIN s ON s."row" = x."row" AND s.col = x.col'
 )
 def gaussian_blur_3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.gaussian_blur(_red(spark, sf_dir), 3).withColumn("value", F.round("value", 9))
@@ -427,24 +482,33 @@ def format_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").select("o_orderkey", text.format_bytes(n).alias("size"))
 
 
-_TAGGED = [
-    (1, {"WAVELENGTH": "0.665", "wavelength_units": "um"}, {}, None),
-    (2, {"wavelength": "842"}, {}, "nir"),
-    (3, {"wavelength": "2.2"}, {}, None),
-    (4, {"wavelength": "abc"}, {"CENTRAL_WAVELENGTH_UM": "0.56"}, "band 1 (490 nm)"),
-    (5, {}, {}, "band 42 (655.4 nm)"),
-    (6, {}, {}, "SWIR 1.61 micrometers"),
-    (7, {"wavelength": "50000"}, {}, "no number"),
-    (8, None, None, None),
-    (9, {"central_wavelength": "490", "wavelength_units": "nm"}, {}, "0.7 um"),
-]
+#: Seven kinds of bands from the parts: tags in either case and unit, the imagery domain, descriptions, nothing.
+_WAVELENGTH_SQL = """
+WITH p AS (SELECT p_partkey, p_partkey % 7 AS kind, p_size::DOUBLE AS s FROM part),
+w AS (SELECT *, CASE kind WHEN 0 THEN 400 + s WHEN 1 THEN s / 10 * 1000 WHEN 2 THEN s / 10 * 1000 WHEN 3 THEN 500 + s WHEN 4 THEN 600 + s WHEN 5 THEN s END AS nm FROM p)
+SELECT p_partkey, round(nm, 6) AS nm, CASE kind WHEN 2 THEN 'imagery_domain' WHEN 4 THEN 'description' ELSE 'band_tag' END AS source
+FROM w WHERE nm BETWEEN 100 AND 30000
+UNION ALL SELECT p_partkey, NULL, NULL FROM w WHERE nm IS NULL OR nm NOT BETWEEN 100 AND 30000
+"""
 
 
-@_query("SELECT * FROM (VALUES (1, 665.0::DOUBLE, 'band_tag'), (2, 842.0, 'band_tag'), (3, 2200.0, 'band_tag'), (4, 560.0, 'imagery_domain'), (5, 655.4, 'description'), (6, 1610.0, 'description'), (7, NULL, NULL), (8, NULL, NULL), (9, 490.0, 'band_tag')) t(id, nm, source)")
+@_query(_WAVELENGTH_SQL)
 def wavelength_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_TAGGED, "id int, tags map<string,string>, imagery map<string,string>, description string")
-    found = rows.select("id", text.wavelength_nm(F.col("tags"), F.col("imagery"), F.col("description")).alias("w"))
-    return found.select("id", F.round("w.nm", 6).alias("nm"), "w.source")
+    kind, size = F.col("p_partkey") % 7, F.col("p_size")
+    text_of = lambda c: c.cast("string")
+    no_tags = F.create_map().cast("map<string,string>")
+    tags = (
+        F.when(kind == 0, F.create_map(F.lit("WAVELENGTH"), text_of(size + 400)))
+        .when(kind == 1, F.create_map(F.lit("wavelength"), text_of(size / 10), F.lit("wavelength_units"), F.lit(" "), F.lit("WAVELENGTH_UNIT"), F.lit("um")))
+        .when(kind == 2, F.create_map(F.lit("wavelength"), F.lit("none")))
+        .when(kind == 3, F.create_map(F.lit("Wavelength"), F.lit("1"), F.lit("wavelength"), text_of(size + 500)))
+        .when(kind == 5, F.create_map(F.lit("central_wavelength"), text_of(size), F.lit("wavelength_units"), F.lit("nm")))
+        .otherwise(no_tags)
+    )
+    imagery = F.when(kind == 2, F.create_map(F.lit("CENTRAL_WAVELENGTH_UM"), text_of(size / 10))).otherwise(no_tags)
+    described = F.when(kind == 4, F.concat(F.lit("band 3 ("), text_of(size + 600), F.lit(" nm)"))).otherwise(F.lit("no number here"))
+    found = _table(spark, sf_dir, "part").select("p_partkey", text.wavelength_nm(tags, imagery, described).alias("w"))
+    return found.select("p_partkey", F.round("w.nm", 6).alias("nm"), "w.source")
 
 
 @_query("WITH b AS (SELECT s_suppkey, s_suppkey % 20 AS l, s_suppkey % 7 AS w FROM supplier) SELECT s_suppkey, NOT (l + w < 8 OR l > 12 OR l + w < 9 OR l > 14) AS meets FROM b")
@@ -456,50 +520,54 @@ def bounds_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- maps -------------------------------------------------------------------------------------
 
 
-def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     return _table(spark, sf_dir, "customer").select("c_custkey", (F.lit(6.0) + (k % 61) / F.lit(10.0)).alias("lon"), ((k % 1000) * F.lit(0.16) - 79.0).alias("lat"))
 
 
-def _series_sql(coefficients: tuple[float, ...], x: str, y: str, sign: str) -> tuple[str, str]:
-    east = y + "".join(f" {sign} ({a!r}::DOUBLE) * cos({2 * j} * {x}) * sinh({2 * j} * {y})" for j, a in enumerate(coefficients, 1))
-    north = x + "".join(f" {sign} ({a!r}::DOUBLE) * sin({2 * j} * {x}) * cosh({2 * j} * {y})" for j, a in enumerate(coefficients, 1))
-    return east, north
-
-
-def _utm_sql() -> str:
-    east, north = _series_sql(geo.FORWARD, "xi", "eta", "+")
-    return (
-        "WITH p AS (SELECT c_custkey, 6.0::DOUBLE + (c_custkey % 61) / 10.0::DOUBLE AS lon, (c_custkey % 1000) * 0.16::DOUBLE - 79.0::DOUBLE AS lat FROM customer), "
-        f"a AS (SELECT *, radians(lon - 9.0::DOUBLE) AS lam, sinh(atanh(sin(radians(lat))) - {geo.ECCENTRICITY!r}::DOUBLE * atanh({geo.ECCENTRICITY!r}::DOUBLE * sin(radians(lat)))) AS t FROM p), "
-        "b AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM a) "
-        f"SELECT c_custkey, round(500000 + 0.9996::DOUBLE * {geo.RADIUS!r}::DOUBLE * ({east}), 4) AS easting, round(0.9996::DOUBLE * {geo.RADIUS!r}::DOUBLE * ({north}), 4) AS northing FROM b"
-    )
+#: The projection's series in the third flattening n, written out once more for SQL.
+_UTM_SQL = """
+WITH e AS (SELECT 1 / 298.257223563::DOUBLE AS f),
+n AS (SELECT f / (2 - f) AS n FROM e),
+k AS (
+  SELECT 6378137.0::DOUBLE / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) AS radius, 2 * sqrt(n) / (1 + n) AS ecc,
+         n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 + 41 * n ** 4 / 180 AS a1, 13 * n ** 2 / 48 - 3 * n ** 3 / 5 + 557 * n ** 4 / 1440 AS a2,
+         61 * n ** 3 / 240 - 103 * n ** 4 / 140 AS a3, 49561 * n ** 4 / 161280 AS a4 FROM n
+),
+p AS (SELECT c_custkey, 6.0::DOUBLE + (c_custkey % 61) / 10.0::DOUBLE AS lon, (c_custkey % 1000) * 0.16::DOUBLE - 79.0::DOUBLE AS lat FROM customer),
+a AS (SELECT *, radians(lon - 9.0::DOUBLE) AS lam, sinh(atanh(sin(radians(lat))) - ecc * atanh(ecc * sin(radians(lat)))) AS t FROM p, k),
+b AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM a)
+SELECT c_custkey,
+  round(500000 + 0.9996::DOUBLE * radius * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta) + a4 * cos(8 * xi) * sinh(8 * eta)), 4) AS easting,
+  round(0.9996::DOUBLE * radius * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta) + a4 * sin(8 * xi) * cosh(8 * eta)), 4) AS northing
+FROM b
+"""
 
 
-@_query(_utm_sql())
+@_query(_UTM_SQL)
 def utm_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     east, north = geo.utm_forward(F.col("lon"), F.col("lat"), 32632)
-    return _places(spark, sf_dir).select("c_custkey", F.round(east, 4).alias("easting"), F.round(north, 4).alias("northing"))
+    return _customers(spark, sf_dir).select("c_custkey", F.round(east, 4).alias("easting"), F.round(north, 4).alias("northing"))
 
 
 @_query("SELECT c_custkey, round(6.0::DOUBLE + (c_custkey % 61) / 10.0::DOUBLE, 8) AS lon, round((c_custkey % 1000) * 0.16::DOUBLE - 79.0::DOUBLE, 8) AS lat FROM customer")
 def utm_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     east, north = geo.utm_forward(F.col("lon"), F.col("lat"), 32632)
-    there = _places(spark, sf_dir).select("c_custkey", east.alias("e"), north.alias("n"))
+    there = _customers(spark, sf_dir).select("c_custkey", east.alias("e"), north.alias("n"))
     lon, lat = geo.utm_inverse(F.col("e"), F.col("n"), 32632)
     return there.select("c_custkey", F.round(lon, 8).alias("lon"), F.round(lat, 8).alias("lat"))
 
 
-def toy_rpc(full: bool = False) -> dict:
-    """A sensor model over (9.95, 44.95, 10.05, 45.05) for a scene of 25 x 20 pixels."""
+def toy_rpc(full: bool = False, height: int = 20) -> dict:
+    """A sensor model over (9.95, 44.95, 10.05, 45.05) for a scene of 25 columns and ``height`` rows."""
     one = [1.0] + [0.0] * 19
     line, samp = [0.0] * 20, [0.0] * 20
     line[2], samp[1] = 1.0, 1.0
     if full:
         line[3], line[7], samp[4], samp[19] = 0.02, 0.01, 0.015, -0.003
         one = [1.0, 0.001, -0.002] + [0.0] * 17
-    return {"line_off": 9.5, "samp_off": 12.0, "lat_off": 45.0, "long_off": 10.0, "height_off": 300.0, "line_scale": 9.5, "samp_scale": 12.0, "lat_scale": 0.05, "long_scale": 0.05, "height_scale": 500.0, "line_num": line, "line_den": one, "samp_num": samp, "samp_den": one}
+    middle = (height - 1) / 2
+    return {"line_off": middle, "samp_off": 12.0, "lat_off": 45.0, "long_off": 10.0, "height_off": 300.0, "line_scale": middle, "samp_scale": 12.0, "lat_scale": 0.05, "long_scale": 0.05, "height_scale": 500.0, "line_num": line, "line_den": one, "samp_num": samp, "samp_den": one}
 
 
 _RPC = (
@@ -516,56 +584,79 @@ def rpc_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "customer").select("c_custkey", F.round(line, 7).alias("line"), F.round(sample, 7).alias("sample"))
 
 
-#: Elevations of the ortho query: the first band of the cube, 25 x 20 posts of 0.005 degrees.
-_DEM = (9.94, 0.005, 45.06, -0.005)
+#: Elevations are the first band of the cube, posts of 0.005 degrees of longitude over 0.1 degrees of latitude.
+_ORTHO_SQL = (
+    f"WITH {_HEIGHTS}, o AS (SELECT out_row, c.out_col::INT AS out_col, 9.94::DOUBLE + (c.out_col + 0.5::DOUBLE) * 0.004::DOUBLE AS lon, 45.06::DOUBLE - (out_row + 0.5::DOUBLE) * (0.12::DOUBLE / larger) AS lat, h AS tall FROM (SELECT *, unnest(range(larger))::INT AS out_row FROM heights), range(30) c(out_col)), "
+    'g AS (SELECT o.*, 300.0::DOUBLE + 1000.0::DOUBLE * d.bands[1] AS h FROM o JOIN cube d ON d."row" = floor((lat - 45.06::DOUBLE) / -(0.1::DOUBLE / tall)) AND d.col = floor((lon - 9.94::DOUBLE) / 0.005::DOUBLE)), '
+    f"{_RPC.replace('9.5::DOUBLE', '((tall - 1) / 2.0::DOUBLE)')} "
+    'SELECT out_row, out_col, 9 AS band, round(s.bands[9], 9) AS value FROM q JOIN cube s ON s."row" = floor(line + 0.5::DOUBLE) AND s.col = floor(sample + 0.5::DOUBLE)'
+)
 
 
-@_query(
-    f"WITH {_CUBE}, o AS (SELECT (i // 30)::INT AS out_row, (i % 30)::INT AS out_col, 9.94::DOUBLE + (i % 30 + 0.5::DOUBLE) * 0.004::DOUBLE AS lon, 45.06::DOUBLE - (i // 30 + 0.5::DOUBLE) * 0.004::DOUBLE AS lat FROM range(900) t(i)), "
-    "g AS (SELECT o.*, 300.0::DOUBLE + 1000.0::DOUBLE * d.bands[1] AS h FROM o JOIN cube d ON d.\"row\" = floor((lat - 45.06::DOUBLE) / (-0.005::DOUBLE)) AND d.col = floor((lon - 9.94::DOUBLE) / 0.005::DOUBLE) AND d.\"row\" < 20), "
-    f"{_RPC} SELECT out_row, out_col, 9 AS band, round(s.bands[9], 9) AS value FROM q JOIN cube s ON s.\"row\" = floor(line + 0.5::DOUBLE) AND s.col = floor(sample + 0.5::DOUBLE) AND s.\"row\" < 20"
-)
-def ortho_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scene = cube.window(pixel_cube(spark, sf_dir), 0, 0, *_SCENE)
-    dem = cube.to_long(cube.select_bands(scene, (1,))).select("row", "col", (300.0 + 1000.0 * F.col("value")).alias("height"))
-    grid = ortho.ground_points(resample.target_grid(spark, 30, 30), (0.004, 0.0, 9.94, 0.0, -0.004, 45.06), None)
-    high = ortho.with_height(grid, dem, (0.005, 0.0, 9.94, 0.0, -0.005, 45.06))
-    return ortho.orthorectify(high, _red(spark, sf_dir), toy_rpc(True), "nearest", *_SCENE).withColumn("value", F.round("value", 9))
+def _ortho_places(spark: SparkSession, sf_dir: str, source: tuple[int, int]) -> DataFrame:
+    """Ground points of 30 columns with their heights."""
+    rows = _larger(source[1])[1]
+    dem = cube.to_long(cube.select_bands(pixel_cube(spark, sf_dir), (1,))).select("row", "col", (300.0 + 1000.0 * F.col("value")).alias("height"))
+    grid = ortho.ground_points(resample.target_grid(spark, 30, rows), (0.004, 0.0, 9.94, 0.0, -(0.12 / max(rows, 1)), 45.06), None)
+    return ortho.with_height(grid, dem, (0.005, 0.0, 9.94, 0.0, -(0.1 / max(source[1], 1)), 45.06))
 
 
-# -- checks -----------------------------------------------------------------------------------
+@_query(_ORTHO_SQL)
+def ortho_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = scene_size(spark, sf_dir)
+    high = _ortho_places(spark, sf_dir, source)
+    return ortho.orthorectify(high, _red(spark, sf_dir), toy_rpc(True, source[1]), "nearest", *source).withColumn("value", F.round("value", 9))
+
 
-_CATALOG = [
-    ("a", 1000, 1024, 224, 0.0, False, True, True, True, True, [420.0, 480.0, 560.0], 458_752_000),
-    ("b", 0, 10, 3, None, False, False, False, False, False, [420.0, None, 560.0], 0),
-    ("c", 10, 10, 0, None, True, True, False, True, False, [420.0, 560.0, 480.0, 480.0], 100),
-    ("d", 10, 10, 4, None, False, False, True, False, True, [], 20_000_000_000),
-]
-_CATALOG_SCHEMA = "raster_id string, width int, height int, band_count int, nodata double, nodata_is_nan boolean, has_affine boolean, crs_defined boolean, rpc_available boolean, rpc_usable boolean, wavelengths array<double>, estimated_bytes long"
+@_query(_ORTHO_SQL)
+def ortho_tiles_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the operator that the services use."""
+    source = scene_size(spark, sf_dir)
+    places = ortho.image_places(_ortho_places(spark, sf_dir, source), toy_rpc(True, source[1]))
+    found = resample.warp_tiles(places, cube.select_bands(pixel_cube(spark, sf_dir), (RED,)), 1, "nearest", *source, block=16)
+    value = F.round(F.col("bands")[0], 9)
+    return found.select(F.col("row").alias("out_row"), F.col("col").alias("out_col"), F.lit(RED).alias("band"), value.alias("value")).filter(F.col("value").isNotNull())
 
 
-def _catalog(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_CATALOG, _CATALOG_SCHEMA)
+# -- checks -----------------------------------------------------------------------------------
 
 
-_CHECKS = [
-    ("a", "passed passed passed passed passed passed passed"),
-    ("b", "failed passed warning skipped failed warning passed"),
-    ("c", "passed failed passed warning passed warning passed"),
-    ("d", "passed passed warning skipped failed warning failed"),
-]
-_CHECK_NAMES = ("raster_dimensions", "band_count", "nodata_configured", "rpc_metadata", "georeferencing", "wavelength_metadata", "product_size")
-_CHECK_ROWS = ", ".join(f"('{r}', '{n}', '{s}')" for r, row in _CHECKS for n, s in zip(_CHECK_NAMES, row.split(), strict=True))
+def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog with every kind of fault, a raster per part."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    some = lambda *values: F.array(*[F.lit(v) if v is None or isinstance(v, float) else v for v in values]).cast("array<double>")
+    waves = F.when(k % 6 == 0, some()).when(k % 6 == 1, some(420.0, None, 560.0)).when(k % 6 == 2, some(420.0, 560.0, 480.0, 480.0)).otherwise(some(size + 420.0, size + 480.0, size + 560.0))
+    return _table(spark, sf_dir, "part").select(
+        k.cast("string").alias("raster_id"), ((size % 7) * 100).alias("width"), size.alias("height"), (k % 4).cast("int").alias("band_count"), F.when(k % 3 == 0, 0.0).alias("nodata"), (k % 5 == 0).alias("nodata_is_nan"),
+        (k % 2 == 0).alias("has_affine"), (k % 3 != 1).alias("crs_defined"), (k % 4 < 2).alias("rpc_available"), (k % 8 == 0).alias("rpc_usable"), waves.alias("wavelengths"), (F.floor("p_retailprice") * 10_000_000).alias("estimated_bytes"),
+    )
+
+
+_CHECK_SQL = """
+WITH p AS (SELECT p_partkey AS k, p_size AS s, floor(p_retailprice) * 10000000.0::DOUBLE / 1073741824.0::DOUBLE AS gib FROM part),
+c AS (
+  SELECT k::VARCHAR AS raster_id, unnest(['raster_dimensions', 'band_count', 'nodata_configured', 'rpc_metadata', 'georeferencing', 'wavelength_metadata', 'product_size']) AS name,
+    unnest([
+      CASE WHEN s % 7 > 0 AND s > 0 THEN 'passed' ELSE 'failed' END,
+      CASE WHEN k % 4 > 0 THEN 'passed' ELSE 'failed' END,
+      CASE WHEN k % 3 = 0 OR k % 5 = 0 THEN 'passed' ELSE 'warning' END,
+      CASE WHEN k % 4 >= 2 THEN 'skipped' WHEN k % 8 = 0 THEN 'passed' ELSE 'warning' END,
+      CASE WHEN k % 2 = 0 AND k % 3 <> 1 OR k % 4 < 2 THEN 'passed' ELSE 'failed' END,
+      CASE WHEN k % 6 <= 2 THEN 'warning' ELSE 'passed' END,
+      CASE WHEN gib > 16 THEN 'failed' ELSE 'passed' END
+    ]) AS status FROM p
+)
+"""
 
 
-@_query(f"SELECT * FROM (VALUES {_CHECK_ROWS}) t(raster_id, name, status)")
+@_query(_CHECK_SQL + "SELECT * FROM c")
 def validation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.catalog_checks(_catalog(spark)).select("raster_id", "name", "status")
+    return checks.catalog_checks(_catalog(spark, sf_dir)).select("raster_id", "name", "status")
 
 
-@_query(f"WITH c AS (SELECT * FROM (VALUES {_CHECK_ROWS}) t(raster_id, name, status)) SELECT raster_id, count_if(status = 'passed')::BIGINT AS passed, count_if(status = 'warning')::BIGINT AS warnings, count_if(status = 'failed')::BIGINT AS failed, count_if(status = 'skipped')::BIGINT AS skipped, count_if(status = 'failed') = 0 AS is_valid FROM c GROUP BY raster_id")
+@_query(_CHECK_SQL + "SELECT raster_id, count_if(status = 'passed')::BIGINT AS passed, count_if(status = 'warning')::BIGINT AS warnings, count_if(status = 'failed')::BIGINT AS failed, count_if(status = 'skipped')::BIGINT AS skipped, count_if(status = 'failed') = 0 AS is_valid FROM c GROUP BY raster_id")
 def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.summary(checks.catalog_checks(_catalog(spark)))
+    return checks.summary(checks.catalog_checks(_catalog(spark, sf_dir)))
 
 
 @_query("WITH w AS (SELECT o_custkey, o_totalprice, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders) SELECT o_custkey, coalesce(count_if(o_totalprice <= before), 0)::BIGINT AS steps FROM w GROUP BY o_custkey")

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +15,8 @@ from pyspark.sql import functions as F
 RASTER_TYPES = ("tif", "tiff", "jp2", "img", "bsq", "bil", "bip", "dat", "vrt", "he5", "hdf")
 METADATA_TYPES = ("xml", "json", "txt", "hdr", "met", "imd", "rpb")
 IMAGE_NAMES = ("spectral_image", "spectral-image")
+#: Bytes of a file that are hashed at a time.
+HASH_BYTES = 1 << 20
 
 
 def inventory(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,6 +44,20 @@ def candidates(files: DataFrame) -> DataFrame:
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of files, by executors."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """path, length and SHA-256 of files of any size, read by executors a piece at a time."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = []
+            for name in batch.column(0).to_pylist():
+                local = re.match(r"file:/+(.*)", name)  # names of local files may hold what a URI may not
+                store, at = (fs.LocalFileSystem(), "/" + local[1]) if local else fs.FileSystem.from_uri(name)
+                digest = hashlib.sha256()
+                with store.open_input_stream(at) as source:
+                    while piece := source.read(HASH_BYTES):
+                        digest.update(piece)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], names=["path", "length", "sha256"])
+
+    return files.mapInArrow(task, "path string, length long, sha256 string")

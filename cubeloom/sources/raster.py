@@ -4,7 +4,8 @@ The header is read once on the driver; every partition is a run of tiles, read
 by ranges on an executor and handed over as Arrow batches.  Options: ``path``;
 ``bands`` ("9,5,3", 1-based, order kept); ``window`` ("col_off,row_off,width,height",
 which prunes tiles); ``float32`` (default true); ``fill_nan`` (NoData as NaN
-instead of NULL); ``partition_bytes``.  Rows are row INT, col INT, bands
+instead of NULL); ``masked`` (default true; false leaves NoData as the number it
+is); ``partition_bytes``.  Rows are row INT, col INT, bands
 ARRAY<DOUBLE>.  With ``spark.sql.python.filterPushdown.enabled`` comparisons of
 row and col prune tiles as well; give the option ``pushdown`` then.
 """
@@ -146,6 +147,7 @@ class CubeReader(DataSourceReader):
         self.window = parse_window(options.get("window"), self.raster)
         self.float32 = options.get("float32", "true").lower() == "true"
         self.fill_nan = options.get("fill_nan", "false").lower() == "true"
+        self.masked = options.get("masked", "true").lower() == "true"
         self.partition_bytes = int(options.get("partition_bytes", PARTITION_BYTES))
 
     def partitions(self) -> list[Tile]:
@@ -176,7 +178,7 @@ class CubeReader(DataSourceReader):
         part = cube[r0 - top : r1 - top, c0 - left : c1 - left]
         value = part.astype(np.float32).astype(np.float64) if self.float32 else part.astype(np.float64)
         gone = np.zeros(part.shape, bool)
-        if r.nodata is not None:
+        if r.nodata is not None and self.masked:
             gone = np.isnan(value) if r.nodata != r.nodata else part == r.nodata
         if self.fill_nan:
             value, gone = np.where(gone, np.nan, value), np.zeros(part.shape, bool)
@@ -210,9 +212,12 @@ class CubeReader(DataSourceReader):
         if e.interleave == "bsq":
             planes = {b: take(((b - 1) * r.height + top) * line, rows * line).reshape(rows, r.width) for b in set(self.bands)}
             return np.stack([planes[b] for b in self.bands], axis=2).astype(r.dtype)
-        whole = take(top * line * r.count, rows * line * r.count)
-        cube = whole.reshape(rows, r.count, r.width).transpose(0, 2, 1) if e.interleave == "bil" else whole.reshape(rows, r.width, r.count)
-        return cube[:, :, [b - 1 for b in self.bands]].astype(r.dtype)
+        if e.interleave == "bil":  # lines of one band each: only those that are asked for
+            lines = {b: np.stack([take(((top + y) * r.count + b - 1) * line, line) for y in range(rows)]) for b in set(self.bands)}
+            return np.stack([lines[b] for b in self.bands], axis=2).astype(r.dtype)
+        # pixels of all bands: a line at a time, so that the other bands are not held
+        chosen = [b - 1 for b in self.bands]
+        return np.stack([take((top + y) * line * r.count, line * r.count).reshape(r.width, r.count)[:, chosen] for y in range(rows)]).astype(r.dtype)
 
 
 class PrunedReader(CubeReader):
@@ -255,14 +260,28 @@ def estimate(r: tiff.Raster, width: int, height: int, bands: int, masked: bool =
     return width * height * bands * (np.dtype(r.dtype).itemsize + masked)
 
 
-def read(spark: SparkSession, path: str, bands: list[int] | None = None, window: tuple[int, int, int, int] | None = None, float32: bool = True, fill_nan: bool = False, max_bytes: int | None = None) -> DataFrame:
+def window_header(r: tiff.Raster, bands: list[int] | None = None, window: tuple[int, int, int, int] | None = None) -> tiff.Raster:
+    """What a windowed read of some bands is a raster of: size, bands, descriptions and tags, and the transform of its own corner."""
+    chosen = parse_bands(None if bands is None else ",".join(map(str, bands)), r.count)
+    c, w0, w, h = parse_window(None if window is None else ",".join(map(str, window)), r)
+    x, y, z, u, v, t = r.transform
+    moved = (x, y, x * c + y * w0 + z, u, v, u * c + v * w0 + t)
+    pick = lambda values: {i: values[b] for i, b in enumerate(chosen, 1) if b in values}
+    whole = (c, w0, w, h) == (0, 0, r.width, r.height)
+    return tiff.Raster(
+        width=w, height=h, count=len(chosen), dtype=r.dtype, nodata=r.nodata, transform=moved, epsg=r.epsg, geographic=r.geographic,
+        rpc=r.rpc if whole else None, tags=dict(r.tags), descriptions=pick(r.descriptions), band_tags=pick(r.band_tags), imagery=pick(r.imagery),
+    )
+
+
+def read(spark: SparkSession, path: str, bands: list[int] | None = None, window: tuple[int, int, int, int] | None = None, float32: bool = True, fill_nan: bool = False, max_bytes: int | None = None, masked: bool = True) -> DataFrame:
     """A cube of a raster file; ``max_bytes`` refuses what a single-process consumer could not hold."""
     r = header(path)
     r = r.raster if isinstance(r, Envi) else r
     chosen = parse_bands(None if bands is None else ",".join(map(str, bands)), r.count)
     c, w0, w, h = parse_window(None if window is None else ",".join(map(str, window)), r)
-    if max_bytes is not None and (need := estimate(r, w, h, len(chosen))) > max_bytes:
+    if max_bytes is not None and (need := estimate(r, w, h, len(chosen), masked)) > max_bytes:
         raise MemoryBudgetExceededError("the read is over its budget", context={"bytes": need, "max_bytes": max_bytes})
     spark.dataSource.register(CubeSource)
-    options = {"bands": ",".join(map(str, chosen)), "window": f"{c},{w0},{w},{h}", "float32": str(float32), "fill_nan": str(fill_nan)}
+    options = {"bands": ",".join(map(str, chosen)), "window": f"{c},{w0},{w},{h}", "float32": str(float32), "fill_nan": str(fill_nan), "masked": str(masked)}
     return spark.read.format("raster_cube").options(**options).load(path)

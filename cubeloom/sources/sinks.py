@@ -1,8 +1,8 @@
 """Sinks: Parquet tiles, single GeoTIFF files, PNG, CSV and JSON, all atomic.
 
 Cubes that stay in Spark belong in Parquet, sorted by tile.  A GeoTIFF is one
-file by contract: tasks encode its tiles, which are settled in a folder beside
-it, and the driver appends them one after another, holding one at a time.
+file by contract: tasks encode its tiles, which are settled in shared storage,
+and the driver appends them one after another, holding one at a time.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 import contextlib
 import json
 import os
-import shutil
 import struct
 import tempfile
 import uuid
@@ -25,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import OutputPathError, RasterWriteError, json_safe
+from ..shared import delete, shared_dir
 from . import tiff
 
 
@@ -105,10 +105,11 @@ def write_geotiff(cube: DataFrame, path: str | Path, raster: tiff.Raster, layout
     layout = layout or tiff.Layout()
     path = Path(path)
     check_target(path, overwrite)
-    beside = path.parent / f".{path.name}.tiles-{uuid.uuid4().hex}"
+    spark = cube.sparkSession
+    settled = shared_dir(spark, "tiles")
     try:
-        encoded_tiles(cube, raster.width, raster.height, raster.count, raster.dtype, raster.nodata, layout).write.parquet(beside.as_uri())
-        tiles = cube.sparkSession.read.parquet(beside.as_uri())
+        encoded_tiles(cube, raster.width, raster.height, raster.count, raster.dtype, raster.nodata, layout).write.parquet(settled)
+        tiles = spark.read.parquet(settled)
         total = tiles.agg(F.sum(F.length("payload"))).first()[0] or 0
         big = total > 3_500_000_000  # offsets of 32 bits end at 4 GB
         with replacing(path, overwrite) as new, new.open("r+b") as out:
@@ -121,7 +122,7 @@ def write_geotiff(cube: DataFrame, path: str | Path, raster: tiff.Raster, layout
             raster.block_width = raster.block_height = layout.block
             tiff.write_directory(out, raster, layout, big)
     finally:
-        shutil.rmtree(beside, ignore_errors=True)
+        delete(spark, settled)
     return path
 
 

@@ -68,6 +68,44 @@ def test_windows_masks_and_budget(spark, scene):
     assert raster.estimate(raster.header(path), 10, 10, 3) == 900
 
 
+def test_a_crop_keeps_its_place(spark, scene, tmp_path):
+    path, a = scene
+    window = (5, 7, 10, 3)
+    h = raster.window_header(raster.header(path), [3, 1], window)
+    assert (h.width, h.height, h.count, h.epsg, h.nodata) == (10, 3, 2, 32633, 0.0)
+    assert h.transform == (30.0, 0.0, 500000.0 + 5 * 30, 0.0, -30.0, 5000000.0 - 7 * 30)
+    assert {i: t["wavelength"] for i, t in h.band_tags.items()} == {1: "665", 2: "490"} and h.tags["SENSOR"] == "made"
+    moved = raster.read(spark, path, bands=[3, 1], window=window).withColumns({"row": F.col("row") - 7, "col": F.col("col") - 5})
+    crop = str(sinks.write_geotiff(moved, tmp_path / "crop.tif", h, tiff.Layout(block=16)))
+    assert raster.header(crop).transform == h.transform and load(spark, crop)[0, 0] == [a[2, 7, 5], a[0, 7, 5]]
+    whole = raster.window_header(raster.header(path))
+    assert whole.transform == PLACE and whole.count == 4
+
+
+def test_nodata_stays_a_number_without_a_mask(spark, scene):
+    path, _ = scene
+    assert load(spark, path)[0, 0] == [None] * 4 and load(spark, path, masked=False)[0, 0] == [0.0] * 4
+
+
+def test_checksums_are_of_whole_files(spark, tmp_path):
+    import hashlib
+
+    data = bytes(range(256)) * 9000  # several pieces
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a b.bin").write_bytes(data)
+    (tmp_path / "d" / "c.txt").write_bytes(b"x")
+    got = {r["path"].rsplit("/", 1)[1]: (r["length"], r["sha256"]) for r in files.checksums(spark, str(tmp_path / "d")).collect()}
+    assert got == {"a b.bin": (len(data), hashlib.sha256(data).hexdigest()), "c.txt": (1, hashlib.sha256(b"x").hexdigest())}
+
+
+def test_tiles_go_to_shared_storage(spark, scene, tmp_path):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    shared = Path(urlparse(spark.conf.get("spark.checkpoint.dir")).path)
+    assert not list(Path(scene[0]).parent.glob(".*")) and not list(shared.glob("tiles-*"))
+
+
 def test_blocks_together_are_the_whole(spark, scene):
     path, a = scene
     reader = raster.CubeReader({"path": path, "partition_bytes": "1"})

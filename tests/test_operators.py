@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cubeloom.functions import geo, pixels
+from cubeloom.functions import geo, pixels, text
 from cubeloom.operators import bands, cube, ortho, quality, resample, stats
 from cubeloom.plans import grids
 
@@ -234,3 +234,36 @@ def test_warp_by_tiles_is_the_warp_by_taps(spark, method):
     assert len(tiles) == 2 * 50 * 31
     for key, value in tiles.items():
         assert (value is None and taps.get(key) is None) or value == pytest.approx(taps[key])
+
+
+def test_tags_in_any_case_and_the_last_of_them_counts(spark):
+    rows = [
+        (1, {"WAVELENGTH": "1", "wavelength": "842"}, None, None),
+        (2, {"wavelength": "0.6", "wavelength_units": "", "Wavelength_Unit": "um"}, None, None),
+        (3, {"wavelength": " "}, {"central_wavelength_um": "", "CENTRAL_WAVELENGTH_UM": "0.56"}, "490 nm"),
+        (4, {}, {}, "490 nm"),
+        (5, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "id int, tags map<string,string>, imagery map<string,string>, description string")
+    got = {r["id"]: tuple(r["w"]) for r in df.select("id", text.wavelength_nm(F.col("tags"), F.col("imagery"), F.col("description")).alias("w")).collect()}
+    assert got == {1: (842.0, "band_tag"), 2: (600.0, "band_tag"), 3: (560.0, "imagery_domain"), 4: (490.0, "description"), 5: (None, None)}
+
+
+def test_statistics_keep_no_value_lists(spark):
+    df = spark.createDataFrame([(1, float(v)) for v in range(1, 11)] + [(2, float("nan")), (3, 5.0), (4, None)], "band int, value double")
+    found = stats.summarise(df)
+    assert "percentile" not in found._jdf.queryExecution().toString().lower()
+    got = {r["band"]: r for r in found.collect()}
+    assert (got[1]["count"], got[1]["min"], got[1]["max"], got[1]["mean"]) == (10, 1.0, 10.0, 5.5)
+    assert got[1]["p2"] == pytest.approx(np.percentile(range(1, 11), 2)) and got[1]["p98"] == pytest.approx(np.percentile(range(1, 11), 98))
+    assert got[2]["count"] == 0 and got[2]["p2"] is None and got[3]["p2"] == got[3]["p98"] == 5.0 and got[4]["max"] is None
+    limits = stats.stretch_limits(df, 0, 100, keys=()).collect()
+    assert [tuple(r) for r in limits] == [(1.0, 10.0)]
+    by_band = {r["band"]: (r["low"], r["high"]) for r in stats.stretch_limits(df).collect()}
+    assert by_band[3] == (5.0, 6.0) and by_band[2] == (None, None)
+
+
+def test_crs_text():
+    assert geo.wkt(4326).startswith('GEOGCS["WGS 84"') and geo.wkt(3857) is None
+    south = geo.wkt(32733)
+    assert 'UTM zone 33S"' in south and 'PARAMETER["central_meridian",15]' in south and 'PARAMETER["false_northing",10000000]' in south and south.count("[") == south.count("]")
