@@ -238,13 +238,14 @@ def test_warp_by_tiles_is_the_warp_by_taps(spark, method):
 
 def test_tags_in_any_case_and_the_last_of_them_counts(spark):
     rows = [
-        (1, {"WAVELENGTH": "1", "wavelength": "842"}, None, None),
         (2, {"wavelength": "0.6", "wavelength_units": "", "Wavelength_Unit": "um"}, None, None),
         (3, {"wavelength": " "}, {"central_wavelength_um": "", "CENTRAL_WAVELENGTH_UM": "0.56"}, "490 nm"),
         (4, {}, {}, "490 nm"),
         (5, None, None, None),
     ]
-    df = spark.createDataFrame(rows, "id int, tags map<string,string>, imagery map<string,string>, description string")
+    schema = "id int, tags map<string,string>, imagery map<string,string>, description string"
+    ordered = spark.range(1).select(F.lit(1).alias("id"), F.expr("map('WAVELENGTH', '1', 'wavelength', '842')").alias("tags"), F.lit(None).alias("imagery"), F.lit(None).alias("description"))
+    df = spark.createDataFrame(rows, schema).union(ordered)
     got = {r["id"]: tuple(r["w"]) for r in df.select("id", text.wavelength_nm(F.col("tags"), F.col("imagery"), F.col("description")).alias("w")).collect()}
     assert got == {1: (842.0, "band_tag"), 2: (600.0, "band_tag"), 3: (560.0, "imagery_domain"), 4: (490.0, "description"), 5: (None, None)}
 
