@@ -6,20 +6,19 @@ Everything that outlives a stage is written under the folder named by
 
 from __future__ import annotations
 
-import posixpath
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import cache
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import delete, shared_dir
+
 #: ASCII white space, as in ``[\x20\x09-\x0D]``.
 SPACE = b" \t\n\r\x0b\x0c"
 #: Bytes of text for each partition of a text-heavy shuffle.
@@ -29,24 +28,6 @@ HOT_KEYS = 10_000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder name in the shared storage of the cluster.
-
-    ``spark.checkpoint.dir`` is used where it is set.  Only a session that runs
-    in one local process may do without, in a temporary folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    root = root or _local_root()
-    return posixpath.join(root, f"{tag}-{uuid.uuid4().hex}")
-
-
-@cache
-def _local_root() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="cubeloom-")
-
-
 def settle(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to shared storage and read it again: lineage ends there.
 
@@ -62,15 +43,35 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
+    if _OPEN:
+        _OPEN[-1].append(out)
     return out
 
 
+#: What was settled inside each :func:`scratch` that is open.
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """What is settled inside is deleted at its end, but for the frames put on the list that it gives."""
+    made: list[DataFrame] = []
+    keep: list[DataFrame] = []
+    _OPEN.append(made)
+    try:
+        yield keep
+    finally:
+        _OPEN.pop()
+        kept = {df._settled_at for df in keep}
+        discard(*(df for df in made if df._settled_at not in kept))
+        if _OPEN:
+            _OPEN[-1] += keep
+
+
 def discard(*settled: DataFrame) -> None:
     """Delete what :func:`settle` wrote for these; nothing may read them any more."""
     for df in settled:
-        jvm, spark = df.sparkSession._jvm, df.sparkSession
-        path = jvm.org.apache.hadoop.fs.Path(df._settled_at)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        delete(df.sparkSession, df._settled_at)
 
 
 def put(folder: str, name: str, data: bytes | pa.Buffer) -> None:
@@ -78,7 +79,7 @@ def put(folder: str, name: str, data: bytes | pa.Buffer) -> None:
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
     draft = f"{path}/.{name}.{uuid.uuid4().hex}"
-    with store.open_output_stream(draft) as out:
+    with store.open_output_stream(draft, compression=None) as out:
         out.write(data)
     store.move(draft, f"{path}/{name}")
 
@@ -86,7 +87,7 @@ def put(folder: str, name: str, data: bytes | pa.Buffer) -> None:
 def get(folder: str, name: str) -> pa.Buffer:
     """The bytes of a file in shared storage."""
     store, path = fs.FileSystem.from_uri(folder)
-    with store.open_input_stream(f"{path}/{name}") as source:
+    with store.open_input_stream(f"{path}/{name}", compression=None) as source:
         return source.read_buffer()
 
 

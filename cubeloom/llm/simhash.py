@@ -243,13 +243,16 @@ def links(distinct: DataFrame, budget: int = BUDGET, leaf: int = LEAF) -> DataFr
 
 def classes(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE, leaf: int = LEAF) -> DataFrame:
     """doc_id, fp and component_id of every row of ``docs`` (doc_id, text)."""
-    rows = common.settle(fingerprints(docs, shingle), "fingerprints")
-    distinct = common.settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
-    roots = components(links(distinct, budget, leaf))
-    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.col("n").alias("rows"), F.coalesce("root", "fp").alias("root"))
-    named = common.settle(named, "named-fingerprints")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    ids = common.join_counted(named, least, "root", named.count()).select("fp", "component_id", F.col("rows").alias("n"))
+    with common.scratch() as keep:
+        rows = common.settle(fingerprints(docs, shingle), "fingerprints")
+        distinct = common.settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
+        roots = components(links(distinct, budget, leaf))
+        named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.col("n").alias("rows"), F.coalesce("root", "fp").alias("root"))
+        named = common.settle(named, "named-fingerprints")
+        least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+        ids = common.join_counted(named, least, "root", named.count()).select("fp", "component_id", F.col("rows").alias("n"))
+        ids = common.settle(ids, "component-ids")
+        keep += [rows, ids]
     return common.join_counted(rows, ids, "fp", rows.count()).select("doc_id", "fp", "component_id")
 
 
@@ -611,8 +614,10 @@ def similar_classes(members: DataFrame, budget: int, similarity: float, block: i
         of_root = now.filter(F.col("n") > block).groupBy("class", "root").agg(F.count(F.lit(1)).alias("of_root"))
         of_root = of_root.withColumn("big", F.when(F.col("of_root") > block, F.col("root")))
         rest = of_root.filter("big IS NULL").groupBy("class").agg(F.sum("of_root").alias("of_rest"))
-        sized = of_root.join(rest, "class", "left").select("class", "root", "big", F.ceil(F.coalesce(F.when(F.col("big").isNotNull(), F.col("of_root")), "of_rest") / block).cast("int").alias("count"))
-        placed = now.filter(F.col("n") > block).join(sized, ["class", "root"])
+        count = F.ceil(F.coalesce(F.when(F.col("big").isNotNull(), F.col("of_root")), "of_rest") / block).cast("int")
+        sized = of_root.join(rest, "class", "left").select(F.struct("class", "root").alias("__of"), "big", count.alias("count"), F.col("of_root").alias("n"))
+        entries = now.filter(F.col("n") > block).drop("n").withColumn("__of", F.struct("class", "root"))
+        placed = common.join_counted(entries, sized, "__of", entries.count())
         placed = placed.withColumn("b", F.pmod(F.xxhash64(F.when(F.col("big").isNotNull(), F.col("entry")).otherwise(F.col("root"))), F.col("count")).cast("int"))
         placed = common.settle(placed.select("class", "entry", "root", F.struct("big", "b").alias("b")), "similar-blocks")
         blocks = placed.select("class", "b").distinct()
@@ -658,20 +663,22 @@ def keep_first(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5
                 yield pa.RecordBatch.from_arrays([*some.columns[:5], lists], names=["class", "n", "entry", "hi", "lo", "grams"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", common.digest("text").alias("key"), "text").mapInArrow(task, f"id {kind}, key binary, hi long, lo long, same binary")
-    rows = common.settle(rows, "wide-fingerprints")
-    # an entry is a set of shingles: texts of equal fingerprints and other shingles are compared like any
-    sets_of = rows.groupBy("same").agg(F.first("hi").alias("hi"), F.first("lo").alias("lo"), F.min(F.struct("id", "key")).alias("least"))
-    distinct = common.settle(sets_of.select(F.monotonically_increasing_id().alias("entry"), "hi", "lo", "least"), "wide-distinct")
-    candidates = wide_classes(distinct, budget, similarity)
-    several = candidates.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    asked = common.join_counted(candidates, several, "root", candidates.count()).select(F.col("root").alias("class"), "n", "entry", "hi", "lo", F.col("least").alias("__sim_least"))
-    keyed = docs.withColumn("__sim_key", F.struct(F.col("doc_id").alias("id"), common.digest("text").alias("key")))
-    texts = keyed.select("__sim_key", "text").join(asked, F.col("__sim_key").eqNullSafe(F.col("__sim_least"))).dropDuplicates(["entry"]).select("class", "n", "entry", "hi", "lo", "text")
-    members = common.settle(texts.mapInArrow(sets, "class long, n long, entry long, hi long, lo long, grams array<long>"), "candidate-shingles")
-    roots = similar_classes(members, budget, similarity)
-    named = candidates.drop("root").join(roots, "entry", "left").withColumn("root", F.coalesce("root", "entry"))
-    kept = named.groupBy("root").agg(F.min("least").alias("__sim_least")).select("__sim_least")
+    with common.scratch() as keep:
+        rows = docs.select("doc_id", common.digest("text").alias("key"), "text").mapInArrow(task, f"id {kind}, key binary, hi long, lo long, same binary")
+        rows = common.settle(rows, "wide-fingerprints")
+        # an entry is a set of shingles: texts of equal fingerprints and other shingles are compared like any
+        sets_of = rows.groupBy("same").agg(F.first("hi").alias("hi"), F.first("lo").alias("lo"), F.min(F.struct("id", "key")).alias("least"))
+        distinct = common.settle(sets_of.select(F.monotonically_increasing_id().alias("entry"), "hi", "lo", "least"), "wide-distinct")
+        candidates = wide_classes(distinct, budget, similarity)
+        several = candidates.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        asked = common.join_counted(candidates, several, "root", candidates.count()).select(F.col("root").alias("class"), "n", "entry", "hi", "lo", F.col("least").alias("__sim_least"))
+        keyed = docs.withColumn("__sim_key", F.struct(F.col("doc_id").alias("id"), common.digest("text").alias("key")))
+        texts = keyed.select("__sim_key", "text").join(asked, F.col("__sim_key").eqNullSafe(F.col("__sim_least"))).dropDuplicates(["entry"]).select("class", "n", "entry", "hi", "lo", "text")
+        members = common.settle(texts.mapInArrow(sets, "class long, n long, entry long, hi long, lo long, grams array<long>"), "candidate-shingles")
+        roots = similar_classes(members, budget, similarity)
+        named = candidates.drop("root").join(roots, "entry", "left").withColumn("root", F.coalesce("root", "entry"))
+        kept = common.settle(named.groupBy("root").agg(F.min("least").alias("__sim_least")).select("__sim_least"), "first-of-groups")
+        keep.append(kept)
     # doc_id and the digest of the text are who a row is; equal rows are one
     first = keyed.join(kept, F.col("__sim_key").eqNullSafe(F.col("__sim_least")), "left_semi")
     return first.dropDuplicates(["__sim_key"]).select(*docs.columns)

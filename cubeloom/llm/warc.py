@@ -33,7 +33,6 @@ from typing import Any
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -189,13 +188,8 @@ def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) ->
 
         def flush() -> pa.RecordBatch:
             nonlocal held, size
-            store, path = fs.FileSystem.from_uri(folder)
-            store.create_dir(path, recursive=True)
             name = f"{uuid.uuid4().hex}.warc.gz"
-            with store.open_output_stream(f"{path}/.{name}", compression=None) as out:
-                for x in held:
-                    out.write(x)
-            store.move(f"{path}/.{name}", f"{path}/{name}")  # whole files only have their name
+            common.put(folder, name, b"".join(held))
             row = pa.RecordBatch.from_pydict({"archive": [name], "n": pa.array([len(held)], pa.int64())})
             held, size = [], 0
             return row
