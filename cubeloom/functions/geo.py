@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: WGS 84 and UTM, fixed values.
 SEMI_MAJOR, FLATTENING, SCALE, FALSE_EASTING, FALSE_NORTHING = 6378137.0, 1 / 298.257223563, 0.9996, 500_000.0, 10_000_000.0
 LATITUDES = (-80.0, 84.0)
+WEB_MERCATOR = 3857
 
 _N = FLATTENING / (2 - FLATTENING)
 #: Rectifying radius, and the series of the transverse Mercator projection to the fourth power of n.
@@ -90,6 +91,24 @@ def utm_inverse(east: Column, north: Column, epsg: int) -> tuple[Column, Column]
     return central_meridian(epsg) + F.degrees(F.atan2(F.sinh(x), F.cos(y))), F.degrees(phi)
 
 
+def to_degrees(x: Column, y: Column, epsg: int) -> tuple[Column, Column]:
+    """Longitude and latitude of map coordinates in degrees, Web Mercator or UTM."""
+    if epsg == 4326:
+        return x, y
+    if epsg == WEB_MERCATOR:
+        return F.degrees(x / SEMI_MAJOR), F.degrees(F.atan(F.sinh(y / SEMI_MAJOR)))
+    return utm_inverse(x, y, epsg)
+
+
+def from_degrees(lon: Column, lat: Column, epsg: int) -> tuple[Column, Column]:
+    """Map coordinates of longitude and latitude."""
+    if epsg == 4326:
+        return lon, lat
+    if epsg == WEB_MERCATOR:
+        return SEMI_MAJOR * F.radians(lon), SEMI_MAJOR * F.asinh(F.tan(F.radians(lat)))
+    return utm_forward(lon, lat, epsg)
+
+
 def affine(transform: Sequence[float], col: Column, row: Column) -> tuple[Column, Column]:
     """Map coordinates of fractional pixel coordinates; order (a, b, c, d, e, f)."""
     a, b, c, d, e, f = map(float, transform)

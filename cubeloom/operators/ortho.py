@@ -12,21 +12,21 @@ from .resample import warp
 
 
 def ground_points(grid: DataFrame, transform: Sequence[float], epsg: int | None) -> DataFrame:
-    """out_row, out_col, lon, lat of pixel centres; a UTM ``epsg`` is inverted, None means degrees."""
+    """out_row, out_col, lon, lat of pixel centres; None means degrees."""
     x, y = geo.affine(transform, F.col("out_col") + 0.5, F.col("out_row") + 0.5)
     if epsg is not None:
-        x, y = geo.utm_inverse(x, y, epsg)
+        x, y = geo.to_degrees(x, y, epsg)
     return grid.select("out_row", "out_col", x.alias("lon"), y.alias("lat"))
 
 
-def with_height(points: DataFrame, dem: DataFrame, transform: Sequence[float], missing: float | None = None) -> DataFrame:
-    """Adds height from ``dem`` (row, col, height) over degrees, nearest post.
+def with_height(points: DataFrame, dem: DataFrame, transform: Sequence[float], missing: float | None = None, epsg: int = 4326) -> DataFrame:
+    """Adds height from ``dem`` (row, col, height) in the projection ``epsg``, nearest post.
 
     Points off the model or on NoData posts take ``missing``, or drop out if it
     is None.  Catalyst broadcasts the model if its size allows, and shuffles both
     by post otherwise.
     """
-    c, r = geo.affine(geo.inverse_affine(transform), F.col("lon"), F.col("lat"))
+    c, r = geo.affine(geo.inverse_affine(transform), *geo.from_degrees(F.col("lon"), F.col("lat"), epsg))
     posts = dem.filter(F.col("height").isNotNull() & ~F.isnan("height"))
     keyed = points.select("*", F.floor(r).cast("int").alias("row"), F.floor(c).cast("int").alias("col"))
     joined = keyed.join(posts, ["row", "col"], "inner" if missing is None else "left")

@@ -24,16 +24,16 @@ class Grid:
 
 
 def parse_crs(spec: str) -> int:
-    """An EPSG code that this engine projects: WGS 84 degrees, or a UTM zone."""
+    """An EPSG code that this engine projects: WGS 84 degrees, Web Mercator, or a UTM zone."""
     m = re.fullmatch(r"(?:epsg:)?(\d+)", spec.strip(), re.I)
     code = int(m[1]) if m else 0
     if not supported(code):
-        raise UnsupportedError(f"the projection {spec} is not supported", hint="EPSG:4326 and the UTM zones EPSG:32601-32660 and EPSG:32701-32760 are")
+        raise UnsupportedError(f"the projection {spec} is not supported", hint="EPSG:4326, EPSG:3857 and the UTM zones EPSG:32601-32660 and EPSG:32701-32760 are")
     return code
 
 
 def supported(epsg: int | None) -> bool:
-    return epsg == 4326 or (epsg is not None and epsg // 100 in (326, 327) and 1 <= epsg % 100 <= 60)
+    return epsg in (4326, geo.WEB_MERCATOR) or (epsg is not None and epsg // 100 in (326, 327) and 1 <= epsg % 100 <= 60)
 
 
 def utm_epsg(lon: float, lat: float) -> int:
@@ -52,6 +52,8 @@ def _series(coefficients: tuple[float, ...], x: float, y: float, sign: int) -> t
 def to_degrees(epsg: int, x: float, y: float) -> tuple[float, float]:
     if epsg == 4326:
         return x, y
+    if epsg == geo.WEB_MERCATOR:
+        return math.degrees(x / geo.SEMI_MAJOR), math.degrees(math.atan(math.sinh(y / geo.SEMI_MAJOR)))
     xi, eta = _series(geo.INVERSE, (y - (0 if epsg // 100 == 326 else geo.FALSE_NORTHING)) / (geo.SCALE * geo.RADIUS), (x - geo.FALSE_EASTING) / (geo.SCALE * geo.RADIUS), -1)
     chi = math.asin(math.sin(xi) / math.cosh(eta))
     phi = chi + sum(d * math.sin(2 * j * chi) for j, d in enumerate(geo.TO_LATITUDE, 1))
@@ -61,6 +63,8 @@ def to_degrees(epsg: int, x: float, y: float) -> tuple[float, float]:
 def from_degrees(epsg: int, lon: float, lat: float) -> tuple[float, float]:
     if epsg == 4326:
         return lon, lat
+    if epsg == geo.WEB_MERCATOR:
+        return geo.SEMI_MAJOR * math.radians(lon), geo.SEMI_MAJOR * math.asinh(math.tan(math.radians(lat)))
     s, lam = math.sin(math.radians(lat)), math.radians(lon - geo.central_meridian(epsg))
     t = math.sinh(math.atanh(s) - geo.ECCENTRICITY * math.atanh(geo.ECCENTRICITY * s))
     xi, eta = _series(geo.FORWARD, math.atan2(t, math.cos(lam)), math.atanh(math.sin(lam) / math.hypot(1, t)), 1)

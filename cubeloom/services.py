@@ -219,10 +219,7 @@ def reproject(spark: SparkSession, request: ReprojectRequest) -> dict[str, Any]:
     sinks.check_target(target, request.overwrite)
     x, y = geo.affine(grid.transform, F.col("out_col") + 0.5, F.col("out_row") + 0.5)
     if epsg != h.epsg:
-        if epsg != 4326:
-            x, y = geo.utm_inverse(x, y, epsg)
-        if h.epsg != 4326:
-            x, y = geo.utm_forward(x, y, h.epsg)
+        x, y = geo.from_degrees(*geo.to_degrees(x, y, epsg), h.epsg)
     col, row = geo.affine(geo.inverse_affine(h.transform), x, y)
     places = resample.target_grid(spark, grid.width, grid.height).select("out_row", "out_col", (row - 0.5).alias("y"), (col - 0.5).alias("x"))
     nodata = request.nodata if request.nodata is not None else h.nodata
@@ -233,15 +230,18 @@ def reproject(spark: SparkSession, request: ReprojectRequest) -> dict[str, Any]:
 
 
 def open_dem(path: str) -> tiff.Raster:
-    if not Path(path).is_file():
-        raise errors.MissingDEMError(f"{path} is no file")
+    """Header of an elevation model in any store that the raster reader knows."""
+    try:
+        raster.open_file(path).close()
+    except errors.CubeError as e:
+        raise errors.MissingDEMError(f"{path} is no file", hint=str(e)) from e
     try:
         h = raster.header(path)
     except errors.CubeError as e:
         raise errors.UnreadableDEMError(f"cannot read {path}", hint=str(e)) from e
     h = h.raster if isinstance(h, raster.Envi) else h
-    if not h.placed or h.epsg != 4326:
-        raise errors.UnreadableDEMError("the elevation model needs a transform in EPSG:4326")
+    if not h.placed or not grids.supported(h.epsg):
+        raise errors.UnreadableDEMError("the elevation model needs a transform in a projection that is supported", context={"epsg": h.epsg})
     return h
 
 
@@ -254,7 +254,7 @@ def orthorectify(spark: SparkSession, request: OrthoRequest) -> dict[str, Any]:
         raise errors.MissingRPCMetadataError("a usable sensor model is needed", context={"issues": tiff.rpc_issues(h.rpc) if h.rpc else ["none"]})
     dem = open_dem(request.dem)
     left, bottom, right, top = scene = ortho.footprint(h.rpc)
-    b = dem.bounds
+    b = grids.project_bounds(dem.epsg, 4326, dem.bounds)
     if right < b[0] or left > b[2] or top < b[1] or bottom > b[3]:
         raise errors.UnreadableDEMError("elevation model and scene do not meet", context={"scene": scene, "dem": b})
     chosen = _chosen(product, request, errors.OrthorectificationError)
@@ -265,7 +265,7 @@ def orthorectify(spark: SparkSession, request: OrthoRequest) -> dict[str, Any]:
     sinks.check_target(target, request.overwrite)
     points = ortho.ground_points(resample.target_grid(spark, grid.width, grid.height), grid.transform, None if epsg == 4326 else epsg)
     posts = raster.read(spark, request.dem, [1]).select("row", "col", F.col("bands")[0].alias("height"))
-    high = ortho.with_height(points, posts, dem.transform, request.rpc_dem_missing_value)
+    high = ortho.with_height(points, posts, dem.transform, request.rpc_dem_missing_value, dem.epsg)
     places = ortho.image_places(high, h.rpc, request.rpc_height_scale)
     warped = resample.warp_tiles(places, _read(spark, product, chosen), len(chosen), request.resampling, h.width, h.height)
     options = {"RPC_DEM": request.dem, "RPC_HEIGHT_SCALE": str(request.rpc_height_scale), "RPC_DEM_MISSING_VALUE": str(request.rpc_dem_missing_value), "RPC_DEM_APPLY_VDATUM_SHIFT": str(request.rpc_dem_apply_vdatum_shift)}

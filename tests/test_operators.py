@@ -268,3 +268,30 @@ def test_crs_text():
     assert geo.wkt(4326).startswith('GEOGCS["WGS 84"') and geo.wkt(3857) is None
     south = geo.wkt(32733)
     assert 'UTM zone 33S"' in south and 'PARAMETER["central_meridian",15]' in south and 'PARAMETER["false_northing",10000000]' in south and south.count("[") == south.count("]")
+
+
+def test_web_mercator_and_back(spark):
+    places = [(0.0, 0.0), (10.0, 45.0), (-179.5, -84.0), (123.456, 80.0)]
+    df = spark.createDataFrame(places, "lon double, lat double")
+    x, y = geo.from_degrees(F.col("lon"), F.col("lat"), 3857)
+    there = df.select("lon", "lat", x.alias("x"), y.alias("y"))
+    lon, lat = geo.to_degrees(F.col("x"), F.col("y"), 3857)
+    for r in there.select("*", lon.alias("lon2"), lat.alias("lat2")).collect():
+        assert (r["lon2"], r["lat2"]) == pytest.approx((r["lon"], r["lat"]))
+        assert (r["x"], r["y"]) == pytest.approx(grids.from_degrees(3857, r["lon"], r["lat"]))
+        assert grids.to_degrees(3857, r["x"], r["y"]) == pytest.approx((r["lon"], r["lat"]))
+    # the published corner of the square world
+    assert grids.from_degrees(3857, 180.0, 85.0511287798066) == pytest.approx((20037508.342789244, 20037508.342789244))
+    assert grids.parse_crs("EPSG:3857") == 3857
+
+
+def test_heights_from_a_model_in_another_projection(spark):
+    points = spark.createDataFrame([(0, 0, 10.0, 45.0), (0, 1, 10.001, 45.0), (1, 0, 30.0, 45.0)], "out_row int, out_col int, lon double, lat double")
+    for epsg in (4326, 3857, 32632):
+        x, y = grids.from_degrees(epsg, 10.0, 45.0)
+        step = 0.0005 if epsg == 4326 else 50.0
+        transform = (step, 0.0, x - 1.5 * step, 0.0, -step, y + 1.5 * step)
+        dem = spark.createDataFrame([(1, c, 100.0 + c) for c in range(6)], "row int, col int, height double")
+        got = {(r["out_row"], r["out_col"]): r["height"] for r in ortho.with_height(points, dem, transform, None, epsg).collect()}
+        across = (grids.from_degrees(epsg, 10.001, 45.0)[0] - transform[2]) / step
+        assert got == {(0, 0): 101.0, (0, 1): 100.0 + int(across)}
