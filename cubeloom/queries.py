@@ -49,6 +49,12 @@ def pixel_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.from_arrays(e, F.floor(F.col("vec_id") / WIDTH), F.col("vec_id") % WIDTH, F.col("embedding"))
 
 
+def scene_size(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """(width, height) of the whole cube: one number from the table."""
+    last = _table(spark, sf_dir, "embeddings").agg(F.max("vec_id").alias("n")).first()["n"]
+    return WIDTH, 0 if last is None else last // WIDTH + 1
+
+
 def tall_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = _table(spark, sf_dir, "lineitem")
     return item.select("l_orderkey", F.array(*[F.col(c).cast("double") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]).alias("bands"))
@@ -58,7 +64,10 @@ def _named(df: DataFrame, indices: tuple[int, ...]) -> DataFrame:
     return df.select("row", "col", *[F.col("bands")[k].alias(f"b{i}") for k, i in enumerate(indices)])
 
 
-_CUBE = "cube AS (SELECT (vec_id // 25)::INT AS \"row\", (vec_id % 25)::INT AS col, list_transform(embedding, lambda x: x::FLOAT::DOUBLE) AS bands FROM embeddings)"
+_CUBE = (
+    "cube AS (SELECT (vec_id // 25)::INT AS \"row\", (vec_id % 25)::INT AS col, list_transform(embedding, "
+    "lambda x: x::FLOAT::DOUBLE) AS bands FROM embeddings)"
+)
 _LONG = _CUBE + ", long AS (SELECT \"row\", col, generate_subscripts(bands, 1)::INT AS band, unnest(bands) AS value FROM cube)"
 
 
@@ -68,25 +77,36 @@ def _class_sql(bands_sql: str, sat: float, low: float, frac: float) -> str:
     return (
         f"CASE WHEN {n} = 0 THEN 0 WHEN len(list_filter({bands_sql}, lambda v: v IS NOT NULL AND NOT isfinite(v))) > 0 THEN 4"
         f" WHEN len(list_filter({good}, lambda v: v >= {sat}::DOUBLE))::DOUBLE / greatest({n}, 1) >= {frac}::DOUBLE THEN 2"
-        f" WHEN len(list_filter({good}, lambda v: v <= {low}::DOUBLE))::DOUBLE / greatest({n}, 1) >= {frac}::DOUBLE THEN 3 ELSE 1 END::SMALLINT"
+        f" WHEN len(list_filter({good}, lambda v: v <= {low}::DOUBLE))::DOUBLE / greatest({n}, 1) >= {frac}::DOUBLE THEN 3 "
+        "ELSE 1 END::SMALLINT"
     )
 
 
 _MASK_BANDS_SQL = "[bands[3], bands[5], bands[9], bands[14]]"
 _CLASSES = _CUBE + f", classes AS (SELECT \"row\", col, {_class_sql('bands', 0.2, -0.2, 0.05)} AS class FROM cube)"
 _DEFECTS = _CUBE + f", classes AS (SELECT \"row\", col, {_class_sql(_MASK_BANDS_SQL, 0.2, -0.2, 0.25)} AS class FROM cube)"
-_NAMES = "names(class, name) AS (VALUES (0::SMALLINT, 'no_data'), (1::SMALLINT, 'valid'), (2::SMALLINT, 'saturated'), (3::SMALLINT, 'low_signal'), (4::SMALLINT, 'invalid_numeric'), (5::SMALLINT, 'spectral_anomaly'), (255::SMALLINT, 'unclassified'))"
+_NAMES = (
+    "names(class, name) AS (VALUES (0::SMALLINT, 'no_data'), (1::SMALLINT, 'valid'), (2::SMALLINT, 'saturated'), "
+    "(3::SMALLINT, 'low_signal'), (4::SMALLINT, 'invalid_numeric'), (5::SMALLINT, 'spectral_anomaly'), (255::SMALLINT, "
+    "'unclassified'))"
+)
 
 
 # -- scans and projections --------------------------------------------------------------------
 
 
-@_query(f"WITH {_CUBE} SELECT \"row\", col, bands[9] AS b0, bands[5] AS b1, bands[3] AS b2 FROM cube WHERE \"row\" BETWEEN 2 AND 9 AND col BETWEEN 3 AND 12")
+@_query(
+    f"WITH {_CUBE} SELECT \"row\", col, bands[9] AS b0, bands[5] AS b1, bands[3] AS b2 FROM cube WHERE \"row\" BETWEEN 2 "
+    "AND 9 AND col BETWEEN 3 AND 12"
+)
 def scan_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(cube.select_bands(cube.window(pixel_cube(spark, sf_dir), 3, 2, 10, 8), (RED, GREEN, BLUE)), (0, 1, 2))
 
 
-@_query(f"WITH {_LONG} SELECT \"row\", col, band, CASE WHEN abs(value) < 0.01::DOUBLE THEN NULL ELSE value END AS value FROM long WHERE band IN (3, 5) AND \"row\" % 2 = 0 AND col % 2 = 0")
+@_query(
+    f"WITH {_LONG} SELECT \"row\", col, band, CASE WHEN abs(value) < 0.01::DOUBLE THEN NULL ELSE value END AS value FROM long "
+    "WHERE band IN (3, 5) AND \"row\" % 2 = 0 AND col % 2 = 0"
+)
 def cube_long_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = cube.to_long(cube.select_bands(cube.stride(pixel_cube(spark, sf_dir), 2), (3, 5)), (3, 5))
     return long.withColumn("value", F.when(F.abs("value") >= 0.01, F.col("value")))
@@ -104,15 +124,27 @@ def cube_external_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(cube.with_mask(base, base.select("row", "col", (F.col("row") % 3 == 0).alias("masked"))), (0,))
 
 
-@_query("SELECT (i // 3)::INT AS tile_row, (i % 3)::INT AS tile_col, (i // 3 * 16)::INT AS row_off, (i % 3 * 16)::INT AS col_off, least(16, 40 - i // 3 * 16)::INT AS height, least(16, 40 - i % 3 * 16)::INT AS width FROM range(9) t(i)")
+_BLOCKS_SQL = f"""
+WITH {_CUBE}, n AS (SELECT max("row") + 1 AS h FROM cube),
+b AS (SELECT *, unnest(range((h + 15) // 16))::INT AS tile_row FROM n),
+w AS (
+  SELECT tile_row, tile_col::INT AS tile_col, (tile_row * 16)::INT AS row_off, (tile_col * 16)::INT AS col_off,
+         least(16, h - tile_row * 16)::INT AS height, least(16, 25 - tile_col * 16)::INT AS width
+  FROM b, range(2) c(tile_col)
+)
+"""
+
+
+@_query(_BLOCKS_SQL + "SELECT * FROM w")
 def block_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cube.blocks(spark, 40, 40, 16, 16)
+    return cube.blocks(spark, *scene_size(spark, sf_dir), 16, 16)
 
 
-@_query("WITH b AS (SELECT (i // 3)::INT AS tile_row, (i % 3)::INT AS tile_col, least(16, 40 - i // 3 * 16) * least(16, 40 - i % 3 * 16) AS n FROM range(9) t(i)) SELECT tile_row, tile_col, (n * 3 * 3)::BIGINT AS bytes, n * 9 > 900 AS over_budget FROM b")
+@_query(_BLOCKS_SQL + "SELECT tile_row, tile_col, (height * width * 9)::BIGINT AS bytes, height * width * 9 > 900 AS over_budget FROM w")
 def read_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = cube.read_bytes(F.col("width") * F.col("height"), F.lit(3), F.lit(2), F.lit(True))
-    return cube.blocks(spark, 40, 40, 16, 16).select("tile_row", "tile_col", size.alias("bytes"), (size > 900).alias("over_budget"))
+    found = cube.blocks(spark, *scene_size(spark, sf_dir), 16, 16)
+    return found.select("tile_row", "tile_col", size.alias("bytes"), (size > 900).alias("over_budget"))
 
 
 # -- bands ------------------------------------------------------------------------------------
@@ -121,8 +153,10 @@ def read_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _nearest_sql(targets: tuple[float, ...], tolerance: float) -> str:
     rows = ", ".join(f"({i}::INT, {t}::DOUBLE)" for i, t in enumerate(targets))
     return (
-        f"WITH t(pos, target_nm) AS (VALUES {rows}), b AS (SELECT (i + 1)::INT AS band, 420.0::DOUBLE + 32 * i AS wavelength_nm FROM range(64) r(i)), "
-        "r AS (SELECT *, abs(wavelength_nm - target_nm) AS distance_nm, row_number() OVER (PARTITION BY pos ORDER BY abs(wavelength_nm - target_nm), band) AS n FROM t, b) "
+        f"WITH t(pos, target_nm) AS (VALUES {rows}), b AS (SELECT (i + 1)::INT AS band, 420.0::DOUBLE + 32 * i AS wavelength_nm "
+        "FROM range(64) r(i)), "
+        "r AS (SELECT *, abs(wavelength_nm - target_nm) AS distance_nm, row_number() OVER (PARTITION BY pos "
+        "ORDER BY abs(wavelength_nm - target_nm), band) AS n FROM t, b) "
         f"SELECT pos, target_nm, band, wavelength_nm, distance_nm, distance_nm <= {tolerance} AS matched FROM r WHERE n = 1"
     )
 
@@ -160,7 +194,11 @@ def band_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _nd_sql(a: int, b: int) -> str:
-    return f"SELECT \"row\", col, CASE WHEN isfinite(bands[{a}]) AND isfinite(bands[{b}]) AND bands[{a}] + bands[{b}] <> 0 THEN ((bands[{a}] - bands[{b}]) / (bands[{a}] + bands[{b}]))::FLOAT ELSE -9999::FLOAT END AS value FROM cube"
+    return (
+        f"SELECT \"row\", col, CASE WHEN isfinite(bands[{a}]) AND isfinite(bands[{b}]) "
+        f"AND bands[{a}] + bands[{b}] <> 0 THEN ((bands[{a}] - bands[{b}]) / (bands[{a}] + bands[{b}]))::FLOAT "
+        "ELSE -9999::FLOAT END AS value FROM cube"
+    )
 
 
 def index_grid(spark: SparkSession, sf_dir: str, first: int, second: int, nodata: float | None = pixels.INDEX_NODATA) -> DataFrame:
@@ -181,10 +219,17 @@ def _rounded(df: DataFrame, names: tuple[str, ...] = ("mean", "std", "p2", "p98"
     return df.withColumns({c: F.round(c, 9) for c in names})
 
 
-_STATS = "count(value)::BIGINT AS count, min(value) AS min, max(value) AS max, round(avg(value), 9) AS mean, round(stddev_pop(value), 9) AS std, round(quantile_cont(value, 0.02), 9) AS p2, round(quantile_cont(value, 0.98), 9) AS p98"
+_STATS = (
+    "count(value)::BIGINT AS count, min(value) AS min, max(value) AS max, round(avg(value), 9) AS mean, "
+    "round(stddev_pop(value), 9) AS std, round(quantile_cont(value, 0.02), 9) AS p2, round(quantile_cont(value, 0.98), "
+    "9) AS p98"
+)
 
 
-@_query(f"WITH {_CUBE}, v AS (SELECT value::DOUBLE AS value FROM ({_nd_sql(NIR, RED)}) WHERE value <> -9999 AND \"row\" % 2 = 0 AND col % 2 = 0) SELECT 1 AS band, {_STATS} FROM v")
+@_query(
+    f"WITH {_CUBE}, v AS (SELECT value::DOUBLE AS value FROM ({_nd_sql(NIR, RED)}) WHERE value <> -9999 AND \"row\" % 2 = 0 "
+    f"AND col % 2 = 0) SELECT 1 AS band, {_STATS} FROM v"
+)
 def nd_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = cube.stride(index_grid(spark, sf_dir, NIR, RED, None), 2)
     return _rounded(stats.summarise(grid.select(F.lit(1).alias("band"), F.col("value").cast("double").alias("value"))))
@@ -195,35 +240,57 @@ def band_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(stats.summarise(cube.to_long(pixel_cube(spark, sf_dir))))
 
 
-@_query(f"WITH {_LONG} SELECT band, q, round(value, 9) AS value FROM (SELECT band, 0.02::DOUBLE AS q, quantile_cont(value, 0.02) AS value FROM long GROUP BY band UNION ALL SELECT band, 0.5, quantile_cont(value, 0.5) FROM long GROUP BY band UNION ALL SELECT band, 0.98, quantile_cont(value, 0.98) FROM long GROUP BY band)")
+@_query(
+    f"WITH {_LONG} SELECT band, q, round(value, 9) AS value FROM (SELECT band, 0.02::DOUBLE AS q, quantile_cont(value, "
+    "0.02) AS value FROM long GROUP BY band UNION ALL SELECT band, 0.5, quantile_cont(value, 0.5) FROM long GROUP BY band "
+    "UNION ALL SELECT band, 0.98, quantile_cont(value, 0.98) FROM long GROUP BY band)"
+)
 def exact_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stats.exact_percentiles(cube.to_long(pixel_cube(spark, sf_dir)), percentiles=(0.02, 0.5, 0.98), cells=64)
     return found.select("band", "q", F.round("value", 9).alias("value"))
 
 
-_TALL = "tall AS (SELECT l_orderkey, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS value, unnest([1, 2, 3, 4])::INT AS band FROM lineitem)"
+_TALL = (
+    "tall AS (SELECT l_orderkey, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS value, unnest([1, 2, 3, "
+    "4])::INT AS band FROM lineitem)"
+)
 
 
-@_query(f"WITH {_TALL} SELECT band, count(value)::BIGINT AS count, min(value) AS min, max(value) AS max, round(avg(value), 5) AS mean, round(stddev_pop(value), 5) AS std, round(quantile_cont(value, 0.02), 5) AS p2, round(quantile_cont(value, 0.98), 5) AS p98 FROM tall GROUP BY band")
+@_query(
+    f"WITH {_TALL} SELECT band, count(value)::BIGINT AS count, min(value) AS min, max(value) AS max, round(avg(value), "
+    "5) AS mean, round(stddev_pop(value), 5) AS std, round(quantile_cont(value, 0.02), 5) AS p2, round(quantile_cont(value, "
+    "0.98), 5) AS p98 FROM tall GROUP BY band"
+)
 def tall_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = tall_cube(spark, sf_dir).select(F.posexplode("bands").alias("pos", "value")).select((F.col("pos") + 1).alias("band"), "value")
     out = stats.summarise(long)
     return out.withColumns({c: F.round(c, 5) for c in ("mean", "std", "p2", "p98")})
 
 
-@_query("WITH v AS (SELECT l_orderkey, CASE WHEN l_discount + l_tax <> 0 THEN ((l_discount - l_tax) / (l_discount + l_tax))::FLOAT ELSE -9999::FLOAT END AS value FROM lineitem) SELECT l_orderkey, count(*)::BIGINT AS n, max(value) AS value FROM v GROUP BY l_orderkey")
+@_query(
+    "WITH v AS (SELECT l_orderkey, CASE "
+    "WHEN l_discount + l_tax <> 0 THEN ((l_discount - l_tax) / (l_discount + l_tax))::FLOAT ELSE -9999::FLOAT END AS value "
+    "FROM lineitem) SELECT l_orderkey, count(*)::BIGINT AS n, max(value) AS value FROM v GROUP BY l_orderkey"
+)
 def tall_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = pixels.normalised_difference(F.col("bands")[2], F.col("bands")[3])
     return tall_cube(spark, sf_dir).select("l_orderkey", value.alias("value")).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("value"))
 
 
-@_query(f"WITH {_LONG} SELECT band, 420.0::DOUBLE + 32 * (band - 1) AS wavelength_nm, round(avg(value), 9) AS value, count(value)::BIGINT AS n FROM long WHERE \"row\" BETWEEN 4 AND 6 AND col BETWEEN 6 AND 8 GROUP BY band")
+@_query(
+    f"WITH {_LONG} SELECT band, 420.0::DOUBLE + 32 * (band - 1) AS wavelength_nm, round(avg(value), 9) AS value, "
+    "count(value)::BIGINT AS n FROM long WHERE \"row\" BETWEEN 4 AND 6 AND col BETWEEN 6 AND 8 GROUP BY band"
+)
 def spectral_profile_3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stats.profile(pixel_cube(spark, sf_dir), 5, 7, 3)
     return found.select((F.col("pos") + 1).alias("band"), (420.0 + 32.0 * F.col("pos")).alias("wavelength_nm"), F.round("value", 9).alias("value"), "n")
 
 
-@_query(f"WITH {_LONG} SELECT (CASE band WHEN 14 THEN 0 WHEN 9 THEN 1 ELSE 2 END)::INT AS pos, round(avg(value), 9) AS value, count(value)::BIGINT AS n FROM long WHERE \"row\" BETWEEN 0 AND 2 AND col BETWEEN 0 AND 2 AND band IN (14, 9, 5) GROUP BY band")
+@_query(
+    f"WITH {_LONG} SELECT (CASE band WHEN 14 THEN 0 WHEN 9 THEN 1 ELSE 2 END)::INT AS pos, round(avg(value), 9) AS value, "
+    "count(value)::BIGINT AS n FROM long WHERE \"row\" BETWEEN 0 AND 2 AND col BETWEEN 0 AND 2 AND band IN (14, 9, 5) "
+    "GROUP BY band"
+)
 def spectral_profile_corner(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stats.profile(pixel_cube(spark, sf_dir), 0, 0, 5, (NIR, RED, GREEN))
     return found.select("pos", F.round("value", 9).alias("value"), "n")
@@ -237,7 +304,10 @@ def quality_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(pixel_cube(spark, sf_dir), **QUALITY)
 
 
-_COUNTS = f"SELECT n.class, n.name, count(c.class)::BIGINT AS count, 100.0::DOUBLE * count(c.class) / (SELECT count(*) FROM classes) AS percentage FROM names n LEFT JOIN classes c ON c.class = n.class GROUP BY ALL"
+_COUNTS = (
+    "SELECT n.class, n.name, count(c.class)::BIGINT AS count, 100.0::DOUBLE * count(c.class) / (SELECT count(*) "
+    "FROM classes) AS percentage FROM names n LEFT JOIN classes c ON c.class = n.class GROUP BY ALL"
+)
 
 
 @_query(f"WITH {_CLASSES}, {_NAMES} SELECT class, name, count FROM ({_COUNTS})")
@@ -250,7 +320,11 @@ def quality_percentages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.class_counts(quality.classify(pixel_cube(spark, sf_dir), **QUALITY)).select("name", F.round("percentage", 9).alias("percentage"))
 
 
-@_query(f"WITH {_CUBE}, m AS (SELECT *, list_avg({_MASK_BANDS_SQL}) AS mean, list_stddev_pop({_MASK_BANDS_SQL}) AS std, {_class_sql(_MASK_BANDS_SQL, 0.9, -0.9, 0.5)} AS base FROM cube) SELECT \"row\", col, CASE WHEN base = 1 AND mean > 0 AND std / mean > 2.0::DOUBLE THEN 5 ELSE base END::SMALLINT AS class FROM m")
+@_query(
+    f"WITH {_CUBE}, m AS (SELECT *, list_avg({_MASK_BANDS_SQL}) AS mean, list_stddev_pop({_MASK_BANDS_SQL}) AS std, "
+    f"{_class_sql(_MASK_BANDS_SQL, 0.9, -0.9, 0.5)} AS base FROM cube) SELECT \"row\", col, CASE WHEN base = 1 AND mean > 0 "
+    "AND std / mean > 2.0::DOUBLE THEN 5 ELSE base END::SMALLINT AS class FROM m"
+)
 def quality_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = cube.select_bands(pixel_cube(spark, sf_dir), MASK_BANDS)
     return quality.classify(chosen, saturation=0.9, low_signal=-0.9, fraction=0.5, anomaly=True)
@@ -266,8 +340,11 @@ _CROSS_5 = "o(y, x) AS (SELECT y, x FROM range(-2, 3) a(y), range(-2, 3) b(x) WH
 
 def _dilate_sql(offsets: str) -> str:
     return (
-        f"WITH {_DEFECTS}, {offsets}, r AS (SELECT \"row\" + y AS \"row\", col + x AS col, min(CASE class WHEN 4 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 5 THEN 3 END) AS rank FROM classes, o WHERE class IN (2, 3, 4, 5) GROUP BY ALL) "
-        "SELECT c.\"row\", c.col, (CASE WHEN class = 1 AND rank IS NOT NULL THEN CASE rank WHEN 0 THEN 4 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 5 END ELSE class END)::SMALLINT AS class FROM classes c LEFT JOIN r ON r.\"row\" = c.\"row\" AND r.col = c.col"
+        f"WITH {_DEFECTS}, {offsets}, r AS (SELECT \"row\" + y AS \"row\", col + x AS col, min(CASE class WHEN 4 THEN 0 "
+        "WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 5 THEN 3 END) AS rank FROM classes, o WHERE class IN (2, 3, 4, 5) GROUP BY ALL) "
+        "SELECT c.\"row\", c.col, (CASE WHEN class = 1 AND rank IS NOT NULL THEN CASE rank WHEN 0 THEN 4 WHEN 1 THEN 2 "
+        "WHEN 2 THEN 3 ELSE 5 END ELSE class END)::SMALLINT AS class FROM classes c LEFT JOIN r ON r.\"row\" = c.\"row\" "
+        "AND r.col = c.col"
     )
 
 
@@ -290,10 +367,14 @@ def quality_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {_DEFECTS}, o AS (SELECT y::INT AS y, x::INT AS x FROM range(-1, 2) a(y), range(-1, 2) b(x)), "
     "d AS (SELECT DISTINCT c.\"row\" + y AS \"row\", c.col + x AS col, class FROM classes c, o WHERE class IN (2, 3, 4, 5)), "
     "i AS (SELECT d.* FROM d SEMI JOIN classes c ON c.\"row\" = d.\"row\" AND c.col = d.col), "
-    "e AS (SELECT i.\"row\", i.col, i.class FROM i, o JOIN classes g ON true WHERE g.\"row\" = i.\"row\" + y AND g.col = i.col + x AND NOT EXISTS (SELECT 1 FROM i j WHERE j.\"row\" = g.\"row\" AND j.col = g.col AND j.class = i.class)), "
+    "e AS (SELECT i.\"row\", i.col, i.class FROM i, o JOIN classes g ON true WHERE g.\"row\" = i.\"row\" + y "
+    "AND g.col = i.col + x AND NOT EXISTS (SELECT 1 FROM i j WHERE j.\"row\" = g.\"row\" AND j.col = g.col "
+    "AND j.class = i.class)), "
     "k AS (SELECT i.* FROM i ANTI JOIN e ON e.\"row\" = i.\"row\" AND e.col = i.col AND e.class = i.class), "
     "r AS (SELECT \"row\", col, min(CASE class WHEN 4 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 3 END) AS rank FROM k GROUP BY ALL) "
-    "SELECT c.\"row\", c.col, (CASE WHEN class = 1 AND rank IS NOT NULL THEN CASE rank WHEN 0 THEN 4 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 5 END ELSE class END)::SMALLINT AS class FROM classes c LEFT JOIN r ON r.\"row\" = c.\"row\" AND r.col = c.col"
+    "SELECT c.\"row\", c.col, (CASE WHEN class = 1 AND rank IS NOT NULL THEN CASE rank WHEN 0 THEN 4 WHEN 1 THEN 2 "
+    "WHEN 2 THEN 3 ELSE 5 END ELSE class END)::SMALLINT AS class FROM classes c LEFT JOIN r ON r.\"row\" = c.\"row\" "
+    "AND r.col = c.col"
 )
 def quality_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grow(_defects(spark, sf_dir), "close", "rect", 3)
@@ -311,7 +392,10 @@ def tall_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stretch_sql(limits: str, on: str) -> str:
     level = lambda i: f"round_even(least(greatest((bands[{i}] - l{i}.low) / (l{i}.high - l{i}.low) * 255.0::DOUBLE, 0), 255), 0)::SMALLINT"
     joins = ", ".join(f"(SELECT * FROM limits {on.format(i=i)}) l{i}" for i in (9, 5, 3))
-    return f"WITH {_LONG}, p AS ({limits}), limits AS (SELECT band, low, CASE WHEN high <= low THEN low + 1 ELSE high END AS high FROM p) SELECT \"row\", col, {level(9)} AS r, {level(5)} AS g, {level(3)} AS b FROM cube, {joins}"
+    return (
+        f"WITH {_LONG}, p AS ({limits}), limits AS (SELECT band, low, CASE WHEN high <= low THEN low + 1 ELSE high END AS high "
+        f"FROM p) SELECT \"row\", col, {level(9)} AS r, {level(5)} AS g, {level(3)} AS b FROM cube, {joins}"
+    )
 
 
 _QUANTILES = "round(quantile_cont(value, 0.02), 9) AS low, round(quantile_cont(value, 0.98), 9) AS high FROM long WHERE band IN (9, 5, 3)"
@@ -331,12 +415,6 @@ def stretch_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _image(resample.composite(pixel_cube(spark, sf_dir), (RED, GREEN, BLUE), per_band=False, digits=9))
 
 
-def scene_size(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
-    """(width, height) of the whole cube: one number from the table."""
-    last = _table(spark, sf_dir, "embeddings").agg(F.max("vec_id").alias("n")).first()["n"]
-    return WIDTH, 0 if last is None else last // WIDTH + 1
-
-
 def _larger(height: int) -> tuple[int, int]:
     """Target grid of 40 columns, and three rows for every two of the source."""
     return 40, height * 3 // 2
@@ -352,8 +430,16 @@ def _red(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The height of the cube, and of the larger and the smaller target.
-_HEIGHTS = _CUBE + ", heights AS (SELECT max(\"row\") + 1 AS h, (max(\"row\") + 1) * 3 // 2 AS larger, (max(\"row\") + 1) * 2 // 5 AS smaller FROM cube)"
-_LARGER = "g AS (SELECT out_row, out_col::INT AS out_col, (out_row + 0.5::DOUBLE) * (h::DOUBLE / larger) - 0.5::DOUBLE AS y, (out_col + 0.5::DOUBLE) * (25.0::DOUBLE / 40) - 0.5::DOUBLE AS x FROM (SELECT *, unnest(range(larger))::INT AS out_row FROM heights), range(40) c(out_col))"
+_HEIGHTS = (
+    _CUBE
+    + ", heights AS (SELECT max(\"row\") + 1 AS h, (max(\"row\") + 1) * 3 // 2 AS larger, "
+    "(max(\"row\") + 1) * 2 // 5 AS smaller FROM cube)"
+)
+_LARGER = (
+    "g AS (SELECT out_row, out_col::INT AS out_col, (out_row + 0.5::DOUBLE) * (h::DOUBLE / larger) - 0.5::DOUBLE AS y, "
+    "(out_col + 0.5::DOUBLE) * (25.0::DOUBLE / 40) - 0.5::DOUBLE AS x FROM (SELECT *, unnest(range(larger))::INT AS out_row "
+    "FROM heights), range(40) c(out_col))"
+)
 
 
 def _warp_sql(method: str) -> str:
@@ -365,7 +451,8 @@ def _warp_sql(method: str) -> str:
         f"WITH {_HEIGHTS}, {_LARGER}, k(d) AS (VALUES {taps}), "
         f"t AS (SELECT out_row, out_col, {base.format('y')} + a.d AS r, {base.format('x')} + b.d AS c, y, x FROM g, k a, k b), "
         f"w AS (SELECT *, ({weight.format('(r - y)')}) * ({weight.format('(c - x)')}) AS weight FROM t) "
-        'SELECT out_row, out_col, 9 AS band, round(sum(weight * bands[9]) / sum(weight), 9) AS value FROM w JOIN cube s ON s."row" = r AND s.col = c GROUP BY out_row, out_col'
+        'SELECT out_row, out_col, 9 AS band, round(sum(weight * bands[9]) / sum(weight), 9) AS value FROM w '
+        'JOIN cube s ON s."row" = r AND s.col = c GROUP BY out_row, out_col'
     )
 
 
@@ -420,23 +507,31 @@ def resample_tiles_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     f"WITH {_HEIGHTS}, g AS (SELECT *, unnest(range(smaller))::INT AS \"row\" FROM heights) "
-    'SELECT g."row", c.col::INT AS col, bands[9] AS b0 FROM g, range(10) c(col) JOIN cube s ON s."row" = floor((g."row" + 0.5::DOUBLE) * (h::DOUBLE / smaller)) AND s.col = floor((c.col + 0.5::DOUBLE) * (25.0::DOUBLE / 10))'
+    'SELECT g."row", c.col::INT AS col, bands[9] AS b0 FROM g, range(10) c(col) '
+    'JOIN cube s ON s."row" = floor((g."row" + 0.5::DOUBLE) * (h::DOUBLE / smaller)) '
+    'AND s.col = floor((c.col + 0.5::DOUBLE) * (25.0::DOUBLE / 10))'
 )
 def decimated_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = scene_size(spark, sf_dir)
     return _named(resample.decimate(cube.select_bands(pixel_cube(spark, sf_dir), (RED,)), source, _smaller(source[1])), (0,))
 
 
-@_query(f"WITH {_CUBE} SELECT (\"row\" // 5)::INT AS \"row\", (col // 5)::INT AS col, 9 AS band, round(avg(bands[9]), 9) AS value FROM cube GROUP BY ALL")
+@_query(
+    f"WITH {_CUBE} SELECT (\"row\" // 5)::INT AS \"row\", (col // 5)::INT AS col, 9 AS band, round(avg(bands[9]), 9) AS value "
+    "FROM cube GROUP BY ALL"
+)
 def block_mean_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.block_mean(_red(spark, sf_dir), 5).withColumn("value", F.round("value", 9))
 
 
 @_query(
-    f"WITH {_HEIGHTS}, s AS (SELECT cube.*, smaller::DOUBLE / h AS ratio, smaller FROM cube, heights), d AS (SELECT unnest([0, 1, 2]) AS d), "
+    f"WITH {_HEIGHTS}, s AS (SELECT cube.*, smaller::DOUBLE / h AS ratio, smaller FROM cube, heights), d AS ("
+    "SELECT unnest([0, 1, 2]) AS d), "
     'w AS (SELECT (floor("row" * ratio) + a.d)::INT AS r, (floor(col * 0.4::DOUBLE) + b.d)::INT AS c, * FROM s, d a, d b), '
-    'x AS (SELECT r, c, bands[9] AS v, (least(r + 1, ("row" + 1) * ratio) - greatest(r, "row" * ratio)) AS wr, (least(c + 1, (col + 1) * 0.4::DOUBLE) - greatest(c, col * 0.4::DOUBLE)) AS wc FROM w WHERE r < smaller AND c < 10) '
-    'SELECT r AS "row", c AS col, 9 AS band, round(sum(v * wr * wc) / sum(wr * wc), 9) AS value FROM x WHERE wr > 1e-9 AND wc > 1e-9 GROUP BY r, c'
+    'x AS (SELECT r, c, bands[9] AS v, (least(r + 1, ("row" + 1) * ratio) - greatest(r, "row" * ratio)) AS wr, (least(c + 1, '
+    '(col + 1) * 0.4::DOUBLE) - greatest(c, col * 0.4::DOUBLE)) AS wc FROM w WHERE r < smaller AND c < 10) '
+    'SELECT r AS "row", c AS col, 9 AS band, round(sum(v * wr * wc) / sum(wr * wc), 9) AS value FROM x WHERE wr > 1e-9 '
+    'AND wc > 1e-9 GROUP BY r, c'
 )
 def area_mean_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = scene_size(spark, sf_dir)
@@ -448,9 +543,11 @@ _K3 = "k(d, w) AS (VALUES (-1, 0.25::DOUBLE), (0, 0.5::DOUBLE), (1, 0.25::DOUBLE
 
 @_query(
     f'WITH {_CUBE}, {_K3}, s AS (SELECT "row", col, bands[9] AS v FROM cube), '
-    'y AS (SELECT "row" + d AS "row", col, sum(v * w) / sum(w) AS v FROM s, k GROUP BY "row" + d, col), y2 AS (SELECT y.* FROM y SEMI JOIN s ON s."row" = y."row" AND s.col = y.col), '
+    'y AS (SELECT "row" + d AS "row", col, sum(v * w) / sum(w) AS v FROM s, k GROUP BY "row" + d, col), y2 AS (SELECT y.* '
+    'FROM y SEMI JOIN s ON s."row" = y."row" AND s.col = y.col), '
     'x AS (SELECT "row", col + d AS col, sum(v * w) / sum(w) AS v FROM y2, k GROUP BY "row", col + d) '
-    'SELECT x."row"::INT AS "row", x.col::INT AS col, 9 AS band, round(v, 9) AS value FROM x SEMI JOIN s ON s."row" = x."row" AND s.col = x.col'
+    'SELECT x."row"::INT AS "row", x.col::INT AS col, 9 AS band, round(v, 9) AS value FROM x SEMI '
+    'JOIN s ON s."row" = x."row" AND s.col = x.col'
 )
 def gaussian_blur_3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.gaussian_blur(_red(spark, sf_dir), 3).withColumn("value", F.round("value", 9))
@@ -459,7 +556,12 @@ def gaussian_blur_3(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- scalars ----------------------------------------------------------------------------------
 
 
-@_query("WITH p AS (SELECT c_custkey, (c_custkey * 37 % 400 - 200) + 0.5::DOUBLE AS lon, (c_custkey * 11 % 190 - 95) + 0.25::DOUBLE AS lat FROM customer) SELECT c_custkey, CASE WHEN lat BETWEEN -80 AND 84 AND lon BETWEEN -180 AND 180 THEN (least(greatest(floor((lon + 180) / 6) + 1, 1), 60) + CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END)::INT END AS epsg FROM p")
+@_query(
+    "WITH p AS (SELECT c_custkey, (c_custkey * 37 % 400 - 200) + 0.5::DOUBLE AS lon, "
+    "(c_custkey * 11 % 190 - 95) + 0.25::DOUBLE AS lat FROM customer) SELECT c_custkey, CASE WHEN lat BETWEEN -80 AND 84 "
+    "AND lon BETWEEN -180 AND 180 THEN (least(greatest(floor((lon + 180) / 6) + 1, 1), 60) + CASE WHEN lat >= 0 THEN 32600 "
+    "ELSE 32700 END)::INT END AS epsg FROM p"
+)
 def utm_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     return _table(spark, sf_dir, "customer").select("c_custkey", geo.utm_epsg((k * 37) % 400 - 200 + F.lit(0.5), (k * 11) % 190 - 95 + F.lit(0.25)).alias("epsg"))
@@ -470,13 +572,21 @@ def resolution_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select("p_partkey", text.resolution_token(F.col("p_size") / F.lit(8.0)).alias("token"))
 
 
-@_query("SELECT p_partkey, CASE WHEN s = '' THEN 'product' ELSE s END AS slug FROM (SELECT p_partkey, trim(regexp_replace(lower(p_type || ' (' || p_brand || ')-' || p_name), '[^a-z0-9]+', '_', 'g'), '_') AS s FROM part)")
+@_query(
+    "SELECT p_partkey, CASE WHEN s = '' THEN 'product' ELSE s END AS slug FROM (SELECT p_partkey, "
+    "trim(regexp_replace(lower(p_type || ' (' || p_brand || ')-' || p_name), '[^a-z0-9]+', '_', 'g'), '_') AS s FROM part)"
+)
 def product_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat("p_type", F.lit(" ("), "p_brand", F.lit(")-"), "p_name", F.lit(".tif"))
     return _table(spark, sf_dir, "part").select("p_partkey", text.product_slug(F.concat(F.lit("/data/in/"), name)).alias("slug"))
 
 
-@_query("WITH b AS (SELECT o_orderkey, (o_orderkey % 1000) * (1024::BIGINT ** (o_orderkey % 5))::BIGINT AS n FROM orders) SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1024 ** 2 THEN printf('%.1f KiB', n / 1024.0::DOUBLE) WHEN n < 1024 ** 3 THEN printf('%.1f MiB', n / 1048576.0::DOUBLE) WHEN n < 1024::DOUBLE ** 4 THEN printf('%.1f GiB', n / 1073741824.0::DOUBLE) ELSE printf('%.1f TiB', n / 1099511627776.0::DOUBLE) END AS size FROM b")
+@_query(
+    "WITH b AS (SELECT o_orderkey, (o_orderkey % 1000) * (1024::BIGINT ** (o_orderkey % 5))::BIGINT AS n FROM orders) "
+    "SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1024 ** 2 THEN printf('%.1f KiB', n / 1024.0::DOUBLE) "
+    "WHEN n < 1024 ** 3 THEN printf('%.1f MiB', n / 1048576.0::DOUBLE) WHEN n < 1024::DOUBLE ** 4 THEN printf('%.1f GiB', "
+    "n / 1073741824.0::DOUBLE) ELSE printf('%.1f TiB', n / 1099511627776.0::DOUBLE) END AS size FROM b"
+)
 def format_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = (F.col("o_orderkey") % 1000) * F.pow(F.lit(1024), F.col("o_orderkey") % 5).cast("long")
     return _table(spark, sf_dir, "orders").select("o_orderkey", text.format_bytes(n).alias("size"))
@@ -511,7 +621,10 @@ def wavelength_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("p_partkey", F.round("w.nm", 6).alias("nm"), "w.source")
 
 
-@_query("WITH b AS (SELECT s_suppkey, s_suppkey % 20 AS l, s_suppkey % 7 AS w FROM supplier) SELECT s_suppkey, NOT (l + w < 8 OR l > 12 OR l + w < 9 OR l > 14) AS meets FROM b")
+@_query(
+    "WITH b AS (SELECT s_suppkey, s_suppkey % 20 AS l, s_suppkey % 7 AS w FROM supplier) SELECT s_suppkey, NOT (l + w < 8 "
+    "OR l > 12 OR l + w < 9 OR l > 14) AS meets FROM b"
+)
 def bounds_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, wide = F.col("s_suppkey") % 20, F.col("s_suppkey") % 7
     return _table(spark, sf_dir, "supplier").select("s_suppkey", geo.overlap((left, left, left + wide, left + wide), (F.lit(8), F.lit(9), F.lit(12), F.lit(14))).alias("meets"))
@@ -550,7 +663,10 @@ def utm_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _customers(spark, sf_dir).select("c_custkey", F.round(east, 4).alias("easting"), F.round(north, 4).alias("northing"))
 
 
-@_query("SELECT c_custkey, round(6.0::DOUBLE + (c_custkey % 61) / 10.0::DOUBLE, 8) AS lon, round((c_custkey % 1000) * 0.16::DOUBLE - 79.0::DOUBLE, 8) AS lat FROM customer")
+@_query(
+    "SELECT c_custkey, round(6.0::DOUBLE + (c_custkey % 61) / 10.0::DOUBLE, 8) AS lon, "
+    "round((c_custkey % 1000) * 0.16::DOUBLE - 79.0::DOUBLE, 8) AS lat FROM customer"
+)
 def utm_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     east, north = geo.utm_forward(F.col("lon"), F.col("lat"), 32632)
     there = _customers(spark, sf_dir).select("c_custkey", east.alias("e"), north.alias("n"))
@@ -571,13 +687,20 @@ def toy_rpc(full: bool = False, height: int = 20) -> dict:
 
 
 _RPC = (
-    "n AS (SELECT *, (lon - 10.0::DOUBLE) / 0.05::DOUBLE AS l, (lat - 45.0::DOUBLE) / 0.05::DOUBLE AS p, (h - 300.0::DOUBLE) / 500.0::DOUBLE AS z FROM g), "
-    "q AS (SELECT *, (p + 0.02::DOUBLE * z + 0.01::DOUBLE * l * l) / (1 + 0.001::DOUBLE * l - 0.002::DOUBLE * p) * 9.5::DOUBLE + 9.5::DOUBLE AS line, "
-    "(l + 0.015::DOUBLE * l * p - 0.003::DOUBLE * z * z * z) / (1 + 0.001::DOUBLE * l - 0.002::DOUBLE * p) * 12.0::DOUBLE + 12.0::DOUBLE AS sample FROM n)"
+    "n AS (SELECT *, (lon - 10.0::DOUBLE) / 0.05::DOUBLE AS l, (lat - 45.0::DOUBLE) / 0.05::DOUBLE AS p, "
+    "(h - 300.0::DOUBLE) / 500.0::DOUBLE AS z FROM g), "
+    "q AS (SELECT *, "
+    "(p + 0.02::DOUBLE * z + 0.01::DOUBLE * l * l) / (1 + 0.001::DOUBLE * l - 0.002::DOUBLE * p) * 9.5::DOUBLE + 9.5::DOUBLE AS line, "
+    "(l + 0.015::DOUBLE * l * p - 0.003::DOUBLE * z * z * z) / (1 + 0.001::DOUBLE * l - 0.002::DOUBLE * p) * 12.0::DOUBLE + 12.0::DOUBLE AS sample "
+    "FROM n)"
 )
 
 
-@_query(f"WITH g AS (SELECT c_custkey, 9.95::DOUBLE + (c_custkey % 101) * 0.001::DOUBLE AS lon, 44.95::DOUBLE + (c_custkey % 97) * 0.001::DOUBLE AS lat, (c_custkey % 900)::DOUBLE AS h FROM customer), {_RPC} SELECT c_custkey, round(line, 7) AS line, round(sample, 7) AS sample FROM q")
+@_query(
+    "WITH g AS (SELECT c_custkey, 9.95::DOUBLE + (c_custkey % 101) * 0.001::DOUBLE AS lon, "
+    f"44.95::DOUBLE + (c_custkey % 97) * 0.001::DOUBLE AS lat, (c_custkey % 900)::DOUBLE AS h FROM customer), {_RPC} "
+    "SELECT c_custkey, round(line, 7) AS line, round(sample, 7) AS sample FROM q"
+)
 def rpc_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     line, sample = geo.rpc_project(toy_rpc(True), 9.95 + (k % 101) * F.lit(0.001), 44.95 + (k % 97) * F.lit(0.001), (k % 900).cast("double"))
@@ -586,10 +709,16 @@ def rpc_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Elevations are the first band of the cube, posts of 0.005 degrees of longitude over 0.1 degrees of latitude.
 _ORTHO_SQL = (
-    f"WITH {_HEIGHTS}, o AS (SELECT out_row, c.out_col::INT AS out_col, 9.94::DOUBLE + (c.out_col + 0.5::DOUBLE) * 0.004::DOUBLE AS lon, 45.06::DOUBLE - (out_row + 0.5::DOUBLE) * (0.12::DOUBLE / larger) AS lat, h AS tall FROM (SELECT *, unnest(range(larger))::INT AS out_row FROM heights), range(30) c(out_col)), "
-    'g AS (SELECT o.*, 300.0::DOUBLE + 1000.0::DOUBLE * d.bands[1] AS h FROM o JOIN cube d ON d."row" = floor((lat - 45.06::DOUBLE) / -(0.1::DOUBLE / tall)) AND d.col = floor((lon - 9.94::DOUBLE) / 0.005::DOUBLE)), '
+    f"WITH {_HEIGHTS}, o AS (SELECT out_row, c.out_col::INT AS out_col, "
+    "9.94::DOUBLE + (c.out_col + 0.5::DOUBLE) * 0.004::DOUBLE AS lon, "
+    "45.06::DOUBLE - (out_row + 0.5::DOUBLE) * (0.12::DOUBLE / larger) AS lat, h AS tall FROM (SELECT *, "
+    "unnest(range(larger))::INT AS out_row FROM heights), range(30) c(out_col)), "
+    'g AS (SELECT o.*, 300.0::DOUBLE + 1000.0::DOUBLE * d.bands[1] AS h FROM o '
+    'JOIN cube d ON d."row" = floor((lat - 45.06::DOUBLE) / -(0.1::DOUBLE / tall)) '
+    'AND d.col = floor((lon - 9.94::DOUBLE) / 0.005::DOUBLE)), '
     f"{_RPC.replace('9.5::DOUBLE', '((tall - 1) / 2.0::DOUBLE)')} "
-    'SELECT out_row, out_col, 9 AS band, round(s.bands[9], 9) AS value FROM q JOIN cube s ON s."row" = floor(line + 0.5::DOUBLE) AND s.col = floor(sample + 0.5::DOUBLE)'
+    'SELECT out_row, out_col, 9 AS band, round(s.bands[9], 9) AS value FROM q '
+    'JOIN cube s ON s."row" = floor(line + 0.5::DOUBLE) AND s.col = floor(sample + 0.5::DOUBLE)'
 )
 
 
@@ -659,7 +788,11 @@ def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.summary(checks.catalog_checks(_catalog(spark, sf_dir)))
 
 
-@_query("WITH w AS (SELECT o_custkey, o_totalprice, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders) SELECT o_custkey, coalesce(count_if(o_totalprice <= before), 0)::BIGINT AS steps FROM w GROUP BY o_custkey")
+@_query(
+    "WITH w AS (SELECT o_custkey, o_totalprice, lag(o_totalprice) OVER (PARTITION BY o_custkey "
+    "ORDER BY o_orderkey) AS before FROM orders) SELECT o_custkey, coalesce(count_if(o_totalprice <= before), "
+    "0)::BIGINT AS steps FROM w GROUP BY o_custkey"
+)
 def non_monotonic_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("band"), F.col("o_totalprice").alias("wavelength_nm"))
     return checks.non_monotonic(orders, ["o_custkey"])
