@@ -106,12 +106,17 @@ def parser() -> argparse.ArgumentParser:
 def _request(a: argparse.Namespace) -> Any:
     values = {k: v for k, v in vars(a).items() if k not in ("verb", "json", "log_level", "log_format", "proj_autofix")}
     if a.verb == "quality-mask":
-        parts = {k: values.pop(f"morphology_{k2}") for k, k2 in (("operation", "operation"), ("shape", "kernel_shape"), ("size", "kernel_size"), ("iterations", "iterations"))}
+        parts = {k: values.pop(f"morphology_{k2}") for k, k2 in (
+            ("operation", "operation"), ("shape", "kernel_shape"), ("size", "kernel_size"), ("iterations", "iterations"),
+        )}
         values["morphology"] = rq.build(rq.Morphology, enabled=values.pop("morphology"), **parts)
     if a.verb == "validate":
         values["max_uncompressed_gb"] = values["max_uncompressed_gb"] or None
         values["check_output"] = values["output_dir"] != "."
-    kinds = {"validate": rq.ValidationRequest, "preview": rq.PreviewRequest, "calculate-index": rq.IndexRequest, "spectral-profile": rq.ProfileRequest, "quality-mask": rq.MaskRequest, "reproject": rq.ReprojectRequest, "orthorectify": rq.OrthoRequest}
+    kinds = {
+        "validate": rq.ValidationRequest, "preview": rq.PreviewRequest, "calculate-index": rq.IndexRequest, "spectral-profile": rq.ProfileRequest,
+        "quality-mask": rq.MaskRequest, "reproject": rq.ReprojectRequest, "orthorectify": rq.OrthoRequest,
+    }
     return rq.build(kinds[a.verb], **values)
 
 
@@ -142,7 +147,10 @@ def run(argv: Sequence[str], session: Callable[[], Any] = _session) -> int:
             print(json.dumps(errors.json_safe(found), indent=2) if a.json else report.validation_text(found))
             report.raise_if_invalid(found)
             return 0
-        services_by_verb = {"preview": services.render_preview, "calculate-index": services.calculate_index, "spectral-profile": services.extract_profile, "quality-mask": services.build_mask, "reproject": services.reproject, "orthorectify": services.orthorectify}
+        services_by_verb = {
+            "preview": services.render_preview, "calculate-index": services.calculate_index, "spectral-profile": services.extract_profile,
+            "quality-mask": services.build_mask, "reproject": services.reproject, "orthorectify": services.orthorectify,
+        }
         out = services_by_verb[a.verb](session(), request)
         print(json.dumps(errors.json_safe(out), indent=2) if a.json else "\n".join(f"{k}: {v}" for k, v in out.items()))
         return 0

@@ -45,7 +45,10 @@ def wkt(epsg: int) -> str | None:
     if epsg // 100 not in (326, 327) or not 1 <= epsg % 100 <= 60:
         return None
     south = epsg // 100 == 327
-    values = {"latitude_of_origin": 0, "central_meridian": int(central_meridian(epsg)), "scale_factor": SCALE, "false_easting": int(FALSE_EASTING), "false_northing": int(FALSE_NORTHING) if south else 0}
+    values = {
+        "latitude_of_origin": 0, "central_meridian": int(central_meridian(epsg)), "scale_factor": SCALE, "false_easting": int(FALSE_EASTING),
+        "false_northing": int(FALSE_NORTHING) if south else 0,
+    }
     parameters = ",".join(f'PARAMETER["{k}",{v}]' for k, v in values.items())
     return f'PROJCS["WGS 84 / UTM zone {epsg % 100}{"S" if south else "N"}",{degrees},PROJECTION["Transverse_Mercator"],{parameters},UNIT["metre",1,AUTHORITY["EPSG","9001"]],AXIS["Easting",EAST],AXIS["Northing",NORTH],AUTHORITY["EPSG","{epsg}"]]'
 
@@ -125,7 +128,10 @@ def inverse_affine(transform: Sequence[float]) -> tuple[float, ...]:
 
 def rpc_terms(l: Column, p: Column, h: Column) -> list[Column]:  # noqa: E741
     """The 20 terms of the RPC00B polynomial in normalised longitude, latitude and height, in its order."""
-    return [F.lit(1.0), l, p, h, l * p, l * h, p * h, l * l, p * p, h * h, p * l * h, l * l * l, l * p * p, l * h * h, l * l * p, p * p * p, p * h * h, l * l * h, p * p * h, h * h * h]
+    return [
+        F.lit(1.0), l, p, h, l * p, l * h, p * h, l * l, p * p, h * h, p * l * h, l * l * l, l * p * p, l * h * h, l * l * p, p * p * p, p * h * h,
+        l * l * h, p * p * h, h * h * h,
+    ]
 
 
 def polynomial(coefficients: Sequence[float], terms: Sequence[Column]) -> Column:
@@ -138,7 +144,9 @@ def polynomial(coefficients: Sequence[float], terms: Sequence[Column]) -> Column
 
 def rpc_project(rpc: dict, lon: Column, lat: Column, height: Column) -> tuple[Column, Column]:
     """Image line and sample of a ground point; NULL where a denominator is zero."""
-    n = {k: float(rpc[k]) for k in ("line_off", "samp_off", "lat_off", "long_off", "height_off", "line_scale", "samp_scale", "lat_scale", "long_scale", "height_scale")}
+    n = {k: float(rpc[k]) for k in (
+        "line_off", "samp_off", "lat_off", "long_off", "height_off", "line_scale", "samp_scale", "lat_scale", "long_scale", "height_scale",
+    )}
     terms = rpc_terms((lon - n["long_off"]) / n["long_scale"], (lat - n["lat_off"]) / n["lat_scale"], (height - n["height_off"]) / n["height_scale"])
     p = {k: polynomial(rpc[k], terms) for k in ("line_num", "line_den", "samp_num", "samp_den")}
     line = F.when(p["line_den"] != 0, p["line_num"] / p["line_den"]) * n["line_scale"] + n["line_off"]

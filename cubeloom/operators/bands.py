@@ -39,4 +39,7 @@ def nearest(targets: DataFrame, bands: DataFrame, tolerance: float = TOLERANCE)
     distance = F.abs(F.col("wavelength_nm") - F.col("target_nm"))
     pairs = targets.join(usable, F.lit(True), "left").withColumn("distance_nm", distance)
     best = pairs.groupBy("pos", "target_nm").agg(F.min_by(F.struct("band", "wavelength_nm", "distance_nm"), F.struct("distance_nm", "band")).alias("m"))
-    return best.select("pos", "target_nm", "m.band", "m.wavelength_nm", "m.distance_nm", F.coalesce(F.col("m.distance_nm") <= tolerance, F.lit(False)).alias("matched"))
+    return best.select(
+        "pos", "target_nm", "m.band", "m.wavelength_nm", "m.distance_nm",
+        F.coalesce(F.col("m.distance_nm") <= tolerance, F.lit(False)).alias("matched"),
+    )

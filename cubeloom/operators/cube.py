@@ -63,7 +63,10 @@ def with_mask(cube: DataFrame, mask: DataFrame) -> DataFrame:
     joined = cube.join(mask.select("row", "col", "masked"), ["row", "col"], "full")
     mismatch = F.col("bands").isNull() | F.col("masked").isNull()
     checked = F.when(mismatch, F.raise_error(F.lit("mask and raster differ in shape"))).otherwise(F.col("masked"))
-    return joined.select("row", "col", F.when(checked.cast("boolean"), F.transform("bands", lambda v: F.lit(None).cast("double"))).otherwise(F.col("bands")).alias("bands"))
+    return joined.select(
+        "row", "col",
+        F.when(checked.cast("boolean"), F.transform("bands", lambda v: F.lit(None).cast("double"))).otherwise(F.col("bands")).alias("bands"),
+    )
 
 
 def blocks(spark, width: int, height: int, block_width: int, block_height: int) -> DataFrame:  # noqa: ANN001

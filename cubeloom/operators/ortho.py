@@ -33,7 +33,9 @@ def with_height(points: DataFrame, dem: DataFrame, transform: Sequence[float], m
     return joined.select("out_row", "out_col", "lon", "lat", F.coalesce("height", F.lit(missing)).cast("double").alias("height"))
 
 
-def orthorectify(points: DataFrame, long: DataFrame, rpc: dict, method: str, width: int, height: int, height_scale: float = 1.0, centre: float = 0.0) -> DataFrame:
+def orthorectify(
+    points: DataFrame, long: DataFrame, rpc: dict, method: str, width: int, height: int, height_scale: float = 1.0, centre: float = 0.0,
+) -> DataFrame:
     """out_row, out_col, band, value of points with heights."""
     return warp(image_places(points, rpc, height_scale, centre), long, method, width, height)
 

@@ -28,7 +28,10 @@ def class_counts(classes: DataFrame) -> DataFrame:
     joined = counted.join(known, "class", "full")
     total = F.sum(F.coalesce("n", F.lit(0))).over(_everything())
     share = F.when(total > 0, F.coalesce(F.col("n"), F.lit(0)) * 100.0 / total).otherwise(0.0)
-    return joined.select(F.col("class").cast("short").alias("class"), F.coalesce("name", F.concat(F.lit("unknown_"), F.col("class").cast("string"))).alias("name"), F.coalesce("n", F.lit(0)).cast("long").alias("count"), share.alias("percentage"))
+    return joined.select(
+        F.col("class").cast("short").alias("class"), F.coalesce("name", F.concat(F.lit("unknown_"), F.col("class").cast("string"))).alias("name"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("count"), share.alias("percentage"),
+    )
 
 
 def _everything():  # noqa: ANN202

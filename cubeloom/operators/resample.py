@@ -23,7 +23,9 @@ TAPS = {"nearest": (0,), "bilinear": (0, 1), "cubic": (-1, 0, 1, 2)}
 
 def target_grid(spark: SparkSession, width: int, height: int) -> DataFrame:
     """out_row, out_col of a grid, made by ranges: nothing is collected."""
-    return spark.range(width * height).select((F.col("id") / width).cast("long").cast("int").alias("out_row"), (F.col("id") % width).cast("int").alias("out_col"))
+    return spark.range(width * height).select(
+        (F.col("id") / width).cast("long").cast("int").alias("out_row"), (F.col("id") % width).cast("int").alias("out_col"),
+    )
 
 
 def _cubic(t: Column) -> Column:
@@ -41,7 +43,9 @@ def taps(places: DataFrame, method: str = "bilinear") -> DataFrame:
         raise ValueError(f"unknown resampling {method!r}")
     y, x = F.col("y"), F.col("x")
     if method == "nearest":
-        return places.select("out_row", "out_col", F.floor(y + 0.5).cast("int").alias("row"), F.floor(x + 0.5).cast("int").alias("col"), F.lit(1.0).alias("weight"))
+        return places.select(
+            "out_row", "out_col", F.floor(y + 0.5).cast("int").alias("row"), F.floor(x + 0.5).cast("int").alias("col"), F.lit(1.0).alias("weight"),
+        )
     steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in TAPS[method] for b in TAPS[method]])
     spread = places.withColumn("__y0", F.floor(y)).withColumn("__x0", F.floor(x)).withColumn("__t", F.explode(steps))
     row, col = F.col("__y0") + F.col("__t.a"), F.col("__x0") + F.col("__t.b")
@@ -148,7 +152,9 @@ def decimate(cube: DataFrame, source: tuple[int, int], target: tuple[int, int])
 def block_mean(long: DataFrame, factor: int) -> DataFrame:
     """Mean of the valid samples of every factor x factor block."""
     good = F.when(valid(F.col("value")), F.col("value"))
-    return long.groupBy((F.floor(F.col("row") / factor)).cast("int").alias("row"), (F.floor(F.col("col") / factor)).cast("int").alias("col"), "band").agg(F.avg(good).alias("value"))
+    return long.groupBy(
+        (F.floor(F.col("row") / factor)).cast("int").alias("row"), (F.floor(F.col("col") / factor)).cast("int").alias("col"), "band",
+    ).agg(F.avg(good).alias("value"))
 
 
 def area_mean(long: DataFrame, source: tuple[int, int], target: tuple[int, int]) -> DataFrame:
@@ -203,7 +209,9 @@ def composite(cube: DataFrame, indices: Sequence[int], lower: float = 2.0, upper
     if per_band:
         limits = limits.groupBy().agg(F.array_sort(F.collect_list(F.struct("band", "low", "high"))).alias("limits"))
     else:
-        limits = limits.select(F.transform(F.sequence(F.lit(1), F.lit(len(indices))), lambda i: F.struct(i.alias("band"), F.col("low"), F.col("high"))).alias("limits"))
+        limits = limits.select(F.transform(
+            F.sequence(F.lit(1), F.lit(len(indices))), lambda i: F.struct(i.alias("band"), F.col("low"), F.col("high")),
+        ).alias("limits"))
     # one row with a pair of limits per band
     joined = chosen.join(F.broadcast(limits), F.lit(True))
     image = F.array(*[stretched(F.col("bands")[i], F.col("limits")[i]["low"], F.col("limits")[i]["high"]) for i in range(len(indices))])

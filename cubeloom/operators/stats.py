@@ -32,7 +32,9 @@ def summarise(long: DataFrame, keys: Sequence[str] = ("band",), nodata: float |
 CELLS = 4096
 
 
-def exact_percentiles(long: DataFrame, keys: Sequence[str] = ("band",), percentiles: Sequence[float] = PERCENTILES, cells: int = CELLS, nodata: float | None = None) -> DataFrame:
+def exact_percentiles(
+    long: DataFrame, keys: Sequence[str] = ("band",), percentiles: Sequence[float] = PERCENTILES, cells: int = CELLS, nodata: float | None = None,
+) -> DataFrame:
     """keys, q and value: interpolated percentiles of each key's valid samples, whatever their number.
 
     One pass counts each key's samples in ``cells`` equal cells between its
@@ -66,14 +68,18 @@ def _ranked(data: DataFrame, span: DataFrame, keys: list[str], percentiles: Sequ
     ends = ranks.select(*keys, "q", "__part", F.explode(F.array_distinct(F.array("__low", "__high"))).alias("__rank"), (F.col("__low")).alias("__low"))
     inside = (F.col("__rank") >= F.col("__before")) & (F.col("__rank") < F.col("__before") + F.col("__c"))
     wanted = _join(ends, counts, keys).filter(inside)
-    values = celled.join(wanted.select(*keys, "__cell").distinct(), [*keys, "__cell"], "left_semi").groupBy(*keys, "__cell", "value").agg(F.count(F.lit(1)).alias("__m"))
+    values = celled.join(
+        wanted.select(*keys, "__cell").distinct(), [*keys, "__cell"], "left_semi",
+    ).groupBy(*keys, "__cell", "value").agg(F.count(F.lit(1)).alias("__m"))
     within = W.partitionBy(*keys, "__cell").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
     values = values.withColumn("__prior", F.coalesce(F.sum("__m").over(within), F.lit(0)))
     place = F.col("__rank") - F.col("__before")
     hits = wanted.join(values, [*keys, "__cell"]).filter((place >= F.col("__prior")) & (place < F.col("__prior") + F.col("__m")))
     low = F.max(F.when(F.col("__rank") == F.col("__low"), F.col("value")))
     high = F.max(F.when(F.col("__rank") != F.col("__low"), F.col("value")))
-    return hits.groupBy(*keys, "q").agg(low.alias("__a"), high.alias("__b"), F.first("__part").alias("__part")).select(*keys, "q", (F.col("__a") + F.coalesce(F.col("__b") - F.col("__a"), F.lit(0.0)) * F.col("__part")).alias("value"))
+    return hits.groupBy(*keys, "q").agg(low.alias("__a"), high.alias("__b"), F.first("__part").alias("__part")).select(
+        *keys, "q", (F.col("__a") + F.coalesce(F.col("__b") - F.col("__a"), F.lit(0.0)) * F.col("__part")).alias("value"),
+    )
 
 
 def stretch_limits(long: DataFrame, lower: float = 2.0, upper: float = 98.0, keys: Sequence[str] = ("band",)) -> DataFrame:
@@ -81,7 +87,9 @@ def stretch_limits(long: DataFrame, lower: float = 2.0, upper: float = 98.0, key
     if not 0 <= lower < upper <= 100:
         raise ValueError("percentiles are in order within 0 and 100")
     every = _usable(long, None).groupBy(*keys).agg(F.count("value").alias("__all"))
-    found = exact_percentiles(long, keys, (lower / 100, upper / 100)).groupBy(*keys).agg(F.min_by("value", "q").alias("low"), F.max_by("value", "q").alias("high"))
+    found = exact_percentiles(long, keys, (lower / 100, upper / 100)).groupBy(*keys).agg(
+        F.min_by("value", "q").alias("low"), F.max_by("value", "q").alias("high"),
+    )
     limits = _join(every, found, keys, "left").drop("__all")
     return limits.withColumn("high", F.when(F.col("high") <= F.col("low"), F.col("low") + 1).otherwise(F.col("high")))
 

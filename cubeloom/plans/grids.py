@@ -28,7 +28,9 @@ def parse_crs(spec: str) -> int:
     m = re.fullmatch(r"(?:epsg:)?(\d+)", spec.strip(), re.I)
     code = int(m[1]) if m else 0
     if not supported(code):
-        raise UnsupportedError(f"the projection {spec} is not supported", hint="EPSG:4326, EPSG:3857 and the UTM zones EPSG:32601-32660 and EPSG:32701-32760 are")
+        raise UnsupportedError(
+            f"the projection {spec} is not supported", hint="EPSG:4326, EPSG:3857 and the UTM zones EPSG:32601-32660 and EPSG:32701-32760 are",
+        )
     return code
 
 
@@ -54,7 +56,10 @@ def to_degrees(epsg: int, x: float, y: float) -> tuple[float, float]:
         return x, y
     if epsg == geo.WEB_MERCATOR:
         return math.degrees(x / geo.SEMI_MAJOR), math.degrees(math.atan(math.sinh(y / geo.SEMI_MAJOR)))
-    xi, eta = _series(geo.INVERSE, (y - (0 if epsg // 100 == 326 else geo.FALSE_NORTHING)) / (geo.SCALE * geo.RADIUS), (x - geo.FALSE_EASTING) / (geo.SCALE * geo.RADIUS), -1)
+    xi, eta = _series(
+        geo.INVERSE, (y - (0 if epsg // 100 == 326 else geo.FALSE_NORTHING)) / (geo.SCALE * geo.RADIUS),
+        (x - geo.FALSE_EASTING) / (geo.SCALE * geo.RADIUS), -1,
+    )
     chi = math.asin(math.sin(xi) / math.cosh(eta))
     phi = chi + sum(d * math.sin(2 * j * chi) for j, d in enumerate(geo.TO_LATITUDE, 1))
     return geo.central_meridian(epsg) + math.degrees(math.atan2(math.sinh(eta), math.cos(xi))), math.degrees(phi)

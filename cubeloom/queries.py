@@ -186,7 +186,9 @@ _SUBSET = "WITH s(pos, band) AS (VALUES (0, 9), (1, 3), (2, 9), (3, 14), (4, 3))
 def band_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sorted without repeats for inspection; in first order without repeats for evaluation."""
     one = spark.range(1).select(F.array(*map(F.lit, (9, 3, 9, 14, 3))).alias("bands"))
-    rules = one.select(F.lit("inspect").alias("rule"), F.array_sort(F.array_distinct("bands")).alias("bands")).union(one.select(F.lit("evaluation"), F.array_distinct("bands")))
+    rules = one.select(
+        F.lit("inspect").alias("rule"), F.array_sort(F.array_distinct("bands")).alias("bands"),
+    ).union(one.select(F.lit("evaluation"), F.array_distinct("bands")))
     return rules.select("rule", F.posexplode("bands").alias("pos", "band"))
 
 
@@ -202,7 +204,9 @@ def _nd_sql(a: int, b: int) -> str:
 
 
 def index_grid(spark: SparkSession, sf_dir: str, first: int, second: int, nodata: float | None = pixels.INDEX_NODATA) -> DataFrame:
-    return pixel_cube(spark, sf_dir).select("row", "col", pixels.normalised_difference(F.col("bands")[first - 1], F.col("bands")[second - 1], nodata).alias("value"))
+    return pixel_cube(spark, sf_dir).select(
+        "row", "col", pixels.normalised_difference(F.col("bands")[first - 1], F.col("bands")[second - 1], nodata).alias("value"),
+    )
 
 
 @_query(f"WITH {_CUBE} {_nd_sql(NIR, RED)}")
@@ -472,7 +476,9 @@ def _warped_in_tiles(spark: SparkSession, sf_dir: str, method: str) -> DataFrame
     one = cube.select_bands(pixel_cube(spark, sf_dir), (RED,))
     found = resample.warp_tiles(_places(spark, source), one, 1, method, *source, block=16)
     value = F.round(F.col("bands")[0], 9)
-    return found.select(F.col("row").alias("out_row"), F.col("col").alias("out_col"), F.lit(RED).alias("band"), value.alias("value")).filter(F.col("value").isNotNull())
+    return found.select(
+        F.col("row").alias("out_row"), F.col("col").alias("out_col"), F.lit(RED).alias("band"), value.alias("value"),
+    ).filter(F.col("value").isNotNull())
 
 
 @_query(_warp_sql("nearest"))
@@ -564,7 +570,9 @@ def gaussian_blur_3(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def utm_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    return _table(spark, sf_dir, "customer").select("c_custkey", geo.utm_epsg((k * 37) % 400 - 200 + F.lit(0.5), (k * 11) % 190 - 95 + F.lit(0.25)).alias("epsg"))
+    return _table(spark, sf_dir, "customer").select(
+        "c_custkey", geo.utm_epsg((k * 37) % 400 - 200 + F.lit(0.5), (k * 11) % 190 - 95 + F.lit(0.25)).alias("epsg"),
+    )
 
 
 @_query("SELECT p_partkey, replace(rtrim(rtrim(printf('%.6f', p_size / 8.0::DOUBLE), '0'), '.'), '.', 'p') || 'm' AS token FROM part")
@@ -627,7 +635,9 @@ def wavelength_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bounds_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, wide = F.col("s_suppkey") % 20, F.col("s_suppkey") % 7
-    return _table(spark, sf_dir, "supplier").select("s_suppkey", geo.overlap((left, left, left + wide, left + wide), (F.lit(8), F.lit(9), F.lit(12), F.lit(14))).alias("meets"))
+    return _table(spark, sf_dir, "supplier").select(
+        "s_suppkey", geo.overlap((left, left, left + wide, left + wide), (F.lit(8), F.lit(9), F.lit(12), F.lit(14))).alias("meets"),
+    )
 
 
 # -- maps -------------------------------------------------------------------------------------
@@ -635,7 +645,9 @@ def bounds_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    return _table(spark, sf_dir, "customer").select("c_custkey", (F.lit(6.0) + (k % 61) / F.lit(10.0)).alias("lon"), ((k % 1000) * F.lit(0.16) - 79.0).alias("lat"))
+    return _table(spark, sf_dir, "customer").select(
+        "c_custkey", (F.lit(6.0) + (k % 61) / F.lit(10.0)).alias("lon"), ((k % 1000) * F.lit(0.16) - 79.0).alias("lat"),
+    )
 
 
 #: The projection's series in the third flattening n, written out once more for SQL.
@@ -683,7 +695,10 @@ def toy_rpc(full: bool = False, height: int = 20) -> dict:
         line[3], line[7], samp[4], samp[19] = 0.02, 0.01, 0.015, -0.003
         one = [1.0, 0.001, -0.002] + [0.0] * 17
     middle = (height - 1) / 2
-    return {"line_off": middle, "samp_off": 12.0, "lat_off": 45.0, "long_off": 10.0, "height_off": 300.0, "line_scale": middle, "samp_scale": 12.0, "lat_scale": 0.05, "long_scale": 0.05, "height_scale": 500.0, "line_num": line, "line_den": one, "samp_num": samp, "samp_den": one}
+    return {
+        "line_off": middle, "samp_off": 12.0, "lat_off": 45.0, "long_off": 10.0, "height_off": 300.0, "line_scale": middle, "samp_scale": 12.0,
+        "lat_scale": 0.05, "long_scale": 0.05, "height_scale": 500.0, "line_num": line, "line_den": one, "samp_num": samp, "samp_den": one,
+    }
 
 
 _RPC = (
@@ -744,7 +759,9 @@ def ortho_tiles_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = ortho.image_places(_ortho_places(spark, sf_dir, source), toy_rpc(True, source[1]))
     found = resample.warp_tiles(places, cube.select_bands(pixel_cube(spark, sf_dir), (RED,)), 1, "nearest", *source, block=16)
     value = F.round(F.col("bands")[0], 9)
-    return found.select(F.col("row").alias("out_row"), F.col("col").alias("out_col"), F.lit(RED).alias("band"), value.alias("value")).filter(F.col("value").isNotNull())
+    return found.select(
+        F.col("row").alias("out_row"), F.col("col").alias("out_col"), F.lit(RED).alias("band"), value.alias("value"),
+    ).filter(F.col("value").isNotNull())
 
 
 # -- checks -----------------------------------------------------------------------------------
@@ -809,7 +826,10 @@ def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels and mean vegetation index by quality class."""
     c = pixel_cube(spark, sf_dir)
-    both = c.select(pixels.quality_class(F.col("bands"), **QUALITY).alias("class"), pixels.ndvi(F.col("bands")[NIR - 1], F.col("bands")[RED - 1], None).alias("ndvi"))
+    both = c.select(
+        pixels.quality_class(F.col("bands"), **QUALITY).alias("class"),
+        pixels.ndvi(F.col("bands")[NIR - 1], F.col("bands")[RED - 1], None).alias("ndvi"),
+    )
     return both.groupBy("class").agg(F.count(F.lit(1)).alias("pixels"), F.avg("ndvi").alias("mean_ndvi"))
 
 

@@ -26,7 +26,10 @@ RAISES = {
 def environment() -> dict[str, Any]:
     """Versions, and whether the built-in projections agree with themselves."""
     lon, lat = grids.to_degrees(32632, *grids.from_degrees(32632, 10.0, 45.0))
-    return {"engine": "cubeloom", "python": platform.python_version(), "spark": pyspark.__version__, "projections": "ok" if abs(lon - 10) + abs(lat - 45) < 1e-9 else "broken"}
+    return {
+        "engine": "cubeloom", "python": platform.python_version(), "spark": pyspark.__version__,
+        "projections": "ok" if abs(lon - 10) + abs(lat - 45) < 1e-9 else "broken",
+    }
 
 
 def inspect(spark: SparkSession, path: str, bands: list[int] | None = None, checksum: bool = False) -> dict[str, Any]:
@@ -104,7 +107,10 @@ def validate(spark: SparkSession, request: ValidationRequest) -> dict[str, Any]:
 def _verdict(request: ValidationRequest, rows: list[dict[str, Any]]) -> dict[str, Any]:
     counts = {s: sum(r["status"] == s for r in rows) for s in (checks.PASSED, checks.WARNING, checks.FAILED, checks.SKIPPED)}
     blocking = [r for r in rows if r["status"] == checks.FAILED or (request.strict and r["status"] == checks.WARNING)]
-    return {"input": request.input, "is_valid": not blocking, "counts": counts, "summary": ", ".join(f"{n} {s}" for s, n in counts.items()), "checks": rows, "blocking": [r["name"] for r in blocking]}
+    return {
+        "input": request.input, "is_valid": not blocking, "counts": counts, "summary": ", ".join(f"{n} {s}" for s, n in counts.items()),
+        "checks": rows, "blocking": [r["name"] for r in blocking],
+    }
 
 
 def raise_if_invalid(report: dict[str, Any]) -> None:
@@ -126,8 +132,16 @@ def human_bytes(n: int) -> str:
 
 def inspection_text(found: dict[str, Any], band_limit: int = 10) -> str:
     r = found["raster"]
-    lines = [f"Input            {found['input']}", f"Raster           {r['path']}", f"Format           {r['driver']}, {r['dtype']}", f"Size             {r['width']} x {r['height']}, {r['band_count']} bands", f"NoData           {'NaN' if r['nodata_is_nan'] else 'not set' if r['nodata'] is None else format(r['nodata'], 'g')}"]
-    lines += [f"CRS              {'EPSG:' + str(r['epsg']) if r['epsg'] else 'none'}", f"Transform        {tuple(r['transform'])}", f"Sensor model     {'usable' if r['rpc_usable'] else 'present, not usable' if r['rpc_available'] else 'none'}", f"Uncompressed     {human_bytes(r['estimated_bytes'])}", f"Blocks           {r['block_width']} x {r['block_height']}"]
+    lines = [
+        f"Input            {found['input']}", f"Raster           {r['path']}", f"Format           {r['driver']}, {r['dtype']}",
+        f"Size             {r['width']} x {r['height']}, {r['band_count']} bands",
+        f"NoData           {'NaN' if r['nodata_is_nan'] else 'not set' if r['nodata'] is None else format(r['nodata'], 'g')}",
+    ]
+    lines += [
+        f"CRS              {'EPSG:' + str(r['epsg']) if r['epsg'] else 'none'}", f"Transform        {tuple(r['transform'])}",
+        f"Sensor model     {'usable' if r['rpc_usable'] else 'present, not usable' if r['rpc_available'] else 'none'}",
+        f"Uncompressed     {human_bytes(r['estimated_bytes'])}", f"Blocks           {r['block_width']} x {r['block_height']}",
+    ]
     lines += [f"{k:<16} {v}" for k, v in (r["metadata"] or {}).items()]
     if found["sha256"]:
         lines.append(f"SHA-256          {found['sha256']}")

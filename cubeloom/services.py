@@ -26,7 +26,10 @@ from .sources import catalog, files, raster, sinks, tiff
 
 ENGINE = "cubeloom"
 #: Names of statistics in sidecars.
-STATISTICS = {"band": "band_index", "count": "valid_count", "min": "minimum", "max": "maximum", "mean": "mean", "std": "std", "p2": "percentile_2", "p98": "percentile_98"}
+STATISTICS = {
+    "band": "band_index", "count": "valid_count", "min": "minimum", "max": "maximum", "mean": "mean", "std": "std", "p2": "percentile_2",
+    "p98": "percentile_98",
+}
 #: Bytes that a destination grid may take.
 BUDGET = 1 << 30
 
@@ -49,7 +52,9 @@ def resolve_path(spark: SparkSession, path: str) -> str:
         return path
     found = [r["path"] for r in files.candidates(files.inventory(spark, path)).limit(2).collect()]
     if len(found) != 1:
-        raise errors.ProductStructureError("no raster in the folder" if not found else "several rasters in the folder", hint="name the file", context={"candidates": found})
+        raise errors.ProductStructureError(
+            "no raster in the folder" if not found else "several rasters in the folder", hint="name the file", context={"candidates": found},
+        )
     return found[0].removeprefix("file:")
 
 
@@ -81,7 +86,10 @@ def _names(product: Product, chosen: Sequence[int]) -> list[float | None]:
 
 def _output(product: Product, count: int, dtype: str, nodata: float | None, keep_rpc: bool, **tags: Any) -> tiff.Raster:
     h = product.header
-    return tiff.Raster(width=h.width, height=h.height, count=count, dtype=dtype, nodata=nodata, transform=h.transform, epsg=h.epsg, geographic=h.geographic, rpc=h.rpc if keep_rpc else None, tags={"software": ENGINE} | {k: v if isinstance(v, str) else json.dumps(v) for k, v in tags.items()})
+    return tiff.Raster(
+        width=h.width, height=h.height, count=count, dtype=dtype, nodata=nodata, transform=h.transform, epsg=h.epsg, geographic=h.geographic,
+        rpc=h.rpc if keep_rpc else None, tags={"software": ENGINE} | {k: v if isinstance(v, str) else json.dumps(v) for k, v in tags.items()},
+    )
 
 
 def calculate_index(spark: SparkSession, request: IndexRequest) -> dict[str, Any]:
@@ -103,13 +111,18 @@ def calculate_index(spark: SparkSession, request: IndexRequest) -> dict[str, Any
     grid = cube.select("row", "col", value.cast("double").alias("value"))
     header = _output(product, 1, "float32", request.nodata, False, index=request.index, bands=pair)
     sinks.write_geotiff(grid.select("row", "col", F.array("value").alias("bands")), target, header, overwrite=request.overwrite)
-    out = {"path": str(target), "index": request.index, "band_indices": pair, "wavelengths_nm": _names(product, pair), "nodata": request.nodata, "product_id": product.product_id, "statistics_path": None, "statistics": None}
+    out = {
+        "path": str(target), "index": request.index, "band_indices": pair, "wavelengths_nm": _names(product, pair), "nodata": request.nodata,
+        "product_id": product.product_id, "statistics_path": None, "statistics": None,
+    }
     if request.statistics:
         long = cube_op.stride(grid, request.sample_step).select(F.lit(1).alias("band"), "value")
         row = stats.summarise(long).first()
         row = row.asDict() if row else {"band": 1, "count": 0} | dict.fromkeys(("min", "max", "mean", "std", "p2", "p98"))
         out["statistics"] = {name: row[k] for k, name in STATISTICS.items()}
-        out["statistics_path"] = str(sinks.write_json(side, {k: out[k] for k in ("index", "path", "band_indices", "wavelengths_nm", "nodata", "statistics")}, request.overwrite))
+        out["statistics_path"] = str(sinks.write_json(
+            side, {k: out[k] for k in ("index", "path", "band_indices", "wavelengths_nm", "nodata", "statistics")}, request.overwrite,
+        ))
     return out
 
 
@@ -119,7 +132,9 @@ def extract_profile(spark: SparkSession, request: ProfileRequest) -> dict[str, A
     product = open_product(spark, request)
     h = product.header
     if request.row >= h.height or request.col >= h.width:
-        raise errors.SpectralAnalysisError("the pixel is not in the raster", context={"row": request.row, "col": request.col, "width": h.width, "height": h.height})
+        raise errors.SpectralAnalysisError(
+            "the pixel is not in the raster", context={"row": request.row, "col": request.col, "width": h.width, "height": h.height},
+        )
     chosen = list(request.bands or range(1, h.count + 1))
     half = request.window_size // 2
     r0, c0 = max(0, request.row - half), max(0, request.col - half)
@@ -130,7 +145,10 @@ def extract_profile(spark: SparkSession, request: ProfileRequest) -> dict[str, A
     found = {r["pos"]: r["value"] for r in stats.profile(_read(spark, product, chosen, window), request.row, request.col, request.window_size).collect()}
     values, nm = [found.get(i) for i in range(len(chosen))], _names(product, chosen)
     sinks.write_profile_csv(f"{stem}.csv", list(zip(chosen, nm, values, strict=True)), request.overwrite)
-    payload = {"product_id": product.product_id, "row": request.row, "col": request.col, "window_size": request.window_size, "band_indices": chosen, "wavelengths_nm": nm, "values": values, "csv_path": f"{stem}.csv", "json_path": f"{stem}.json"}
+    payload = {
+        "product_id": product.product_id, "row": request.row, "col": request.col, "window_size": request.window_size, "band_indices": chosen,
+        "wavelengths_nm": nm, "values": values, "csv_path": f"{stem}.csv", "json_path": f"{stem}.json",
+    }
     sinks.write_json(f"{stem}.json", payload, request.overwrite)
     return payload
 
@@ -149,14 +167,20 @@ def build_mask(spark: SparkSession, request: MaskRequest) -> dict[str, Any]:
     for p in (target, side) if request.statistics else (target,):
         sinks.check_target(p, request.overwrite)
     m = request.morphology
-    classes = quality.classify(_read(spark, product, chosen), saturation=request.saturation_dn, low_signal=request.low_signal_dn, fraction=request.band_fraction, anomaly=request.spectral_anomaly, cv_threshold=request.anomaly_cv_threshold)
+    classes = quality.classify(
+        _read(spark, product, chosen), saturation=request.saturation_dn, low_signal=request.low_signal_dn, fraction=request.band_fraction,
+        anomaly=request.spectral_anomaly, cv_threshold=request.anomaly_cv_threshold,
+    )
     if m.enabled:
         classes = quality.grow(classes, m.operation, m.shape, m.size, m.iterations)
     header = _output(product, 1, "uint8", float(pixels.NO_DATA), True, classes=pixels.CLASS_NAMES, bands=chosen, morphology=asdict(m))
     sinks.write_geotiff(classes.select("row", "col", F.array(F.col("class").cast("double")).alias("bands")), target, header, overwrite=request.overwrite)
     written = raster.read(spark, str(target)).select(F.coalesce(F.col("bands")[0], F.lit(float(pixels.NO_DATA))).cast("short").alias("class"))
     counts = {r["name"]: (r["count"], r["percentage"]) for r in quality.class_counts(written).collect()}
-    out = {"path": str(target), "band_indices": chosen, "wavelengths_nm": _names(product, chosen), "counts": {k: v[0] for k, v in counts.items()}, "product_id": product.product_id, "statistics_path": None}
+    out = {
+        "path": str(target), "band_indices": chosen, "wavelengths_nm": _names(product, chosen), "counts": {k: v[0] for k, v in counts.items()},
+        "product_id": product.product_id, "statistics_path": None,
+    }
     if request.statistics:
         share = {k: v[1] for k, v in counts.items()}
         extra = {"percentages": share, "valid_percentage": share["valid"], "nodata_percentage": share["no_data"], "saturated_percentage": share["saturated"]}
@@ -169,12 +193,20 @@ def _budget(grid: grids.Grid, bands: int, dtype: str) -> None:
 
     need = grid.width * grid.height * bands * np.dtype(dtype).itemsize
     if need > BUDGET:
-        raise errors.MemoryBudgetExceededError("a single output file of this size is over the budget", hint="use a coarser resolution, fewer bands, or the Parquet sink", context={"bytes": need, "budget": BUDGET})
+        raise errors.MemoryBudgetExceededError(
+            "a single output file of this size is over the budget", hint="use a coarser resolution, fewer bands, or the Parquet sink",
+            context={"bytes": need, "budget": BUDGET},
+        )
 
 
 def _warp_output(product: Product, grid: grids.Grid, chosen: Sequence[int], nodata: float | None, tags: dict[str, Any]) -> tiff.Raster:
     h = product.header
-    return tiff.Raster(width=grid.width, height=grid.height, count=len(chosen), dtype=h.dtype, nodata=nodata, transform=grid.transform, epsg=grid.epsg, geographic=grid.epsg == 4326, tags={"software": ENGINE} | {k: str(v) for k, v in tags.items()}, descriptions={i: h.descriptions[b] for i, b in enumerate(chosen, 1) if b in h.descriptions}, band_tags={i: h.band_tags[b] for i, b in enumerate(chosen, 1) if b in h.band_tags})
+    return tiff.Raster(
+        width=grid.width, height=grid.height, count=len(chosen), dtype=h.dtype, nodata=nodata, transform=grid.transform, epsg=grid.epsg,
+        geographic=grid.epsg == 4326, tags={"software": ENGINE} | {k: str(v) for k, v in tags.items()},
+        descriptions={i: h.descriptions[b] for i, b in enumerate(chosen, 1) if b in h.descriptions},
+        band_tags={i: h.band_tags[b] for i, b in enumerate(chosen, 1) if b in h.band_tags},
+    )
 
 
 def _write_warp(warped: DataFrame, target: Path, header: tiff.Raster, overwrite: bool) -> None:
@@ -226,7 +258,11 @@ def reproject(spark: SparkSession, request: ReprojectRequest) -> dict[str, Any]:
     header = _warp_output(product, grid, chosen, nodata, {"resampling": request.resampling, "source_epsg": h.epsg})
     warped = resample.warp_tiles(places, _read(spark, product, chosen), len(chosen), request.resampling, h.width, h.height)
     _write_warp(warped, target, header, request.overwrite)
-    return {"path": str(target), "crs": f"EPSG:{epsg}", "resolution": grid.resolution, "width": grid.width, "height": grid.height, "band_indices": chosen, "resampling": request.resampling, "snapped": request.snap_to_grid, "reference_raster": request.reference_raster, "product_id": product.product_id}
+    return {
+        "path": str(target), "crs": f"EPSG:{epsg}", "resolution": grid.resolution, "width": grid.width, "height": grid.height,
+        "band_indices": chosen, "resampling": request.resampling, "snapped": request.snap_to_grid, "reference_raster": request.reference_raster,
+        "product_id": product.product_id,
+    }
 
 
 def open_dem(path: str) -> tiff.Raster:
@@ -268,11 +304,18 @@ def orthorectify(spark: SparkSession, request: OrthoRequest) -> dict[str, Any]:
     high = ortho.with_height(points, posts, dem.transform, request.rpc_dem_missing_value, dem.epsg)
     places = ortho.image_places(high, h.rpc, request.rpc_height_scale)
     warped = resample.warp_tiles(places, _read(spark, product, chosen), len(chosen), request.resampling, h.width, h.height)
-    options = {"RPC_DEM": request.dem, "RPC_HEIGHT_SCALE": str(request.rpc_height_scale), "RPC_DEM_MISSING_VALUE": str(request.rpc_dem_missing_value), "RPC_DEM_APPLY_VDATUM_SHIFT": str(request.rpc_dem_apply_vdatum_shift)}
+    options = {
+        "RPC_DEM": request.dem, "RPC_HEIGHT_SCALE": str(request.rpc_height_scale), "RPC_DEM_MISSING_VALUE": str(request.rpc_dem_missing_value),
+        "RPC_DEM_APPLY_VDATUM_SHIFT": str(request.rpc_dem_apply_vdatum_shift),
+    }
     nodata = request.nodata if request.nodata is not None else h.nodata
     header = _warp_output(product, grid, chosen, nodata, options | {"resampling": request.resampling, "error_threshold_px": request.error_threshold_px})
     _write_warp(warped, target, header, request.overwrite)
-    return {"path": str(target), "crs": f"EPSG:{epsg}", "resolution": grid.resolution, "width": grid.width, "height": grid.height, "band_indices": chosen, "resampling": request.resampling, "product_id": product.product_id, "dem_path": request.dem, "transformer_options": options}
+    return {
+        "path": str(target), "crs": f"EPSG:{epsg}", "resolution": grid.resolution, "width": grid.width, "height": grid.height,
+        "band_indices": chosen, "resampling": request.resampling, "product_id": product.product_id, "dem_path": request.dem,
+        "transformer_options": options,
+    }
 
 
 def render_preview(spark: SparkSession, request: PreviewRequest) -> dict[str, Any]:
@@ -297,7 +340,10 @@ def render_preview(spark: SparkSession, request: PreviewRequest) -> dict[str, An
         wide = cube_op.to_wide(resample.gaussian_blur(long, request.blur_kernel))
         image = wide.select("row", "col", F.transform("bands", lambda v: F.rint(v).cast("short")).alias("image"))
     sinks.write_png(target, image, *size, overwrite=request.overwrite)
-    return {"path": str(target), "composite": request.composite, "band_indices": chosen, "wavelengths_nm": _names(product, chosen), "width": size[0], "height": size[1], "product_id": product.product_id}
+    return {
+        "path": str(target), "composite": request.composite, "band_indices": chosen, "wavelengths_nm": _names(product, chosen), "width": size[0],
+        "height": size[1], "product_id": product.product_id,
+    }
 
 
 def with_input(request: Request, path: str) -> Request:

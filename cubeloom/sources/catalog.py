@@ -44,7 +44,11 @@ def band_rows(raster_id: str, path: str, bands: list[int] | None = None) -> list
     r, _ = _header(path)
     nan = r.nodata is not None and r.nodata != r.nodata
     chosen = sorted(set(bands)) if bands else range(1, r.count + 1)
-    return [{"raster_id": raster_id, "band": i, "dtype": r.dtype, "nodata": None if nan else r.nodata, "nodata_is_nan": nan, "description": r.descriptions.get(i), "tags": r.band_tags.get(i, {}), "imagery": r.imagery.get(i, {}), "block_width": r.block_width, "block_height": r.block_height} for i in chosen]
+    return [{
+        "raster_id": raster_id, "band": i, "dtype": r.dtype, "nodata": None if nan else r.nodata, "nodata_is_nan": nan,
+        "description": r.descriptions.get(i), "tags": r.band_tags.get(i, {}), "imagery": r.imagery.get(i, {}), "block_width": r.block_width,
+        "block_height": r.block_height,
+    } for i in chosen]
 
 
 def inspect(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame, DataFrame]:

@@ -24,12 +24,18 @@ def inventory(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", "modificationTime")
     kind_of = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     kind = F.when(kind_of.isin(list(RASTER_TYPES)), "raster").when(kind_of.isin(list(METADATA_TYPES)), "metadata").otherwise("other")
-    return files.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), kind.alias("kind"), F.col("length").alias("size_bytes"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("modified"))
+    return files.select(
+        "path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), kind.alias("kind"), F.col("length").alias("size_bytes"),
+        F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("modified"),
+    )
 
 
 def totals(files: DataFrame) -> DataFrame:
     """Bytes and candidates of a folder."""
-    return files.agg(F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_bytes"), F.count_if(F.col("kind") == "raster").alias("rasters"), F.count_if(F.col("kind") == "metadata").alias("metadata_files"))
+    return files.agg(
+        F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_bytes"), F.count_if(F.col("kind") == "raster").alias("rasters"),
+        F.count_if(F.col("kind") == "metadata").alias("metadata_files"),
+    )
 
 
 def candidates(files: DataFrame) -> DataFrame:

@@ -186,7 +186,9 @@ class CubeReader(DataSourceReader):
         flat = pa.array(value.reshape(-1), mask=gone.reshape(-1))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(self.bands)), flat)
         rr, cc = np.mgrid[r0:r1, c0:c1]
-        batch = pa.RecordBatch.from_arrays([pa.array(rr.reshape(-1).astype(np.int32)), pa.array(cc.reshape(-1).astype(np.int32)), lists], names=["row", "col", "bands"])
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(rr.reshape(-1).astype(np.int32)), pa.array(cc.reshape(-1).astype(np.int32)), lists], names=["row", "col", "bands"],
+        )
         for at in range(0, n, 10_000):
             yield batch.slice(at, 10_000)
 
@@ -274,7 +276,10 @@ def window_header(r: tiff.Raster, bands: list[int] | None = None, window: tuple[
     )
 
 
-def read(spark: SparkSession, path: str, bands: list[int] | None = None, window: tuple[int, int, int, int] | None = None, float32: bool = True, fill_nan: bool = False, max_bytes: int | None = None, masked: bool = True) -> DataFrame:
+def read(
+    spark: SparkSession, path: str, bands: list[int] | None = None, window: tuple[int, int, int, int] | None = None, float32: bool = True,
+    fill_nan: bool = False, max_bytes: int | None = None, masked: bool = True,
+) -> DataFrame:
     """A cube of a raster file; ``max_bytes`` refuses what a single-process consumer could not hold."""
     r = header(path)
     r = r.raster if isinstance(r, Envi) else r

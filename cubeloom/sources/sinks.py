@@ -96,7 +96,10 @@ def encoded_tiles(cube: DataFrame, width: int, height: int, count: int, dtype: s
         return pa.table({"number": pa.array([k * across * down + number for k in range(count)], pa.int64()), "payload": pa.array(planes, pa.binary())})
 
     pixels = cube.filter((F.col("row") >= 0) & (F.col("row") < height) & (F.col("col") >= 0) & (F.col("col") < width)).select(tile.alias("tile"), "row", "col", "bands")
-    every = spark.range(across * down).select(F.col("id").alias("tile"), F.lit(None).cast("int").alias("row"), F.lit(None).cast("int").alias("col"), F.lit(None).cast("array<double>").alias("bands"))
+    every = spark.range(across * down).select(
+        F.col("id").alias("tile"), F.lit(None).cast("int").alias("row"), F.lit(None).cast("int").alias("col"),
+        F.lit(None).cast("array<double>").alias("bands"),
+    )
     return pixels.unionByName(every).groupBy("tile").applyInArrow(encode, "number long, payload binary")
 
 
@@ -136,7 +139,9 @@ def encode_png(image: np.ndarray) -> bytes:
     def chunk(kind: bytes, data: bytes) -> bytes:
         return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0 if image.ndim == 2 else 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + chunk(
+        b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0 if image.ndim == 2 else 2, 0, 0, 0),
+    ) + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
 
 
 def write_png(path: str | Path, image: DataFrame, width: int, height: int, overwrite: bool = False) -> Path:

@@ -25,7 +25,10 @@ _TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i
 _WIDTH, _HEIGHT, _BITS, _COMPRESSION, _STRIP_OFFSETS, _SAMPLES, _STRIP_ROWS, _STRIP_COUNTS, _PLANAR, _PREDICTOR = 256, 257, 258, 259, 273, 277, 278, 279, 284, 317
 _TILE_WIDTH, _TILE_HEIGHT, _TILE_OFFSETS, _TILE_COUNTS, _FORMAT, _PHOTOMETRIC, _EXTRA = 322, 323, 324, 325, 339, 262, 338
 _SCALE, _TIEPOINT, _MATRIX, _KEYS, _KEY_DOUBLES, _KEY_ASCII, _XML, _NODATA, _RPC = 33550, 33922, 34264, 34735, 34736, 34737, 42112, 42113, 50844
-_RPC_SCALARS = ("err_bias", "err_rand", "line_off", "samp_off", "lat_off", "long_off", "height_off", "line_scale", "samp_scale", "lat_scale", "long_scale", "height_scale")
+_RPC_SCALARS = (
+    "err_bias", "err_rand", "line_off", "samp_off", "lat_off", "long_off", "height_off", "line_scale", "samp_scale", "lat_scale", "long_scale",
+    "height_scale",
+)
 _RPC_POLYNOMIALS = ("line_num", "line_den", "samp_num", "samp_den")
 _RPC_NEEDED = _RPC_SCALARS[2:]
 _NONE, _LZW, _DEFLATE, _OLD_DEFLATE, _ZSTD = 1, 5, 8, 32946, 50000
@@ -131,7 +134,10 @@ def _interpret(t: dict[int, Any], order: str) -> Raster:
     name = {1: "uint", 2: "int", 3: "float"}.get(kind)
     if name is None or bits not in (8, 16, 32, 64) or len(set(t.get(_BITS, (bits,)))) > 1:
         raise UnsupportedError(f"samples of {bits} bits and format {kind} are not supported")
-    r = Raster(width=one(_WIDTH, 0), height=one(_HEIGHT, 0), count=one(_SAMPLES, 1), dtype=f"{name}{bits}", order=order, compression=one(_COMPRESSION, 1), predictor=one(_PREDICTOR, 1), planar=one(_PLANAR, 1))
+    r = Raster(
+        width=one(_WIDTH, 0), height=one(_HEIGHT, 0), count=one(_SAMPLES, 1), dtype=f"{name}{bits}", order=order, compression=one(_COMPRESSION, 1),
+        predictor=one(_PREDICTOR, 1), planar=one(_PLANAR, 1),
+    )
     r.tiled = _TILE_OFFSETS in t
     if r.tiled:
         r.block_width, r.block_height, r.offsets, r.sizes = one(_TILE_WIDTH, 0), one(_TILE_HEIGHT, 0), list(t[_TILE_OFFSETS]), list(t[_TILE_COUNTS])

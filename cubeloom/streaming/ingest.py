@@ -18,7 +18,9 @@ from ..sources.catalog import inspect
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
-def watch(spark: SparkSession, folder: str, checkpoint: str, each: Callable[[DataFrame, DataFrame], None], pattern: str = "*.tif", once: bool = False) -> StreamingQuery:
+def watch(
+    spark: SparkSession, folder: str, checkpoint: str, each: Callable[[DataFrame, DataFrame], None], pattern: str = "*.tif", once: bool = False,
+) -> StreamingQuery:
     """Call ``each`` with raster and band catalogs of the rasters that a batch brings."""
     arriving = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path", "length")
 
