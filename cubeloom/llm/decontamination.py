@@ -252,7 +252,10 @@ def hits(docs: DataFrame, windows: Windows, window_key: str = "doc_id") -> DataF
             mine = order[cuts[i] : cuts[i + 1]]
             spans.append([{"start": a, "end": b} for a, b in merged(place[mine] - bounds[i], w.lengths[which[mine]])] if len(mine) else [])
             items.append(sorted({w.ids[n] for x in set(which[mine].tolist()) for n in w.owners[x]} - {None}) if len(mine) else [])
-        return pa.RecordBatch.from_arrays([keys, pa.array(np.diff(bounds)), pa.array(spans, _OUT.field(1).type), pa.array(items, _OUT.field(2).type)], names=[window_key, *_OUT.names])
+        return pa.RecordBatch.from_arrays(
+            [keys, pa.array(np.diff(bounds)), pa.array(spans, _OUT.field(1).type), pa.array(items, _OUT.field(2).type)],
+            names=[window_key, *_OUT.names],
+        )
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,11 +271,17 @@ def _merge_blocks(parts: list[DataFrame]) -> DataFrame:
     rows = parts[0]
     for x in parts[1:]:
         rows = rows.union(x)
-    grouped = rows.groupBy("key").agg(F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    grouped = rows.groupBy("key").agg(
+        F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
     joined = F.aggregate(
         "all",
         F.slice("all", 1, 0),
-        lambda done, x: F.when((F.size(done) > 0) & (x.start <= F.element_at(done, -1).end), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.element_at(done, -1).start.alias("start"), F.greatest(x.end, F.element_at(done, -1).end).alias("end"))))).otherwise(F.concat(done, F.array(x))),
+        lambda done, x: F.when(
+            (F.size(done) > 0) & (x.start <= F.element_at(done, -1).end),
+            F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.element_at(done, -1).start.alias("start"), F.greatest(x.end, F.element_at(done, -1).end).alias("end")))),
+        ).otherwise(F.concat(done, F.array(x))),
     )
     return grouped.select("key", "n_words", joined.alias("spans"), "items")
 
@@ -320,5 +329,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wor
 
 def op6(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = occurrences(docs.select("doc_id", "text"), benchmark)
-    return found.select("doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+    return found.select(
+        "doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+    )
 

@@ -71,7 +71,10 @@ def _cut(with_bytes: bool):  # noqa: ANN202
                             hashes.append(xxhash.xxh3_64_intdigest(line.encode()))
                             texts.append(line if with_bytes else None)
                 at = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([some.column(0).take(at), some.column(1).take(at), pa.array(places, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(texts, pa.string())], names=["doc_id", "key", "place", "hash", "bytes"])
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0).take(at), some.column(1).take(at), pa.array(places, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(texts, pa.string())],
+                    names=["doc_id", "key", "place", "hash", "bytes"],
+                )
 
     return task
 
@@ -127,7 +130,10 @@ def dedup(docs: DataFrame) -> DataFrame:
                     joined = "\n".join(kept)
                     for to, x in zip(out, (len(lines), len(lines) - len(kept), joined, hashlib.sha256(joined.encode()).hexdigest()), strict=True):
                         to.append(x)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], names=["doc_id", "n_lines", "n_removed", "kept", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())],
+                    names=["doc_id", "n_lines", "n_removed", "kept", "kept_sha256"],
+                )
 
     return _base(docs).join(gone, "key", "left").select("doc_id", "text", "gone").mapInArrow(task, f"doc_id {kind}, {RESULT}")
 

@@ -83,7 +83,9 @@ def mix_plan(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIG
     prior = lambda n, *keys: F.coalesce(F.sum(n).over(W.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select(_SRC, _SIZE, prior("n_size", _SRC, _SIZE).alias("__a"))
     parts = parts.select(_SRC, _SIZE, _PART, prior("n", _SRC, _SIZE, _PART).alias("__b"))
-    starts = parts.join(sizes, [_SRC, _SIZE]).join(targets, _SRC).select(_SRC, _SIZE, _PART, (F.col("__a") + F.col("__b")).alias("__start"), "__mix_source_size", "__mix_target")
+    starts = parts.join(sizes, [_SRC, _SIZE]).join(targets, _SRC).select(
+        _SRC, _SIZE, _PART, (F.col("__a") + F.col("__b")).alias("__start"), "__mix_source_size", "__mix_target",
+    )
     in_part = W.partitionBy(_SRC, _SIZE, _PART).orderBy(F.col("doc_id").asc_nulls_first(), _TIE)
     ranked = rows.withColumn(_N, F.row_number().over(in_part)).join(starts, [_SRC, _SIZE, _PART])
     rate = F.when(F.col("__mix_source_size") > 0, F.col("__mix_target") / F.col("__mix_source_size")).otherwise(0.0)
@@ -101,7 +103,10 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS,
 
 def op4(docs: DataFrame) -> DataFrame:
     plan = mix_plan(docs.select("doc_id", "text", "source"))
-    return plan.select("doc_id", F.col(_SIZE).alias("size"), F.col("__mix_source_size").cast("long").alias("source_size"), F.col("__mix_target").alias("target"), (F.col("__mix_copies") * F.col(_SIZE)).cast("long").alias("taken"))
+    return plan.select(
+        "doc_id", F.col(_SIZE).alias("size"), F.col("__mix_source_size").cast("long").alias("source_size"), F.col("__mix_target").alias("target"),
+        (F.col("__mix_copies") * F.col(_SIZE)).cast("long").alias("taken"),
+    )
 
 
 ORACLE_SQL = r"""

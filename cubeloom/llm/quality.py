@@ -92,7 +92,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(row, feature, n) + self.shift, -500, 500)))
 
 
-def hinge_by_dual_descent(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, dim: int, cost: float = 1.0, rounds: int = 20, seed: int = 7) -> tuple[np.ndarray, float]:
+def hinge_by_dual_descent(
+    rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, dim: int, cost: float = 1.0, rounds: int = 20, seed: int = 7,
+) -> tuple[np.ndarray, float]:
     """Weights and bias of the linear hinge-loss model; rows are (features, values)."""
     weight, bias = np.zeros(dim), 0.0
     alpha = np.zeros(len(rows))
@@ -179,7 +181,10 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, label:
                 row, feature = features(batch.column(1).slice(lo, hi - lo))
                 cuts = np.searchsorted(row, np.arange(hi - lo + 1))
                 lists = [feature[a:b].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(lists, pa.binary())], names=["label", "h", "features"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(lists, pa.binary())],
+                    names=["label", "h", "features"],
+                )
 
     # `max_train` ids: a bounded broadcast, whatever the tables' sizes
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("__label", "text", F.xxhash64("doc_id", "text").alias("__h"))
@@ -232,4 +237,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
 
 def op7(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
-    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return score(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+    )

@@ -172,7 +172,9 @@ def leaf_pairs(distinct: DataFrame, budget: int = BUDGET, leaf: int = LEAF) -> t
     node = "struct<depth:int,prefix:bigint>"
     root_open = distinct.count() > leaf
     root = F.struct(F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("prefix")).cast(node)
-    pairs = spark.range(1).select(root.alias("a"), root.alias("b"), F.lit(root_open).alias("a_open"), F.lit(root_open).alias("b_open"), F.lit(0).alias("differ"))
+    pairs = spark.range(1).select(
+        root.alias("a"), root.alias("b"), F.lit(root_open).alias("a_open"), F.lit(root_open).alias("b_open"), F.lit(0).alias("differ"),
+    )
     if not root_open:
         return open_fps.select("fp", root.alias("leaf")), pairs.select("a", "b")
     depth = 0
@@ -191,7 +193,9 @@ def leaf_pairs(distinct: DataFrame, budget: int = BUDGET, leaf: int = LEAF) -> t
 
         both = expand("b", expand("a", pairs.withColumn("__self", F.col("a") == F.col("b"))))
         # only bits that this step added to both nodes are new; a closed node's were counted before
-        new = F.when((F.col("a.depth") == below) & (F.col("b.depth") == below), F.bit_count(F.col("a.prefix").bitwiseXOR(F.col("b.prefix")))).otherwise(F.col("differ"))
+        new = F.when(
+            (F.col("a.depth") == below) & (F.col("b.depth") == below), F.bit_count(F.col("a.prefix").bitwiseXOR(F.col("b.prefix"))),
+        ).otherwise(F.col("differ"))
         both = both.withColumn("differ", new).filter(F.col("differ") <= budget).filter(~F.col("__self") | (F.col("a.prefix") <= F.col("b.prefix"))).drop("__self")
         both = common.settle(both, "trie-pairs")
         found.append(both.filter("NOT a_open AND NOT b_open").select("a", "b"))
@@ -219,7 +223,9 @@ def links(distinct: DataFrame, budget: int = BUDGET, leaf: int = LEAF) -> DataFr
     """Spanning edges (u, v) of all links between distinct fingerprints ``fp``."""
     leaves, pairs = leaf_pairs(distinct, budget, leaf)
     full = common.settle(leaves.groupBy("leaf").agg(F.sort_array(F.collect_list("fp")).alias("fps")), "trie-leaves")  # at most `leaf` entries each
-    work = pairs.join(full.select(F.col("leaf").alias("a"), F.col("fps").alias("a_fps")), "a").join(full.select(F.col("leaf").alias("b"), F.col("fps").alias("b_fps")), "b")
+    work = pairs.join(
+        full.select(F.col("leaf").alias("a"), F.col("fps").alias("a_fps")), "a",
+    ).join(full.select(F.col("leaf").alias("b"), F.col("fps").alias("b_fps")), "b")
     work = work.select("a", "b", "a_fps", "b_fps")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +253,9 @@ def classes(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE, leaf:
         rows = common.settle(fingerprints(docs, shingle), "fingerprints")
         distinct = common.settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
         roots = components(links(distinct, budget, leaf))
-        named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.col("n").alias("rows"), F.coalesce("root", "fp").alias("root"))
+        named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
+            "fp", "least", F.col("n").alias("rows"), F.coalesce("root", "fp").alias("root"),
+        )
         named = common.settle(named, "named-fingerprints")
         least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
         ids = common.join_counted(named, least, "root", named.count()).select("fp", "component_id", F.col("rows").alias("n"))
@@ -401,7 +409,10 @@ def _dealt(entries: DataFrame, orders: range, head: int) -> DataFrame:
                 hi, lo, root = (np.array(c) for c in batch.slice(at, 4000).columns)
                 bits = _bits(hi, lo)
                 nodes = np.concatenate([_nodes(bits, t, head, head) for t in orders])
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.repeat(np.arange(orders.start, orders.stop, dtype=np.int32), len(hi))), *(pa.array(np.tile(x, len(orders))) for x in (hi, lo, root))], names=["node", "t", "hi", "lo", "root"])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(nodes), pa.array(np.repeat(np.arange(orders.start, orders.stop, dtype=np.int32), len(hi))),
+                    *(pa.array(np.tile(x, len(orders))) for x in (hi, lo, root)),
+                ], names=["node", "t", "hi", "lo", "root"])
 
     return entries.select("hi", "lo", "root").mapInArrow(deal, DEALT)
 
@@ -618,14 +629,18 @@ def similar_classes(members: DataFrame, budget: int, similarity: float, block: i
         sized = of_root.join(rest, "class", "left").select(F.struct("class", "root").alias("__of"), "big", count.alias("count"), F.col("of_root").alias("n"))
         entries = now.filter(F.col("n") > block).drop("n").withColumn("__of", F.struct("class", "root"))
         placed = common.join_counted(entries, sized, "__of", entries.count())
-        placed = placed.withColumn("b", F.pmod(F.xxhash64(F.when(F.col("big").isNotNull(), F.col("entry")).otherwise(F.col("root"))), F.col("count")).cast("int"))
+        placed = placed.withColumn(
+            "b", F.pmod(F.xxhash64(F.when(F.col("big").isNotNull(), F.col("entry")).otherwise(F.col("root"))), F.col("count")).cast("int"),
+        )
         placed = common.settle(placed.select("class", "entry", "root", F.struct("big", "b").alias("b")), "similar-blocks")
         blocks = placed.select("class", "b").distinct()
         pairs = blocks.withColumnRenamed("b", "x").join(blocks.withColumnRenamed("b", "y"), "class").filter("x <= y AND NOT (x.big <=> y.big AND x.big IS NOT NULL)")
         pairs = common.settle(pairs, "similar-pairs")
         sides = pairs.select("class", F.col("x").alias("b"), "x", "y").union(pairs.filter("x != y").select("class", F.col("y").alias("b"), "x", "y"))
         again = placed.join(sides, ["class", "b"]).select("class", "x", "y", "entry", "root")
-        again = again.join(large.select("entry", "hi", "lo", "grams"), "entry").select("class", F.to_json("x").alias("x"), F.to_json("y").alias("y"), "entry", "root", "hi", "lo", "grams")
+        again = again.join(large.select("entry", "hi", "lo", "grams"), "entry").select(
+            "class", F.to_json("x").alias("x"), F.to_json("y").alias("y"), "entry", "root", "hi", "lo", "grams",
+        )
         edges = common.settle(_solved(again, ["class", "x", "y"], budget, similarity), "similar-links")
         return _moved(now, edges).select("entry", "root")
     return _moved(members, edges).select("entry", "root")
@@ -651,7 +666,9 @@ def keep_first(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5
                 hashes, grams = shingles((t or "").encode().translate(_LOWER).split(), shingle)
                 hi[i], lo[i] = _majority(hashes)
                 same.append(xxhash.xxh3_128_digest(grams.tobytes(), SEED))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x.view(np.int64)) for x in (hi, lo)), pa.array(same, pa.binary())], names=["id", "key", "hi", "lo", "same"])
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), *(pa.array(x.view(np.int64)) for x in (hi, lo)), pa.array(same, pa.binary()),
+            ], names=["id", "key", "hi", "lo", "same"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -671,7 +688,9 @@ def keep_first(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5
         distinct = common.settle(sets_of.select(F.monotonically_increasing_id().alias("entry"), "hi", "lo", "least"), "wide-distinct")
         candidates = wide_classes(distinct, budget, similarity)
         several = candidates.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        asked = common.join_counted(candidates, several, "root", candidates.count()).select(F.col("root").alias("class"), "n", "entry", "hi", "lo", F.col("least").alias("__sim_least"))
+        asked = common.join_counted(candidates, several, "root", candidates.count()).select(
+            F.col("root").alias("class"), "n", "entry", "hi", "lo", F.col("least").alias("__sim_least"),
+        )
         keyed = docs.withColumn("__sim_key", F.struct(F.col("doc_id").alias("id"), common.digest("text").alias("key")))
         texts = keyed.select("__sim_key", "text").join(asked, F.col("__sim_key").eqNullSafe(F.col("__sim_least"))).dropDuplicates(["entry"]).select("class", "n", "entry", "hi", "lo", "text")
         members = common.settle(texts.mapInArrow(sets, "class long, n long, entry long, hi long, lo long, grams array<long>"), "candidate-shingles")

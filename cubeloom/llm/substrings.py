@@ -115,7 +115,9 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.concatenate([[True], ~(_as_before(batch.column(0)) & _as_before(batch.column(1)))])
         first = np.flatnonzero(new)
         copies = np.add.reduceat(np.asarray(batch.column(2)), first)
-        rows = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first)), batch.column(1).take(pa.array(first)), pa.array(copies)], names=batch.schema.names)
+        rows = pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(first)), batch.column(1).take(pa.array(first)), pa.array(copies)], names=batch.schema.names,
+        )
         last = rows.slice(len(rows) - 1)
         yield rows.slice(0, len(rows) - 1)
     if last is not None:
@@ -215,7 +217,10 @@ def _pack(full: np.ndarray, kind: str, place: np.ndarray, flag: np.ndarray, n_bu
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
     mine = [order[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-    columns = [bucket[order[cuts[:-1]]], [chunk] * len(mine), [low[m].tobytes() for m in mine], [_gaps(place[m]) for m in mine], [np.packbits(flag[m]).tobytes() for m in mine]]
+    columns = [
+        bucket[order[cuts[:-1]]], [chunk] * len(mine), [low[m].tobytes() for m in mine], [_gaps(place[m]) for m in mine],
+        [np.packbits(flag[m]).tobytes() for m in mine],
+    ]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PACKED, strict=True)], schema=_PACKED)
 
 
@@ -424,7 +429,10 @@ def covered(n_words: int, starts: np.ndarray, window: int = WINDOW) -> np.ndarra
 
 
 RESULT = "n_words long, n_removed long, kept string, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string"
-_RESULT = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_sha256", pa.string())])
+_RESULT = pa.schema([
+    ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()),
+    ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_sha256", pa.string()),
+])
 
 
 def dedup(docs: DataFrame, with_text: bool = True, chunk_words: int = CHUNK_WORDS, asked_words: int = ASKED_WORDS, hash_bits: int = 64) -> DataFrame:
@@ -449,7 +457,10 @@ def dedup(docs: DataFrame, with_text: bool = True, chunk_words: int = CHUNK_WORD
             for i in np.unique(np.searchsorted(chunk.bounds, np.flatnonzero(gone), "right") - 1).tolist():
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], gone[chunk.bounds[i] : chunk.bounds[i + 1]].astype(np.int8), [0]])))
                 spans[i] = [{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()]
-        columns = [n_words, n_words - np.diff(ends), [x.decode() for x in lines] if with_text else [None] * len(lines), spans, [hashlib.sha256(x).hexdigest() for x in lines]]
+        columns = [
+            n_words, n_words - np.diff(ends), [x.decode() for x in lines] if with_text else [None] * len(lines), spans,
+            [hashlib.sha256(x).hexdigest() for x in lines],
+        ]
         out = pa.table([chunk.rows.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(columns, _RESULT, strict=True))], names=["doc_id", *_RESULT.names])
         return out.take(pa.array(np.repeat(np.arange(len(out)), np.asarray(chunk.rows.column("copies")))))
 

@@ -72,7 +72,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_sharding, op3_topk, op4_mixing, op5_line_dedup, op6_decontamination, op7_quality, op8_substring_dedup, op9_token_output, op10_simhash)}
+    return {f.__name__: f for f in (
+        op1_warc, op2_sharding, op3_topk, op4_mixing, op5_line_dedup, op6_decontamination, op7_quality, op8_substring_dedup, op9_token_output,
+        op10_simhash,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:

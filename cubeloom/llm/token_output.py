@@ -55,7 +55,9 @@ AT_ONCE = 8_000
 BLOCKS_AT_ONCE = 512
 
 MANIFEST = "part int, seq int, name string, n_docs long, n_ids long, n_bytes long"
-_MANIFEST = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
+_MANIFEST = pa.schema([
+    ("part", pa.int32()), ("seq", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64()),
+])
 DOCS = "name string, place long, doc_id long, start_in_file long, n_tokens long, ids_crc32 long"
 
 
@@ -428,7 +430,10 @@ def read(folder: str, manifest: DataFrame) -> DataFrame:
                 ids, at = file.ids().astype("<u4"), np.concatenate([[0], np.cumsum(file.lengths)])
                 crcs = [zlib.crc32(ids[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 n = len(crcs)
-                yield pa.RecordBatch.from_arrays([pa.array([posixpath.basename(path)] * n, pa.string()), pa.array(range(n), pa.int64()), pa.array(file.doc_ids, pa.int64()), pa.array(at[:-1], pa.int64()), pa.array(file.lengths, pa.int64()), pa.array(crcs, pa.int64())], names=["name", "place", "doc_id", "start_in_file", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([posixpath.basename(path)] * n, pa.string()), pa.array(range(n), pa.int64()), pa.array(file.doc_ids, pa.int64()), pa.array(at[:-1], pa.int64()), pa.array(file.lengths, pa.int64()), pa.array(crcs, pa.int64())],
+                    names=["name", "place", "doc_id", "start_in_file", "n_tokens", "ids_crc32"],
+                )
 
     before = W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)  # a row per file
     base = manifest.select("name", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))

@@ -169,7 +169,9 @@ def reaching(q: np.ndarray, bound: np.ndarray, v: np.ndarray, lists: int, n: int
 # -- Spark ------------------------------------------------------------------------------------
 
 
-def search(vectors: DataFrame, is_query: F.Column, k: int = K, lists: int = LISTS, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
+def search(
+    vectors: DataFrame, is_query: F.Column, k: int = K, lists: int = LISTS, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK,
+) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of ``vectors`` (vec_id, v) that ``is_query`` marks."""
     spark = vectors.sparkSession
     with common.scratch() as keep:
@@ -216,13 +218,20 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = K, lists: int = LIST
                     asker, bound, q = _unblock(*row[4:])
                     query, vector, total, _ = reaching(q, bound, v, lists, enough)
                     number = np.where(marked < 0, ~marked, marked)
-                    yield pa.RecordBatch.from_arrays([pa.array(asker[query]), pa.array(number[vector]), pa.array(least[vector]), pa.array(total)], names=["asker", "number", "least", "score"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(asker[query]), pa.array(number[vector]), pa.array(least[vector]), pa.array(total)],
+                        names=["asker", "number", "least", "score"],
+                    )
 
         # `AT_ONCE` blocks of queries at a time: a bounded broadcast in every pass, and as many passes as they need
         ordered = asked.select("block", F.row_number().over(W.orderBy("block")).alias("at"))  # a number for each block
-        numbered = common.settle(asked.join(ordered, "block").select(F.floor((F.col("at") - 1) / AT_ONCE).alias("pass"), *(F.col(c).alias(f"q_{c}") for c in ("first", "second", "data", "width"))), "query-passes")
+        numbered = common.settle(asked.join(ordered, "block").select(
+            F.floor((F.col("at") - 1) / AT_ONCE).alias("pass"), *(F.col(c).alias(f"q_{c}") for c in ("first", "second", "data", "width")),
+        ), "query-passes")
         passes = numbered.agg(F.coalesce(F.max("pass") + 1, F.lit(0)).alias("n")).first()["n"]
-        some = [common.settle(blocks.join(F.broadcast(numbered.filter(F.col("pass") == i).drop("pass")), F.lit(True)).mapInArrow(collect, FOUND), "sufficient") for i in range(passes)]
+        some = [common.settle(
+            blocks.join(F.broadcast(numbered.filter(F.col("pass") == i).drop("pass")), F.lit(True)).mapInArrow(collect, FOUND), "sufficient",
+        ) for i in range(passes)]
         keep += [rows, distinct, *some]
     found = reduce(DataFrame.union, some) if some else spark.createDataFrame([], FOUND)
     best = W.partitionBy("asker").orderBy(F.desc("score"), "least", "number")
@@ -234,8 +243,12 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = K, lists: int = LIST
     listed = named.groupBy("asker").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("best"))  # `enough` entries at most
     answers = distinct.filter("n > 0").select("number", "v", "n").join(listed, F.col("number") == F.col("asker")).select("v", "n", "best")
     ids = rows.filter("asks").select("v", F.col("vec_id").alias("query_id"))
-    each = common.join_counted(ids, answers, "v", ids.count()).select("query_id", F.slice(F.filter("best", lambda x: x.vec_id != F.col("query_id")), 1, k).alias("best"))
-    return each.select("query_id", F.posexplode("best").alias("pos", "hit")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
+    each = common.join_counted(ids, answers, "v", ids.count()).select(
+        "query_id", F.slice(F.filter("best", lambda x: x.vec_id != F.col("query_id")), 1, k).alias("best"),
+    )
+    return each.select("query_id", F.posexplode("best").alias("pos", "hit")).select(
+        "query_id", (F.col("pos") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"),
+    )
 
 
 FOUND = "asker long, number long, least long, score long"

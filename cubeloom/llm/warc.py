@@ -73,7 +73,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     """One gzipped record: a response, or a revisit if ``refers_to`` is given."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.0", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{_ID}{'' if page_id is None else page_id}>", f"WARC-Date: {capture_time(page_id)}"]
+    head = [
+        "WARC/1.0", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{_ID}{'' if page_id is None else page_id}>",
+        f"WARC-Date: {capture_time(page_id)}",
+    ]
     if url is not None:
         head.append(f"WARC-Target-URI: {quote(url, safe='%/:=&?~#+!$,;@()*[]' + chr(39))}")
     head.append(f"WARC-Payload-Digest: sha256:{hashlib.sha256(payload).hexdigest()}")
@@ -119,10 +122,17 @@ def capture(archive: str, offset: int, length: int, fields: dict[str, str], bloc
     if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError(f"{archive}: a payload differs from its digest")
     key = url_key(fields.get("WARC-Target-URI"))
-    return {"url_key": key, "timestamp": fields["WARC-Date"], "page_id": _page(fields["WARC-Record-ID"]), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": _page(fields.get("WARC-Refers-To")), "archive": archive, "offset": offset, "length": length}
+    return {
+        "url_key": key, "timestamp": fields["WARC-Date"], "page_id": _page(fields["WARC-Record-ID"]), "payload_bytes": size,
+        "payload_digest": digest, "record_type": kind, "refers_to": _page(fields.get("WARC-Refers-To")), "archive": archive, "offset": offset,
+        "length": length,
+    }
 
 
-_CAPTURE = pa.struct([("url_key", pa.string()), ("timestamp", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+_CAPTURE = pa.struct([
+    ("url_key", pa.string()), ("timestamp", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
+    ("record_type", pa.string()), ("refers_to", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64()),
+])
 CAPTURE = "url_key string, timestamp string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long"
 
 
@@ -229,14 +239,20 @@ def index(folder: str, archives: DataFrame, cuts: list[tuple[str, str]]) -> Data
                 parts: dict[int, list[dict]] = {}
                 for c in run:
                     parts.setdefault(bisect_right(cuts, (c["url_key"], c["timestamp"])), []).append(c)
-                yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([name] * len(parts), pa.string()), pa.array(list(parts.values()), pa.list_(_CAPTURE))], names=["range", "archive", "run"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(parts), pa.int32()), pa.array([name] * len(parts), pa.string()), pa.array(list(parts.values()), pa.list_(_CAPTURE))],
+                    names=["range", "archive", "run"],
+                )
 
     def merge(table: pa.Table) -> pa.Table:
         # runs in order of their archive, so that reruns agree
         rows = sorted(zip(table.column("archive").to_pylist(), table.column("run").to_pylist(), strict=True), key=lambda x: x[0])
         merged = pa.array(list(merge_runs([run for _, run in rows])), _CAPTURE)
         n, number = len(merged), table.column("range")[0].as_py()
-        return pa.table([pa.array([number] * n, pa.int32()), pa.array(range(n), pa.int64()), *merged.flatten()], names=["range", "position", *[f.name for f in _CAPTURE]])
+        return pa.table(
+            [pa.array([number] * n, pa.int32()), pa.array(range(n), pa.int64()), *merged.flatten()],
+            names=["range", "position", *[f.name for f in _CAPTURE]],
+        )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "content")
     cut = files.mapInArrow(runs, f"range int, archive string, run array<struct<{', '.join(x.replace(' ', ':') for x in CAPTURE.split(', '))}>>")
