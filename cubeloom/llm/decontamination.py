@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 10
-#: Words of benchmark items in one broadcast block.
-BLOCK_WORDS = 2_000_000
+#: Words of benchmark items in one broadcast block: 40 bytes a window, and its words once.
+BLOCK_WORDS = 500_000
 #: Words of documents in one index.
 SHARD_WORDS = 2_000_000
 #: Every so manieth text position is kept for locating.
@@ -142,43 +142,52 @@ class FMIndex:
 
 
 class Windows:
-    """The distinct windows of a block of benchmark items."""
+    """The distinct windows of a block of benchmark items, as arrays."""
 
     def __init__(self, items: list[tuple[object, list[bytes]]], window: int):
         self.symbol: dict[bytes, int] = {}
-        distinct: dict[tuple[int, ...], int] = {}
-        owners: list[list[int]] = []
         self.ids = [None if i is None else str(i) for i, _ in items]
+        rows, owner = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)]
         for number, (_, words) in enumerate(items):
-            codes = [self.symbol.setdefault(w, len(self.symbol) + 2) for w in words]  # 1 separates
+            codes = np.array([self.symbol.setdefault(w, len(self.symbol) + 2) for w in words], np.int32)  # 1 separates
+            if not len(codes):
+                continue
             width = min(window, len(codes))
-            for at in range(len(codes) - width + 1 if codes else 0):
-                key = tuple(codes[at : at + width])
-                if (place := distinct.setdefault(key, len(owners))) == len(owners):
-                    owners.append([])
-                if not owners[place] or owners[place][-1] != number:
-                    owners[place].append(number)
-        self.lengths = np.array([len(k) for k in distinct], np.int64)
-        self.patterns = np.zeros((len(distinct), window), np.int64)
-        for row, key in enumerate(distinct):
-            self.patterns[row, window - len(key) :] = key
-        self.owners = owners
+            found = np.zeros((len(codes) - width + 1, window), np.int32)
+            found[:, window - width :] = np.lib.stride_tricks.sliding_window_view(codes, width)
+            rows.append(found)
+            owner.append(np.full(len(found), number))
+        #: Symbols of every window, its last ones to the right; zeros before shorter ones.
+        self.patterns, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        self.lengths = (self.patterns > 0).sum(axis=1)
         self.shortest = int(self.lengths.min(initial=window))
+        many = max(len(items), 1)
+        pairs = np.unique(which.reshape(-1).astype(np.int64) * many + np.concatenate(owner))
+        self._owner, self._first = pairs % many, np.searchsorted(pairs // many, np.arange(len(self.patterns) + 1))
+
+    def items(self, windows: np.ndarray) -> list[str]:
+        """Ids of the items that have any of ``windows``, as strings in order."""
+        first, last = self._first[windows], self._first[windows + 1]
+        owners = np.unique(self._owner[common.ranges(first, last - first)])
+        return sorted({self.ids[n] for n in owners.tolist()} - {None})
 
 
 def blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Windows]:
-    """Windows of bounded blocks of items, streamed to the driver one after another."""
+    """Windows of bounded blocks of items, streamed to the driver one after another.
+
+    An item longer than a block is cut into pieces that overlap, so that every
+    window of it is whole in one of them.
+    """
     held: list[tuple[object, list[bytes]]] = []
     n = 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         words = words_of(row["text"])
-        if not words:
-            continue
-        held.append((row["item_id"], words))
-        n += len(words)
-        if n >= block_words:
-            yield Windows(held, window)
-            held, n = [], 0
+        for at in range(0, max(len(words) - window + 1, min(len(words), 1)), block_words):
+            held.append((row["item_id"], words[at : at + block_words + window - 1]))
+            n += len(held[-1][1])
+            if n >= block_words:
+                yield Windows(held, window)
+                held, n = [], 0
     if held:
         yield Windows(held, window)
 
@@ -251,7 +260,7 @@ def hits(docs: DataFrame, windows: Windows, window_key: str = "doc_id") -> DataF
         for i in range(len(keys)):
             mine = order[cuts[i] : cuts[i + 1]]
             spans.append([{"start": a, "end": b} for a, b in merged(place[mine] - bounds[i], w.lengths[which[mine]])] if len(mine) else [])
-            items.append(sorted({w.ids[n] for x in set(which[mine].tolist()) for n in w.owners[x]} - {None}) if len(mine) else [])
+            items.append(w.items(np.unique(which[mine])) if len(mine) else [])
         return pa.RecordBatch.from_arrays(
             [keys, pa.array(np.diff(bounds)), pa.array(spans, _OUT.field(1).type), pa.array(items, _OUT.field(2).type)],
             names=[window_key, *_OUT.names],

@@ -333,6 +333,22 @@ def test_fm_index_matches_brute_force(spark, seed):
         assert (r["n_words"], r["n_hit"], len(r["items"])) == tuple(want[r["doc_id"]][k] for k in ("n_words", "n_hit", "n_items"))
 
 
+@pytest.mark.parametrize("block_words", [1, 7, 30])
+def test_long_items_are_cut_without_losing_a_window(spark, block_words):
+    rng = random.Random(block_words)
+    items = [(i, " ".join(rng.choice("abcd") for _ in range(n))) for i, n in enumerate([0, 1, 9, 10, 11, 60, 25])]
+    bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    found = list(decontamination.blocks(bench, 10, block_words))
+    got = set()
+    for w in found:
+        back = {n: s.decode() for s, n in w.symbol.items()}
+        for k, row in enumerate(w.patterns.tolist()):
+            got |= {(i, " ".join(back[x] for x in row if x)) for i in w.items(np.array([k]))}
+    words = {i: t.split() for i, t in items}
+    want = {(str(i), " ".join(x[at : at + 10])) for i, x in words.items() for at in range(max(len(x) - 9, min(len(x), 1)))}
+    assert got == want and (block_words > 7 or len(found) > 5)
+
+
 def test_fm_index_counts_and_locates():
     rng = np.random.default_rng(1)
     text = rng.integers(1, 5, 300)
