@@ -51,8 +51,9 @@ BUCKET_WINDOWS = 2_500_000
 CHUNK_WORDS = 1_000_000
 #: Bytes of text that are split into words at a time.
 SLICE = 6 << 20
-#: Words that a task compares for one chunk; more requests to it are split.
-ASKED_WORDS = 200_000
+#: Words that a task compares for one chunk at least, before requests to it are split; a request counts as so many more.
+ASKED_WORDS = 100_000
+ASKING_WORDS = 400
 
 PACKED = "bucket int, chunk long, hashes binary, gaps binary, flags binary"
 _PACKED = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *((k, pa.binary()) for k in ("hashes", "gaps", "flags"))])
@@ -407,8 +408,10 @@ def repeats(docs: DataFrame, folder: str, chunk_words: int = CHUNK_WORDS, asked_
         packed = by_chunk(hits).groupBy("chunk").applyInArrow(_extend(folder, n_buckets, hash_bits), PACKED)
         found = common.settle(packed.groupBy("bucket").applyInArrow(_repeats, FOUND), "repeats")
         asked = common.settle(by_chunk(found).groupBy("chunk").applyInArrow(_ask(folder), ASKED), "comparisons")
-        # a chunk that many ask is opened by several tasks
-        tasks = asked.groupBy("holder").agg(F.ceil(F.sum("n") / asked_words).alias("tasks"))
+        # a chunk that has more than a task's share of all comparisons is opened by several tasks
+        cost = F.sum(F.col("n") + ASKING_WORDS)
+        share = max(asked_words, (asked.agg(cost.alias("n")).first()["n"] or 0) // (2 * parts))
+        tasks = asked.groupBy("holder").agg(F.ceil(cost / share).alias("tasks"))
         shared = asked.join(tasks, "holder").withColumn("task", F.pmod(F.xxhash64("chunk", "place"), "tasks"))
         shared = shared.repartition(2 * parts, "holder", "task").sortWithinPartitions("holder").select(*asked.columns)
         wrong = common.settle(shared.mapInArrow(_compare(folder), WRONG), "unequal")
