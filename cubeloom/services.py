@@ -333,7 +333,7 @@ def render_preview(spark: SparkSession, request: PreviewRequest) -> dict[str, An
     target = folder / f"{product.product_id}_preview_{label}.png"
     sinks.check_target(target, request.overwrite)
     size = grids.preview_size(h.width, h.height, request.max_dimension)
-    small = resample.decimate(_read(spark, product, chosen), (h.width, h.height), size)
+    small = raster.read(spark, product.path, list(chosen), out_shape=size)
     image = resample.composite(small, range(1, len(chosen) + 1), request.lower_percentile, request.upper_percentile, request.per_band)
     if request.blur_kernel and request.blur_kernel > 1:
         long = cube_op.to_long(image.select("row", "col", F.transform("image", lambda v: v.cast("double")).alias("bands")))

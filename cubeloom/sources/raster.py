@@ -5,7 +5,8 @@ by ranges on an executor and handed over as Arrow batches.  Options: ``path``;
 ``bands`` ("9,5,3", 1-based, order kept); ``window`` ("col_off,row_off,width,height",
 which prunes tiles); ``float32`` (default true); ``fill_nan`` (NoData as NaN
 instead of NULL); ``masked`` (default true; false leaves NoData as the number it
-is); ``partition_bytes``.  Rows are row INT, col INT, bands
+is); ``out_shape`` ("width,height": the nearest pixel of each cell, so that only
+their blocks are read, rows and columns counted from 0); ``partition_bytes``.  Rows are row INT, col INT, bands
 ARRAY<DOUBLE>.  With ``spark.sql.python.filterPushdown.enabled`` comparisons of
 row and col prune tiles as well; give the option ``pushdown`` then.
 """
@@ -127,6 +128,29 @@ def parse_window(text: str | None, r: tiff.Raster) -> tuple[int, int, int, int]:
     return c, w0, w, h
 
 
+def parse_shape(text: str | None) -> tuple[int | None, int | None]:
+    """(width, height) of a decimated read, at least one pixel; without it the window's own, whose pixels keep their places."""
+    if not text:
+        return None, None
+    try:
+        width, height = (int(x) for x in text.split(","))
+    except ValueError as e:
+        raise RasterReadError(f"not a shape: {text}") from e
+    if min(width, height) < 1:
+        raise RasterReadError("a read has at least one pixel", context={"out_shape": text})
+    return width, height
+
+
+def _picked(first: int, size: int, to: int | None, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number in the result, row or column of the file) of what a read takes from [begin, end)."""
+    if to is None:
+        at = np.arange(max(first, begin), min(first + size, end))
+        return at, at
+    at = first + np.floor((np.arange(to) + 0.5) * (size / to)).astype(np.int64)
+    mine = np.flatnonzero((at >= begin) & (at < end))
+    return mine, at[mine]
+
+
 def parse_bands(text: str | None, count: int) -> list[int]:
     if text is None:
         return list(range(1, count + 1))
@@ -148,12 +172,15 @@ class CubeReader(DataSourceReader):
         self.float32 = options.get("float32", "true").lower() == "true"
         self.fill_nan = options.get("fill_nan", "false").lower() == "true"
         self.masked = options.get("masked", "true").lower() == "true"
+        self.shape = parse_shape(options.get("out_shape"))
         self.partition_bytes = int(options.get("partition_bytes", PARTITION_BYTES))
 
     def partitions(self) -> list[Tile]:
         r = self.raster
         c, w0, w, h = self.window
-        tiles = [(i, j) for i in range(w0 // r.block_height, -(-(w0 + h) // r.block_height)) for j in range(c // r.block_width, -(-(c + w) // r.block_width))]
+        down = [i for i in range(w0 // r.block_height, -(-(w0 + h) // r.block_height)) if len(_picked(w0, h, self.shape[1], i * r.block_height, (i + 1) * r.block_height)[0])]
+        across = [j for j in range(c // r.block_width, -(-(c + w) // r.block_width)) if len(_picked(c, w, self.shape[0], j * r.block_width, (j + 1) * r.block_width)[0])]
+        tiles = [(i, j) for i in down for j in across]
         size = r.block_width * r.block_height * len(self.bands) * 8
         each = max(1, self.partition_bytes // max(1, size))
         return [Tile(tuple(tiles[i : i + each])) for i in range(0, len(tiles), each)] or [Tile(())]
@@ -171,11 +198,11 @@ class CubeReader(DataSourceReader):
         top, left = tile_row * r.block_height, tile_col * r.block_width
         rows = r.block_height if r.tiled else min(r.block_height, r.height - top)
         cube = self._raw(file, tile_row, rows) if isinstance(self.header, Envi) else self._blocks(file, tile_row, tile_col, rows)
-        r0, r1 = max(top, w0), min(top + rows, w0 + h, r.height)
-        c0, c1 = max(left, c), min(left + r.block_width, c + w, r.width)
-        if r0 >= r1 or c0 >= c1:
+        to_row, from_row = _picked(w0, h, self.shape[1], top, min(top + rows, r.height))
+        to_col, from_col = _picked(c, w, self.shape[0], left, min(left + r.block_width, r.width))
+        if not len(to_row) or not len(to_col):
             return
-        part = cube[r0 - top : r1 - top, c0 - left : c1 - left]
+        part = cube[np.ix_(from_row - top, from_col - left)]
         value = part.astype(np.float32).astype(np.float64) if self.float32 else part.astype(np.float64)
         gone = np.zeros(part.shape, bool)
         if r.nodata is not None and self.masked:
@@ -185,7 +212,7 @@ class CubeReader(DataSourceReader):
         n = value.shape[0] * value.shape[1]
         flat = pa.array(value.reshape(-1), mask=gone.reshape(-1))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(self.bands)), flat)
-        rr, cc = np.mgrid[r0:r1, c0:c1]
+        rr, cc = np.meshgrid(to_row, to_col, indexing="ij")
         batch = pa.RecordBatch.from_arrays(
             [pa.array(rr.reshape(-1).astype(np.int32)), pa.array(cc.reshape(-1).astype(np.int32)), lists], names=["row", "col", "bands"],
         )
@@ -226,6 +253,9 @@ class PrunedReader(CubeReader):
     """Narrows the window by comparisons of row and col; Spark still applies them."""
 
     def pushFilters(self, filters):  # noqa: ANN001, ANN201, N802
+        if self.shape[0] is not None:  # rows and columns are the result's own
+            yield from filters
+            return
         c, w0, w, h = self.window
         low, high = {"row": w0, "col": c}, {"row": w0 + h - 1, "col": c + w - 1}
         for f in filters:
@@ -279,14 +309,17 @@ def window_header(r: tiff.Raster, bands: list[int] | None = None, window: tuple[
 def read(
     spark: SparkSession, path: str, bands: list[int] | None = None, window: tuple[int, int, int, int] | None = None, float32: bool = True,
     fill_nan: bool = False, max_bytes: int | None = None, masked: bool = True,
+    out_shape: tuple[int, int] | None = None,
 ) -> DataFrame:
     """A cube of a raster file; ``max_bytes`` refuses what a single-process consumer could not hold."""
     r = header(path)
     r = r.raster if isinstance(r, Envi) else r
     chosen = parse_bands(None if bands is None else ",".join(map(str, bands)), r.count)
     c, w0, w, h = parse_window(None if window is None else ",".join(map(str, window)), r)
-    if max_bytes is not None and (need := estimate(r, w, h, len(chosen), masked)) > max_bytes:
+    if max_bytes is not None and (need := estimate(r, *(out_shape or (w, h)), len(chosen), masked)) > max_bytes:
         raise MemoryBudgetExceededError("the read is over its budget", context={"bytes": need, "max_bytes": max_bytes})
     spark.dataSource.register(CubeSource)
     options = {"bands": ",".join(map(str, chosen)), "window": f"{c},{w0},{w},{h}", "float32": str(float32), "fill_nan": str(fill_nan), "masked": str(masked)}
+    if out_shape is not None:
+        options["out_shape"] = f"{out_shape[0]},{out_shape[1]}"
     return spark.read.format("raster_cube").options(**options).load(path)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cubeloom import cli, errors, report, services
+from cubeloom.operators import resample
 from cubeloom.plans import requests as rq
 from cubeloom.queries import toy_rpc
 from cubeloom.sources import catalog, files, raster, sinks, tiff
@@ -82,6 +83,28 @@ def test_a_crop_keeps_its_place(spark, scene, tmp_path):
     assert whole.transform == PLACE and whole.count == 4
 
 
+@pytest.mark.parametrize("shape", [(10, 8), (1, 1), (25, 20), (40, 3)])
+def test_decimated_reads_take_the_nearest_pixels(spark, scene, shape):
+    path, a = scene
+    got = load(spark, path, bands=[2, 4], masked=False, out_shape=shape)
+    rows, cols = (np.floor((np.arange(n) + 0.5) * size / n).astype(int) for n, size in ((shape[1], 20), (shape[0], 25)))
+    assert got == {(i, j): [float(a[1, r, c]), float(a[3, r, c])] for i, r in enumerate(rows) for j, c in enumerate(cols)}
+    part = load(spark, path, bands=[1], window=(5, 7, 10, 6), masked=False, out_shape=(2, 3))
+    assert part == {(i, j): [float(a[0, 7 + r, 5 + c])] for i, r in enumerate((1, 3, 5)) for j, c in enumerate((2, 7))}
+    if shape == (10, 8):
+        whole = raster.read(spark, path, bands=[2, 4], masked=False)
+        other = {(r["row"], r["col"]): r["bands"] for r in resample.decimate(whole, (25, 20), shape).collect()}
+        assert got == other
+
+
+def test_few_blocks_are_read_for_few_pixels(spark, scene):
+    spark.dataSource.register(raster.CubeSource)
+    reader = raster.CubeReader({"path": scene[0], "out_shape": "1,1", "partition_bytes": "1"})
+    assert [p.tiles for p in reader.partitions()] == [((0, 0),)]
+    with pytest.raises(errors.RasterReadError):
+        raster.CubeReader({"path": scene[0], "out_shape": "0,3"})
+
+
 def test_nodata_stays_a_number_without_a_mask(spark, scene):
     path, _ = scene
     assert load(spark, path)[0, 0] == [None] * 4 and load(spark, path, masked=False)[0, 0] == [0.0] * 4
