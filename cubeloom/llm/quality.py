@@ -8,7 +8,8 @@ length, and a linear hinge-loss model is fitted by dual coordinate descent.
 Margins of rows left out of a first fit turn into probabilities by a logistic
 curve.
 
-The fit uses at most ``MAX_TRAIN`` labelled rows, chosen by hash of the doc_id;
+The fit uses at most ``MAX_TRAIN`` labelled rows, chosen by hash of the doc_id,
+and of those, in order of hash, as many as have ``MAX_FEATURES`` indicators;
 rows with crc32(doc_id as text) mod 5 = 0 are held out and never looked at.
 Scoring covers every whole text, in parallel, with one broadcast weight vector
 of ``DIM`` numbers.
@@ -28,14 +29,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from . import common
 
 DIM = 1 << 18
-#: Labelled rows that the model is fitted on, at most.
+#: Labelled rows that the model is fitted on, at most, and indicators of all of them together.
 MAX_TRAIN = 12_000
+MAX_FEATURES = 30_000_000
 FOLDS = 5
 THRESHOLD = 0.3
 #: Bytes of text whose features are built at a time.
@@ -190,7 +192,12 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, label:
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("__label", "text", F.xxhash64("doc_id", "text").alias("__h"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     few = rows.orderBy("__h").limit(max_train).select("__label", "text", "__h").repartition(parts)  # the limit leaves one partition
-    found = few.mapInArrow(task, "label int, h long, features binary").toArrow().sort_by([("h", "ascending"), ("label", "ascending")])
+    with common.scratch():
+        made = common.settle(few.mapInArrow(task, "label int, h long, features binary"), "training-features")
+        # a window over `max_train` rows
+        sofar = F.sum(F.length("features")).over(W.orderBy("h", "label", "features").rowsBetween(W.unboundedPreceding, W.currentRow))
+        found = made.withColumn("sofar", sofar).filter(F.col("sofar") <= 4 * MAX_FEATURES).drop("sofar").toArrow()
+    found = found.sort_by([("h", "ascending"), ("label", "ascending")])
     lists = [np.frombuffer(x, "<i4").astype(np.int64) for x in found.column("features").to_pylist()]
     return fit_rows(lists, np.array(found.column("label").to_pylist(), np.int64))
 
