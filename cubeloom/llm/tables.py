@@ -79,6 +79,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import mixing
-
-    return {"op4_mixing": mixing.ORACLE_SQL}
+    """SQL of those that SQL can express; hashes, fitted models and tokenizers are beyond it."""
+    from . import decontamination, mixing, substrings, topk, warc
+
+    return {
+        "op1_warc": warc.ORACLE_SQL,
+        "op3_topk": topk.ORACLE_SQL,
+        "op4_mixing": mixing.ORACLE_SQL,
+        "op6_decontamination": decontamination.ORACLE_SQL,
+        "op8_substring_dedup": substrings.ORACLE_SQL,
+    }

@@ -258,3 +258,14 @@ def op3(vectors: DataFrame) -> DataFrame:
     rows = quantized(vectors.select("vec_id", "embedding"))
     found = search(rows, F.col("vec_id") % 20 == 0)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+ORACLE_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 20
+"""

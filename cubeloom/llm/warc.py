@@ -272,5 +272,16 @@ def histories(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def op1(pages: DataFrame) -> DataFrame:
-    found = histories(pages)
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "range", "position")
+    return histories(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Payloads by their bytes; the merged index behind the rows is tested in ``tests/llm``.
+ORACLE_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to FROM f
+"""

@@ -32,7 +32,7 @@ def test_warc_on_odd_pages(spark):
     big = "<p>" + "x" * 200
     rows = [(5, "http://b.example/z", big), (3, "http://b.example/z#f", big), (9, None, big), (4, "http://a.example/?b=2&a=1", "é" * 99), (8, "not a [url", "é" * 99), (1, "http://c.example", "short"), (2, "http://c.example", "short"), (6, "http://c.example/\r\nX: y", None), (None, "http://d.example", big), (3, "http://b.example/z#f", big)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
-    got = warc.op1(pages).collect()
+    got = warc.histories(pages).collect()
     assert len(got) == len(rows)
     by = {}
     for r in got:
@@ -45,6 +45,7 @@ def test_warc_on_odd_pages(spark):
     ordered = sorted(got, key=lambda r: (r["range"], r["position"]))
     keys = [(r["url_key"], r["timestamp"]) for r in ordered]
     assert keys == sorted(keys)
+    assert warc.op1(pages).columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     assert warc.op1(pages.limit(0)).count() == 0
 
 
@@ -61,8 +62,9 @@ def test_warc_on_random_pages(spark, seed):
         payload = (html or "").encode()
         again = len(payload) >= 100 and first[html or ""] < i
         want.append((i, len(payload), hashlib.sha256(payload).hexdigest(), "revisit" if again else "response", first[html] if again else None))
-    got = warc.op1(spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string")).collect()
-    assert sorted(tuple(r)[:5] for r in got) == sorted([*want, want[0]]) and any(w[4] is not None for w in want)
+    got = warc.histories(spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string")).collect()
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert sorted(tuple(r[c] for c in columns) for r in got) == sorted([*want, want[0]]) and any(w[4] is not None for w in want)
     ordered = [(r["url_key"], r["timestamp"]) for r in sorted(got, key=lambda r: (r["range"], r["position"]))]
     assert ordered == sorted(ordered)
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from cubeloom.llm import mixing, quality, token_output
+from cubeloom.llm import mixing, quality, tables, token_output
 
 from . import brute
 
@@ -38,8 +38,7 @@ def test_whole_pipeline_matches_plain_python(spark):
     # quality: the same model, scored in one process
     import pyarrow as pa
 
-    tables = [spark.read.parquet(f"{TABLES}/{t}.parquet") for t in ("documents", "labels")]
-    model = quality.train(*tables)
+    model = quality.train(*[spark.read.parquet(f"{TABLES}/{t}.parquet") for t in ("documents", "labels")])
     scores = model.scores(*quality.features(pa.array([d[1] for d in docs])), len(docs))
     docs = sorted(d for d, s in zip(docs, scores, strict=True) if s >= quality.THRESHOLD)
     # near duplicates: all pairs
@@ -74,11 +73,15 @@ def test_entry_lists_all(spark):
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
 
 
-def test_mixing_matches_its_sql(spark):
+@pytest.mark.parametrize("name", sorted(tables.oracle_sql()))
+def test_queries_match_their_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    got = sorted(tuple(r) for r in mixing.op4(docs).select("doc_id", "size", "source_size", "target", "taken").collect())
-    assert got == sorted(con.execute(mixing.ORACLE_SQL).fetchall())
+    for table in ("documents", "embeddings", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.01/{table}.parquet'")
+    found = tables.queries()[name](spark, "/root/testdata/sf0.01")
+    want = con.execute(tables.oracle_sql()[name])
+    assert sorted(found.columns) == sorted(c[0] for c in want.description)
+    got = sorted(tuple(r) for r in found.select(*[c[0] for c in want.description]).collect())
+    assert got == sorted(want.fetchall()) and len(got) > 200
