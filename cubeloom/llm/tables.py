@@ -71,10 +71,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10(_table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import op13
+
+    return op13(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_warc, op2_sharding, op3_topk, op4_mixing, op5_line_dedup, op6_decontamination, op7_quality, op8_substring_dedup, op9_token_output,
-        op10_simhash,
+        op10_simhash, op13_whitening,
     )}
 
 
