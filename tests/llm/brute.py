@@ -112,3 +112,56 @@ def joined(n, linked):
                     label = [low if x == high else x for x in label]
                     changed = True
     return label
+
+
+# -- 12 ---------------------------------------------------------------------------------------
+
+
+def alignments(docs, a_path, b_path):
+    """Whole texts through both libraries, and every pair of tokens looked at."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a, b = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
+    a.encode_special_tokens = True
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    alphabet = {chr(x): x for x in visible} | {chr(256 + n): x for n, x in enumerate(x for x in range(256) if x not in visible)}
+
+    def spans(pieces):
+        out, at = [], 0
+        for i, raw in pieces:
+            out.append((i, at, at + len(raw)))
+            at += len(raw)
+        return out
+
+    def b_bytes(i):
+        piece = b.id_to_piece(i)
+        return bytes([int(piece[3:5], 16)]) if b.is_byte(i) else piece.replace("▁", " ").encode()
+
+    aligned = []
+    for doc, text in docs:
+        of_a, of_b = [], []
+        if text:
+            of_a = [(i, bytes(alphabet[c] for c in a.id_to_token(i))) for i in a.encode(" " + text, add_special_tokens=False).ids]
+            of_b = [(i, b_bytes(i)) for i in b.encode(text)]
+            if not b"".join(x for _, x in of_a) == b"".join(x for _, x in of_b) == (" " + text).encode():
+                of_a, of_b = [], []
+        of_a, of_b = spans(of_a), spans(of_b)
+        links = [(x, y) for x, s, e in of_a for y, u, v in of_b if s < v and u < e]
+        ends = sorted({e for _, _, e in of_a} & {e for _, _, e in of_b})
+        groups, low = [], 0
+        for end in ends:
+            groups.append(",".join(str(i) for i, s, _ in of_a if low <= s < end) + "|" + ",".join(str(i) for i, s, _ in of_b if low <= s < end))
+            low = end
+        aligned.append((doc, of_a, of_b, links, ";".join(groups), len(groups)))
+    held = {}
+    for _, _, _, links, _, _ in aligned:
+        for link in set(links):
+            held[link] = held.get(link, 0) + 1
+    most = {}
+    for (x, _), n in held.items():
+        most[x] = max(most.get(x, 0), n)
+    return [
+        (doc, len(of_a), len(of_b), n_groups, len(links), sum(held[x] == most[x[0]] for x in links), sum(held[x] for x in links), hashlib.sha256(groups.encode()).hexdigest() if of_a else "")
+        for doc, of_a, of_b, links, groups, n_groups in aligned
+    ]
