@@ -71,6 +71,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10(_table(spark, sf_dir, "documents"))
 
 
+def op11_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .edits import op11
+
+    return op11(_table(spark, sf_dir, "documents"))
+
+
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .alignment import op12
 
@@ -86,7 +92,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_warc, op2_sharding, op3_topk, op4_mixing, op5_line_dedup, op6_decontamination, op7_quality, op8_substring_dedup, op9_token_output,
-        op10_simhash, op12_tokenizer_alignment, op13_whitening,
+        op10_simhash, op11_edit_embedding, op12_tokenizer_alignment, op13_whitening,
     )}
 
 
