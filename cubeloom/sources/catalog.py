@@ -51,9 +51,12 @@ def band_rows(raster_id: str, path: str, bands: list[int] | None = None) -> list
     } for i in chosen]
 
 
-def inspect(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """(raster catalog, band catalog) of rasters by id; headers are read by tasks."""
-    listed = spark.createDataFrame(list(paths.items()), "raster_id string, path string").repartition(max(1, min(len(paths), spark.sparkContext.defaultParallelism)))
+def inspect(spark: SparkSession, paths: dict[str, str] | DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(raster catalog, band catalog) of rasters by id, given as a dict or as a table (raster_id, path); headers are read by tasks."""
+    if isinstance(paths, dict):
+        listed = spark.createDataFrame(list(paths.items()), "raster_id string, path string").repartition(max(1, min(len(paths), spark.sparkContext.defaultParallelism)))
+    else:
+        listed = paths.select("raster_id", "path").repartition("raster_id", "path")
 
     rasters = listed.mapInArrow(_rows(lambda i, p: [raster_row(i, p)], RASTERS), RASTERS)
     bands = listed.mapInArrow(_rows(band_rows, BANDS), BANDS)

@@ -163,9 +163,9 @@ def parse_bands(text: str | None, count: int) -> list[int]:
 class CubeReader(DataSourceReader):
     """Tiles of one raster."""
 
-    def __init__(self, options: dict[str, str]):
+    def __init__(self, options: dict[str, str], found: tiff.Raster | Envi | None = None):
         self.path = options["path"]
-        self.header = header(self.path)
+        self.header = found or header(self.path)
         self.raster = self.header.raster if isinstance(self.header, Envi) else self.header
         self.bands = parse_bands(options.get("bands"), self.raster.count)
         self.window = parse_window(options.get("window"), self.raster)
@@ -185,6 +185,11 @@ class CubeReader(DataSourceReader):
         each = max(1, self.partition_bytes // max(1, size))
         return [Tile(tuple(tiles[i : i + each])) for i in range(0, len(tiles), each)] or [Tile(())]
 
+    def blocks_of(self, tile_row: int, tile_col: int) -> list[int]:
+        """Indices of the blocks of a TIFF that a tile needs."""
+        planes = [1] if self.raster.planar == 1 else sorted(set(self.bands))
+        return [tiff.block_index(self.raster, b, tile_row, tile_col) for b in planes]
+
     def read(self, partition: Tile) -> Iterator[pa.RecordBatch]:
         if not partition.tiles:
             return

@@ -1,8 +1,7 @@
 """Sinks: Parquet tiles, single GeoTIFF files, PNG, CSV and JSON, all atomic.
 
 Cubes that stay in Spark belong in Parquet, sorted by tile.  A GeoTIFF is one
-file by contract: tasks encode its tiles, which are settled in shared storage,
-and the driver appends them one after another, holding one at a time.
+file by contract; its tiles are encoded and placed by tasks (:mod:`.writer`).
 """
 
 from __future__ import annotations
@@ -19,13 +18,11 @@ from pathlib import Path
 from typing import Any
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import OutputPathError, RasterWriteError, json_safe
-from ..shared import delete, shared_dir
-from . import tiff
+from . import tiff, writer
 
 
 @contextlib.contextmanager
@@ -69,64 +66,20 @@ def write_tiles(cube: DataFrame, path: str, block: int = 256, mode: str = "error
     keyed.repartitionByRange("tile_row", "tile_col").sortWithinPartitions("tile_row", "tile_col", "row", "col").write.mode(mode).parquet(path)
 
 
-def encoded_tiles(cube: DataFrame, width: int, height: int, count: int, dtype: str, nodata: float | None, layout: tiff.Layout) -> DataFrame:
-    """number, payload of every plane of every tile; tiles without pixels have NoData."""
-    b = layout.block
-    across, down = -(-width // b), -(-height // b)
-    spark = cube.sparkSession
-    tile = (F.floor(F.col("row") / b) * across + F.floor(F.col("col") / b)).cast("long")
-    fill = 0.0 if nodata is None else nodata
-
-    def encode(table: pa.Table) -> pa.Table:
-        number = table.column("tile")[0].as_py()
-        grid = np.full((count, b, b), fill)
-        rows, cols = (np.asarray(table.column(k)) for k in ("row", "col"))
-        here = np.flatnonzero(np.asarray(table.column("row").is_valid()))
-        if len(here):
-            lists = table.column("bands").combine_chunks().take(pa.array(here))
-            flat = lists.flatten()
-            values = np.asarray(flat.fill_null(fill)).reshape(len(here), count)
-            if nodata is None and flat.null_count:
-                raise RasterWriteError("masked pixels need a NoData value")
-            grid[:, rows[here].astype(int) % b, cols[here].astype(int) % b] = values.T
-        kind = np.dtype(dtype)
-        if kind.kind in "iu":
-            grid = np.clip(np.nan_to_num(grid, nan=fill), np.iinfo(kind).min, np.iinfo(kind).max)
-        planes = [tiff.pack_block(p, layout) for p in grid.astype(kind)]
-        return pa.table({"number": pa.array([k * across * down + number for k in range(count)], pa.int64()), "payload": pa.array(planes, pa.binary())})
-
-    pixels = cube.filter((F.col("row") >= 0) & (F.col("row") < height) & (F.col("col") >= 0) & (F.col("col") < width)).select(tile.alias("tile"), "row", "col", "bands")
-    every = spark.range(across * down).select(
-        F.col("id").alias("tile"), F.lit(None).cast("int").alias("row"), F.lit(None).cast("int").alias("col"),
-        F.lit(None).cast("array<double>").alias("bands"),
-    )
-    return pixels.unionByName(every).groupBy("tile").applyInArrow(encode, "number long, payload binary")
-
-
-def write_geotiff(cube: DataFrame, path: str | Path, raster: tiff.Raster, layout: tiff.Layout | None = None, overwrite: bool = False) -> Path:
-    """One GeoTIFF of ``cube``; ``raster`` has size, bands, dtype, NoData, place and tags."""
-    layout = layout or tiff.Layout()
-    path = Path(path)
-    check_target(path, overwrite)
-    spark = cube.sparkSession
-    settled = shared_dir(spark, "tiles")
-    try:
-        encoded_tiles(cube, raster.width, raster.height, raster.count, raster.dtype, raster.nodata, layout).write.parquet(settled)
-        tiles = spark.read.parquet(settled)
-        total = tiles.agg(F.sum(F.length("payload"))).first()[0] or 0
-        big = total > 3_500_000_000  # offsets of 32 bits end at 4 GB
-        with replacing(path, overwrite) as new, new.open("r+b") as out:
-            out.write(b"\x00" * 16)
-            raster.offsets, raster.sizes = [], []
-            for row in tiles.orderBy("number").toLocalIterator():
-                raster.offsets.append(out.tell())
-                raster.sizes.append(len(row["payload"]))
-                out.write(row["payload"])
-            raster.block_width = raster.block_height = layout.block
-            tiff.write_directory(out, raster, layout, big)
-    finally:
-        delete(spark, settled)
-    return path
+def write_geotiff(cube: DataFrame, path: str | Path, raster: tiff.Raster, layout: tiff.Layout | None = None, overwrite: bool = False) -> Path | str:
+    """One GeoTIFF of ``cube``; ``raster`` has size, bands, dtype, NoData, place and tags.
+
+    Tasks encode tiles and write them where they belong (:mod:`.writer`); ``path``
+    may be a URI of any store that pyarrow knows.
+    """
+    remote = writer.local_path(str(path)) is None
+    target = str(path) if remote else str(Path(writer.local_path(str(path))).absolute())
+    if not remote:
+        check_target(target, overwrite)
+    elif writer.exists(target) and not overwrite:
+        raise RasterWriteError(f"{path} exists", hint="ask for overwriting")
+    writer.write_one(cube, cube.sparkSession, target, raster, layout or tiff.Layout())
+    return target if remote else Path(path)
 
 
 def encode_png(image: np.ndarray) -> bytes:

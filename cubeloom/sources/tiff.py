@@ -11,7 +11,7 @@ from __future__ import annotations
 import struct
 import xml.etree.ElementTree as ET
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any, BinaryIO
 from xml.sax.saxutils import escape, quoteattr
 
@@ -34,6 +34,30 @@ _RPC_NEEDED = _RPC_SCALARS[2:]
 _NONE, _LZW, _DEFLATE, _OLD_DEFLATE, _ZSTD = 1, 5, 8, 32946, 50000
 
 
+class Blocks(dict):
+    """Places or sizes of some blocks by index, of a raster that has ``total`` blocks."""
+
+    total = 0
+
+    def __len__(self) -> int:
+        return self.total
+
+    def __reduce__(self):  # noqa: ANN204
+        return _blocks, (list(self.items()), self.total)
+
+
+def _blocks(items: list[tuple[int, int]], total: int) -> Blocks:
+    out = Blocks(items)
+    out.total = total
+    return out
+
+
+def with_blocks(r: Raster, indices: list[int]) -> Raster:
+    """``r`` that knows only some of its blocks, and so is small however many there are."""
+    known = [i for i in indices if i < len(r.offsets)]
+    return replace(r, offsets=_blocks([(i, r.offsets[i]) for i in known], len(r.offsets)), sizes=_blocks([(i, r.sizes[i]) for i in known], len(r.sizes)))
+
+
 @dataclass
 class Raster:
     """What a header says; ``bands`` have dtype, description, wavelength tags and NoData in common here."""
@@ -49,8 +73,8 @@ class Raster:
     block_width: int = 0
     block_height: int = 0
     tiled: bool = False
-    offsets: list[int] = field(default_factory=list)
-    sizes: list[int] = field(default_factory=list)
+    offsets: list[int] | Blocks = field(default_factory=list)
+    sizes: list[int] | Blocks = field(default_factory=list)
     nodata: float | None = None
     transform: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)
     epsg: int | None = None
@@ -351,8 +375,8 @@ def _xml(r: Raster) -> str:
     return f"<GDALMetadata>{''.join(items)}</GDALMetadata>" if items else ""
 
 
-def write_directory(file: BinaryIO, r: Raster, layout: Layout, big: bool) -> None:
-    """The directory, at the end of ``file``, and the header that leads to it."""
+def directory_bytes(r: Raster, layout: Layout, big: bool, end: int) -> tuple[bytes, bytes]:
+    """(header at the start of the file, all that follows the blocks) of a file whose blocks end at ``end``."""
     kind = {"u": 1, "i": 2, "f": 3}[np.dtype(r.dtype).kind]
     bits = np.dtype(r.dtype).itemsize * 8
     code = {"none": _NONE, "deflate": _DEFLATE, "zstd": _ZSTD}[layout.compression]
@@ -380,19 +404,27 @@ def write_directory(file: BinaryIO, r: Raster, layout: Layout, big: bool) -> Non
     if r.rpc is not None:
         values = [float(r.rpc.get(k, 0.0) or 0.0) for k in _RPC_SCALARS] + [float(x) for k in _RPC_POLYNOMIALS for x in r.rpc[k]]
         tags[_RPC] = (12, "d", values)
-    inline, entries = (8 if big else 4), []
+    inline, entries, tail = (8 if big else 4), [], bytearray()
+
+    def append(data: bytes) -> int:
+        """Where ``data`` stands in the file, at an even place."""
+        tail.extend(b"\x00" * ((end + len(tail)) % 2))
+        tail.extend(data)
+        return end + len(tail) - len(data)
+
     for tag, (number, code_, values) in sorted(tags.items()):
         data = values if isinstance(values, bytes) else struct.pack(f"<{len(values)}{code_}", *values)
         if len(data) > inline:
-            file.seek(0, 2)
-            at = file.tell() + file.tell() % 2
-            file.seek(at)
-            file.write(data)
-            data = struct.pack("<Q" if big else "<I", at)
+            data = struct.pack("<Q" if big else "<I", append(data))
         entries.append(struct.pack("<HH" + ("Q" if big else "I"), tag, number, len(values)) + data.ljust(inline, b"\x00"))
+    at = append(struct.pack("<Q" if big else "<H", len(entries)) + b"".join(entries) + struct.pack("<Q" if big else "<I", 0))
+    return struct.pack("<2sHHHQ", b"II", 43, 8, 0, at) if big else struct.pack("<2sHI", b"II", 42, at), bytes(tail)
+
+
+def write_directory(file: BinaryIO, r: Raster, layout: Layout, big: bool) -> None:
+    """The directory, at the end of ``file``, and the header that leads to it."""
     file.seek(0, 2)
-    at = file.tell() + file.tell() % 2
-    file.seek(at)
-    file.write(struct.pack("<Q" if big else "<H", len(entries)) + b"".join(entries) + struct.pack("<Q" if big else "<I", 0))
+    head, tail = directory_bytes(r, layout, big, file.tell())
+    file.write(tail)
     file.seek(0)
-    file.write(struct.pack("<2sHHHQ", b"II", 43, 8, 0, at) if big else struct.pack("<2sHI", b"II", 42, at))
+    file.write(head)
