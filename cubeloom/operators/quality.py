@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pixels import CLASS_NAMES, INVALID, LOW_SIGNAL, SATURATED, SPECTRAL_ANOMALY, VALID, good_bands, quality_class
+from . import stencil
 
 #: Defects in the order in which they claim valid pixels.
 GROWING = (INVALID, SATURATED, LOW_SIGNAL, SPECTRAL_ANOMALY)
@@ -60,36 +63,39 @@ def kernel(shape: str, size: int, iterations: int = 1) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _spread(points: DataFrame, offsets: Sequence[tuple[int, int]]) -> DataFrame:
-    """Every point once for each offset, moved by it."""
-    steps = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in offsets])
-    return points.withColumn("__o", F.explode(steps)).withColumn("row", F.col("row") + F.col("__o.y")).withColumn("col", F.col("col") + F.col("__o.x")).drop("__o")
-
-
-def grow(classes: DataFrame, operation: str = "dilate", shape: str = "rect", size: int = 3, iterations: int = 1, growing: Sequence[int] = GROWING) -> DataFrame:
+def grow(
+    classes: DataFrame, operation: str = "dilate", shape: str = "rect", size: int = 3, iterations: int = 1, growing: Sequence[int] = GROWING,
+    block: int | None = None,
+) -> DataFrame:
     """Morphology of defect classes; only valid pixels change, each to the first class that reaches it.
 
-    Only defect pixels are spread, so the shuffle carries them and their
-    neighbourhoods, and the grid once.  Opening and erosion give parts of a
-    class's own pixels, which are not valid ones, so they change nothing.
+    The grid is shuffled once, in tiles with a halo.  Closing keeps of what a class
+    reaches the places around which every pixel of the grid is reached by it.
+    Opening and erosion give parts of a class's own pixels, which are not valid
+    ones, so they change nothing.
     """
     if operation in ("open", "erode"):
         return classes.select("row", "col", "class")
     if operation not in ("dilate", "close"):
         raise ValueError(f"unknown operation {operation!r}")
-    offsets = kernel(shape, size, iterations)
-    rank = F.coalesce(*[F.when(F.col("class") == c, F.lit(i)) for i, c in enumerate(growing)])
-    defects = classes.filter(F.col("class").isin(list(growing))).select("row", "col", rank.alias("rank"))
-    moved = [o for o in offsets if o != (0, 0)]
-    reached = _spread(defects, offsets).distinct()
-    if operation == "close":
-        # a reached place stays if every pixel of the grid around it is reached by the same class
-        grid = classes.select("row", "col")
-        inside = reached.join(grid, ["row", "col"], "left_semi")
-        around = _spread(inside.select("row", "col", "rank", F.col("row").alias("r0"), F.col("col").alias("c0")), moved)
-        open_ = around.join(grid, ["row", "col"], "left_semi").join(inside, ["row", "col", "rank"], "left_anti")
-        reached = inside.join(open_.select(F.col("r0").alias("row"), F.col("c0").alias("col"), "rank").distinct(), ["row", "col", "rank"], "left_anti")
-    first = reached.groupBy("row", "col").agg(F.min("rank").alias("rank"))
-    code = F.element_at(F.array(*map(F.lit, growing)), F.col("rank") + 1)
-    grown = F.when((F.col("class") == VALID) & F.col("rank").isNotNull(), code).otherwise(F.col("class"))
-    return classes.select("row", "col", "class").join(first, ["row", "col"], "left").select("row", "col", grown.cast("short").alias("class"))
+    reach = max(max(map(abs, o)) for o in kernel(shape, size)) * iterations
+    if iterations < 1:
+        raise ValueError("kernels are odd and applied at least once")
+    growing = tuple(growing)
+
+    def solve(tile: stencil.Tile) -> pa.Table:
+        here = tile.array(np.ones(len(tile.at), bool), False)
+        code = tile.array(np.asarray(tile.rows["class"].combine_chunks().fill_null(-1)).astype(np.int16), -1)
+        null = tile.array(np.asarray(tile.rows["class"].combine_chunks().is_null()).astype(bool), False)
+        out, free = code.copy(), code == VALID
+        for c in growing:
+            reached = stencil.dilated(code == c, shape, size, iterations)
+            if operation == "close":
+                reached &= here
+                reached &= ~stencil.dilated(here & ~reached, shape, size, iterations)
+            new = reached & free
+            out[new], free = c, free & ~new
+        row, col, y, x = tile.inner(here)
+        return pa.table({"row": pa.array(row), "col": pa.array(col), "class": pa.array(out[y, x], mask=null[y, x])})
+
+    return stencil.in_tiles(classes, ["class"], reach * (2 if operation == "close" else 1), solve, "row int, col int, class smallint", block=block)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.pixels import valid
+from . import stencil
 
 TAPS = {"nearest": (0,), "bilinear": (0, 1), "cubic": (-1, 0, 1, 2)}
 
@@ -184,15 +185,26 @@ def gaussian_weights(size: int) -> list[float]:
     return [x / sum(raw) for x in raw]
 
 
-def gaussian_blur(long: DataFrame, size: int, width: int | None = None, height: int | None = None) -> DataFrame:
-    """Separable blur, one pass by rows and one by columns; weights outside the grid or on NULL are shared out."""
-    out = long
-    for axis in ("row", "col"):
-        steps = F.array(*[F.struct(F.lit(i - size // 2).alias("d"), F.lit(w).alias("w")) for i, w in enumerate(gaussian_weights(size))])
-        spread = out.filter(valid(F.col("value"))).withColumn("__s", F.explode(steps)).withColumn(axis, F.col(axis) + F.col("__s.d"))
-        summed = spread.groupBy("row", "col", "band").agg((F.sum(F.col("value") * F.col("__s.w")) / F.sum("__s.w")).alias("value"))
-        out = summed.join(long.select("row", "col", "band"), ["row", "col", "band"], "left_semi")
-    return out
+def gaussian_blur(long: DataFrame, size: int, width: int | None = None, height: int | None = None, block: int | None = None) -> DataFrame:
+    """Separable blur, first along columns of the grid, then along rows; weights outside the grid or on NULL are shared out.
+
+    Samples are shuffled once, in tiles with a halo.
+    """
+    weights = gaussian_weights(size)
+    kind = dict(long.dtypes)["band"]
+
+    def solve(tile: stencil.Tile) -> pa.Table:
+        here = tile.array(np.ones(len(tile.at), bool), False)
+        value = tile.array(np.asarray(tile.rows["value"].combine_chunks().fill_null(np.nan)).astype(float), np.nan)
+        for axis in (0, 1):
+            mean, some = stencil.weighted(value, np.isfinite(value), weights, axis)
+            value = np.where(some & here, mean, np.nan)
+        row, col, y, x = tile.inner(np.isfinite(value))
+        band = pa.array([tile.rows["band"][0].as_py()] * len(row), tile.rows["band"].type)
+        return pa.table({"row": pa.array(row), "col": pa.array(col), "band": band, "value": pa.array(value[y, x])})
+
+    samples = long.select("row", "col", "band", F.col("value").cast("double").alias("value"))
+    return stencil.in_tiles(samples, ["value"], size // 2, solve, f"row int, col int, band {kind}, value double", by=["band"], block=block)
 
 
 def composite(cube: DataFrame, indices: Sequence[int], lower: float = 2.0, upper: float = 98.0, per_band: bool = True, digits: int | None = None) -> DataFrame:
