@@ -38,10 +38,13 @@ ECCENTRICITY = 2 * math.sqrt(_N) / (1 + _N)
 
 
 def wkt(epsg: int) -> str | None:
-    """Well-known text of WGS 84 in degrees and of its UTM zones; None for others."""
+    """Well-known text of WGS 84 in degrees, of Web Mercator and of the UTM zones; None for others."""
     degrees = 'GEOGCS["WGS 84",DATUM["WGS_1984",SPHEROID["WGS 84",6378137,298.257223563,AUTHORITY["EPSG","7030"]],AUTHORITY["EPSG","6326"]],PRIMEM["Greenwich",0,AUTHORITY["EPSG","8901"]],UNIT["degree",0.0174532925199433,AUTHORITY["EPSG","9122"]],AXIS["Latitude",NORTH],AXIS["Longitude",EAST],AUTHORITY["EPSG","4326"]]'
     if epsg == 4326:
         return degrees
+    if epsg == WEB_MERCATOR:
+        zeros = ",".join(f'PARAMETER["{k}",{int(k == "scale_factor")}]' for k in ("central_meridian", "scale_factor", "false_easting", "false_northing"))
+        return f'PROJCS["WGS 84 / Pseudo-Mercator",{degrees},PROJECTION["Mercator_1SP"],{zeros},UNIT["metre",1,AUTHORITY["EPSG","9001"]],AXIS["Easting",EAST],AXIS["Northing",NORTH],AUTHORITY["EPSG","{WEB_MERCATOR}"]]'
     if epsg // 100 not in (326, 327) or not 1 <= epsg % 100 <= 60:
         return None
     south = epsg // 100 == 327

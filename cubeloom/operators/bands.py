@@ -30,15 +30,16 @@ def nearest(targets: DataFrame, bands: DataFrame, tolerance: float = TOLERANCE)
     """Per target the nearest usable band; of two as near the lower one.
 
     Returns pos, target_nm, band, wavelength_nm, distance_nm, matched.  A target
-    without a band in tolerance keeps its nearest band and matched is false.
-    Bands are a raster's few hundred; pairs are theirs with the few targets.
+    without a band in tolerance keeps its nearest band and matched is false.  The
+    bands of one raster, a few hundred, are one array that every target looks
+    through where it is, so any number of targets takes no shuffle.
     """
     if not 0 <= tolerance < float("inf"):
         raise ValueError("the tolerance is finite and 0 or more")
     usable = bands.filter(F.col("wavelength_nm").isNotNull() & ~F.isnan("wavelength_nm") & (F.col("wavelength_nm") > 0) & (F.col("wavelength_nm") < float("inf")))
-    distance = F.abs(F.col("wavelength_nm") - F.col("target_nm"))
-    pairs = targets.join(usable, F.lit(True), "left").withColumn("distance_nm", distance)
-    best = pairs.groupBy("pos", "target_nm").agg(F.min_by(F.struct("band", "wavelength_nm", "distance_nm"), F.struct("distance_nm", "band")).alias("m"))
+    every = usable.groupBy().agg(F.collect_list(F.struct("band", "wavelength_nm")).alias("__bands"))
+    apart = lambda b: F.struct(F.abs(b["wavelength_nm"] - F.col("target_nm")).alias("distance_nm"), b["band"].alias("band"), b["wavelength_nm"].alias("wavelength_nm"))
+    best = targets.join(F.broadcast(every), F.lit(True)).withColumn("m", F.array_min(F.transform("__bands", apart)))
     return best.select(
         "pos", "target_nm", "m.band", "m.wavelength_nm", "m.distance_nm",
         F.coalesce(F.col("m.distance_nm") <= tolerance, F.lit(False)).alias("matched"),

@@ -69,9 +69,14 @@ def warp(places: DataFrame, long: DataFrame, method: str, width: int, height: in
     return gather(taps(inside, method), long)
 
 
-def tile_size(bands: int, limit: int = 24 << 20) -> int:
-    """Side of the source tiles of :func:`warp_tiles`, so that one takes at most ``limit`` bytes."""
-    return max(16, min(256, int((limit / (8 * max(1, bands))) ** 0.5) // 16 * 16))
+def tile_size(bands: int, limit: int = 24 << 20, enlarged: float = 1.0) -> int:
+    """Side of the source tiles of :func:`warp_tiles`, so that one takes at most ``limit`` bytes.
+
+    ``enlarged`` is how many target pixels there are for each source pixel: with more
+    of them tiles get smaller, so that those that ask one tile take no more either.
+    """
+    room = limit / (8 * max(1, bands) * max(1.0, enlarged))
+    return max(4, min(256, int(room**0.5) // 4 * 4)) if enlarged > 1 else max(16, min(256, int(room**0.5) // 16 * 16))
 
 
 def warp_tiles(places: DataFrame, cube: DataFrame, bands: int, method: str, width: int, height: int, block: int | None = None) -> DataFrame:

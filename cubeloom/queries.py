@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .functions import geo, pixels, text
 from .operators import bands, cube, ortho, quality, resample, stats
 from .plans import checks
+from .shared import delete, make_folder, shared_dir
+from .sources import collection, tiff, writer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -150,46 +152,103 @@ def read_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- bands ------------------------------------------------------------------------------------
 
 
-def _nearest_sql(targets: tuple[float, ...], tolerance: float) -> str:
-    rows = ", ".join(f"({i}::INT, {t}::DOUBLE)" for i, t in enumerate(targets))
+_CUBE_BANDS = "b AS (SELECT (i + 1)::INT AS band, 420.0::DOUBLE + 32 * i AS wavelength_nm FROM range(64) r(i))"
+#: Parts as bands: their sizes are wavelengths of 410 nm and more.
+_PART_BANDS = "b AS (SELECT DISTINCT p_size::INT AS band, 400.0::DOUBLE + 10 * p_size AS wavelength_nm FROM part)"
+
+
+def _nearest_sql(targets: str, band_table: str, tolerance: float) -> str:
     return (
-        f"WITH t(pos, target_nm) AS (VALUES {rows}), b AS (SELECT (i + 1)::INT AS band, 420.0::DOUBLE + 32 * i AS wavelength_nm "
-        "FROM range(64) r(i)), "
+        f"WITH t AS ({targets}), {band_table}, "
         "r AS (SELECT *, abs(wavelength_nm - target_nm) AS distance_nm, row_number() OVER (PARTITION BY pos "
         "ORDER BY abs(wavelength_nm - target_nm), band) AS n FROM t, b) "
         f"SELECT pos, target_nm, band, wavelength_nm, distance_nm, distance_nm <= {tolerance} AS matched FROM r WHERE n = 1"
     )
 
 
-_TARGETS = (490.0, 560.0, 665.0, 842.0, 436.0, 3000.0)
+def _constant_targets(targets: tuple[float, ...]) -> str:
+    return f"SELECT * FROM (VALUES {', '.join(f'({i}::INT, {t}::DOUBLE)' for i, t in enumerate(targets))}) v(pos, target_nm)"
+
+
+def _part_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size").cast("int")
+    return _table(spark, sf_dir, "part").select(size.alias("band"), (F.lit(400.0) + 10 * size).alias("wavelength_nm")).distinct()
 
 
-@_query(_nearest_sql(_TARGETS, 20))
+@_query(_nearest_sql("SELECT p_partkey::INT AS pos, 300.0::DOUBLE + 60 * p_size AS target_nm FROM part", _CUBE_BANDS, 20))
 def nearest_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bands.nearest(bands.target_table(spark, _TARGETS), bands.band_table(spark, WAVELENGTHS))
+    """Every part asks for the band of the cube that is nearest to its size in units of 60 nm."""
+    asked = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("pos"), (F.lit(300.0) + 60 * F.col("p_size")).alias("target_nm"))
+    return bands.nearest(asked, bands.band_table(spark, WAVELENGTHS))
 
 
-@_query(_nearest_sql(bands.TRUE_COLOR, 30))
+@_query(_nearest_sql(_constant_targets(bands.TRUE_COLOR), _PART_BANDS, 30))
 def true_color_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bands.nearest(bands.target_table(spark, bands.TRUE_COLOR), bands.band_table(spark, WAVELENGTHS), bands.COMPOSITE_TOLERANCE)
+    return bands.nearest(bands.target_table(spark, bands.TRUE_COLOR), _part_bands(spark, sf_dir), bands.COMPOSITE_TOLERANCE)
 
 
-@_query(_nearest_sql(bands.FALSE_COLOR, 30))
+@_query(_nearest_sql(_constant_targets(bands.FALSE_COLOR), _PART_BANDS, 30))
 def false_color_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bands.nearest(bands.target_table(spark, bands.FALSE_COLOR), bands.band_table(spark, WAVELENGTHS), bands.COMPOSITE_TOLERANCE)
+    return bands.nearest(bands.target_table(spark, bands.FALSE_COLOR), _part_bands(spark, sf_dir), bands.COMPOSITE_TOLERANCE)
 
 
-_SUBSET = "WITH s(pos, band) AS (VALUES (0, 9), (1, 3), (2, 9), (3, 14), (4, 3)) "
+_SUBSET = (
+    "WITH s AS (SELECT l_suppkey::BIGINT AS product, l_linenumber::INT AS band, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, "
+    "l_linenumber) AS pos FROM lineitem) "
+)
 
 
-@_query(_SUBSET + "SELECT 'inspect' AS rule, (row_number() OVER (ORDER BY band) - 1)::INT AS pos, band::INT AS band FROM (SELECT DISTINCT band FROM s) UNION ALL SELECT 'evaluation', (row_number() OVER (ORDER BY pos) - 1)::INT, band::INT FROM (SELECT band, min(pos) AS pos FROM s GROUP BY band)")
+@_query(
+    _SUBSET + "SELECT product, 'inspect' AS rule, (row_number() OVER (PARTITION BY product ORDER BY band) - 1)::INT AS pos, band FROM "
+    "(SELECT DISTINCT product, band FROM s) UNION ALL SELECT product, 'evaluation', (row_number() OVER (PARTITION BY product ORDER BY pos) - 1)::INT, "
+    "band FROM (SELECT product, band, min(pos) AS pos FROM s GROUP BY product, band)"
+)
 def band_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sorted without repeats for inspection; in first order without repeats for evaluation."""
-    one = spark.range(1).select(F.array(*map(F.lit, (9, 3, 9, 14, 3))).alias("bands"))
-    rules = one.select(
-        F.lit("inspect").alias("rule"), F.array_sort(F.array_distinct("bands")).alias("bands"),
-    ).union(one.select(F.lit("evaluation"), F.array_distinct("bands")))
-    return rules.select("rule", F.posexplode("bands").alias("pos", "band"))
+    """Sorted without repeats for inspection, in first order without repeats for evaluation: a supplier's line numbers as the bands asked for."""
+    item = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("long").alias("product"), "l_orderkey", F.col("l_linenumber").cast("int").alias("band"))
+    asked = F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "band"))), lambda x: x["band"])
+    some = item.groupBy("product").agg(F.array_distinct(asked).alias("bands"))
+    rules = some.select("product", F.lit("inspect").alias("rule"), F.array_sort("bands").alias("bands")).union(some.select("product", F.lit("evaluation"), "bands"))
+    return rules.select("product", "rule", F.posexplode("bands").alias("pos", "band"))
+
+
+# -- many rasters -----------------------------------------------------------------------------
+
+
+@_query(
+    "WITH p AS (SELECT 'orders_' || (o_orderkey // 1024) AS raster_id, (o_orderkey % 1024 // 32)::INT AS \"row\", unnest([1, 2])::INT AS band, "
+    "unnest([o_totalprice, o_custkey::DOUBLE]) AS value FROM orders) "
+    "SELECT raster_id, band, count(*)::BIGINT AS count, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean FROM p "
+    "WHERE \"row\" BETWEEN 4 AND 27 GROUP BY ALL"
+)
+def collection_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each 1,024 orders are the pixels of a raster: tasks write a GeoTIFF for each, and one scan reads a range of rows of all.
+
+    The files are deleted once their statistics, a few rows for each, are settled.
+    """
+    order = F.col("o_orderkey")
+    pixels_of = _table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("orders_"), F.floor(order / 1024)).alias("raster_id"), F.floor(order % 1024 / 32).cast("int").alias("row"),
+        (order % 32).cast("int").alias("col"), F.array("o_totalprice", F.col("o_custkey").cast("double")).alias("bands"),
+    )
+    folder = shared_dir(spark, "collection")
+    files_in = pixels_of.select("raster_id").distinct().select(
+        "raster_id", F.concat(F.lit(folder + "/"), "raster_id", F.lit(".tif")).alias("path"), F.lit(32).alias("width"), F.lit(32).alias("height"),
+        F.lit(None).cast("array<double>").alias("transform"), F.lit(None).cast("int").alias("epsg"),
+    )
+    make_folder(folder)
+    try:
+        writer.write_collection(pixels_of, files_in, tiff.Raster(count=2, dtype="float64", nodata=-9999.0), tiff.Layout("zstd", 16))
+        scan = collection.read(files_in.select("raster_id", "path"), rows=(4, 28), float32=False)
+        long = scan.select("raster_id", F.posexplode("bands").alias("pos", "value")).select("raster_id", (F.col("pos") + 1).alias("band"), "value")
+        found = long.filter("value IS NOT NULL").groupBy("raster_id", "band").agg(
+            F.count("value").alias("count"), F.min("value").alias("min"), F.max("value").alias("max"), F.round(F.avg("value"), 6).alias("mean"),
+        )
+        report = shared_dir(spark, "collection-statistics")
+        found.write.parquet(report)
+    finally:
+        delete(spark, folder)
+    return spark.read.schema(found.schema).parquet(report)
 
 
 # -- indices, statistics, profiles ------------------------------------------------------------

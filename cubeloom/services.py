@@ -7,6 +7,7 @@ tiles it needs, and ends in an atomic sink.
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, replace
 from pathlib import Path
@@ -30,6 +31,7 @@ STATISTICS = {
     "band": "band_index", "count": "valid_count", "min": "minimum", "max": "maximum", "mean": "mean", "std": "std", "p2": "percentile_2",
     "p98": "percentile_98",
 }
+LOG = logging.getLogger("cubeloom.services")
 #: Bytes that a destination grid may take.
 BUDGET = 1 << 30
 
@@ -86,6 +88,8 @@ def _names(product: Product, chosen: Sequence[int]) -> list[float | None]:
 
 def _output(product: Product, count: int, dtype: str, nodata: float | None, keep_rpc: bool, **tags: Any) -> tiff.Raster:
     h = product.header
+    if h.rpc is not None and not keep_rpc:
+        LOG.warning("the sensor model is not carried over", extra={"path": product.path})
     return tiff.Raster(
         width=h.width, height=h.height, count=count, dtype=dtype, nodata=nodata, transform=h.transform, epsg=h.epsg, geographic=h.geographic,
         rpc=h.rpc if keep_rpc else None, tags={"software": ENGINE} | {k: v if isinstance(v, str) else json.dumps(v) for k, v in tags.items()},
@@ -233,10 +237,7 @@ def reproject(spark: SparkSession, request: ReprojectRequest) -> dict[str, Any]:
         raise errors.MissingGeoreferencingError("the raster has no transform with a projection that is supported", context={"epsg": h.epsg})
     chosen = _chosen(product, request, errors.ReprojectionError)
     if request.reference_raster:
-        ref = raster.header(request.reference_raster)
-        ref = ref.raster if isinstance(ref, raster.Envi) else ref
-        if not ref.placed:
-            raise errors.MissingGeoreferencingError("the reference has no place on the ground")
+        ref = open_reference(request.reference_raster, request.target_crs)
         epsg = ref.epsg
         bounds = grids.project_bounds(h.epsg, epsg, h.bounds)
         if bounds[2] < ref.bounds[0] or bounds[0] > ref.bounds[2] or bounds[3] < ref.bounds[1] or bounds[1] > ref.bounds[3]:
@@ -256,7 +257,8 @@ def reproject(spark: SparkSession, request: ReprojectRequest) -> dict[str, Any]:
     places = resample.target_grid(spark, grid.width, grid.height).select("out_row", "out_col", (row - 0.5).alias("y"), (col - 0.5).alias("x"))
     nodata = request.nodata if request.nodata is not None else h.nodata
     header = _warp_output(product, grid, chosen, nodata, {"resampling": request.resampling, "source_epsg": h.epsg})
-    warped = resample.warp_tiles(places, _read(spark, product, chosen), len(chosen), request.resampling, h.width, h.height)
+    block = resample.tile_size(len(chosen), enlarged=grid.width * grid.height / (h.width * h.height))
+    warped = resample.warp_tiles(places, _read(spark, product, chosen), len(chosen), request.resampling, h.width, h.height, block)
     _write_warp(warped, target, header, request.overwrite)
     return {
         "path": str(target), "crs": f"EPSG:{epsg}", "resolution": grid.resolution, "width": grid.width, "height": grid.height,
@@ -265,6 +267,32 @@ def reproject(spark: SparkSession, request: ReprojectRequest) -> dict[str, Any]:
     }
 
 
+def open_reference(path: str, target_crs: str) -> tiff.Raster:
+    """Header of a raster whose grid others are aligned to; a target projection that is named must be its own."""
+    try:
+        ref = raster.header(path)
+    except errors.RasterReadError as e:
+        raise errors.ReprojectionError(f"cannot open the reference {path}", hint=str(e)) from e
+    ref = ref.raster if isinstance(ref, raster.Envi) else ref
+    if not ref.placed:
+        raise errors.ReprojectionError("the reference has no place on the ground", context={"reference_raster": path})
+    if not grids.supported(ref.epsg):
+        raise errors.UnsupportedError("the reference's projection is not supported", context={"epsg": ref.epsg})
+    if target_crs.strip().lower() != "auto" and grids.parse_crs(target_crs) != ref.epsg:
+        raise errors.ReprojectionError(
+            "the target projection is not that of the reference", hint="leave it out, or name the reference's own", context={"target_crs": target_crs, "reference_epsg": ref.epsg},
+        )
+    _warn_unequal(ref, "reference")
+    return ref
+
+
+def _warn_unequal(r: tiff.Raster, what: str) -> None:
+    """Grids of one resolution take that of X."""
+    x, y = abs(r.transform[0]), abs(r.transform[4])
+    if abs(x - y) > 1e-9 * max(x, y):
+        LOG.warning("the %s's resolutions in X and Y differ; that of X is used", what, extra={"x": x, "y": y})
+
+
 def open_dem(path: str) -> tiff.Raster:
     """Header of an elevation model in any store that the raster reader knows."""
     try:
@@ -303,7 +331,8 @@ def orthorectify(spark: SparkSession, request: OrthoRequest) -> dict[str, Any]:
     posts = raster.read(spark, request.dem, [1]).select("row", "col", F.col("bands")[0].alias("height"))
     high = ortho.with_height(points, posts, dem.transform, request.rpc_dem_missing_value, dem.epsg)
     places = ortho.image_places(high, h.rpc, request.rpc_height_scale)
-    warped = resample.warp_tiles(places, _read(spark, product, chosen), len(chosen), request.resampling, h.width, h.height)
+    block = resample.tile_size(len(chosen), enlarged=grid.width * grid.height / (h.width * h.height))
+    warped = resample.warp_tiles(places, _read(spark, product, chosen), len(chosen), request.resampling, h.width, h.height, block)
     options = {
         "RPC_DEM": request.dem, "RPC_HEIGHT_SCALE": str(request.rpc_height_scale), "RPC_DEM_MISSING_VALUE": str(request.rpc_dem_missing_value),
         "RPC_DEM_APPLY_VDATUM_SHIFT": str(request.rpc_dem_apply_vdatum_shift),

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from functools import cache
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 
 
@@ -29,6 +30,12 @@ def _local_root() -> str:
     return "file://" + tempfile.mkdtemp(prefix="cubeloom-")
 
 
+def make_folder(uri: str) -> None:
+    """A folder of any store that pyarrow knows, and those above it."""
+    store, path = fs.FileSystem.from_uri(uri)
+    store.create_dir(path, recursive=True)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder of any store that Spark can write to."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

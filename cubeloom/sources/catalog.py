@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import geo
 from ..functions.text import wavelength_nm
+from ..plans import grids
 from . import raster, tiff
 
 RASTERS = (
@@ -20,6 +21,8 @@ RASTERS = (
     "transform array<double>, has_affine boolean, bounds array<double>, rpc_available boolean, rpc_usable boolean, rpc_issues array<string>, metadata map<string,string>, block_width int, block_height int, estimated_bytes long"
 )
 BANDS = "raster_id string, band int, dtype string, nodata double, nodata_is_nan boolean, description string, tags map<string,string>, imagery map<string,string>, block_width int, block_height int"
+#: Names and metres of the EPSG units of length.
+UNITS = {9001: ("metre", 1.0), 9002: ("foot", 0.3048), 9003: ("US survey foot", 12 / 39.37), 9036: ("kilometre", 1000.0)}
 IDENTITY = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)
 
 
@@ -32,10 +35,11 @@ def raster_row(raster_id: str, path: str) -> dict:
     r, driver = _header(path)
     nan = r.nodata is not None and r.nodata != r.nodata
     issues = tiff.rpc_issues(r.rpc) if r.rpc else []
-    utm = r.epsg is not None and r.epsg // 100 in (326, 327)
+    # what the file says, or the metre of the projections that this engine knows
+    unit = None if r.geographic or r.epsg is None else UNITS.get(r.unit or (9001 if grids.supported(r.epsg) else 0))
     return {
         "raster_id": raster_id, "path": path, "driver": driver, "width": r.width, "height": r.height, "band_count": r.count, "dtype": r.dtype, "nodata": None if nan else r.nodata, "nodata_is_nan": nan,
-        "epsg": r.epsg, "crs_defined": r.epsg is not None, "geographic": r.geographic, "crs_wkt": None if r.epsg is None else geo.wkt(r.epsg), "linear_units": "metre" if utm else None, "linear_units_factor": 1.0 if utm else None, "transform": list(r.transform), "has_affine": r.placed, "bounds": list(r.bounds), "rpc_available": r.rpc is not None,
+        "epsg": r.epsg, "crs_defined": r.epsg is not None, "geographic": r.geographic, "crs_wkt": None if r.epsg is None else geo.wkt(r.epsg), "linear_units": unit and unit[0], "linear_units_factor": unit and unit[1], "transform": list(r.transform), "has_affine": r.placed, "bounds": list(r.bounds), "rpc_available": r.rpc is not None,
         "rpc_usable": r.rpc is not None and not issues, "rpc_issues": issues, "metadata": r.tags, "block_width": r.block_width, "block_height": r.block_height, "estimated_bytes": r.width * r.height * r.count * np.dtype(r.dtype).itemsize,
     }
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: File types by role, and names that mark the image among several rasters.
 RASTER_TYPES = ("tif", "tiff", "jp2", "img", "bsq", "bil", "bip", "dat", "vrt", "he5", "hdf")
-METADATA_TYPES = ("xml", "json", "txt", "hdr", "met", "imd", "rpb")
+METADATA_TYPES = ("xml", "json", "hdr", "met", "txt", "gfs", "rpc")
 IMAGE_NAMES = ("spectral_image", "spectral-image")
 #: Bytes of a file that are hashed at a time.
 HASH_BYTES = 1 << 20

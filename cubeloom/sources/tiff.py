@@ -78,6 +78,8 @@ class Raster:
     nodata: float | None = None
     transform: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)
     epsg: int | None = None
+    #: EPSG code of the unit of map coordinates, where the file says one.
+    unit: int | None = None
     geographic: bool = False
     tags: dict[str, str] = field(default_factory=dict)
     imagery: dict[int, dict[str, str]] = field(default_factory=dict)
@@ -200,6 +202,7 @@ def _place(r: Raster, t: dict[int, Any]) -> None:
     if keys.get(1025) == 2 and r.transform != (1.0, 0.0, 0.0, 0.0, 1.0, 0.0):  # values stand at points: half a pixel to the corner
         a, b, c, d, e, f = r.transform
         r.transform = (a, b, c - (a + b) / 2, d, e, f - (d + e) / 2)
+    r.unit = keys.get(3076) if keys.get(3076, 32767) != 32767 else None
     if keys.get(1024) == 2 and keys.get(2048, 32767) != 32767:
         r.epsg, r.geographic = keys[2048], True
     elif keys.get(1024) == 1 and keys.get(3072, 32767) != 32767:

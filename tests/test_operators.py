@@ -265,7 +265,9 @@ def test_statistics_keep_no_value_lists(spark):
 
 
 def test_crs_text():
-    assert geo.wkt(4326).startswith('GEOGCS["WGS 84"') and geo.wkt(3857) is None
+    assert geo.wkt(4326).startswith('GEOGCS["WGS 84"') and geo.wkt(2056) is None
+    mercator = geo.wkt(3857)
+    assert mercator.startswith('PROJCS["WGS 84 / Pseudo-Mercator",GEOGCS["WGS 84"') and 'PARAMETER["scale_factor",1]' in mercator and mercator.count("[") == mercator.count("]")
     south = geo.wkt(32733)
     assert 'UTM zone 33S"' in south and 'PARAMETER["central_meridian",15]' in south and 'PARAMETER["false_northing",10000000]' in south and south.count("[") == south.count("]")
 
