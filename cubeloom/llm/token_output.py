@@ -46,6 +46,8 @@ PACKED_SHARE = 0.95
 #: Ids after which a file is closed (looked at after every slice of text).
 FILE_IDS = 4_000_000
 END_ID = 2
+#: Characters of a text that part the rows of one doc_id.
+START = 256
 #: Stems whose ids a worker remembers; others are encoded once for each slice.
 MEMO = 200_000
 #: Bytes of text that are encoded at a time, and stems that go to the library at a time.
@@ -378,9 +380,13 @@ class Reader:
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
     """Write the ids of ``docs`` (doc_id, text) under ``folder``; returns the settled manifest."""
-    rows = docs.select("doc_id", "text")
     parts = common.partitions_for(docs, common.text_bytes(docs))
-    dealt = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # one id, null or not, may have any number of rows: the start of their texts parts them, and equal short rows are parted by where they were read
+    start = F.substring("text", 1, START)
+    place = F.when(F.length("text") <= START, F.monotonically_increasing_id())
+    rows = docs.select("doc_id", "text", start.alias("start"), place.alias("place"))
+    ranged = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.col("start").asc_nulls_first(), "place")
+    dealt = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).select("doc_id", "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, seq = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
