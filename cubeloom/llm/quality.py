@@ -17,7 +17,7 @@ of ``DIM`` numbers.
 Defined results: null and empty texts have no features and score by the model's
 bias; without labels of both classes every score is the share of ones among the
 labels, or 0.5 without any; a null doc_id counts as held out; of several labels
-of one doc_id the least counts; repeated rows score alike; an empty table gives an empty result.
+of one doc_id the least counts; repeated rows score alike and are learned from once; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -172,7 +172,7 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, label: str = "quality") -> Model:
-    """Fit on at most ``max_train`` labelled documents outside the held-out fold."""
+    """Fit on at most ``max_train`` labelled documents outside the held-out fold, and ``MAX_FEATURES`` indicators of them."""
     usable = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     one = usable.groupBy("doc_id").agg(F.min(label).cast("int").alias("__label"))
     chosen = one.orderBy(F.xxhash64("doc_id", F.lit("train")), "doc_id").limit(max_train)
@@ -190,10 +190,11 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, label:
 
     # `max_train` ids: a bounded broadcast, whatever the tables' sizes
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("__label", "text", F.xxhash64("doc_id", "text").alias("__h"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    few = rows.orderBy("__h").limit(max_train).select("__label", "text", "__h").repartition(parts)  # the limit leaves one partition
+    # numbers are chosen first; texts stay where they are, and only their features move
+    first = rows.select("__h").distinct().orderBy("__h").limit(max_train)
+    few = rows.join(F.broadcast(first), "__h").select("__label", "text", "__h")
     with common.scratch():
-        made = common.settle(few.mapInArrow(task, "label int, h long, features binary"), "training-features")
+        made = common.settle(few.mapInArrow(task, "label int, h long, features binary").distinct(), "training-features")
         # a window over `max_train` rows
         sofar = F.sum(F.length("features")).over(W.orderBy("h", "label", "features").rowsBetween(W.unboundedPreceding, W.currentRow))
         found = made.withColumn("sofar", sofar).filter(F.col("sofar") <= 4 * MAX_FEATURES).drop("sofar").toArrow()
