@@ -163,6 +163,32 @@ def block_mean(long: DataFrame, factor: int) -> DataFrame:
     ).agg(F.avg(good).alias("value"))
 
 
+def neighborhood_mean(long: DataFrame, size: int, block: int | None = None) -> DataFrame:
+    """Mean of the valid samples in an odd window around every sample's place, clipped at the grid's edges; NULL if there is none.
+
+    Samples are shuffled once, in tiles with a halo, and sums run over rows and then
+    over columns of a tile, so that a window of any size costs as much as another.
+    """
+    if size < 1 or size % 2 == 0:
+        raise ValueError("the window is odd")
+    half, kind = size // 2, dict(long.dtypes)["band"]
+
+    def solve(tile: stencil.Tile) -> pa.Table:
+        here = tile.array(np.ones(len(tile.at), bool), False)
+        value = tile.array(np.asarray(tile.rows["value"].combine_chunks().fill_null(np.nan)).astype(float), np.nan)
+        good = np.isfinite(value)
+        total, n = np.where(good, value, 0.0), good
+        for axis in (0, 1):
+            total, n = stencil.shifted_sum(total, half, half, axis), stencil.shifted_sum(n, half, half, axis)
+        row, col, y, x = tile.inner(here)
+        some = n[y, x] > 0
+        band = pa.array([tile.rows["band"][0].as_py()] * len(row), tile.rows["band"].type)
+        return pa.table({"row": pa.array(row), "col": pa.array(col), "band": band, "value": pa.array(total[y, x] / np.maximum(n[y, x], 1), mask=~some), "n": pa.array(n[y, x])})
+
+    samples = long.select("row", "col", "band", F.col("value").cast("double").alias("value"))
+    return stencil.in_tiles(samples, ["value"], half, solve, f"row int, col int, band {kind}, value double, n long", by=["band"], block=block)
+
+
 def area_mean(long: DataFrame, source: tuple[int, int], target: tuple[int, int]) -> DataFrame:
     """Mean by covered area for any ratio of (width, height): each sample goes to the target pixels it touches."""
 

@@ -53,7 +53,8 @@ def in_tiles(df: DataFrame, columns: Sequence[str], halo: int, solve: Callable[[
 
 def shifted_sum(x: np.ndarray, before: int, after: int, axis: int) -> np.ndarray:
     """At every place the sum of ``x`` from ``before`` places before it to ``after`` behind it; beyond the edge is nothing."""
-    total = np.concatenate([np.zeros_like(x.take([0], axis), dtype=np.int64), np.cumsum(x, axis=axis, dtype=np.int64)], axis=axis)
+    kind = np.float64 if x.dtype.kind == "f" else np.int64
+    total = np.concatenate([np.zeros_like(x.take([0], axis), dtype=kind), np.cumsum(x, axis=axis, dtype=kind)], axis=axis)
     n = x.shape[axis]
     place = np.arange(n)
     return total.take(np.minimum(place + after + 1, n), axis) - total.take(np.maximum(place - before, 0), axis)

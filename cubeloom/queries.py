@@ -581,6 +581,14 @@ def decimated_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(resample.decimate(cube.select_bands(pixel_cube(spark, sf_dir), (RED,)), source, _smaller(source[1])), (0,))
 
 
+@_query(
+    f"WITH {_CUBE} SELECT c.\"row\", c.col, 9 AS band, round(avg(n.bands[9]), 9) AS value, count(*)::BIGINT AS n FROM cube c JOIN cube n ON "
+    "n.\"row\" BETWEEN c.\"row\" - 3 AND c.\"row\" + 3 AND n.col BETWEEN c.col - 3 AND c.col + 3 GROUP BY ALL"
+)
+def neighborhood_mean_7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.neighborhood_mean(_red(spark, sf_dir), 7).withColumn("value", F.round("value", 9))
+
+
 @_query(
     f"WITH {_CUBE} SELECT (\"row\" // 5)::INT AS \"row\", (col // 5)::INT AS col, 9 AS band, round(avg(bands[9]), 9) AS value "
     "FROM cube GROUP BY ALL"

@@ -71,7 +71,7 @@ def _runs(raster_id: str, path: str, options: dict[str, str], ask: tuple, run_by
     each = r.block_width * r.block_height * len(reader.bands) * 8
     for part in reader.partitions():
         if part.tiles:
-            small = found if isinstance(found, raster.Envi) else tiff.with_blocks(r, sorted({i for t in part.tiles for i in reader.blocks_of(*t)}))
+            small = found if isinstance(found, raster.Envi) else tiff.with_blocks(reader.raster, sorted({i for t in part.tiles for i in reader.blocks_of(*t)}))
             yield {"raster_id": raster_id, "path": path, "bytes": each * len(part.tiles), "tiles": pickle.dumps((part.tiles, window)), "header": pickle.dumps(small)}
 
 

@@ -28,6 +28,8 @@ from . import tiff
 
 SCHEMA = "row int, col int, bands array<double>"
 PARTITION_BYTES = 64 << 20
+#: Bytes of a strip of a TIFF that are held at a time.
+STRIP_BYTES = 2 << 20
 #: ENVI's data types and its sample orders.
 ENVI_TYPES = {1: "uint8", 2: "int16", 3: "int32", 4: "float32", 5: "float64", 12: "uint16", 13: "uint32", 14: "int64", 15: "uint64"}
 RAW = ("bsq", "bil", "bip")
@@ -166,7 +168,8 @@ class CubeReader(DataSourceReader):
     def __init__(self, options: dict[str, str], found: tiff.Raster | Envi | None = None):
         self.path = options["path"]
         self.header = found or header(self.path)
-        self.raster = self.header.raster if isinstance(self.header, Envi) else self.header
+        # long strips are read line by line: straight away where they are raw, from their start where they are compressed
+        self.raster = self.header.raster if isinstance(self.header, Envi) else tiff.split_strips(self.header, STRIP_BYTES)
         self.bands = parse_bands(options.get("bands"), self.raster.count)
         self.window = parse_window(options.get("window"), self.raster)
         self.float32 = options.get("float32", "true").lower() == "true"
@@ -199,10 +202,35 @@ class CubeReader(DataSourceReader):
 
     def _tile(self, file, tile_row: int, tile_col: int) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
         r = self.raster
-        c, w0, w, h = self.window
         top, left = tile_row * r.block_height, tile_col * r.block_width
         rows = r.block_height if r.tiled else min(r.block_height, r.height - top)
+        if not isinstance(self.header, Envi) and tiff.in_pieces(r, STRIP_BYTES):
+            last = _picked(self.window[1], self.window[3], self.shape[1], top, top + rows)[1]
+            for piece in self._pieces(file, tile_row, rows):
+                yield from self._emitted(piece, top, left, len(piece))
+                top += len(piece)
+                if not len(last) or top > last[-1]:
+                    return
+            return
         cube = self._raw(file, tile_row, rows) if isinstance(self.header, Envi) else self._blocks(file, tile_row, tile_col, rows)
+        yield from self._emitted(cube, top, left, rows)
+
+    def _pieces(self, file, tile_row: int, rows: int) -> Iterator[np.ndarray]:  # noqa: ANN001
+        """The chosen bands of a compressed strip, some lines at a time."""
+        r = self.raster
+        if r.planar == 1:
+            for piece in tiff.read_pieces(file, r, tiff.block_index(r, 1, tile_row, 0), rows, STRIP_BYTES):
+                yield piece[:, :, [b - 1 for b in self.bands]]
+            return
+        planes = sorted(set(self.bands))
+        each = [tiff.read_pieces(file, r, tiff.block_index(r, b, tile_row, 0), rows, STRIP_BYTES // len(planes)) for b in planes]
+        for pieces in zip(*each, strict=True):
+            yield np.stack([pieces[planes.index(b)][:, :, 0] for b in self.bands], axis=2)
+
+    def _emitted(self, cube: np.ndarray, top: int, left: int, rows: int) -> Iterator[pa.RecordBatch]:
+        """Rows of what the window takes of an array whose first pixel is at (top, left)."""
+        r = self.raster
+        c, w0, w, h = self.window
         to_row, from_row = _picked(w0, h, self.shape[1], top, min(top + rows, r.height))
         to_col, from_col = _picked(c, w, self.shape[0], left, min(left + r.block_width, r.width))
         if not len(to_row) or not len(to_col):

@@ -11,6 +11,7 @@ from __future__ import annotations
 import struct
 import xml.etree.ElementTree as ET
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from typing import Any, BinaryIO
 from xml.sax.saxutils import escape, quoteattr
@@ -58,6 +59,10 @@ def with_blocks(r: Raster, indices: list[int]) -> Raster:
     return replace(r, offsets=_blocks([(i, r.offsets[i]) for i in known], len(r.offsets)), sizes=_blocks([(i, r.sizes[i]) for i in known], len(r.sizes)))
 
 
+#: Bytes of a compressed strip that are read at a time, where it is inflated in pieces.
+READ_BYTES = 1 << 20
+
+
 @dataclass
 class Raster:
     """What a header says; ``bands`` have dtype, description, wavelength tags and NoData in common here."""
@@ -261,6 +266,98 @@ def block_index(r: Raster, band: int, tile_row: int, tile_col: int) -> int:
     return n if r.planar == 1 else (band - 1) * r.across * r.down + n
 
 
+def split_strips(r: Raster, limit: int) -> Raster:
+    """``r`` with uncompressed strips of more than ``limit`` bytes as several shorter ones: a strip is lines one after another."""
+    line = r.width * (r.count if r.planar == 1 else 1) * np.dtype(r.dtype).itemsize
+    if r.tiled or r.compression != _NONE or r.block_height <= 1 or r.block_height * line <= limit or not r.offsets:
+        return r
+    fit = max(1, min(limit // max(1, line), r.block_height))
+    # the pieces of every strip but the last of a plane must fill it
+    rows = fit if r.down == 1 else next(k for k in range(fit, 0, -1) if r.block_height % k == 0)
+    offsets, sizes = [], []
+    for plane in range(1 if r.planar == 1 else r.count):
+        for top in range(0, r.height, rows):
+            strip = plane * r.down + top // r.block_height
+            sparse = not r.sizes[strip]
+            offsets.append(0 if sparse else r.offsets[strip] + top % r.block_height * line)
+            sizes.append(0 if sparse else min(rows, r.height - top) * line)
+    return replace(r, block_height=rows, offsets=offsets, sizes=sizes)
+
+
+def in_pieces(r: Raster, limit: int) -> bool:
+    """Whether a strip is inflated in pieces, because it is more than ``limit`` bytes as a whole."""
+    samples = r.count if r.planar == 1 else 1
+    return not r.tiled and r.compression in (_DEFLATE, _OLD_DEFLATE, _ZSTD) and r.block_height * r.width * samples * np.dtype(r.dtype).itemsize > limit
+
+
+def read_pieces(file: Any, r: Raster, index: int, rows: int, limit: int) -> Iterator[np.ndarray]:
+    """The lines of a compressed strip from the first on, (lines, width, samples) of at most ``limit`` bytes at a time."""
+    samples = r.count if r.planar == 1 else 1
+    line = r.width * samples * np.dtype(r.dtype).itemsize
+    each = max(1, limit // line)
+    if not r.sizes[index]:
+        for top in range(0, rows, each):
+            yield _sparse(r, min(each, rows - top), samples)
+        return
+    held, left = bytearray(), rows
+    try:
+        for data in _inflated(file, r.offsets[index], r.sizes[index], r.compression, max(line, min(limit, each * line))):
+            held += data
+            while left and len(held) >= (some := min(each, left)) * line:
+                yield _samples(bytes(memoryview(held)[: some * line]), r, some, samples)
+                del held[: some * line]
+                left -= some
+            if not left:
+                return
+    except (zlib.error, OSError) as e:
+        raise RasterReadError(f"a block cannot be decompressed: {e}") from e
+    raise RasterReadError("a block is cut off")
+
+
+def _inflated(file: Any, offset: int, size: int, compression: int, most: int) -> Iterator[bytes]:
+    """What a compressed range of ``file`` holds, at most ``most`` bytes at a time, reading as little ahead."""
+    ranged = _Range(file, offset, size)
+    if compression == _ZSTD:
+        with pa.CompressedInputStream(pa.PythonFile(ranged, "r"), "zstd") as source:
+            while data := source.read(most):
+                yield data
+        return
+    engine, data = zlib.decompressobj(), b""
+    while not engine.eof:
+        data = engine.unconsumed_tail or ranged.read(READ_BYTES)
+        out = engine.decompress(data, most)
+        if out:
+            yield out
+        elif not data:
+            return
+
+
+class _Range:
+    """Some bytes of a file, as a file of its own; several can be read in turns."""
+
+    closed = False
+
+    def __init__(self, file: Any, offset: int, size: int):
+        self.file, self.at, self.end = file, offset, offset + size
+
+    def read(self, n: int = -1) -> bytes:
+        n = self.end - self.at if n is None or n < 0 else min(n, self.end - self.at)
+        self.file.seek(self.at)
+        data = self.file.read(n)
+        self.at += len(data)
+        return data
+
+    def readable(self) -> bool:
+        return True
+
+    def close(self) -> None:
+        pass
+
+
+def _sparse(r: Raster, rows: int, samples: int) -> np.ndarray:
+    return np.full((rows, r.block_width, samples), 0 if r.nodata is None else r.nodata).astype(r.dtype)
+
+
 def read_block(file: BinaryIO, r: Raster, index: int, rows: int) -> np.ndarray:
     """A block as (rows, block_width, samples); ``rows`` is what a strip still holds."""
     samples = r.count if r.planar == 1 else 1
@@ -269,7 +366,7 @@ def read_block(file: BinaryIO, r: Raster, index: int, rows: int) -> np.ndarray:
     dtype = np.dtype(r.dtype).newbyteorder(r.order)
     size = rows * r.block_width * samples * dtype.itemsize
     if not r.sizes[index]:  # a sparse block
-        return np.full((rows, r.block_width, samples), 0 if r.nodata is None else r.nodata).astype(r.dtype)
+        return _sparse(r, rows, samples)
     file.seek(r.offsets[index])
     data = file.read(r.sizes[index])
     try:
@@ -283,6 +380,13 @@ def read_block(file: BinaryIO, r: Raster, index: int, rows: int) -> np.ndarray:
         raise RasterReadError(f"a block cannot be decompressed: {e}") from e
     if len(data) < size:
         raise RasterReadError("a block is cut off")
+    return _samples(data, r, rows, samples)
+
+
+def _samples(data: bytes, r: Raster, rows: int, samples: int) -> np.ndarray:
+    """Inflated lines as numbers."""
+    dtype = np.dtype(r.dtype).newbyteorder(r.order)
+    size = rows * r.block_width * samples * dtype.itemsize
     if r.predictor == 3:
         width = r.block_width * samples
         raw = np.frombuffer(data[:size], np.uint8).reshape(rows, width * dtype.itemsize).copy()

@@ -73,3 +73,16 @@ def test_windows_of_any_width():
     for before, after in ((0, 0), (1, 3), (40, 40)):
         got = stencil.shifted_sum(x, before, after, 1)
         assert all(got[r, c] == x[r, max(0, c - before) : c + after + 1].sum() for r in range(20) for c in range(17))
+
+
+@pytest.mark.parametrize(("size", "block"), [(1, 8), (7, 5), (25, 16), (101, 16)])
+def test_neighborhood_means(spark, size, block):
+    rng = np.random.default_rng(size)
+    values = {(r, c, 1): (None if rng.random() < 0.2 else float(rng.normal() * 1e3)) for r in range(31) for c in range(27) if rng.random() > 0.1}
+    values[3, 4, 1], half = float("inf"), size // 2
+    df = spark.createDataFrame([(*k, v) for k, v in values.items()], "row int, col int, band int, value double")
+    got = {(r["row"], r["col"], r["band"]): (r["value"], r["n"]) for r in resample.neighborhood_mean(df, size, block=block).collect()}
+    assert got.keys() == values.keys()
+    for (row, col, band), (mean, n) in got.items():
+        near = [v for (r, c, _), v in values.items() if abs(r - row) <= half and abs(c - col) <= half and v is not None and np.isfinite(v)]
+        assert n == len(near) and (mean is None if not near else mean == pytest.approx(np.mean(near))), (row, col, band)
