@@ -411,8 +411,10 @@ def repeats(docs: DataFrame, folder: str, chunk_words: int = CHUNK_WORDS, asked_
         # a chunk that has more than a task's share of all comparisons is opened by several tasks
         cost = F.sum(F.col("n") + ASKING_WORDS)
         share = max(asked_words, (asked.agg(cost.alias("n")).first()["n"] or 0) // (2 * parts))
-        tasks = asked.groupBy("holder").agg(F.ceil(cost / share).alias("tasks"))
-        shared = asked.join(tasks, "holder").withColumn("task", F.pmod(F.xxhash64("chunk", "place"), "tasks"))
+        tasks = asked.groupBy("holder").agg(F.ceil(cost / share).alias("tasks")).filter("tasks > 1")
+        # there are no more such chunks than tasks, so they are broadcast and no request is moved to find its task
+        many = F.coalesce("tasks", F.lit(1))
+        shared = asked.join(F.broadcast(tasks), "holder", "left").withColumn("task", F.pmod(F.xxhash64("chunk", "place"), many))
         shared = shared.repartition(2 * parts, "holder", "task").sortWithinPartitions("holder").select(*asked.columns)
         wrong = common.settle(shared.mapInArrow(_compare(folder), WRONG), "unequal")
         keep += [found, wrong]
