@@ -41,7 +41,8 @@ from . import common
 MIN_REVISIT = 100
 #: Bytes of compressed records after which an archive is closed.
 ARCHIVE_BYTES = 16 << 20
-SAMPLE = 10_000
+#: Keys that are looked at for each range of the merge, on average.
+SAMPLE = 32
 #: Captures for each range of the merge, on average.
 RANGE_CAPTURES = 200_000
 EPOCH = datetime(2020, 1, 1, tzinfo=UTC)
@@ -182,10 +183,13 @@ def merge_runs(runs: list[Iterable[dict[str, Any]]]) -> Iterator[dict[str, Any]]
 def with_references(pages: DataFrame) -> DataFrame:
     """page_id, url, html and refers_to (null for responses)."""
     payload = F.coalesce(F.col("html"), F.lit(""))
-    short = pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n")).filter(F.col("n") >= MIN_REVISIT)
-    first = short.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    revisits = short.join(first, "digest").filter("page_id > first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
-    whole = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("digest"))
+    digest = F.unhex(F.sha2(payload, 256)).alias("digest")
+    short = common.settle(pages.filter(F.octet_length(payload) >= MIN_REVISIT).select("page_id", digest), "payloads")
+    first = short.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = common.settle(first, "copied-payloads")
+    copied = common.join_counted(short, first, "digest", short.count())
+    revisits = copied.filter("page_id > first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
+    whole = pages.select("page_id", "url", "html", digest)
     return whole.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
 
 
@@ -218,9 +222,10 @@ def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) ->
 
 
 def splitters(pages: DataFrame, n_rows: int, ranges: int) -> list[tuple[str, str]]:
-    """At most ``ranges`` - 1 (URL key, timestamp) pairs, from a sample by hash."""
-    every = max(1, n_rows // SAMPLE)
-    some = pages.filter(F.pmod(F.xxhash64("url", "page_id"), F.lit(every)) == 0).select("page_id", "url")
+    """At most ``ranges`` - 1 (URL key, timestamp) pairs, from a sample of ``SAMPLE`` rows for each range."""
+    every = max(1, n_rows // (SAMPLE * ranges))
+    # equal rows are drawn one by one
+    some = pages.select("page_id", "url").filter(F.pmod(F.xxhash64("url", "page_id", F.monotonically_increasing_id()), F.lit(every)) == 0)
     keys = sorted((url_key(r["url"]), capture_time(r["page_id"])) for r in some.toLocalIterator())
     return sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
 
