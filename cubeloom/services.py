@@ -62,8 +62,7 @@ def resolve_path(spark: SparkSession, path: str) -> str:
 
 def open_product(spark: SparkSession, request: Request) -> Product:
     path = resolve_path(spark, request.input)
-    h = raster.header(path)
-    h = h.raster if isinstance(h, raster.Envi) else h
+    h = raster.plain_header(path)
     _, found = catalog.inspect(spark, {"in": path})
     nm = [r["wavelength_nm"] for r in found.orderBy("band").select("wavelength_nm").collect()]
     return Product(path, h, nm, request.product_id or grids.product_slug(path))
@@ -270,10 +269,9 @@ def reproject(spark: SparkSession, request: ReprojectRequest) -> dict[str, Any]:
 def open_reference(path: str, target_crs: str) -> tiff.Raster:
     """Header of a raster whose grid others are aligned to; a target projection that is named must be its own."""
     try:
-        ref = raster.header(path)
+        ref = raster.plain_header(path)
     except errors.RasterReadError as e:
         raise errors.ReprojectionError(f"cannot open the reference {path}", hint=str(e)) from e
-    ref = ref.raster if isinstance(ref, raster.Envi) else ref
     if not ref.placed:
         raise errors.ReprojectionError("the reference has no place on the ground", context={"reference_raster": path})
     if not grids.supported(ref.epsg):
@@ -300,10 +298,9 @@ def open_dem(path: str) -> tiff.Raster:
     except errors.CubeError as e:
         raise errors.MissingDEMError(f"{path} is no file", hint=str(e)) from e
     try:
-        h = raster.header(path)
+        h = raster.plain_header(path)
     except errors.CubeError as e:
         raise errors.UnreadableDEMError(f"cannot read {path}", hint=str(e)) from e
-    h = h.raster if isinstance(h, raster.Envi) else h
     if not h.placed or not grids.supported(h.epsg):
         raise errors.UnreadableDEMError("the elevation model needs a transform in a projection that is supported", context={"epsg": h.epsg})
     return h

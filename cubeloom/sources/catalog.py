@@ -28,7 +28,9 @@ IDENTITY = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)
 
 def _header(path: str) -> tuple[tiff.Raster, str]:
     h = raster.header(path)
-    return (h.raster, "ENVI") if isinstance(h, raster.Envi) else (h, "GTiff")
+    if isinstance(h, tiff.Raster):
+        return h, "GTiff"
+    return h.raster, "ENVI" if isinstance(h, raster.Envi) else "VRT"
 
 
 def raster_row(raster_id: str, path: str) -> dict:

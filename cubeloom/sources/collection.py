@@ -41,8 +41,8 @@ HEADERS_AT_ONCE = 64
 
 
 def listed(spark: SparkSession, folder: str) -> DataFrame:
-    """raster_id (the path below ``folder``) and path of every GeoTIFF and ENVI file below it."""
-    found = files.inventory(spark, folder).filter(F.lower("name").rlike(r"\.(tiff?|bsq|bil|bip)$"))
+    """raster_id (the path below ``folder``) and path of every GeoTIFF, ENVI and virtual raster below it."""
+    found = files.inventory(spark, folder).filter(F.lower("name").rlike(r"\.(tiff?|bsq|bil|bip|vrt)$"))
     path = F.regexp_replace("path", "^file:/+", "/")
     root = folder.removeprefix("file://").rstrip("/") + "/"
     return found.select(F.when(F.instr("path", root) > 0, F.expr(f"substring(path, instr(path, '{root}') + {len(root)})")).otherwise(F.col("path")).alias("raster_id"), path.alias("path"))
@@ -63,7 +63,7 @@ def _window(r: tiff.Raster, rows: Sequence[int] | None, cols: Sequence[int] | No
 def _runs(raster_id: str, path: str, options: dict[str, str], ask: tuple, run_bytes: int) -> Iterator[dict]:
     """Rows of ``RUNS`` of one raster."""
     found = raster.header(path)
-    r = found.raster if isinstance(found, raster.Envi) else found
+    r = found if isinstance(found, tiff.Raster) else found.raster
     window = _window(r, *ask)
     if window is None:
         return
@@ -71,7 +71,7 @@ def _runs(raster_id: str, path: str, options: dict[str, str], ask: tuple, run_by
     each = r.block_width * r.block_height * len(reader.bands) * 8
     for part in reader.partitions():
         if part.tiles:
-            small = found if isinstance(found, raster.Envi) else tiff.with_blocks(reader.raster, sorted({i for t in part.tiles for i in reader.blocks_of(*t)}))
+            small = found if not isinstance(found, tiff.Raster) else tiff.with_blocks(reader.raster, sorted({i for t in part.tiles for i in reader.blocks_of(*t)}))
             yield {"raster_id": raster_id, "path": path, "bytes": each * len(part.tiles), "tiles": pickle.dumps((part.tiles, window)), "header": pickle.dumps(small)}
 
 

@@ -13,6 +13,8 @@ row and col prune tiles as well; give the option ``pushdown`` then.
 
 from __future__ import annotations
 
+import contextlib
+import posixpath
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from ..errors import MemoryBudgetExceededError, RasterReadError, UnsupportedError
-from . import tiff
+from . import tiff, vrt
 
 SCHEMA = "row int, col int, bands array<double>"
 PARTITION_BYTES = 64 << 20
@@ -80,8 +82,11 @@ def parse_envi(text: str, data: str) -> Envi:
     return Envi(r, interleave, int(values.get("header offset", 0)), data)
 
 
-def header(path: str) -> tiff.Raster | Envi:
-    """Header of a GeoTIFF, or of an ENVI raster by its .hdr or data file."""
+def header(path: str) -> tiff.Raster | Envi | vrt.Vrt:
+    """Header of a GeoTIFF, of an ENVI raster by its .hdr or data file, or of a virtual raster."""
+    if path.lower().endswith(".vrt"):
+        with open_file(path) as f:
+            return vrt.parse(f.read().decode(), posixpath.dirname(path))
     if path.lower().endswith(".hdr") or path.lower().endswith(tuple("." + x for x in (*RAW, "img", "dat"))):
         stem = re.sub(r"\.[^./]+$", "", path)
         candidates = [path] if path.lower().endswith(".hdr") else [stem + ".hdr", path + ".hdr"]
@@ -97,11 +102,17 @@ def header(path: str) -> tiff.Raster | Envi:
             return parse_envi(text, data)
         raise RasterReadError(f"no ENVI header beside {path}")
     if not path.lower().endswith((".tif", ".tiff")):
-        raise UnsupportedError(f"no reader for {path}", hint="GeoTIFF and ENVI rasters are supported")
+        raise UnsupportedError(f"no reader for {path}", hint="GeoTIFF, ENVI and virtual rasters are supported")
     with open_file(path) as f:
         return tiff.read_header(f)
 
 
+def plain_header(path: str) -> tiff.Raster:
+    """What a header says of size, bands and place, whatever the format."""
+    found = header(path)
+    return found if isinstance(found, tiff.Raster) else found.raster
+
+
 def _exists(path: str) -> bool:
     try:
         open_file(path).close()
@@ -165,17 +176,18 @@ def parse_bands(text: str | None, count: int) -> list[int]:
 class CubeReader(DataSourceReader):
     """Tiles of one raster."""
 
-    def __init__(self, options: dict[str, str], found: tiff.Raster | Envi | None = None):
+    def __init__(self, options: dict[str, str], found: tiff.Raster | Envi | vrt.Vrt | None = None):
         self.path = options["path"]
         self.header = found or header(self.path)
         # long strips are read line by line: straight away where they are raw, from their start where they are compressed
-        self.raster = self.header.raster if isinstance(self.header, Envi) else tiff.split_strips(self.header, STRIP_BYTES)
+        self.raster = tiff.split_strips(self.header, STRIP_BYTES) if isinstance(self.header, tiff.Raster) else self.header.raster
         self.bands = parse_bands(options.get("bands"), self.raster.count)
         self.window = parse_window(options.get("window"), self.raster)
         self.float32 = options.get("float32", "true").lower() == "true"
         self.fill_nan = options.get("fill_nan", "false").lower() == "true"
         self.masked = options.get("masked", "true").lower() == "true"
         self.shape = parse_shape(options.get("out_shape"))
+        self.headers: dict[str, tiff.Raster | Envi | vrt.Vrt] = {}
         self.partition_bytes = int(options.get("partition_bytes", PARTITION_BYTES))
 
     def partitions(self) -> list[Tile]:
@@ -196,24 +208,71 @@ class CubeReader(DataSourceReader):
     def read(self, partition: Tile) -> Iterator[pa.RecordBatch]:
         if not partition.tiles:
             return
+        if isinstance(self.header, vrt.Vrt):
+            for tile_row, tile_col in partition.tiles:
+                yield from self._tile(None, tile_row, tile_col)
+            return
         with open_file(self.header.data if isinstance(self.header, Envi) else self.path) as file:
             for tile_row, tile_col in partition.tiles:
                 yield from self._tile(file, tile_row, tile_col)
 
     def _tile(self, file, tile_row: int, tile_col: int) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+        for cube, top, left in self._arrays(file, tile_row, tile_col):
+            yield from self._emitted(cube, top, left, len(cube))
+
+    def _arrays(self, file, tile_row: int, tile_col: int) -> Iterator[tuple[np.ndarray, int, int]]:  # noqa: ANN001
+        """(rows, columns, chosen bands) of a tile as the file has them, whole or some lines at a time, and where they begin."""
         r = self.raster
         top, left = tile_row * r.block_height, tile_col * r.block_width
         rows = r.block_height if r.tiled else min(r.block_height, r.height - top)
-        if not isinstance(self.header, Envi) and tiff.in_pieces(r, STRIP_BYTES):
+        if isinstance(self.header, Envi):
+            yield self._raw(file, tile_row, rows), top, left
+        elif isinstance(self.header, vrt.Vrt):
+            yield self._pasted(top, left), top, left
+        elif tiff.in_pieces(r, STRIP_BYTES):
             last = _picked(self.window[1], self.window[3], self.shape[1], top, top + rows)[1]
             for piece in self._pieces(file, tile_row, rows):
-                yield from self._emitted(piece, top, left, len(piece))
+                yield piece, top, left
                 top += len(piece)
                 if not len(last) or top > last[-1]:
                     return
-            return
-        cube = self._raw(file, tile_row, rows) if isinstance(self.header, Envi) else self._blocks(file, tile_row, tile_col, rows)
-        yield from self._emitted(cube, top, left, rows)
+        else:
+            yield self._blocks(file, tile_row, tile_col, rows), top, left
+
+    def window_array(self) -> np.ndarray:
+        """The window as (rows, columns, bands), as the file has it; for windows of a block's size."""
+        r, (c, w0, w, h) = self.raster, self.window
+        out = np.zeros((h, w, len(self.bands)), r.dtype)
+        with contextlib.ExitStack() as stack:
+            name = self.header.data if isinstance(self.header, Envi) else self.path
+            file = None if isinstance(self.header, vrt.Vrt) else stack.enter_context(open_file(name))
+            for i in range(w0 // r.block_height, -(-(w0 + h) // r.block_height)):
+                for j in range(c // r.block_width, -(-(c + w) // r.block_width)):
+                    for cube, top, left in self._arrays(file, i, j):
+                        y0, y1 = max(top, w0), min(top + cube.shape[0], w0 + h)
+                        x0, x1 = max(left, c), min(left + cube.shape[1], c + w)
+                        if y0 < y1 and x0 < x1:
+                            out[y0 - w0 : y1 - w0, x0 - c : x1 - c] = cube[y0 - top : y1 - top, x0 - left : x1 - left]
+        return out
+
+    def _pasted(self, top: int, left: int) -> np.ndarray:
+        """A block of a virtual raster from the windows of its sources."""
+        r = self.raster
+        height, width = min(r.block_height, r.height - top), min(r.block_width, r.width - left)
+        out = np.full((height, width, len(self.bands)), 0 if r.nodata is None else r.nodata).astype(r.dtype)
+        for k, band in enumerate(self.bands):
+            for source, window, x, y in self.header.pieces(band, left, top, width, height):
+                part = CubeReader({"path": source.path, "bands": str(source.band), "window": ",".join(map(str, window))}, self._known(source.path)).window_array()[:, :, 0]
+                here = out[y : y + window[3], x : x + window[2], k]
+                data = np.ones(part.shape, bool) if source.nodata is None else ~np.isnan(part) if source.nodata != source.nodata else part != source.nodata
+                here[data] = part[data].astype(r.dtype)
+        return out
+
+    def _known(self, path: str) -> tiff.Raster | Envi | vrt.Vrt:
+        """Headers of sources, read once by a task."""
+        if path not in self.headers:
+            self.headers[path] = header(path)
+        return self.headers[path]
 
     def _pieces(self, file, tile_row: int, rows: int) -> Iterator[np.ndarray]:  # noqa: ANN001
         """The chosen bands of a compressed strip, some lines at a time."""
@@ -345,8 +404,7 @@ def read(
     out_shape: tuple[int, int] | None = None,
 ) -> DataFrame:
     """A cube of a raster file; ``max_bytes`` refuses what a single-process consumer could not hold."""
-    r = header(path)
-    r = r.raster if isinstance(r, Envi) else r
+    r = plain_header(path)
     chosen = parse_bands(None if bands is None else ",".join(map(str, bands)), r.count)
     c, w0, w, h = parse_window(None if window is None else ",".join(map(str, window)), r)
     if max_bytes is not None and (need := estimate(r, *(out_shape or (w, h)), len(chosen), masked)) > max_bytes:
