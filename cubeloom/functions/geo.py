@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import projections
+
 #: WGS 84 and UTM, fixed values.
 SEMI_MAJOR, FLATTENING, SCALE, FALSE_EASTING, FALSE_NORTHING = 6378137.0, 1 / 298.257223563, 0.9996, 500_000.0, 10_000_000.0
 LATITUDES = (-80.0, 84.0)
@@ -98,12 +100,12 @@ def utm_inverse(east: Column, north: Column, epsg: int) -> tuple[Column, Column]
 
 
 def to_degrees(x: Column, y: Column, epsg: int) -> tuple[Column, Column]:
-    """Longitude and latitude of map coordinates in degrees, Web Mercator or UTM."""
+    """Longitude and latitude of map coordinates in degrees, Web Mercator or a projection of :mod:`.projections`."""
     if epsg == 4326:
         return x, y
     if epsg == WEB_MERCATOR:
         return F.degrees(x / SEMI_MAJOR), F.degrees(F.atan(F.sinh(y / SEMI_MAJOR)))
-    return utm_inverse(x, y, epsg)
+    return utm_inverse(x, y, epsg) if epsg // 100 in (326, 327) else _projection(epsg).inverse(x, y, F)
 
 
 def from_degrees(lon: Column, lat: Column, epsg: int) -> tuple[Column, Column]:
@@ -112,7 +114,14 @@ def from_degrees(lon: Column, lat: Column, epsg: int) -> tuple[Column, Column]:
         return lon, lat
     if epsg == WEB_MERCATOR:
         return SEMI_MAJOR * F.radians(lon), SEMI_MAJOR * F.asinh(F.tan(F.radians(lat)))
-    return utm_forward(lon, lat, epsg)
+    return utm_forward(lon, lat, epsg) if epsg // 100 in (326, 327) else _projection(epsg).forward(lon, lat, F)
+
+
+def _projection(epsg: int) -> projections.Projection:
+    found = projections.of(epsg)
+    if found is None:
+        raise ValueError(f"EPSG:{epsg} is not projected here")
+    return found
 
 
 def affine(transform: Sequence[float], col: Column, row: Column) -> tuple[Column, Column]:

@@ -7,7 +7,7 @@ import re
 from dataclasses import dataclass
 
 from ..errors import ReprojectionError, UnsupportedError
-from ..functions import geo
+from ..functions import geo, projections
 
 EDGE_POINTS = 21
 #: Zones that a scene may span for an automatic choice.
@@ -24,18 +24,19 @@ class Grid:
 
 
 def parse_crs(spec: str) -> int:
-    """An EPSG code that this engine projects: WGS 84 degrees, Web Mercator, or a UTM zone."""
+    """An EPSG code that this engine projects: WGS 84 degrees, Web Mercator, or one of :mod:`..functions.projections`."""
     m = re.fullmatch(r"(?:epsg:)?(\d+)", spec.strip(), re.I)
     code = int(m[1]) if m else 0
     if not supported(code):
         raise UnsupportedError(
-            f"the projection {spec} is not supported", hint="EPSG:4326, EPSG:3857 and the UTM zones EPSG:32601-32660 and EPSG:32701-32760 are",
+            f"the projection {spec} is not supported",
+            hint="EPSG:4326, EPSG:3857, UTM zones of WGS 84, ETRS89, NAD83, GDA94 and GDA2020, and some conic and polar projections are",
         )
     return code
 
 
 def supported(epsg: int | None) -> bool:
-    return epsg in (4326, geo.WEB_MERCATOR) or (epsg is not None and epsg // 100 in (326, 327) and 1 <= epsg % 100 <= 60)
+    return epsg is not None and (epsg in (4326, geo.WEB_MERCATOR) or projections.of(epsg) is not None)
 
 
 def utm_epsg(lon: float, lat: float) -> int:
@@ -56,6 +57,8 @@ def to_degrees(epsg: int, x: float, y: float) -> tuple[float, float]:
         return x, y
     if epsg == geo.WEB_MERCATOR:
         return math.degrees(x / geo.SEMI_MAJOR), math.degrees(math.atan(math.sinh(y / geo.SEMI_MAJOR)))
+    if epsg // 100 not in (326, 327):
+        return projections.of(epsg).inverse(x, y, math)
     xi, eta = _series(
         geo.INVERSE, (y - (0 if epsg // 100 == 326 else geo.FALSE_NORTHING)) / (geo.SCALE * geo.RADIUS),
         (x - geo.FALSE_EASTING) / (geo.SCALE * geo.RADIUS), -1,
@@ -70,6 +73,8 @@ def from_degrees(epsg: int, lon: float, lat: float) -> tuple[float, float]:
         return lon, lat
     if epsg == geo.WEB_MERCATOR:
         return geo.SEMI_MAJOR * math.radians(lon), geo.SEMI_MAJOR * math.asinh(math.tan(math.radians(lat)))
+    if epsg // 100 not in (326, 327):
+        return projections.of(epsg).forward(lon, lat, math)
     s, lam = math.sin(math.radians(lat)), math.radians(lon - geo.central_meridian(epsg))
     t = math.sinh(math.atanh(s) - geo.ECCENTRICITY * math.atanh(geo.ECCENTRICITY * s))
     xi, eta = _series(geo.FORWARD, math.atan2(t, math.cos(lam)), math.atanh(math.sin(lam) / math.hypot(1, t)), 1)

@@ -25,7 +25,8 @@ def make(spark, tmp_path):
 
 
 @pytest.mark.parametrize(("place", "epsg", "target", "error", "code"), [
-    (PLACE, 2056, "auto", errors.UnsupportedError, 9), (PLACE, 25832, "auto", errors.UnsupportedError, 9), (PLACE, 28355, "auto", errors.UnsupportedError, 9),
+    (PLACE, 2056, "auto", errors.UnsupportedError, 9), (PLACE, 31467, "auto", errors.UnsupportedError, 9), (PLACE, 28359, "auto", errors.UnsupportedError, 9),
+    (PLACE, 28355, "auto", errors.ReprojectionError, 6),
     ((1.0, 0.0, 0.0, 0.0, 1.0, 0.0), None, "auto", errors.ReprojectionError, 6), (PLACE, 32633, "EPSG:32634", errors.ReprojectionError, 6),
     ((30.0, 0.0, 900000.0, 0.0, -30.0, 1000.0), 32633, "auto", errors.ReprojectionError, 6),
 ])
