@@ -30,7 +30,8 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +44,13 @@ from . import common
 from .token_output import _ALPHABET, _BYTE_LEVEL, _MAYBE_SPACE
 
 #: Bytes of text whose segments are numbered together.
-SLICE = 12 << 20
+SLICE = 16 << 20
+#: Numbers of segments whose pairs are sorted together.
+CODES_AT_ONCE = 500_000
 #: Distinct segments that are tokenised at a time, and bytes of them.
 SEGMENTS_AT_ONCE = 4096
 SEGMENT_BYTES = 1 << 20
-SLICED = "slice long, doc_id long, codes binary, code int, segment string"
+SLICED = "slice long, data binary, code int, segment string"
 ALIGNED = "segment string, ok boolean, n_a long, n_b long, n_groups long, pairs array<long>, groups string"
 DOCUMENTS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 #: How sentencepiece writes a space.
@@ -161,7 +164,8 @@ def segments(texts: pa.Array, cut: bool = True) -> tuple[np.ndarray, np.ndarray,
     n_chunks = np.asarray(pc.list_value_length(lists)).astype(np.int64)
     first = np.cumsum(n_chunks) - n_chunks
     table = lists.flatten().dictionary_encode()
-    codes, words = np.array(table.indices), table.dictionary
+    del lists
+    codes, words = np.asarray(table.indices), table.dictionary
     # a segment begins after a chunk that is not empty and does not end in white space
     last = pc.utf8_slice_codeunits(words, -1).dictionary_encode()
     closing = np.array([bool(c) and not c.isspace() and c not in _MAYBE_SPACE for c in last.dictionary.to_pylist()], bool)
@@ -169,61 +173,112 @@ def segments(texts: pa.Array, cut: bool = True) -> tuple[np.ndarray, np.ndarray,
     begins = np.ones(len(codes), bool)
     begins[1:] = closed[:-1]
     begins[first] = True
-    start = np.flatnonzero(begins)
-    length = np.diff(np.append(start, len(codes)))
+    start = np.flatnonzero(begins).astype(np.int32)
     number, known = codes[start], words.to_pylist()
     joined: dict[str, int] = {}
-    for i in np.flatnonzero(length > 1).tolist():
-        text = " ".join([known[c] for c in codes[start[i] : start[i] + length[i]].tolist()])
+    ends = np.append(start[1:], np.int32(len(codes)))
+    for i in np.flatnonzero(ends - start > 1).tolist():
+        text = " ".join([known[c] for c in codes[start[i] : ends[i]].tolist()])
         number[i] = len(words) + joined.setdefault(text, len(joined))
+    del start, ends
     each = np.add.reduceat(begins, first).astype(np.int64) if len(first) else np.zeros(0, np.int64)
     empty = np.asarray(pc.equal(pc.binary_length(texts), 0)).astype(bool)
     number = number[~np.repeat(empty, each)]
     each[empty] = 0
-    used, number = np.unique(number, return_inverse=True)
-    said = [*known, *joined]
-    return number, each, [said[i] for i in used.tolist()]
+    # numbers that are used, in order, without gaps
+    used = np.bincount(number, minlength=len(known) + len(joined)) > 0
+    said = [x for x, there in zip((*known, *joined), used.tolist(), strict=True) if there]
+    return (np.cumsum(used, dtype=np.int32) - 1)[number], each, said
+
+
+# -- what travels by slice --------------------------------------------------------------------
+
+
+def _packed(n: int, *parts: np.ndarray | bytes) -> bytes:
+    """Some columns of ``n`` rows in few bytes."""
+    raw = b"".join(x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes() for x in parts)
+    return struct.pack("<IQ", n, len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+class _Unpacked:
+    """Reads back what :func:`_packed` wrote, column by column."""
+
+    def __init__(self, data: bytes):
+        self.n, size = struct.unpack_from("<IQ", data)
+        self.raw, self.at = pa.decompress(data[12:], decompressed_size=size, codec="zstd", asbytes=True), 0
+
+    def take(self, kind: str, n: int | None = None) -> np.ndarray:
+        out = np.frombuffer(self.raw, kind, self.n if n is None else n, self.at)
+        self.at += out.nbytes
+        return out
+
+    def rest(self) -> bytes:
+        return self.raw[self.at :]
 
 
 def sliced(docs: DataFrame, cut: bool = True, size: int = SLICE) -> DataFrame:
-    """Rows of ``SLICED``: a row for each document with its segments' numbers, and one for each number."""
+    """Rows of ``SLICED``: one for each slice with its documents' segments in numbers, and one for each number."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts = common.as_strings(batch.column("text"))
+            texts, ids = common.as_strings(batch.column("text")), batch.column("doc_id").cast(pa.int64())
             for lo, hi in common.slices(texts, size):
                 numbers, each, said = segments(texts.slice(lo, hi - lo), cut)
-                ends = np.concatenate([[0], np.cumsum(each)]) * 4
-                codes = pa.Array.from_buffers(pa.binary(), len(each), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(numbers.astype("<i4"))])
-                for rows in (
-                    {"doc_id": batch.column("doc_id").cast(pa.int64()).slice(lo, hi - lo), "codes": codes},
-                    {"code": pa.array(range(len(said)), pa.int32()), "segment": pa.array(said, pa.string())},
-                ):
-                    m = len(next(iter(rows.values())))
-                    kinds = {"slice": pa.int64(), "doc_id": pa.int64(), "codes": pa.binary(), "code": pa.int32(), "segment": pa.string()}
+                mine = ids.slice(lo, hi - lo)
+                data = _packed(hi - lo, np.asarray(mine.fill_null(0)), np.asarray(mine.is_null()).astype("u1"), each.astype("<i8"), numbers.astype("<i4"))
+                kinds = {"slice": pa.int64(), "data": pa.binary(), "code": pa.int32(), "segment": pa.string()}
+                for m, rows in ((1, {"data": pa.array([data], pa.binary())}), (len(said), {"code": pa.array(range(len(said)), pa.int32()), "segment": pa.array(said, pa.string())})):
                     rows["slice"] = pa.array(np.full(m, n), pa.int64())
                     yield pa.RecordBatch.from_arrays([rows.get(k, pa.nulls(m, t)) for k, t in kinds.items()], names=list(kinds))
                 n += 1
+                del numbers, data, said, rows
+                pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(task, SLICED)
 
 
-# -- composition in a slice -------------------------------------------------------------------
+def packed(rows: DataFrame, pack: Callable[[pa.Table], bytes]) -> DataFrame:
+    """slice, data: rows that go to a slice, as many together as a batch of a partition has."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = np.asarray(batch.column("slice"))
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)] if len(of) else [0]
+            data = [pack(pa.Table.from_batches([batch.slice(lo, hi - lo)]).combine_chunks()) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(of[cuts[:-1]] if len(of) else [], pa.int64()), pa.array(data, pa.binary())], names=["slice", "data"])
+
+    return rows.sortWithinPartitions("slice").mapInArrow(task, "slice long, data binary")
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    column = table[name].combine_chunks()
+    return pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+
 
+def _pack_links(rows: pa.Table) -> bytes:
+    lists = _column(rows, "pairs")
+    return _packed(rows.num_rows, np.asarray(rows["code"]), np.asarray(rows["ok"]).astype("u1"), np.asarray(pc.list_value_length(lists)).astype("<i8"), np.asarray(lists.flatten()))
+
+
+def _pack_groups(rows: pa.Table) -> bytes:
+    numbers = np.stack([np.asarray(rows[c]).astype("<i8") for c in SUMS], axis=1)
+    return _packed(rows.num_rows, np.asarray(rows["code"]), np.asarray(rows["ok"]).astype("u1"), numbers, "\n".join(rows["groups"].to_pylist()).encode())
+
+
+# -- composition in a slice -------------------------------------------------------------------
 
-def _numbers(docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(segments of all documents in a row, first place of each document and behind the last)."""
-    codes = docs["codes"].combine_chunks()
-    codes = pa.concat_arrays(codes.chunks) if isinstance(codes, pa.ChunkedArray) else codes
-    flat = np.concatenate([np.zeros(0, "<i4"), *(np.frombuffer(x.as_buffer(), "<i4") for x in codes)])
-    lengths = np.asarray(pc.binary_length(codes)).astype(np.int64) // 4
-    return flat, np.concatenate([[0], np.cumsum(lengths)])
+#: What adds up over a document's segments.
+SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-def _by_number(known: pa.Table) -> pa.Table:
-    """A slice's table with row i for number i."""
-    return known.take(pc.sort_indices(known["code"]))
+def _documents(rows: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(ids, segments of all documents in a row, first place of each document and behind the last) of one slice."""
+    (data,) = rows["data"].to_pylist()
+    source = _Unpacked(data)
+    ids, null, each = source.take("<i8"), source.take("u1"), source.take("<i8")
+    bounds = np.concatenate([[0], np.cumsum(each)])
+    return pa.array(ids, mask=null.astype(bool)), source.take("<i4", int(bounds[-1])), bounds
 
 
 def _whole(ok: np.ndarray, flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -234,40 +289,49 @@ def _whole(ok: np.ndarray, flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _holding(docs: pa.Table, known: pa.Table) -> pa.Table:
     """How many documents of a slice hold each pair of ids linked."""
-    nothing = pa.table({"pair": pa.array([], pa.int64()), "docs": pa.array([], pa.int64())})
-    if not docs.num_rows or not known.num_rows:
-        return nothing
-    known = _by_number(known)
-    flat, bounds = _numbers(docs)
-    good = _whole(np.asarray(known["ok"].combine_chunks()).astype(bool), flat, bounds)
-    doc = np.repeat(np.arange(docs.num_rows), np.diff(bounds))
-    held = np.unique((doc * known.num_rows + flat)[good[doc]])
-    doc, number = held // known.num_rows, held % known.num_rows
-    lists = known["pairs"].combine_chunks()
-    many = np.asarray(pc.list_value_length(lists)).astype(np.int64)
-    pairs, place = np.unique(np.asarray(lists.flatten()), return_inverse=True)
-    first = np.cumsum(many) - many
-    if not len(pairs):
-        return nothing
-    each = np.unique(np.repeat(doc, many[number]) * len(pairs) + place[common.ranges(first[number], many[number])])
-    return pa.table({"pair": pa.array(pairs), "docs": pa.array(np.bincount(each % len(pairs), minlength=len(pairs)))})
+    parts = []
+    for data in known["data"].to_pylist():
+        source = _Unpacked(data)
+        code, ok, many = source.take("<i4"), source.take("u1"), source.take("<i8")
+        parts.append((code, ok, many, source.take("<i8", int(many.sum()))))
+    if not parts:
+        return pa.table({"pair": pa.array([], pa.int64()), "docs": pa.array([], pa.int64())})
+    code, ok, many, pairs = (np.concatenate(x) for x in zip(*parts, strict=True))
+    pairs, place = np.unique(pairs, return_inverse=True)
+    order = np.argsort(code)  # every number has one row
+    ok, first, many = ok[order].astype(bool), (np.cumsum(many) - many)[order], many[order]
+    _, flat, bounds = _documents(docs)
+    good, counts = _whole(ok, flat, bounds), np.zeros(len(pairs), np.int64)
+    # some documents at a time, for what is sorted
+    steps = np.unique(np.searchsorted(bounds, np.arange(0, len(flat) + CODES_AT_ONCE, CODES_AT_ONCE)).clip(0, len(bounds) - 1)).tolist()
+    for lo, hi in zip([0, *steps], [*steps, len(bounds) - 1], strict=True):
+        doc = np.repeat(np.arange(lo, hi), np.diff(bounds[lo : hi + 1]))
+        held = np.unique((doc * len(ok) + flat[bounds[lo] : bounds[hi]])[good[doc]])
+        doc, number = held // len(ok), held % len(ok)
+        linked = np.unique(np.repeat(doc, many[number]) * len(pairs) + place[common.ranges(first[number], many[number])])
+        counts += np.bincount(linked % max(1, len(pairs)), minlength=len(pairs))
+    return pa.table({"pair": pa.array(pairs), "docs": pa.array(counts)})
 
 
 def _composed(docs: pa.Table, known: pa.Table) -> pa.Table:
     """Documents of a slice from their segments' groups and sums."""
-    names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-    n = docs.num_rows
-    known = _by_number(known)
-    flat, bounds = _numbers(docs) if n else (np.zeros(0, np.int32), np.zeros(1, np.int64))
-    ok = np.asarray(known["ok"].combine_chunks()).astype(bool) if known.num_rows else np.zeros(0, bool)
-    good = _whole(ok, flat, bounds)
-    columns = {"doc_id": docs["doc_id"]}
-    for name in names:
-        of = np.asarray(known[name].combine_chunks()).astype(np.int64) if known.num_rows else np.zeros(0, np.int64)
-        sums = np.concatenate([[0], np.cumsum(of[flat])])
+    ids, flat, bounds = _documents(docs)
+    codes, oks, numbers, said = [np.zeros(0, np.int32)], [np.zeros(0, "u1")], [np.zeros((0, len(SUMS)), np.int64)], []
+    for data in known["data"].to_pylist():
+        source = _Unpacked(data)
+        codes.append(source.take("<i4"))
+        oks.append(source.take("u1"))
+        numbers.append(source.take("<i8", source.n * len(SUMS)).reshape(source.n, -1))
+        said += source.rest().decode().split("\n")
+    order = np.argsort(np.concatenate(codes))
+    number, groups = np.concatenate(numbers)[order], [said[i] for i in order.tolist()]
+    good = _whole(np.concatenate(oks)[order].astype(bool), flat, bounds)
+    columns = {"doc_id": ids}
+    for k, name in enumerate(SUMS):
+        sums = np.concatenate([[0], np.cumsum(number[:, k][flat])])
         columns[name] = pa.array(np.where(good, np.diff(sums[bounds]), 0))
-    groups, at, flat = known["groups"].to_pylist(), bounds.tolist(), flat.tolist()
-    columns["groups"] = pa.array([";".join([groups[c] for c in flat[at[i] : at[i + 1]]]) if good[i] else "" for i in range(n)], pa.string())
+    at, flat = bounds.tolist(), flat.tolist()
+    columns["groups"] = pa.array([";".join([groups[c] for c in flat[at[i] : at[i + 1]]]) if good[i] else "" for i in range(len(ids))], pa.string())
     return pa.table(columns)
 
 
@@ -280,11 +344,12 @@ def align(docs: DataFrame, a: str, b: str, size: int = SLICE) -> DataFrame:
     ``a`` is a file of the ``tokenizers`` library, ``b`` a sentencepiece model.
     ``groups`` is the whole alignment: ``a1,a2|b1;a3|b2,b3`` in decimal ids.
     """
-    spark, cut = docs.sparkSession, pair(a, b).cuts()
+    cut = pair(a, b).cuts()
     with common.scratch() as keep:
-        parts = common.settle(sliced(docs, cut, size), "slices")
-        texts = parts.filter(F.col("codes").isNotNull()).select("slice", "doc_id", "codes")
-        numbered = parts.filter(F.col("segment").isNotNull()).select("slice", "code", "segment")
+        kind = F.when(F.col("data").isNotNull(), "texts").otherwise("segments")
+        parts = common.settle(sliced(docs, cut, size).withColumn("kind", kind), "slices", "zstd", "kind")
+        texts = parts.filter("kind = 'texts'").select("slice", "data")
+        numbered = parts.filter("kind = 'segments'").select("slice", "code", "segment")
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -298,29 +363,31 @@ def align(docs: DataFrame, a: str, b: str, size: int = SLICE) -> DataFrame:
         distinct = numbered.select("segment").distinct()
         n_parts = common.partitions_for(docs, common.text_bytes(distinct, "segment"), 1 << 20)
         spread = distinct.repartition(n_parts, F.xxhash64("segment"))
-        segment = common.settle(spread.mapInArrow(task, ALIGNED).select(F.monotonically_increasing_id().alias("id"), "*"), "segments")
-        placed = common.settle(numbered.join(segment.select("segment", "id"), "segment").select("slice", "code", "id"), "placed-segments")
+        segment = common.settle(spread.mapInArrow(task, ALIGNED).select(F.monotonically_increasing_id().alias("id"), "*"), "segments", "zstd")
+        placed = common.settle(numbered.join(segment.select("segment", "id"), "segment").select("slice", "code", "id"), "placed-segments", "zstd")
+        common.discard_part(parts, "kind", "segments")
 
         # documents that hold a pair of ids, in each slice, then in all
-        linked = placed.join(segment.select("id", "ok", "pairs"), "id").select("slice", "code", "ok", "pairs")
+        linked = packed(placed.join(segment.select("id", "ok", "pairs"), "id").select("slice", "code", "ok", "pairs"), _pack_links)
         by_slice = texts.groupBy("slice").cogroup(linked.groupBy("slice"))
-        counts = by_slice.applyInArrow(_holding, "pair long, docs long").groupBy("pair").agg(F.sum("docs").alias("docs"))
+        counts = by_slice.applyInArrow(_holding, "pair long, docs long").groupBy("pair").agg(F.sum("docs").alias("docs")).filter("docs > 0")
         counts = common.settle(counts, "pair-counts")
         # a partition by an id of A has a row for each id of B at most
         of_a = W.partitionBy(F.shiftright("pair", 32))
         best = counts.withColumn("best", (F.col("docs") == F.max("docs").over(of_a)).cast("long"))
 
         links = segment.filter("ok").select("id", F.explode("pairs").alias("pair"))
-        times = links.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).join(best, "pair")
-        times = common.settle(times, "link-counts")
+        times = common.settle(links.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).join(best, "pair"), "link-counts")
         n_links = times.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
         # a segment that only documents without tokens hold may have pairs that nobody counted
         weights = common.join_counted(links, times, "pair", n_links).groupBy("id").agg(F.sum("docs").alias("count_sum"), F.sum("best").alias("n_best"))
-        weighted = segment.select("id", "ok", "n_a", "n_b", "n_groups", F.size("pairs").cast("long").alias("n_links"), "groups").join(weights, "id", "left")
-        weighted = weighted.na.fill(0, ["count_sum", "n_best"])
-        whole = placed.join(weighted, "id").drop("id")
+        weights = common.settle(weights, "segment-sums", "zstd")
+        slim = segment.select("id", "ok", "n_a", "n_b", "n_groups", F.size("pairs").cast("long").alias("n_links"), "groups")
+        weighted = common.settle(slim.join(weights, "id", "left").na.fill(0, ["count_sum", "n_best"]), "weighted-segments", "zstd")
+        common.discard(segment, weights)
+        whole = packed(placed.join(weighted, "id").select("slice", "code", "ok", *SUMS, "groups"), _pack_groups)
         found = texts.groupBy("slice").cogroup(whole.groupBy("slice")).applyInArrow(_composed, DOCUMENTS)
-        keep += [parts, placed, segment, times]
+        keep += [parts, placed, weighted]
     return found
 
 

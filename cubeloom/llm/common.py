@@ -26,21 +26,28 @@ PARTITION_BYTES = 24 << 20
 #: Keys that a join may broadcast because each has more than its share of all rows.
 HOT_KEYS = 10_000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Files that a task keeps open, so that rows of different folders need not be sorted first.
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
-def settle(df: DataFrame, tag: str) -> DataFrame:
+def settle(df: DataFrame, tag: str, compression: str | None = None, apart: str | None = None) -> DataFrame:
     """Write ``df`` to shared storage and read it again: lineage ends there.
 
+    Rows that differ in the column ``apart`` lie in folders of their own, which
+    :func:`discard_part` can delete.
+
     Shuffle files of the work behind it are of no more use, and are given up.
     """
     spark = df.sparkSession
     path = shared_dir(spark, tag)
-    before = spark.conf.get(_CLEANUP, "false")
+    before = {k: spark.conf.get(k, v) for k, v in ((_CLEANUP, "false"), (_WRITERS, "0"))}
     spark.conf.set(_CLEANUP, "true")
+    spark.conf.set(_WRITERS, "4" if apart else before[_WRITERS])
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression, partitionBy=apart)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
     if _OPEN:
@@ -74,13 +81,24 @@ def discard(*settled: DataFrame) -> None:
         delete(df.sparkSession, df._settled_at)
 
 
+def discard_part(settled: DataFrame, apart: str, value: str) -> None:
+    """Delete the rows of ``settled`` with one value of the column that it was settled by; nothing may read them any more."""
+    delete(settled.sparkSession, f"{settled._settled_at}/{apart}={value}")
+
+
 def put(folder: str, name: str, data: bytes | pa.Buffer) -> None:
-    """A file in shared storage; it has its name only once it is whole."""
+    """A file in shared storage; it has its name only once it is whole.
+
+    A task that runs again replaces what its first attempt left under the name;
+    not every store renames onto a file that exists.
+    """
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
     draft = f"{path}/.{name}.{uuid.uuid4().hex}"
     with store.open_output_stream(draft, compression=None) as out:
         out.write(data)
+    if store.get_file_info(f"{path}/{name}").type != fs.FileType.NotFound:
+        store.delete_file(f"{path}/{name}")
     store.move(draft, f"{path}/{name}")
 
 
