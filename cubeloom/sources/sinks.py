@@ -22,42 +22,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import OutputPathError, RasterWriteError, json_safe
-from . import tiff, writer
+from . import places, tiff, writer
 
 
 @contextlib.contextmanager
 def replacing(path: str | Path, overwrite: bool = False) -> Iterator[Path]:
-    """A new sibling that takes the place of ``path`` if all goes well, and is gone if not."""
-    path = Path(path)
+    """A new file that takes the place of ``path`` if all goes well, and is gone if not: a sibling, or one that is sent where ``path`` is."""
     check_target(path, overwrite)
-    handle, name = tempfile.mkstemp(dir=path.parent, prefix=f".{path.name}.")
+    target = places.place(path)
+    beside = None if isinstance(target, places.Uri) else target.parent
+    handle, name = tempfile.mkstemp(dir=beside, prefix=f".{target.name}.")
     os.close(handle)
     try:
         yield Path(name)
-        os.replace(name, path)
+        if isinstance(target, places.Uri):
+            target.write(Path(name).read_bytes())
+        else:
+            os.replace(name, target)
     finally:
         Path(name).unlink(missing_ok=True)
 
 
 def check_target(path: str | Path, overwrite: bool = False) -> None:
-    path = Path(path)
-    if not path.parent.is_dir():
-        raise RasterWriteError(f"{path.parent} is no folder")
-    if path.exists() and not overwrite:
+    target = places.place(path)
+    if isinstance(target, Path) and not target.parent.is_dir():
+        raise RasterWriteError(f"{target.parent} is no folder")
+    if not overwrite and target.exists():
         raise RasterWriteError(f"{path} exists", hint="ask for overwriting")
 
 
-def check_folder(folder: str | Path) -> Path:
-    """Make an output folder, and try to write in it."""
-    folder = Path(folder)
+def check_folder(folder: str | Path) -> Path | places.Uri:
+    """Make an output folder in any store, and try to write in it."""
+    out = places.place(folder)
     try:
-        folder.mkdir(parents=True, exist_ok=True)
-        probe = folder / f".probe-{uuid.uuid4().hex}"
-        probe.write_bytes(b"")
-        probe.unlink()
-    except OSError as e:
+        probe = out / f".probe-{uuid.uuid4().hex}"
+        if isinstance(out, places.Uri):
+            out.make_folder()
+            probe.write(b"")
+            probe.delete()
+        else:
+            out.mkdir(parents=True, exist_ok=True)
+            probe.write_bytes(b"")
+            probe.unlink()
+    except (OSError, ValueError) as e:  # a scheme that no store has is a wrong value
         raise OutputPathError(f"cannot write in {folder}", hint=str(e)) from e
-    return folder
+    return out
 
 
 def write_tiles(cube: DataFrame, path: str, block: int = 256, mode: str = "errorifexists") -> None:
@@ -66,20 +75,17 @@ def write_tiles(cube: DataFrame, path: str, block: int = 256, mode: str = "error
     keyed.repartitionByRange("tile_row", "tile_col").sortWithinPartitions("tile_row", "tile_col", "row", "col").write.mode(mode).parquet(path)
 
 
-def write_geotiff(cube: DataFrame, path: str | Path, raster: tiff.Raster, layout: tiff.Layout | None = None, overwrite: bool = False) -> Path | str:
+def write_geotiff(cube: DataFrame, path: str | Path, raster: tiff.Raster, layout: tiff.Layout | None = None, overwrite: bool = False) -> Path | places.Uri:
     """One GeoTIFF of ``cube``; ``raster`` has size, bands, dtype, NoData, place and tags.
 
     Tasks encode tiles and write them where they belong (:mod:`.writer`); ``path``
     may be a URI of any store that pyarrow knows.
     """
-    remote = writer.local_path(str(path)) is None
-    target = str(path) if remote else str(Path(writer.local_path(str(path))).absolute())
-    if not remote:
-        check_target(target, overwrite)
-    elif writer.exists(target) and not overwrite:
-        raise RasterWriteError(f"{path} exists", hint="ask for overwriting")
-    writer.write_one(cube, cube.sparkSession, target, raster, layout or tiff.Layout())
-    return target if remote else Path(path)
+    target = places.place(path)
+    check_target(path, overwrite)
+    name = str(target) if isinstance(target, places.Uri) else str(target.absolute())
+    writer.write_one(cube, cube.sparkSession, name, raster, layout or tiff.Layout())
+    return target
 
 
 def encode_png(image: np.ndarray) -> bytes:
@@ -97,7 +103,7 @@ def encode_png(image: np.ndarray) -> bytes:
     ) + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
 
 
-def write_png(path: str | Path, image: DataFrame, width: int, height: int, overwrite: bool = False) -> Path:
+def write_png(path: str | Path, image: DataFrame, width: int, height: int, overwrite: bool = False) -> Path | places.Uri:
     """``image`` (row, col, image ARRAY of 1 or 3), at most a preview's size, as PNG."""
     table = image.select("row", "col", "image").toArrow()  # bounded by the preview's longest side
     rows, cols = (np.asarray(table.column(k).combine_chunks()) for k in ("row", "col"))
@@ -106,19 +112,19 @@ def write_png(path: str | Path, image: DataFrame, width: int, height: int, overw
     out[rows, cols] = values
     with replacing(path, overwrite) as new:
         new.write_bytes(encode_png(out[:, :, 0] if out.shape[2] == 1 else out))
-    return Path(path)
+    return places.place(path)
 
 
-def write_json(path: str | Path, payload: dict[str, Any], overwrite: bool = False) -> Path:
+def write_json(path: str | Path, payload: dict[str, Any], overwrite: bool = False) -> Path | places.Uri:
     with replacing(path, overwrite) as new:
         new.write_text(json.dumps(json_safe(payload), indent=2) + "\n")
-    return Path(path)
+    return places.place(path)
 
 
-def write_profile_csv(path: str | Path, rows: list[tuple[int, float | None, float | None]], overwrite: bool = False) -> Path:
+def write_profile_csv(path: str | Path, rows: list[tuple[int, float | None, float | None]], overwrite: bool = False) -> Path | places.Uri:
     """band_index, wavelength_nm, value; blank where there is none."""
     lines = ["band_index,wavelength_nm,value"]
     lines += [f"{b},{'' if w is None else format(w, 'g')},{'' if v is None else format(v, '.8g')}" for b, w, v in rows]
     with replacing(path, overwrite) as new:
         new.write_text("\n".join(lines) + "\n")
-    return Path(path)
+    return places.place(path)

@@ -19,7 +19,6 @@ from __future__ import annotations
 import json
 import os
 import posixpath
-import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -34,7 +33,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 from ..errors import RasterWriteError
 from ..shared import delete, shared_dir
-from . import tiff
+from . import places, tiff
 
 #: Blocks on their way: a plane (band, 0-based) of a tile of a raster.
 BLOCKS = "raster_id string, band int, tile_row int, tile_col int, payload binary"
@@ -142,19 +141,6 @@ def stage(blocks: DataFrame, folder: str) -> DataFrame:
 RASTERS = "raster_id string, path string, width int, height int, transform array<double>, epsg int"
 
 
-def local_path(path: str) -> str | None:
-    """The path in the file system that tasks have mounted, if that is what ``path`` means."""
-    if re.match(r"file:", path):
-        return "/" + re.sub(r"^file:/+", "", path)
-    return None if re.match(r"[a-z][a-z0-9+.-]+:", path) else path
-
-
-def exists(uri: str) -> bool:
-    """Whether a store has a file of that name."""
-    store, at = fs.FileSystem.from_uri(uri)
-    return store.get_file_info(at).type != fs.FileType.NotFound
-
-
 def _header(rows: pa.Table, of: tiff.Raster, layout: tiff.Layout) -> tuple[tiff.Raster, int]:
     """(header of one raster with the places of its blocks, where they end); a raster without blocks has one row without a part."""
     first = {c: rows[c][0].as_py() for c in ("width", "height", "transform", "epsg")}
@@ -206,7 +192,7 @@ def place(index: DataFrame, rasters: DataFrame, folder: str, of: tiff.Raster, la
     number = F.col("band") * across * down + F.col("tile_row") * across + F.col("tile_col")
     before = W.partitionBy("raster_id").orderBy("number").rowsBetween(W.unboundedPreceding, -1)  # a file's directory has a row for each, too
     placed = every.withColumn("number", number).withColumn("at", F.lit(HEAD) + F.coalesce(F.sum("size").over(before), F.lit(0)))
-    local = all(local_path(r["path"]) is not None for r in rasters.select("path").limit(1).collect())
+    local = all(places.local_path(r["path"]) is not None for r in rasters.select("path").limit(1).collect())
     token = uuid.uuid4().hex
 
     def draft(path: str) -> str:
@@ -217,7 +203,7 @@ def place(index: DataFrame, rasters: DataFrame, folder: str, of: tiff.Raster, la
         return pa.table({k: v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v for k, v in columns.items()})
 
     def span(rows: pa.Table) -> pa.Table:
-        handle = os.open(draft(local_path(rows["path"][0].as_py())), os.O_WRONLY | os.O_CREAT, 0o644)
+        handle = os.open(draft(places.local_path(rows["path"][0].as_py())), os.O_WRONLY | os.O_CREAT, 0o644)
         written = 0
         try:
             for at, data in _copy(folder, rows):
@@ -229,7 +215,7 @@ def place(index: DataFrame, rasters: DataFrame, folder: str, of: tiff.Raster, la
         return one(rows, written)
 
     def finish(rows: pa.Table) -> pa.Table:
-        path = local_path(rows["path"][0].as_py())
+        path = places.local_path(rows["path"][0].as_py())
         r, end = _header(rows, of, layout)
         head, tail = tiff.directory_bytes(r, layout, end > CLASSIC_BYTES, end)
         name, empty = draft(path), end == HEAD
@@ -280,7 +266,7 @@ def _sweep(rasters: DataFrame, draft) -> None:  # noqa: ANN001
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                store, at = (fs.LocalFileSystem(), local_path(path)) if local_path(path) else fs.FileSystem.from_uri(path)
+                store, at = (fs.LocalFileSystem(), places.local_path(path)) if places.local_path(path) else fs.FileSystem.from_uri(path)
                 if store.get_file_info(draft(at)).type != fs.FileType.NotFound:
                     store.delete_file(draft(at))
             yield batch

@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from cubeloom import errors
-from cubeloom.sources import catalog, collection, raster, sinks, tiff, writer
+from cubeloom.sources import catalog, collection, places, raster, sinks, tiff, writer
 
 PLACE = (30.0, 0.0, 500000.0, 0.0, -30.0, 5000000.0)
 
@@ -62,12 +62,12 @@ def test_other_stores_get_the_same_bytes_as_a_stream(spark, tmp_path, monkeypatc
     a = np.random.default_rng(2).integers(1, 900, (2, 20, 33)).astype(float)
     make = lambda: tiff.Raster(width=33, height=20, count=2, dtype="uint16", nodata=0.0)
     layout, path = tiff.Layout(block=16), (tmp_path / "b.tif").as_uri()
-    cube, kept = frame(spark, {"": a}), writer.local_path
+    cube, kept = frame(spark, {"": a}), places.local_path
     rows = [("", path, 33, 20, None, None)]
     folder = (tmp_path / "staged").as_uri()
     every = writer.tiled(cube, 16)
     index = writer.stage(writer.tiles(every, 2, "uint16", 0.0, layout), folder)
-    monkeypatch.setattr(writer, "local_path", lambda p: None if p == path else kept(p))
+    monkeypatch.setattr(places, "local_path", lambda p: None if p == path else kept(p))
     done = writer.place(index, spark.createDataFrame(rows, writer.RASTERS), folder, make(), layout).collect()
     assert (tmp_path / "b.tif").read_bytes() == by_hand(a, make(), layout) and done[0]["bytes"] == (tmp_path / "b.tif").stat().st_size
     # a URI as target, there already
