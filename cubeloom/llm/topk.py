@@ -1,10 +1,10 @@
 """Exact top-k search by a three-phase uniform threshold.
 
 A score is an inner product of integers, the sum of ``LISTS`` local scores over
-equal runs of dimensions.  Phase one gathers local score lists: a query's own
-block of vectors gives, for every run, its best local scores, and only the
-vectors listed there get a total; the (k + 1)-th best of these totals (one more
-for every other vector of one id) is a lower bound t of what the result needs.  Phase two sends each query's cutoff t / LISTS
+equal runs of dimensions.  Phase one gathers local score lists: the
+block of vectors that a query was dealt to gives, for every run, its best local
+scores, and only the vectors listed there get a total; the (k + 1)-th best of these
+totals is a lower bound t of what the result needs.  Phase two sends each query's cutoff t / LISTS
 to all blocks: a vector below it in every run cannot reach t, so what reaches it
 in some run is sufficient.  A block keeps its vectors by length in each run, and
 what is too short to reach a cutoff is never multiplied.  Phase three resolves
@@ -12,9 +12,12 @@ the missing local scores of exactly the sufficient entries, and keeps the best
 totals.
 
 Equal vectors are scored once: they stand for their k + 1 smallest ids, which no
-result can go beyond.  Queries are a stated set, taken in blocks of
-``QUERY_BLOCK`` of which ``AT_ONCE`` are broadcast at a time, whatever the size of
-the tables; blocks of vectors stay where they are.
+result can go beyond.  Queries are a stated set: ids of one vector ask once for
+each distinct vector, ids of several ask for themselves, so that what is their own
+is left out before anything is ranked and k + 1 entries are enough for every query.
+Queries are dealt into blocks of about ``QUERY_BLOCK``, of which ``AT_ONCE`` are
+broadcast at a time, whatever the size of the tables; blocks of vectors stay where
+they are.
 
 Defined results: vectors that are null or hold null or non-finite components
 take no part, nor do null ids; a shorter vector counts as padded with zeros;
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +46,8 @@ SCALE = 64
 QUERY_BLOCK = 2048
 AT_ONCE = 16
 VECTOR_BLOCK = 4096
+#: Queries that a task scores against a block at a time.
+SLICE = 256
 #: Parts that equal vectors are dealt into before the smallest ids of all are found.
 SALTS = 64
 _NONE = np.iinfo(np.int64).min // 2
@@ -64,31 +70,37 @@ def _matrix(lists: list[list[int]]) -> np.ndarray:
     return out
 
 
-BLOCK = "first binary, second binary, data binary, width int"
+BLOCK = "kind string, part long, numbers binary, data binary, width int"
 
 
-def _block(first: np.ndarray, second: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
-    """One row of two numbers for each vector, and the vectors."""
-    columns = [first.astype("<i8").tobytes(), second.astype("<i8").tobytes(), data.astype("<i8").tobytes()]
-    return pa.RecordBatch.from_arrays([*(pa.array([c], pa.binary()) for c in columns), pa.array([data.shape[1]], pa.int32())], names=["first", "second", "data", "width"])
+def _blocks(kind: str, part: np.ndarray, numbers: list[np.ndarray], data: list[np.ndarray]) -> pa.RecordBatch:
+    """A row for each block: some numbers for each vector, and the vectors."""
+    packed = ([x.astype("<i8").tobytes() for x in some] for some in (numbers, data))
+    columns = [pa.array([kind] * len(data)), pa.array(part, pa.int64()), *(pa.array(x, pa.binary()) for x in packed), pa.array([x.shape[1] for x in data], pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "part", "numbers", "data", "width"])
 
 
-def _unblock(first: bytes, second: bytes, data: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    a, b = np.frombuffer(first, "<i8"), np.frombuffer(second, "<i8")
-    return a, b, np.frombuffer(data, "<i8").reshape(len(a), width)
+def _unblock(numbers: bytes, data: bytes, width: int, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    numbers = np.frombuffer(numbers, "<i8").reshape(-1, columns)
+    return numbers, np.frombuffer(data, "<i8").reshape(len(numbers), width)
 
 
-def _whole(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
-    """Tables of ``size`` rows, the last one shorter."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        while sum(map(len, held)) >= size:
-            table = pa.Table.from_batches(held)
-            yield table.slice(0, size)
-            held = table.slice(size).to_batches()
-    if sum(map(len, held)):
-        yield pa.Table.from_batches(held)
+class Ids(NamedTuple):
+    """Ids on both sides: the one that a query asks for, where it asks ``alone``, and the two smallest of each vector."""
+
+    own: np.ndarray
+    alone: np.ndarray
+    least: np.ndarray
+    other: np.ndarray  # the least once more where there is one id
+
+    def barred(self) -> np.ndarray:
+        """Pairs of a query and a vector that only the query's own id has."""
+        return self.alone[:, None] & (self.least == self.other) & (self.own[:, None] == self.least)
+
+    def smallest(self, query: np.ndarray, vector: np.ndarray) -> np.ndarray:
+        """The smallest id of each vector that is not the query's own."""
+        mine = self.alone[query] & (self.own[query] == self.least[vector])
+        return np.where(mine, self.other[vector], self.least[vector])
 
 
 # -- the three phases in blocks ---------------------------------------------------------------
@@ -114,7 +126,7 @@ def _dots(runs: list[tuple[np.ndarray, np.ndarray]], query: np.ndarray, vector:
     return out
 
 
-def lower_bounds(q: np.ndarray, v: np.ndarray, lists: int, n: int) -> np.ndarray:
+def lower_bounds(q: np.ndarray, v: np.ndarray, lists: int, n: int, ids: Ids | None = None) -> np.ndarray:
     """Phase one: the ``n``-th best total among the best ``n`` of every local list, per query."""
     if len(v) < n:
         return np.full(len(q), _NONE)
@@ -123,15 +135,17 @@ def lower_bounds(q: np.ndarray, v: np.ndarray, lists: int, n: int) -> np.ndarray
     listed.sort(axis=1)
     again = np.concatenate([np.zeros((len(q), 1), bool), listed[:, 1:] == listed[:, :-1]], axis=1)
     query = np.repeat(np.arange(len(q)), listed.shape[1])
+    if ids is not None:
+        again |= np.take_along_axis(ids.barred(), listed, axis=1)
     total = np.where(again, _NONE, _dots(runs, query, listed.reshape(-1)).reshape(listed.shape))
     return -np.partition(-total, n - 1, axis=1)[:, n - 1]
 
 
-def reaching(q: np.ndarray, bound: np.ndarray, v: np.ndarray, lists: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def reaching(q: np.ndarray, bound: np.ndarray, v: np.ndarray, lists: int, n: int, ids: Ids | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Phases two and three in one pair of blocks: (query, vector, total) and how many pairs were multiplied.
 
-    At most ``n`` for each query.  Vectors stand in order of id, so that of equal
-    totals the smaller id stays.
+    At most ``n`` for each query; of equal totals the smaller id stays, without ids
+    the earlier vector.
     """
     cutoff = -(-bound // lists)
     runs = _runs(q, v, lists)
@@ -150,6 +164,8 @@ def reaching(q: np.ndarray, bound: np.ndarray, v: np.ndarray, lists: int, n: int
         local.append(score)
         rank.append(place)
         work += len(q) * long / lists
+    if ids is not None:
+        sufficient &= ~ids.barred()
     query, vector = np.nonzero(sufficient)
     total = np.zeros(len(query), np.int64)
     for run, score, place in zip(runs, local, rank, strict=True):
@@ -160,7 +176,7 @@ def reaching(q: np.ndarray, bound: np.ndarray, v: np.ndarray, lists: int, n: int
         work += int((~there).sum()) / lists
     keep = total >= bound[query]
     query, vector, total = query[keep], vector[keep], total[keep]
-    order = np.lexsort((vector, -total, query))
+    order = np.lexsort((vector if ids is None else ids.smallest(query, vector), -total, query))
     query, vector, total = query[order], vector[order], total[order]
     few = np.arange(len(query)) - np.searchsorted(query, query) < n
     return query[few], vector[few], total[few], work
@@ -174,76 +190,94 @@ def search(
 ) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of ``vectors`` (vec_id, v) that ``is_query`` marks."""
     spark = vectors.sparkSession
+    enough = k + 1  # an id of one vector has its own place in what it asks for
     with common.scratch() as keep:
-        rows = common.settle(vectors.select("vec_id", "v", F.coalesce(is_query, F.lit(False)).alias("asks")).distinct(), "vectors")
-        # a query's own id takes no place in its result: once, or as often as it has other vectors
-        own = rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(1)).alias("n")).first()["n"]
-        enough = k + own
+        marked = vectors.select("vec_id", "v", F.coalesce(is_query, F.lit(False)).alias("asks"))
+        rows = common.settle(marked.groupBy("vec_id", "v").agg(F.bool_or("asks").alias("asks")), "vectors")
         # the smallest ids of equal vectors, first within parts of them
         salt = F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).alias("salt")
         in_part = W.partitionBy("v", "salt").orderBy("vec_id")
         few = rows.select("vec_id", "v", salt).withColumn("n", F.row_number().over(in_part)).filter(F.col("n") <= enough)
         members = few.withColumn("n", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).filter(F.col("n") <= enough)
-        asking = rows.groupBy("v").agg(F.count_if("asks").alias("n"))
-        distinct = members.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).join(asking, "v")
-        # a vector's number is written down, so that it is the same in every use
-        distinct = common.settle(distinct.select(F.monotonically_increasing_id().alias("number"), "v", "ids", "n"), "distinct-vectors")
-        n_vectors = distinct.count()
-        parts = max(spark.sparkContext.defaultParallelism, -(-n_vectors // vector_block))
-
-        def vector_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for table in _whole(batches, vector_block):
-                number, least, asks = (np.asarray(table.column(c).combine_chunks()).astype(np.int64) for c in range(3))
-                order = np.lexsort((number, least))
-                # of equal ids the sign tells which vectors ask: no number is negative
-                yield _block(np.where(asks > 0, number, ~number)[order], least[order], _matrix(table.column(3).to_pylist())[order])
-
-        spread = distinct.select("number", F.col("ids")[0].alias("least"), "n", "v").repartition(parts, "number")
-        blocks = common.settle(spread.mapInArrow(vector_blocks, BLOCK), "vector-blocks")
+        distinct = members.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+        # a vector's number is written down, so that it is the same in every use; so is a query's
+        distinct = common.settle(distinct.select(F.monotonically_increasing_id().alias("number"), "v", "ids"), "distinct-vectors")
+        vectors_of = rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"))
+        asking = common.join_counted(rows.filter("asks").select("vec_id", "v"), vectors_of, "vec_id", rows.count())
+        alone = F.col("n") > 1
+        ask = F.struct("v", alone.alias("alone"), F.when(alone, F.col("vec_id")).otherwise(0).alias("own")).alias("ask")
+        asking = common.settle(asking.select(ask, F.col("vec_id").alias("query_id")), "asking")
+        queries = asking.groupBy("ask").agg(F.count(F.lit(1)).alias("n"))
+        queries = common.settle(queries.select(F.monotonically_increasing_id().alias("asker"), "ask", "n"), "queries")
+        n_vectors, n_queries = distinct.count(), queries.count()
+        parts = max(spark.sparkContext.defaultParallelism, -(-max(n_vectors, n_queries) // vector_block))
+        groups, passes = passes_for(n_queries, query_block)
 
         def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    marked, _, v = _unblock(*row)
-                    for lo in range(0, len(own := np.flatnonzero(marked >= 0)), query_block):
-                        some = own[lo : lo + query_block]
-                        yield _block(marked[some], lower_bounds(v[some], v, lists, enough), v[some])
-
-        asked = common.settle(blocks.mapInArrow(gather, BLOCK).select(F.monotonically_increasing_id().alias("block"), "*"), "query-blocks")
+            held = [*batches]  # a part of the deal: a block of vectors and its share of the queries
+            if not held:
+                return
+            table = pa.Table.from_batches(held)
+            part, numbers = np.asarray(table["part"]), np.stack([np.asarray(table[c]) for c in ("number", "first", "second")], axis=1)
+            data = _matrix(table["v"].to_pylist())
+            asks = part >= 0
+            named, v = numbers[~asks], data[~asks]
+            for lo in range(0, len(v), vector_block):
+                yield _blocks("vectors", part[~asks][:1], [named[lo : lo + vector_block]], [v[lo : lo + vector_block]])
+            part, numbers, data = part[asks], numbers[asks], data[asks]
+            for lo in range(0, len(data), SLICE):
+                some = slice(lo, lo + SLICE)
+                bound = lower_bounds(data[some], v, lists, enough, Ids(numbers[some, 1], numbers[some, 2] > 0, named[:, 1], named[:, 2]))
+                found = np.concatenate([numbers[some], bound[:, None]], axis=1)
+                yield _blocks("queries", part[some], [*found[:, None]], [*data[some][:, None]])
+
+        other = F.coalesce(F.try_element_at("ids", F.lit(2)), F.col("ids")[0])
+        dealt = distinct.select(F.lit(-1).cast("long").alias("part"), "number", F.col("ids")[0].alias("first"), other.alias("second"), "v").unionByName(queries.select(
+            F.pmod(F.xxhash64("asker"), F.lit(groups)).alias("part"), F.col("asker").alias("number"), F.col("ask.own").alias("first"), F.col("ask.alone").cast("long").alias("second"), F.col("ask.v").alias("v"),
+        ))
+        gathered = common.settle(dealt.repartition(parts, "number").mapInArrow(gather, BLOCK), "blocks", apart="kind")
+        blocks = gathered.filter("kind = 'vectors'").drop("kind", "part")
+
+        def pack(table: pa.Table) -> pa.Table:
+            single = [_unblock(*row, 4) for row in zip(*(table[c].to_pylist() for c in ("numbers", "data", "width")), strict=True)]
+            numbers, data = np.concatenate([x for x, _ in single]), _matrix([x[0].tolist() for _, x in single])
+            return pa.Table.from_batches([_blocks("queries", np.asarray(table["part"])[:1], [numbers], [data])])
+
+        packed = gathered.filter("kind = 'queries'").groupBy("part").applyInArrow(pack, BLOCK)
+        packed = common.settle(packed.select(
+            F.floor(F.col("part") / AT_ONCE).alias("pass"), *(F.col(c).alias(f"q_{c}") for c in ("numbers", "data", "width")),
+        ), "query-passes")
 
         def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    marked, least, v = _unblock(*row[:4])
-                    asker, bound, q = _unblock(*row[4:])
-                    query, vector, total, _ = reaching(q, bound, v, lists, enough)
-                    number = np.where(marked < 0, ~marked, marked)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(asker[query]), pa.array(number[vector]), pa.array(least[vector]), pa.array(total)],
-                        names=["asker", "number", "least", "score"],
-                    )
+                    numbers, v = _unblock(*row[:3], 3)
+                    asked, q = _unblock(*row[3:], 4)
+                    for lo in range(0, len(q), SLICE):
+                        asker, own, alone, bound = asked[lo : lo + SLICE].T
+                        ids = Ids(own, alone > 0, numbers[:, 1], numbers[:, 2])
+                        query, vector, total, _ = reaching(q[lo : lo + SLICE], bound, v, lists, enough, ids)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(asker[query]), pa.array(own[query], mask=~ids.alone[query]), pa.array(numbers[vector, 0]), pa.array(ids.smallest(query, vector)), pa.array(total)],
+                            names=["asker", "own", "number", "least", "score"],
+                        )
 
         # `AT_ONCE` blocks of queries at a time: a bounded broadcast in every pass, and as many passes as they need
-        ordered = asked.select("block", F.row_number().over(W.orderBy("block")).alias("at"))  # a number for each block
-        numbered = common.settle(asked.join(ordered, "block").select(
-            F.floor((F.col("at") - 1) / AT_ONCE).alias("pass"), *(F.col(c).alias(f"q_{c}") for c in ("first", "second", "data", "width")),
-        ), "query-passes")
-        passes = numbered.agg(F.coalesce(F.max("pass") + 1, F.lit(0)).alias("n")).first()["n"]
         some = [common.settle(
-            blocks.join(F.broadcast(numbered.filter(F.col("pass") == i).drop("pass")), F.lit(True)).mapInArrow(collect, FOUND), "sufficient",
+            blocks.join(F.broadcast(packed.filter(F.col("pass") == i).drop("pass")), F.lit(True)).mapInArrow(collect, FOUND), "sufficient",
         ) for i in range(passes)]
-        keep += [rows, distinct, *some]
-    found = reduce(DataFrame.union, some) if some else spark.createDataFrame([], FOUND)
+        keep += [distinct, asking, queries, *some]
+    found = reduce(DataFrame.union, some)
     best = W.partitionBy("asker").orderBy(F.desc("score"), "least", "number")
-    top = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= enough).select("asker", "number", "score")
-    # from distinct vectors to ids: the best of each distinct query, then without the query itself
+    top = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= enough).select("asker", "own", "number", "score")
+    # from distinct vectors to ids, without the one that asks alone: the best of each query
     by_id = W.partitionBy("asker").orderBy(F.desc("score"), "vec_id")
-    named = top.join(distinct.select("number", "ids"), "number").select("asker", "score", F.explode("ids").alias("vec_id"))
+    named = top.join(distinct.select("number", "ids"), "number").select("asker", "own", "score", F.explode("ids").alias("vec_id"))
+    named = named.filter(F.col("own").isNull() | (F.col("vec_id") != F.col("own")))
     named = named.withColumn("n", F.row_number().over(by_id)).filter(F.col("n") <= enough)
     listed = named.groupBy("asker").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("best"))  # `enough` entries at most
-    answers = distinct.filter("n > 0").select("number", "v", "n").join(listed, F.col("number") == F.col("asker")).select("v", "n", "best")
-    ids = rows.filter("asks").select("v", F.col("vec_id").alias("query_id"))
-    each = common.join_counted(ids, answers, "v", ids.count()).select(
+    answers = queries.join(listed, "asker").select("ask", "n", "best")
+    each = common.join_counted(asking, answers, "ask", asking.count()).select(
         "query_id", F.slice(F.filter("best", lambda x: x.vec_id != F.col("query_id")), 1, k).alias("best"),
     )
     return each.select("query_id", F.posexplode("best").alias("pos", "hit")).select(
@@ -251,7 +285,13 @@ def search(
     )
 
 
-FOUND = "asker long, number long, least long, score long"
+def passes_for(n_queries: int, query_block: int = QUERY_BLOCK) -> tuple[int, int]:
+    """Groups of about ``query_block`` queries, and passes of ``AT_ONCE`` groups."""
+    groups = max(1, -(-n_queries // query_block))
+    return groups, -(-groups // AT_ONCE)
+
+
+FOUND = "asker long, own long, number long, least long, score long"
 
 
 def op3(vectors: DataFrame) -> DataFrame:

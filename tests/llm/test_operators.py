@@ -142,6 +142,28 @@ def test_topk_is_exact(spark, seed, cut, monkeypatch):
     assert got == want and len({g[0] for g in got}) == 10
 
 
+def test_topk_of_an_id_with_many_vectors(spark):
+    """Its own vectors, shared ones among them, take no places, and no query looks for more than k + 1 entries."""
+    rng = np.random.default_rng(3)
+    v = rng.integers(-9, 10, (10_600, 3))
+    ids = [7] * 10_000 + [20] * 200 + [21] * 20 + [*range(40, 420)]
+    shared = [(21, x) for x in v[10_000:10_020]] + [(440, x) for x in v[10_000:10_005]]
+    df = spark.createDataFrame([(i, (x / 64).tolist()) for i, x in [*zip(ids, v), *shared]], "vec_id long, embedding array<double>")
+    rows = sorted({(i, *map(int, x)) for i, x in [*zip(ids, v), *shared]})
+    name, what = np.array([r[0] for r in rows]), np.array([r[1:] for r in rows])
+    want = []
+    for q, *x in rows:
+        if q % 20 == 0:
+            score = np.where(name == q, -10_000, what @ np.array(x))
+            want += [(q, n, int(name[i]), int(score[i])) for n, i in enumerate(np.lexsort((name, -score))[:20], 1)]
+    got = sorted(map(tuple, topk.search(topk.quantized(df), F.col("vec_id") % 20 == 0, query_block=100).collect()))
+    assert got == sorted(want) and len(got) > 4000
+
+
+def test_topk_passes_follow_the_queries():
+    assert [topk.passes_for(n)[1] for n in (0, 1, 16 * 2048, 16 * 2048 + 1, 10**8)] == [1, 1, 1, 2, 3052]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_topk_multiplies_only_what_can_reach_the_cutoff(seed):
     rng = np.random.default_rng(seed)
