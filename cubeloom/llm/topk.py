@@ -1,10 +1,11 @@
 """Exact top-k search by a three-phase uniform threshold.
 
 A score is an inner product of integers, the sum of ``LISTS`` local scores over
-equal runs of dimensions.  Phase one gathers local score lists: the
-block of vectors that a query was dealt to gives, for every run, its best local
-scores, and only the vectors listed there get a total; the (k + 1)-th best of these
-totals is a lower bound t of what the result needs.  Phase two sends each query's cutoff t / LISTS
+equal runs of dimensions.  Phase one gathers local score lists: one
+block of ``VECTOR_BLOCK`` vectors, taken by hash and broadcast, gives each query, for
+every run, its best local scores, and only the vectors listed there get a total; the
+(k + 1)-th best of these totals is a lower bound t of what the result needs, as good
+however the vectors are dealt.  Phase two sends each query's cutoff t / LISTS
 to all blocks: a vector below it in every run cannot reach t, so what reaches it
 in some run is sufficient.  A block keeps its vectors by length in each run, and
 what is too short to reach a cutoff is never multiplied.  Phase three resolves
@@ -45,6 +46,7 @@ SCALE = 64
 #: Queries of a block, and blocks that are broadcast at a time: 16 MB of 64 dimensions.
 QUERY_BLOCK = 2048
 AT_ONCE = 16
+#: Vectors of a block; also of the one that gives the bounds, 2 MB of 64 dimensions.
 VECTOR_BLOCK = 4096
 #: Queries that a task scores against a block at a time.
 SLICE = 256
@@ -70,14 +72,13 @@ def _matrix(lists: list[list[int]]) -> np.ndarray:
     return out
 
 
-BLOCK = "kind string, part long, numbers binary, data binary, width int"
+BLOCK = "part long, numbers binary, data binary, width int"
 
 
-def _blocks(kind: str, part: np.ndarray, numbers: list[np.ndarray], data: list[np.ndarray]) -> pa.RecordBatch:
-    """A row for each block: some numbers for each vector, and the vectors."""
-    packed = ([x.astype("<i8").tobytes() for x in some] for some in (numbers, data))
-    columns = [pa.array([kind] * len(data)), pa.array(part, pa.int64()), *(pa.array(x, pa.binary()) for x in packed), pa.array([x.shape[1] for x in data], pa.int32())]
-    return pa.RecordBatch.from_arrays(columns, names=["kind", "part", "numbers", "data", "width"])
+def _block(part: int, numbers: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
+    """One row: some numbers for each vector, and the vectors."""
+    packed = (pa.array([x.astype("<i8").tobytes()], pa.binary()) for x in (numbers, data))
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *packed, pa.array([data.shape[1]], pa.int32())], names=["part", "numbers", "data", "width"])
 
 
 def _unblock(numbers: bytes, data: bytes, width: int, columns: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +86,19 @@ def _unblock(numbers: bytes, data: bytes, width: int, columns: int) -> tuple[np.
     return numbers, np.frombuffer(data, "<i8").reshape(len(numbers), width)
 
 
+def _whole(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Tables of ``size`` rows, the last one shorter."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        while sum(map(len, held)) >= size:
+            table = pa.Table.from_batches(held)
+            yield table.slice(0, size)
+            held = table.slice(size).to_batches()
+    if sum(map(len, held)):
+        yield pa.Table.from_batches(held)
+
+
 class Ids(NamedTuple):
     """Ids on both sides: the one that a query asks for, where it asks ``alone``, and the two smallest of each vector."""
 
@@ -209,42 +223,39 @@ def search(
         asking = common.settle(asking.select(ask, F.col("vec_id").alias("query_id")), "asking")
         queries = asking.groupBy("ask").agg(F.count(F.lit(1)).alias("n"))
         queries = common.settle(queries.select(F.monotonically_increasing_id().alias("asker"), "ask", "n"), "queries")
-        n_vectors, n_queries = distinct.count(), queries.count()
-        parts = max(spark.sparkContext.defaultParallelism, -(-max(n_vectors, n_queries) // vector_block))
-        groups, passes = passes_for(n_queries, query_block)
+        parts = max(spark.sparkContext.defaultParallelism, -(-distinct.count() // vector_block))
+        groups, passes = passes_for(queries.count(), query_block)
+
+        def block(table: pa.Table) -> pa.RecordBatch:
+            numbers = np.stack([np.asarray(table[c]) for c in ("number", "first", "second")], axis=1)
+            return _block(0, numbers, _matrix(table["v"].to_pylist()))
+
+        def vector_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from map(block, _whole(batches, vector_block))
+
+        def bounded(table: pa.Table) -> pa.Table:
+            return pa.Table.from_batches([block(table)]).set_column(0, "part", table["part"][:1])
 
         def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = [*batches]  # a part of the deal: a block of vectors and its share of the queries
-            if not held:
-                return
-            table = pa.Table.from_batches(held)
-            part, numbers = np.asarray(table["part"]), np.stack([np.asarray(table[c]) for c in ("number", "first", "second")], axis=1)
-            data = _matrix(table["v"].to_pylist())
-            asks = part >= 0
-            named, v = numbers[~asks], data[~asks]
-            for lo in range(0, len(v), vector_block):
-                yield _blocks("vectors", part[~asks][:1], [named[lo : lo + vector_block]], [v[lo : lo + vector_block]])
-            part, numbers, data = part[asks], numbers[asks], data[asks]
-            for lo in range(0, len(data), SLICE):
-                some = slice(lo, lo + SLICE)
-                bound = lower_bounds(data[some], v, lists, enough, Ids(numbers[some, 1], numbers[some, 2] > 0, named[:, 1], named[:, 2]))
-                found = np.concatenate([numbers[some], bound[:, None]], axis=1)
-                yield _blocks("queries", part[some], [*found[:, None]], [*data[some][:, None]])
+            for batch in batches:
+                for part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    numbers, q = _unblock(*row[:3], 3)
+                    named, v = _unblock(*row[3:], 3)
+                    bound = np.concatenate([lower_bounds(
+                        q[some], v, lists, enough, Ids(numbers[some, 1], numbers[some, 2] > 0, named[:, 1], named[:, 2]),
+                    ) for some in (slice(lo, lo + SLICE) for lo in range(0, len(q), SLICE))])
+                    yield _block(part, np.concatenate([numbers, bound[:, None]], axis=1), q)
 
         other = F.coalesce(F.try_element_at("ids", F.lit(2)), F.col("ids")[0])
-        dealt = distinct.select(F.lit(-1).cast("long").alias("part"), "number", F.col("ids")[0].alias("first"), other.alias("second"), "v").unionByName(queries.select(
+        sides = distinct.select("number", F.col("ids")[0].alias("first"), other.alias("second"), "v")
+        blocks = common.settle(sides.repartition(parts, "number").mapInArrow(vector_blocks, BLOCK).drop("part"), "vector-blocks")
+        # phase one against one bounded block, whatever the sizes of the others
+        some = sides.orderBy(F.xxhash64("number")).limit(vector_block).coalesce(1).mapInArrow(vector_blocks, BLOCK)
+        asked = queries.select(
             F.pmod(F.xxhash64("asker"), F.lit(groups)).alias("part"), F.col("asker").alias("number"), F.col("ask.own").alias("first"), F.col("ask.alone").cast("long").alias("second"), F.col("ask.v").alias("v"),
-        ))
-        gathered = common.settle(dealt.repartition(parts, "number").mapInArrow(gather, BLOCK), "blocks", apart="kind")
-        blocks = gathered.filter("kind = 'vectors'").drop("kind", "part")
-
-        def pack(table: pa.Table) -> pa.Table:
-            single = [_unblock(*row, 4) for row in zip(*(table[c].to_pylist() for c in ("numbers", "data", "width")), strict=True)]
-            numbers, data = np.concatenate([x for x, _ in single]), _matrix([x[0].tolist() for _, x in single])
-            return pa.Table.from_batches([_blocks("queries", np.asarray(table["part"])[:1], [numbers], [data])])
-
-        packed = gathered.filter("kind = 'queries'").groupBy("part").applyInArrow(pack, BLOCK)
-        packed = common.settle(packed.select(
+        ).groupBy("part").applyInArrow(bounded, BLOCK)
+        lists_of = F.broadcast(some.select(*(F.col(c).alias(f"v_{c}") for c in ("numbers", "data", "width"))))
+        packed = common.settle(asked.join(lists_of, F.lit(True)).mapInArrow(gather, BLOCK).select(
             F.floor(F.col("part") / AT_ONCE).alias("pass"), *(F.col(c).alias(f"q_{c}") for c in ("numbers", "data", "width")),
         ), "query-passes")
 
