@@ -1,14 +1,17 @@
 """Line dedup by content-defined chunks of lines.
 
-Every line is hashed; a rolling hash over the last ``REACH`` line hashes ends a
-chunk where its low bits are zero, so that boundaries move with the content and
-a passage is cut alike wherever it stands.  Chunks of at least ``MIN_LINES``
-lines whose hash occurs more than once are grouped by their bytes, and of equal
-ones all but the first, by (doc_id, digest of the row, place), are removed.
+Every line is hashed; a rolling hash over the last ``REACH`` line hashes sets a
+boundary unless its low bits are zero, so that boundaries move with the content
+and a passage is cut alike wherever it stands.  A chunk begins at every boundary and
+ends at the first one that is ``MIN_LINES`` lines or more behind it: neither
+depends on the chunk before, and chunks overlap.  Chunks whose hash occurs more than
+once are grouped by their bytes, and of equal ones all but the first, by (doc_id,
+digest of the row, place), are repeats; lines that a repeat covers are removed.
+Chunks are judged on the input, and the first copy of a line always stays.
 
 Lines are what stands between newlines; a chunk's bytes are its lines joined by
 newlines.  Defined results: null text has no lines; empty lines count; a
-document's last chunk ends with it; rows of equal doc_id and text are cut and
+document's ends are boundaries; rows of equal doc_id and text are cut and
 judged alike, so neither loses what the other has; a null doc_id stands before
 all others.
 """
@@ -26,9 +29,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Lines that the rolling hash looks back on; a boundary after one line in ``EVERY``; fewest lines that are removed.
+#: Lines that the rolling hash looks back on; no boundary after one line in ``EVERY``; fewest lines of a chunk.
 REACH = 1
-EVERY = 2
+EVERY = 4
 MIN_LINES = 2
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -36,24 +39,28 @@ _ALL = (1 << 64) - 1
 
 
 def chunks(text: str | None) -> list[tuple[int, int]]:
-    """(first line, line after the last) of every chunk of a text."""
+    """(first line, line after the last) of every chunk of a text, in order."""
     if text is None:
         return []
     hashes = [xxhash.xxh3_64_intdigest(x) for x in text.encode().split(b"\n")]
-    out, first, rolling = [], 0, 0
+    cuts, rolling = [0], 0
     leave = pow(_MULTIPLIER, REACH, 1 << 64)
-    for i, h in enumerate(hashes):
+    for i, h in enumerate(hashes[:-1]):
         rolling = (rolling * _MULTIPLIER + h - (hashes[i - REACH] * leave if i >= REACH else 0)) & _ALL
-        if i + 1 - first >= MIN_LINES and (rolling >> 40) % EVERY == 0:
-            out.append((first, i + 1))
-            first = i + 1
-    if first < len(hashes):
-        out.append((first, len(hashes)))
+        if (rolling >> 40) % EVERY:
+            cuts.append(i + 1)
+    cuts.append(len(hashes))
+    out, end = [], 0
+    for first in cuts[:-1]:
+        while end < len(cuts) and cuts[end] < first + MIN_LINES:
+            end += 1
+        if end < len(cuts):
+            out.append((first, cuts[end]))
     return out
 
 
 def _cut(with_bytes: bool):  # noqa: ANN202
-    """Chunks of at least ``MIN_LINES`` lines; with bytes only those places that are asked for."""
+    """Chunks; with bytes only those places that are asked for."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,7 +71,7 @@ def _cut(with_bytes: bool):  # noqa: ANN202
                 for row, text in enumerate(some.column(2).to_pylist()):
                     lines = (text or "").split("\n")
                     for place, (a, b) in enumerate(chunks(text)):
-                        if b - a >= MIN_LINES and (asked is None or place in asked[row]):
+                        if asked is None or place in asked[row]:
                             line = "\n".join(lines[a:b])
                             rows.append(row)
                             places.append(place)
@@ -125,8 +132,9 @@ def dedup(docs: DataFrame) -> DataFrame:
                     lines = [] if text is None else text.split("\n")
                     kept = lines
                     if places:
-                        drop = set(places)
-                        kept = [x for n, (a, b) in enumerate(chunks(text)) if n not in drop for x in lines[a:b]]
+                        cut = chunks(text)
+                        drop = {line for n in places for line in range(*cut[n])}
+                        kept = [x for n, x in enumerate(lines) if n not in drop]
                     joined = "\n".join(kept)
                     for to, x in zip(out, (len(lines), len(lines) - len(kept), joined, hashlib.sha256(joined.encode()).hexdigest()), strict=True):
                         to.append(x)
