@@ -87,7 +87,8 @@ def _cut(with_bytes: bool):  # noqa: ANN202
 
 
 def _base(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", common.digest("doc_id", "text").alias("key"), "text")
+    # one plan for inner and outer joins, so that both read the same shuffle of the texts
+    return docs.select("doc_id", common.digest("doc_id", "text").alias("key"), "text").filter(F.col("key").isNotNull())
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
@@ -104,15 +105,13 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
         many = common.settle(hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "line-hashes")
         repeated = common.join_counted(hashes, many, "hash", hashes.count())
         asked = common.settle(repeated.groupBy("key").agg(F.collect_set("place").alias("asked")), "line-places")
-        same = _base(docs).join(asked, "key").select("doc_id", "key", "text", "asked").mapInArrow(_cut(True), found)
-        # equal bytes, not only equal hashes; the first in order of document and place stays
-        first = same.groupBy("hash", "bytes").agg(F.min(F.struct("doc_id", "key", "place")).alias("first"))
-        elected = first.groupBy("first.key").agg(F.collect_set("first.place").alias("elected"))
-        gone = F.array_except("asked", F.coalesce("elected", F.array().cast("array<int>")))
-        gone = asked.join(elected, "key", "left").select("key", gone.alias("gone")).filter(F.size("gone") > 0)
-        gone = common.settle(gone, "repeated-lines")
-        keep.append(gone)
-    return gone
+        keep.append(asked)
+    same = _base(docs).join(asked, "key").select("doc_id", "key", "text", "asked").mapInArrow(_cut(True), found)
+    # equal bytes, not only equal hashes; the first in order of document and place stays
+    first = same.groupBy("hash", "bytes").agg(F.min(F.struct("doc_id", "key", "place")).alias("first"))
+    elected = first.groupBy("first.key").agg(F.collect_set("first.place").alias("elected"))
+    gone = F.array_except("asked", F.coalesce("elected", F.array().cast("array<int>")))
+    return asked.join(elected, "key", "left").select("key", gone.alias("gone")).filter(F.size("gone") > 0)
 
 
 RESULT = "n_lines long, n_removed long, kept string, kept_sha256 string"
