@@ -138,6 +138,20 @@ def inverse_affine(transform: Sequence[float]) -> tuple[float, ...]:
     return e / det, -b / det, (b * f - c * e) / det, -d / det, a / det, (c * d - a * f) / det
 
 
+def pixel(transform: Sequence[float], x: Column, y: Column) -> tuple[Column, Column]:
+    """Fractional pixel coordinates (col, row) of map coordinates.
+
+    Distances from the grid's corner come first: a place on a pixel's edge would
+    lose the last bits of its place to the size of the coordinates otherwise.
+    """
+    a, b, c, d, e, f = map(float, transform)
+    det = a * e - b * d
+    if not det:
+        raise ValueError("the transform has no inverse")
+    u, v = x - F.lit(c), y - F.lit(f)
+    return (u / F.lit(a), v / F.lit(e)) if not b and not d else ((e * u - b * v) / det, (a * v - d * u) / det)
+
+
 def rpc_terms(l: Column, p: Column, h: Column) -> list[Column]:  # noqa: E741
     """The 20 terms of the RPC00B polynomial in normalised longitude, latitude and height, in its order."""
     return [

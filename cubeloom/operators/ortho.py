@@ -26,7 +26,7 @@ def with_height(points: DataFrame, dem: DataFrame, transform: Sequence[float], m
     is None.  Catalyst broadcasts the model if its size allows, and shuffles both
     by post otherwise.
     """
-    c, r = geo.affine(geo.inverse_affine(transform), *geo.from_degrees(F.col("lon"), F.col("lat"), epsg))
+    c, r = geo.pixel(transform, *geo.from_degrees(F.col("lon"), F.col("lat"), epsg))
     posts = dem.filter(F.col("height").isNotNull() & ~F.isnan("height"))
     keyed = points.select("*", F.floor(r).cast("int").alias("row"), F.floor(c).cast("int").alias("col"))
     joined = keyed.join(posts, ["row", "col"], "inner" if missing is None else "left")

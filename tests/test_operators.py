@@ -287,6 +287,19 @@ def test_web_mercator_and_back(spark):
     assert grids.parse_crs("EPSG:3857") == 3857
 
 
+def test_places_on_the_edges_of_pixels(spark):
+    one, step = spark.range(1), -(0.1 / 80)
+    edges = spark.createDataFrame([(45.06 + k * step,) for k in range(80)], "y double")
+    col, row = geo.pixel((0.005, 0.0, 9.94, 0.0, step, 45.06), F.lit(9.94), F.col("y"))
+    for r in edges.select("y", row.alias("row"), col.alias("col")).collect():
+        assert (r["row"], r["col"]) == ((r["y"] - 45.06) / step, 0.0)
+    turned = (2.0, 1.0, 100.0, 1.0, -2.0, 50.0)
+    x, y = geo.affine(turned, F.lit(3.25), F.lit(7.5))
+    assert one.select(*geo.pixel(turned, x, y)).first()[:] == pytest.approx((3.25, 7.5))
+    with pytest.raises(ValueError):
+        geo.pixel((1.0, 2.0, 0.0, 2.0, 4.0, 0.0), F.lit(0.0), F.lit(0.0))
+
+
 def test_heights_from_a_model_in_another_projection(spark):
     points = spark.createDataFrame([(0, 0, 10.0, 45.0), (0, 1, 10.001, 45.0), (1, 0, 30.0, 45.0)], "out_row int, out_col int, lon double, lat double")
     for epsg in (4326, 3857, 32632):

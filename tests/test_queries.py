@@ -33,6 +33,20 @@ def test_same_as_sql(spark, con, name):
     assert sorted(_key([r[c] for c in columns]) for r in found.collect()) == sorted(_key([r[c] for c in columns]) for r in table.to_pylist())
 
 
+def _same_on_more_rows(spark, name):
+    """On sf0.1 there are ground points on the very edge between two posts of the elevation model."""
+    con = duckdb.connect()
+    con.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.1/embeddings.parquet'")
+    table = con.execute(queries.oracle_sql()[name]).to_arrow_table()
+    found = queries.queries()[name](spark, "/root/testdata/sf0.1")
+    columns = sorted(found.columns)
+    assert sorted(_key([r[c] for c in columns]) for r in found.collect()) == sorted(_key([r[c] for c in columns]) for r in table.to_pylist())
+
+
+def test_ortho_nearest_on_more_rows(spark):
+    _same_on_more_rows(spark, "ortho_nearest")
+
+
 def test_flagship_and_inventory(spark):
     assert queries.flagship(spark, str(TABLES)).count() > 0
     rows = queries.queries()["file_inventory"](spark, str(TABLES)).collect()
