@@ -47,6 +47,10 @@ def test_ortho_nearest_on_more_rows(spark):
     _same_on_more_rows(spark, "ortho_nearest")
 
 
+def test_ortho_tiles_nearest_on_more_rows(spark):
+    _same_on_more_rows(spark, "ortho_tiles_nearest")
+
+
 def test_flagship_and_inventory(spark):
     assert queries.flagship(spark, str(TABLES)).count() > 0
     rows = queries.queries()["file_inventory"](spark, str(TABLES)).collect()
