@@ -125,6 +125,11 @@ def digest(*columns: str) -> "F.Column":
     return F.unhex(F.sha2(F.concat_ws("\x00", *parts), 256))
 
 
+def hot_from(n_rows: int) -> int:
+    """The most rows of a key of ``n_rows`` that is not yet hot."""
+    return max(64, n_rows // HOT_KEYS)
+
+
 def join_counted(rows: DataFrame, counted: DataFrame, key: str, n_rows: int) -> DataFrame:
     """Inner join of ``rows`` with ``counted``, which has each ``key`` once and how often ``rows`` has it as ``n``.
 
@@ -132,7 +137,7 @@ def join_counted(rows: DataFrame, counted: DataFrame, key: str, n_rows: int) ->
     there are fewer than ``HOT_KEYS`` of them, so they are broadcast, and only the
     others are shuffled.
     """
-    most = max(64, n_rows // HOT_KEYS)
+    most = hot_from(n_rows)
     hot, cool = counted.filter(F.col("n") > most), counted.filter(F.col("n") <= most)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cool, key)
     return rows.join(F.broadcast(hot), key).unionByName(rest)

@@ -277,7 +277,8 @@ FIRST = 1 / 8
 #: The least head; entries that share a head are about ``PER_HEAD`` where none are alike.
 HEAD = 16
 PER_HEAD = 4
-#: A head's entries are parted by ``DEEPER`` more levels as long as they are more than this.
+#: A head's entries meet in blocks if they are more than this.  Before that, the first orders part them by
+#: ``DEEPER`` more levels as long as they are more.
 MOST = 1 << 16
 DEEPER = 8
 SIMILARITY = 0.8
@@ -423,6 +424,9 @@ DEALT = "node long, t int, hi long, lo long, root long"
 def _parted(dealt: DataFrame, head: int, most: int) -> DataFrame:
     """``dealt`` with nodes of more than ``most`` entries given up for those below them, as a trie goes on.
 
+    That joins most of a large group at little cost, but not entries that differ
+    in the levels between: :func:`_met` is for the rest.
+
     The entries of such nodes are few in kind (copies with small changes), so
     what is counted and written again is only that part.
     """
@@ -451,10 +455,52 @@ def _parted(dealt: DataFrame, head: int, most: int) -> DataFrame:
     return dealt
 
 
-def wide_links(entries: DataFrame, budget: int, orders: range, head: int, most: int | None = None) -> DataFrame:
+def _met(dealt: DataFrame, most: int, since: int = 0) -> DataFrame:
+    """``dealt`` with nodes of more than ``most`` entries given up for the pairs of their blocks: any two entries of different roots still meet.
+
+    A root with more entries than a block has blocks of its own, which need not
+    meet each other; entries of the other roots share blocks.  Of the orders
+    before ``since`` only such nodes are given back.
+    """
+    block, count = max(1, most // 2), lambda n: F.ceil(n / max(1, most // 2)).cast("int")
+    sizes = dealt.groupBy("node").agg(F.count(F.lit(1)).alias("n"), (F.min("root") < F.max("root")).alias("several")).filter(F.col("n") > most)
+    sizes = common.settle(sizes, "large-nodes")
+    small = dealt.filter(F.col("t") >= since)
+    if sizes.isEmpty():
+        return small
+    # one node in `most` entries, one root in `block` of them: small tables, which the planner broadcasts where they fit
+    small = small.join(sizes.select("node"), "node", "left_anti")
+    # equal fingerprints of one root have the same links
+    large = dealt.join(sizes.filter("several").select("node"), "node", "left_semi").select("node", "t", "hi", "lo", "root").distinct()
+    large = common.settle(large, "large-node-entries")
+    big = common.settle(large.groupBy("node", "root").agg(F.count(F.lit(1)).alias("of_root")).filter(F.col("of_root") > block), "large-roots")
+    taken = big.groupBy("node").agg(F.sum("of_root").alias("taken"))
+    of_node = large.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    rest = of_node.join(taken, "node", "left").select("node", (F.col("n") - F.coalesce("taken", F.lit(0))).alias("of_rest"))
+    rest = common.settle(rest, "large-node-rests")
+    own = F.coalesce("of_root", "of_rest")
+    placed = large.join(big, ["node", "root"], "left").join(rest, "node").select(
+        "node", F.when(F.col("of_root").isNotNull(), F.col("root")).alias("big"), F.pmod(F.xxhash64("root", "hi", "lo"), count(own)).cast("int").alias("b"),
+        "t", "hi", "lo", "root",
+    ).withColumn("block", F.xxhash64("node", F.col("big").isNull(), "big", "b"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), count(n) - 1))
+    blocks = big.select("node", F.col("root").alias("big"), numbers(F.col("of_root")).alias("b")).union(
+        rest.filter("of_rest > 0").select("node", F.lit(None).cast("long"), numbers(F.col("of_rest"))),
+    ).withColumn("block", F.xxhash64("node", F.col("big").isNull(), "big", "b"))
+    x, y = (blocks.select("node", F.col("big").alias(f"{k}_big"), F.col("block").alias(k)) for k in "xy")
+    pairs = x.join(y, "node").filter("x <= y AND (x_big IS NULL OR y_big IS NULL OR x_big != y_big)").select("x", "y")
+    pairs = common.settle(pairs.distinct(), "large-node-pairs")
+    sides = pairs.select(F.col("x").alias("block"), "x", "y").union(pairs.filter("x != y").select(F.col("y").alias("block"), "x", "y"))
+    met = placed.join(sides, "block").select(F.xxhash64("x", "y").alias("node"), "t", "hi", "lo", "root")
+    return small.unionByName(met)
+
+
+def wide_links(entries: DataFrame, budget: int, orders: range, head: int, most: int | None = None, since: int | None = 0) -> DataFrame:
     """Edges (u, v) between roots of the fingerprints (hi, lo, root) that some order's trie brings together.
 
-    Without ``most`` no head can have more than ``MOST`` entries.
+    Without ``most`` no head can have more than ``MOST`` entries.  With it, nodes
+    of more are parted if ``since`` is None, which finds part of their edges;
+    else their blocks meet, and orders before ``since`` give only those nodes.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -481,7 +527,7 @@ def wide_links(entries: DataFrame, budget: int, orders: range, head: int, most:
 
     dealt = _dealt(entries, orders, head)
     if most is not None:
-        dealt = _parted(dealt, head, most)
+        dealt = _parted(dealt, head, most) if since is None else _met(dealt, most, since)
     rows = dealt.select("node", "hi", "lo", "root")
     return rows.repartition("node").sortWithinPartitions("node").mapInArrow(task, "u long, v long")
 
@@ -490,14 +536,15 @@ def wide_classes(distinct: DataFrame, budget: int, similarity: float) -> DataFra
     """``distinct`` (entry, hi, lo and more) with the least entry of its class as ``root``.
 
     The first orders join most of a large group, so that the others find few
-    links that are new.
+    links that are new.  Where there may be nodes of more than ``MOST`` entries,
+    the first orders only part them, and they meet whole with the others.
     """
     entries = distinct.withColumn("root", F.col("entry"))
     n = distinct.count()
     head, orders = heads(n, similarity)
-    first = math.ceil(orders * FIRST)
-    for some in (range(first), range(first, orders)):
-        found = components(wide_links(entries, budget, some, head, MOST if n > MOST else None)).withColumnRenamed("root", "__new")
+    first, most = math.ceil(orders * FIRST), MOST if n > MOST else None
+    for some, since in ((range(first), None), (range(first if most is None else 0, orders), first)):
+        found = components(wide_links(entries, budget, some, head, most, since)).withColumnRenamed("root", "__new")
         joined = entries.join(found, F.col("root") == F.col("node"), "left")
         entries = common.settle(joined.withColumn("root", F.coalesce("__new", "root")).drop("node", "__new"), "wide-classes")
     return entries

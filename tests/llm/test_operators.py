@@ -724,6 +724,49 @@ def test_nodes_of_a_large_group_are_parted(spark):
     assert parted.count() == 100 * len(texts) and max(r["count"] for r in parted.groupBy("node").count().collect()) <= 30
 
 
+def _one_head(rng, n):
+    """Fingerprints (hi, lo) that share the head of order 0 and differ in up to ten bits below it from each other's base."""
+    below, base = simhash._order(0)[16:].tolist(), rng.getrandbits(128)
+    out = []
+    for _ in range(n):
+        x = base
+        for bit in rng.sample(below, 10):
+            x ^= 1 << bit
+        out.append((x & (2**64 - 1), x >> 64))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    return [(signed(a), signed(b)) for a, b in out]
+
+
+@pytest.mark.parametrize("joined", [0, 150])
+def test_no_link_of_a_large_node_is_lost(spark, joined):
+    rows = [(k, hi, lo, 0 if k < joined else k) for k, (hi, lo) in enumerate(_one_head(random.Random(12), 200))]
+    rows += [(1000 + k, hi, lo, 1000 + k) for k, (hi, lo) in enumerate(_one_head(random.Random(13), 5))]
+    entries = spark.createDataFrame(rows, "entry long, hi long, lo long, root long")
+    for most in (None, 30):
+        got = {r["node"]: r["root"] for r in components.components(simhash.wide_links(entries, simhash.wide_budget(0.8), range(1), 16, most)).collect()}
+        assert got == {r[3]: min(x[3] for x in rows if (x[0] < 1000) == (r[0] < 1000)) for r in rows}
+    met = simhash._met(simhash._dealt(entries, range(1), 16), 30)
+    assert max(r["count"] for r in met.groupBy("node").count().collect()) < 60  # twice a block of about 15
+
+
+def test_groups_with_large_nodes_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MOST", 30)
+    rows = _one_head(random.Random(14), 120)
+    monkeypatch.setattr(simhash, "heads", lambda n, similarity: (16, 1))
+    distinct = spark.createDataFrame([(k, *x) for k, x in enumerate(rows)], "entry long, hi long, lo long")
+    assert {r["root"] for r in simhash.wide_classes(distinct, simhash.wide_budget(0.8), 0.8).collect()} == {0}
+
+
+def test_stars_take_no_rounds(spark, monkeypatch):
+    made, stars = [], components._stars
+    monkeypatch.setattr(components, "_stars", lambda *a: made.append(1) or stars(*a))
+    edges = spark.createDataFrame([(i, 1) for i in range(2, 300)] + [(1000, 1001), (1001, 1000)], "u long, v long")
+    got = {r["node"]: r["root"] for r in components.components(edges).collect()}
+    assert got == {**dict.fromkeys(range(1, 300), 1), 1000: 1000, 1001: 1000} and not made
+    path = spark.createDataFrame([(1, 2), (2, 3)], "u long, v long")
+    assert {r["root"] for r in components.components(path).collect()} == {1} and len(made) == 2
+
+
 def test_rows_are_known_by_their_values(spark):
     rows = [(1, "a b", None), (1, "a b", "x"), (1, "a  b", "x"), (None, "=", "x"), (None, None, "x"), (2, "=", "x"), (2, "", "x"), (2, None, "x")]
     keyed = spark.createDataFrame(rows, "doc_id long, text string, lang string").select(common.digest("doc_id", "text").alias("k"))
