@@ -23,7 +23,7 @@ of one doc_id the least counts; repeated rows score alike and are learned from o
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +42,8 @@ FOLDS = 5
 THRESHOLD = 0.3
 #: Bytes of text whose features are built at a time.
 SLICE = 3 << 20
+#: Left-out rows whose margins the driver takes at a time.
+ROWS = 256
 
 _SHAPE = bytes(ord("a") if 97 <= c <= 122 or c >= 128 else ord("A") if 65 <= c <= 90 else ord("9") if 48 <= c <= 57 else c for c in range(256))
 _RUN = re.compile(rb"(.)\1+", re.S)
@@ -94,8 +96,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(row, feature, n) + self.shift, -500, 500)))
 
 
+class _Scaled(Sequence):
+    """(features, values of unit length) of rows; values are made as they are asked for, so that the driver never holds all."""
+
+    def __init__(self, rows: list[np.ndarray], ratio: np.ndarray) -> None:
+        self.rows, self.ratio = rows, ratio
+        self.length = [max(float(np.linalg.norm(ratio[x])), 1e-12) for x in rows]
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at = self.rows[i].astype(np.intp)
+        return at, self.ratio[at] / self.length[i]
+
+
 def hinge_by_dual_descent(
-    rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, dim: int, cost: float = 1.0, rounds: int = 20, seed: int = 7,
+    rows: Sequence[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, dim: int, cost: float = 1.0, rounds: int = 20, seed: int = 7,
 ) -> tuple[np.ndarray, float]:
     """Weights and bias of the linear hinge-loss model; rows are (features, values)."""
     weight, bias = np.zeros(dim), 0.0
@@ -153,20 +170,32 @@ def fit_rows(rows: list[np.ndarray], label: np.ndarray, dim: int = DIM) -> Model
 
     def fit(some: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         r = ratios(some)
-        scaled = [(rows[i], r[rows[i]] / max(float(np.linalg.norm(r[rows[i]])), 1e-12)) for i in some]
-        w, bias = hinge_by_dual_descent(scaled, np.where(label[some] == 1, 1.0, -1.0), dim)
+        w, bias = hinge_by_dual_descent(_Scaled([rows[i] for i in some], r), np.where(label[some] == 1, 1.0, -1.0), dim)
         return w * r, r * r, bias
 
     order = np.random.default_rng(11).permutation(n)
     test, train = order[: n // 4], order[n // 4 :]
     slope, shift = 4.0, 0.0
     if 0 < label[test].sum() < len(test) and 0 < label[train].sum() < len(train):
-        part = Model(*fit(train), 1.0, 0.0)
-        at = np.repeat(np.arange(len(test)), [len(rows[i]) for i in test])
-        slope, shift = _logistic(part.margins(at, np.concatenate([rows[i] for i in test]) if len(at) else np.zeros(0, np.int64), len(test)), label[test])
+        part, margin = Model(*fit(train), 1.0, 0.0), []
+        for lo in range(0, len(test), ROWS):
+            some = [rows[i] for i in test[lo : lo + ROWS]]
+            margin.append(part.margins(np.repeat(np.arange(len(some)), [len(x) for x in some]), np.concatenate([*some, np.zeros(0, np.int32)]), len(some)))
+        slope, shift = _logistic(np.concatenate(margin), label[test])
     return Model(*fit(np.arange(n)), slope, shift)
 
 
+def _lists(packed: pa.ChunkedArray) -> list[np.ndarray]:
+    """The feature lists of binary values of 4 bytes a feature, as views of them."""
+    out = []
+    for chunk in packed.chunks:
+        _, offsets, data = chunk.buffers()
+        ends = np.frombuffer(offsets, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1] // 4
+        flat = np.frombuffer(data or b"", "<i4")
+        out += [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return out
+
+
 def held_out(doc_id: F.Column) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(FOLDS)) == 0
 
@@ -199,8 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, label:
         sofar = F.sum(F.length("features")).over(W.orderBy("h", "label", "features").rowsBetween(W.unboundedPreceding, W.currentRow))
         found = made.withColumn("sofar", sofar).filter(F.col("sofar") <= 4 * MAX_FEATURES).drop("sofar").toArrow()
     found = found.sort_by([("h", "ascending"), ("label", "ascending")])
-    lists = [np.frombuffer(x, "<i4").astype(np.int64) for x in found.column("features").to_pylist()]
-    return fit_rows(lists, np.array(found.column("label").to_pylist(), np.int64))
+    return fit_rows(_lists(found.column("features")), np.array(found.column("label").to_pylist(), np.int64))
 
 
 def _scored(docs: DataFrame, model: Model):  # noqa: ANN202

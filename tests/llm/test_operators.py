@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -448,6 +449,25 @@ def test_scaled_indicators_are_log_count_ratios():
     assert scores[:2].min() > scores[2:].max()
 
 
+def test_the_fit_holds_no_copies_of_its_features(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    label = rng.integers(0, 2, 2500)
+    rows = [np.unique(rng.integers(0, 2048 + 1024 * y, 1000)).astype(np.int32) for y in label]
+    tracemalloc.start()
+    quality.fit_rows(rows, label, 4096)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < sum(x.nbytes for x in rows)
+    texts = [" ".join(f"w{(7 * i + k) % 89}" for k in range(20 + i)) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "fit_rows", lambda lists, label, *a: lists)
+    given = quality.train(docs, marks)
+    held = [r[0] for r in docs.filter(quality.held_out(F.col("doc_id"))).select("doc_id").collect()]
+    want = [quality.features(pa.array([t]))[1].tolist() for i, t in enumerate(texts) if i not in held]
+    assert sorted(x.tolist() for x in given) == sorted(want) and all(x.itemsize == 4 and not x.flags.owndata for x in given)
+
+
 def test_classifier_on_held_out_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.op7(docs, labels).join(labels, "doc_id").filter("held_out").collect()
